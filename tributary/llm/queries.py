@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, language, licenses, pieces, secrets, token_counts
+from . import chat, decontaminate, jaccard_join, language, licenses, pieces, secrets, token_counts
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_chat_format": chat.op4_chat_format,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_language_id": language.op8_language_id,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

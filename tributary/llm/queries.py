@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, language, licenses, pieces, secrets, token_counts
+from . import chat, decontaminate, jaccard_join, language, licenses, pieces, secrets, token_counts, top_k
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_top_k": top_k.op5_top_k,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_language_id": language.op8_language_id,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": top_k.OP5_SQL}

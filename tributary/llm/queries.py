@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, language, licenses, pieces, secrets, token_counts, top_k
+from . import chat, decontaminate, jaccard_join, language, licenses, pieces, repeats, secrets, token_counts, top_k
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_chat_format": chat.op4_chat_format,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import bindings, closure, diff, graph, layering, linking, quality
+from ..operators import closure, diff, graph, layering, linking, quality
 from ..sources import estate
 from .session import cut, table
 
@@ -505,3 +505,6 @@ def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = s.select(F.concat(F.lit("ORDERS:"), "k").alias("query")).unionByName(s.select(F.concat(F.lit("part"), "k").alias("query")))
     q = q.unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("raw."), "n_name").alias("query"))).unionByName(table(spark, sf_dir, "region").select(F.upper(F.left("r_name", F.lit(4))).alias("query")))
     return quality.match_nodes(estate.nodes(spark, sf_dir), q)
+
+
+from . import report_queries  # noqa: E402,F401  registers its queries

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bindings, graph, quality
-from ..sources import estate
+from ..operators import bindings, graph, quality, statements
+from ..sources import estate, models
 from .queries import query
 from .session import table
 
@@ -258,3 +258,86 @@ def silent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "part").select(F.concat(F.lit("supplier:"), F.col("p_size").cast("string")).alias("a"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("b"))
     return quality.catalog_gap(listed, estate.edges(spark, sf_dir))
+
+
+# --- texts: each order becomes a small SQL script ----------------------------------------------------------------------
+
+_SCRIPT = """-- order FROM no.where
+/* a /* nested */ FROM no.way */ INSERT INTO [mart].[Ord%d] SELECT 'FROM x.y' FROM raw.cust%d c JOIN stg.status_%s AS s ON c.id = s.id;
+WITH q AS (SELECT * FROM base.p%d) UPDATE c SET a = 1 FROM mart.ord%d c JOIN q ON 1 = 1
+GO
+EXEC sp_executesql N'DELETE FROM z'
+GO
+EXEC @rc = dbo.usp_%s"""
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.format_string(_SCRIPT, k % 50, F.col("o_custkey"), F.col("o_orderstatus"), k % 7, k % 50, F.lower("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS path, stmt, direction, schema_name, name FROM (
+ SELECT o_orderkey, 0 AS stmt, 'writes' AS direction, 'mart' AS schema_name, concat('ord', CAST(o_orderkey % 50 AS VARCHAR)) AS name FROM orders
+ UNION ALL SELECT o_orderkey, 0, 'reads', 'raw', concat('cust', CAST(o_custkey AS VARCHAR)) FROM orders
+ UNION ALL SELECT o_orderkey, 0, 'reads', 'stg', lower(concat('status_', o_orderstatus)) FROM orders
+ UNION ALL SELECT o_orderkey, 1, 'writes', 'mart', concat('ord', CAST(o_orderkey % 50 AS VARCHAR)) FROM orders
+ UNION ALL SELECT o_orderkey, 1, 'reads', 'base', concat('p', CAST(o_orderkey % 7 AS VARCHAR)) FROM orders)""",
+    False,
+)
+def statement_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.statement_lineage(statements.statements(_scripts(spark, sf_dir))).select("path", "stmt", "direction", "schema_name", "name")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS file, 'dynamic_sql' AS category FROM orders", False)
+def dynamic_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.dynamic_sql(statements.statements(_scripts(spark, sf_dir))).select("file", "category")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'dbo' AS schema_name, concat('usp_', lower(o_orderstatus)) AS name FROM orders", False)
+def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.callees(statements.statements(_scripts(spark, sf_dir))).select("path", "schema_name", "name")
+
+
+# Each customer becomes a measure that names columns and other measures.
+_DAX = """CALCULATE([Total %s], 'My Sales'[Cust %d] = "[no]", Dim[x]) // [never]
+ + IF(1 IN [Rate], 2)"""
+
+
+@query(
+    """SELECT c_custkey, table_name, name FROM (SELECT c_custkey, '' AS table_name, concat('Total ', c_mktsegment) AS name FROM customer UNION ALL SELECT c_custkey, 'My Sales', concat('Cust ', CAST(c_custkey % 9 AS VARCHAR)) FROM customer
+ UNION ALL SELECT c_custkey, 'Dim', 'x' FROM customer UNION ALL SELECT c_custkey, '', 'Rate' FROM customer)""",
+    False,
+)
+def dax_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.format_string(_DAX, "c_mktsegment", F.col("c_custkey") % 9).alias("expression"))
+    return models.dax_refs(c).select("c_custkey", "table_name", "name")
+
+
+# Each supplier becomes a table partition whose M expression navigates to a source or sends a query.
+_M = """let Source = Sql.Database("srv", "db"), // {[Schema="no",Item="no"]}
+ T = Source{[Schema="s%d",Item="T%d"]}[Data], Q = Value.NativeQuery(Source, "SELECT * FROM nat.q%d x JOIN ""ext"".z ON 1=1") in T"""
+
+
+@query(
+    """SELECT s_suppkey, schema_name, name, raw_kind FROM (SELECT s_suppkey, concat('s', CAST(s_nationkey AS VARCHAR)) AS schema_name, concat('T', CAST(s_suppkey AS VARCHAR)) AS name, 'navigation' AS raw_kind FROM supplier
+ UNION ALL SELECT s_suppkey, 'nat', concat('q', CAST(s_suppkey % 10 AS VARCHAR)), 'native_query' FROM supplier UNION ALL SELECT s_suppkey, 'ext', 'z', 'native_query' FROM supplier)""",
+    False,
+)
+def m_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string(_M, "s_nationkey", "s_suppkey", F.col("s_suppkey") % 10).alias("expression"))
+    return models.m_sources(s).select("s_suppkey", "schema_name", "name", "raw_kind")
+
+
+@query(
+    """SELECT concat('T', CAST(l_orderkey % 40 AS VARCHAR)) AS "table", concat('c', CAST(l_partkey AS VARCHAR)) AS name, min(l_linestatus) AS data_type, bool_and(l_returnflag = 'R') AS hidden FROM lineitem GROUP BY 1, 2""",
+    False,
+)
+def tom_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines become columns of model files, one file for each fortieth of the orders, written as JSON and read back."""
+    li = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("t"), "l_partkey").agg(F.min("l_linestatus").alias("d"), F.bool_and(F.col("l_returnflag") == "R").alias("h"))
+    cols = F.collect_list(F.struct(F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("name"), F.col("d").alias("dataType"), F.col("h").alias("isHidden")))
+    tables = F.array(F.struct(F.concat(F.lit("T"), F.col("t").cast("string")).alias("name"), F.col("c").alias("columns")))
+    files = li.groupBy("t").agg(cols.alias("c")).select(F.lit("r").alias("repo_key"), F.concat(F.col("t").cast("string"), F.lit(".bim")).alias("path"), F.to_json(F.struct(F.struct(tables.alias("tables")).alias("model"))).alias("text"))
+    return models.tom(files)["columns"].select("table", "name", "data_type", "hidden")

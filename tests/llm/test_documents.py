@@ -1,0 +1,224 @@
+"""The operators on one text each, against plain Python."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from texts import awkward, frame, words_of
+
+from tributary.llm import decontaminate, language, licenses, pieces, secrets, token_counts
+
+MODEL = pieces.MODEL
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# --- piece encoding ---------------------------------------------------------------------------------------------------
+
+
+def test_pieces_are_those_of_the_library():
+    import sentencepiece
+
+    sp, t, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Transducer(pieces.read_pieces()), random.Random(3)
+    for _ in range(1500):
+        text = "".join(rng.choice("aaabethioncs  ▁.,'\n\té日𝄞0123AB-_") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(t.encode(text), "<i4").tolist() == sp.encode(text), text
+        assert t.decode(t.encode(text)) == text.replace("▁", " ")
+    for n in (1, 2, 15, 16, 17, 33, 64):
+        assert np.frombuffer(t.encode(" " * n + "x"), "<i4").tolist() == sp.encode(" " * n + "x")
+
+
+def test_unigram_path_is_the_best_of_all():
+    rng = random.Random(5)
+    vocab = {p: -rng.random() * 5 for p in ("a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a", "cc")}
+    t = pieces.Transducer({"pieces": [(p, s, 1) for p, s in vocab.items()] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], "bpe": False, "prefix": False})
+
+    def best(text):
+        if not text:
+            return 0.0
+        return max(vocab[text[:n]] + best(text[n:]) for n in range(1, len(text) + 1) if text[:n] in vocab)
+
+    for _ in range(200):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        assert sum(vocab[p] for p in t.path(text)) == pytest.approx(best(text))
+
+
+def test_pieces_of_awkward_texts(spark):
+    rows = awkward()
+    got = by_id(pieces.round_trip(frame(spark, rows), keep=["doc_id"]))
+    t = pieces.Transducer(pieces.read_pieces())
+    for i, text in rows:
+        ids = t.encode(text or "")
+        assert (got[i].n_pieces, got[i].ids_sha256, got[i].lossless) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), True)
+    back = pieces.decode(pieces.encode(frame(spark, rows), keep=["doc_id", "text"]))
+    assert all(r.decoded == (r.text or "") for r in back.collect())
+    assert pieces.round_trip(frame(spark, []), keep=["doc_id"]).count() == 0
+
+
+# --- licenses ---------------------------------------------------------------------------------------------------------
+
+
+def test_base_places_are_those_of_a_word_search(spark):
+    rng = random.Random(2)
+    bits = ["Under", "the", "MIT", "license", "Apache", "version", "2", "CC", "by", "nc", "é"]
+    rows = awkward() + [(100 + k, rng.choice([" ", "-", ", "]).join(rng.choice(bits) for _ in range(60))) for k in range(40)] + [(200, "under the MIT license. Under the mit LICENSE, CC-BY-NC; apache license version 2")]
+    got = by_id(licenses.scan(frame(spark, rows), keep=["doc_id"]))
+    for i, text in rows:
+        w, places = words_of(text), []
+        for phrase, label in licenses.BASE.items():
+            p = phrase.split()
+            places += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None)), text
+        base = sorted({x for _, x in places})
+        assert r.base_labels == ",".join(base) and set(base) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_rules_and_suppression():
+    assert len(licenses.rules()) > 300
+    s = licenses.Scanner()
+    labels = lambda t: {d[4] for d in s.detections(f" {' '.join(words_of(t))} ".encode())}
+    assert labels("This work is licensed under the GNU General Public License version 3 or later") == {"gpl-3"}
+    assert labels("released under the BSD 3-Clause license") == {"bsd-3"}
+    assert labels("SPDX-License-Identifier: Apache-2.0") == {"apache-2"}
+    assert labels("licensed under CC BY-NC-SA 4.0") == {"cc-by-nc-sa"}
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy") == {"mit"}
+    assert labels("das Haus steht mit dem Garten") == set()
+
+
+# --- secrets ----------------------------------------------------------------------------------------------------------
+
+_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def test_secret_base_spans(spark):
+    rng = random.Random(4)
+    bits = ["password", "Api_Key", "TOKEN", "apikey", "=", ": ", '"', "'", " ", "abc123", "AKIA", "ABCDEFGHIJKLMNOP99", "deadbeef" * 4, "é", "ſecret=abcdefgh", "x"]
+    rows = awkward() + [(100 + k, "".join(rng.choice(bits) for _ in range(30))) for k in range(80)]
+    got = by_id(secrets.scan(frame(spark, rows), keep=["doc_id"]))
+    for i, text in rows:
+        text = text or ""
+        spans = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3)), text
+        assert set(joined.split(",")) <= set(r.spans.split(",")) | {""}
+
+
+def test_structures_are_confirmed_before_they_are_reported():
+    import base64
+    import json
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    key = b"\x02\x01\x00" + b"".join(b"\x02\x20" + bytes(range(1, 33)) for _ in range(4))
+    der = b"\x30\x81" + bytes([len(key)]) + key
+    ssh = b"\0\0\0\x07ssh-rsa\0\0\0\x40" + b"k" * 64
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.confirmed_spans(t)]
+    assert kinds(f"x {url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln y") == ["jwt"]
+    assert kinds(f"x {url({'no': 1})}.{url({'sub': 1})}.c2ln y") == []
+    assert "der" in kinds(b64(der)) and "der" in kinds(" " + der.hex() + " ") and kinds(b64(der[:-1] + b"")) == []
+    assert kinds(b64(ssh)) == ["ssh"]
+    assert "pem" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64(der)}\n-----END RSA PRIVATE KEY-----")
+    assert kinds("MIIB" + "A" * 60) == []
+
+
+def test_redaction(spark):
+    rows = [(1, "a password=hunter2xyz b"), (2, None), (3, "clean")]
+    got = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert got == {1: "a [SECRET] b", 2: None, 3: "clean"}
+
+
+# --- language ---------------------------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.identify(docs, language.labelled_part(docs), keep=["doc_id", "lang"]).join(docs.select("doc_id", language.fold().alias("f")), "doc_id")
+    rows = out.where("f = 2").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+    assert sum(r.rejected for r in rows) / len(rows) < 0.03
+
+
+def test_language_edges(spark):
+    rows = [(i, t, lang) for i, (_, t) in enumerate(awkward()) for lang in ("xx", None)]
+    docs = frame(spark, rows, "doc_id bigint, text string, lang string")
+    got = language.identify(docs, docs, keep=["doc_id"]).collect()
+    assert len(got) == len(rows)
+    letters = {i: bool(re.search(r"[^\W\d_]", t or "")) for i, (_, t) in enumerate(awkward())}
+    assert all((r.lang_pred == "xx") == letters[r.doc_id] and 0 <= r.score <= 1 for r in got)
+    none = language.identify(docs, docs.where("false"), keep=["doc_id"]).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in none} == {("und", 0.0, True)}
+    assert language.identify(docs.where("false"), docs, keep=["doc_id"]).count() == 0
+
+
+# --- token counts -----------------------------------------------------------------------------------------------------
+
+
+def test_token_totals(spark):
+    rows = awkward()
+    encode = token_counts.encoding(token_counts.RANKS).encode_ordinary
+    n = sorted(len(encode(t or "")) for _, t in rows)
+    counts = token_counts.lengths(frame(spark, rows), keep=["doc_id"])
+    totals = token_counts.context_totals(token_counts.histogram(counts), block=16)
+    got = totals.collect()
+    assert sorted(r.n_tokens for r in got) == sorted(set(n))
+    for r in got:
+        limit = r.n_tokens
+        assert (r.n_docs, r.docs_from, r.tokens_from) == (n.count(limit), sum(x >= limit for x in n), sum(x for x in n if x >= limit))
+        assert (r.truncated_tokens, r.all_tokens) == (sum(min(x, limit) for x in n), sum(n)) and r.share_fitting == pytest.approx(sum(x <= limit for x in n) / len(n))
+    q = {r.share: r.n_tokens for r in token_counts.quantiles(totals, [0.5, 0.9, 1.0]).collect()}
+    assert q == {s: next(x for x in n if sum(y <= x for y in n) / len(n) >= s) for s in (0.5, 0.9, 1.0)}
+    assert token_counts.context_totals(token_counts.histogram(counts.where("false"))).count() == 0
+
+
+# --- decontamination --------------------------------------------------------------------------------------------------
+
+
+def brute_hits(items, texts, size):
+    out = []
+    for text in texts:
+        w, hit, found = words_of(text), set(), set()
+        for i, x in items:
+            q = words_of(x)
+            for a in range(max(1, len(q) - size + 1) if q else 0):
+                p = q[a : a + size]
+                for k in range(len(w) - len(p) + 1):
+                    if w[k : k + len(p)] == p:
+                        hit.update(range(k, k + len(p)))
+                        found.add(i)
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+def test_windows_are_found_like_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(150):
+        vocab = ["a", "b", "c", "Dé", "e9", "日本"][: rng.randint(2, 6)]
+        make = lambda n, v=vocab: rng.choice([" ", "-", "\n"]).join(rng.choice(v) for _ in range(rng.randint(0, n)))
+        items = [(str(i), make(9)) for i in range(rng.randint(0, 5))]
+        texts = [rng.choice([None, "", make(30), make(60) + " zz " + make(20)]) for _ in range(rng.randint(1, 8))]
+        size = rng.choice([2, 3, 4, 10])
+        w = decontaminate.Windows(items, size)
+        counts, spans, found = decontaminate.find(w, *decontaminate.utf8(pa.array(texts, pa.string())))
+        assert [(int(counts[k]), sum(b - a for a, b in spans.get(k, [])), sorted(found.get(k, set()))) for k in range(len(texts))] == brute_hits(items, texts, size)
+
+
+@pytest.mark.parametrize("part_chars", [8_000_000, 40])
+def test_decontamination(spark, part_chars):
+    rows = awkward() + [(5, awkward()[5][1])]
+    items = [(1, " ".join(words_of(rows[5][1])[20:60])), (2, "One, two three"), (3, None), (4, ""), (5, "nowhere at all"), (6, "ONE two-three"), (10, "one")]
+    bench = frame(spark, items, "item_id bigint, text string")
+    got = decontaminate.scan(frame(spark, rows), bench, keep=["doc_id"], part_chars=part_chars).collect()
+    want = brute_hits([(str(i), t) for i, t in items], [t for _, t in rows], 10)
+    expect = sorted((i, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0) for (i, _), (n, h, f) in zip(rows, want, strict=True))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == expect
+    assert decontaminate.scan(frame(spark, rows), bench.where("false"), keep=["doc_id"]).where("contaminated").count() == 0
+    assert decontaminate.scan(frame(spark, []), bench, keep=["doc_id"]).count() == 0

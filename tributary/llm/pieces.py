@@ -26,10 +26,12 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts, table, utf8
+from .common import map_texts, table
 
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -216,18 +218,17 @@ def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
-    """``decoded string`` of each list of ids (null list: empty text); ids outside the vocabulary and nulls are skipped."""
+    """``decoded string`` of each list of ids (null list: empty text); nulls and numbers that are no ids are skipped."""
     spec = df.sparkSession.sparkContext.broadcast(_spec(model))
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
 
-    def run(ids):
+    @F.pandas_udf("string")
+    def decoded(ids: pd.Series) -> pd.Series:
         t = compiled(spec.value)
         n = len(t.out)
-        return ids.map(lambda x: "" if x is None else t.decode(np.array([i for i in x if i is not None and 0 <= i < n], "<i4").tobytes()))
+        return pd.Series(["" if x is None else t.decode(np.array([int(i) for i in x if i == i and i is not None and 0 <= i < n], "<i4").tobytes()) for x in ids], dtype=object)
 
     names = [c for c in (df.columns if keep is None else keep) if c != "decoded"]
-    return df.select(*[df[c] for c in names], F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR)(df[ids_col]).alias("decoded"))
+    return df.select(*[df[c] for c in names], decoded(df[ids_col]).alias("decoded"))
 
 
 ROUND_TRIP = "n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean"
@@ -256,6 +257,3 @@ def round_trip(df: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), keep=["doc_id"])
-
-
-__all__ = ["Transducer", "decode", "encode", "op2_sentencepiece", "read_pieces", "round_trip", "utf8"]

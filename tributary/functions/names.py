@@ -47,12 +47,12 @@ def qualify(raw: Column, default_schema: str = "dbo") -> Column:
     """``struct<schema_name, name>``: the last part is the name, all before it the schema."""
     p = F.transform(name_parts(raw), normalize_identifier)
     schema = F.when(F.size(p) > 1, F.array_join(F.slice(p, F.lit(1), F.size(p) - 1), ".")).otherwise(F.lit(default_schema))
-    return F.struct(schema.alias("schema_name"), F.element_at(p, -1).alias("name"))
+    return F.struct(schema.alias("schema_name"), F.try_element_at(p, F.lit(-1)).alias("name"))
 
 
 def original_name(raw: Column) -> Column:
     """The last part in its original case."""
-    return F.trim(F.regexp_replace(F.element_at(name_parts(raw), -1), "[\\[\\]\"'`]", ""))
+    return F.trim(F.regexp_replace(F.try_element_at(name_parts(raw), F.lit(-1)), "[\\[\\]\"'`]", ""))
 
 
 def slug(node_id: Column, node_type: Column) -> Column:

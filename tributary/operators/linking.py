@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Type precedence among equal names, and the thresholds of the similarity rung.
 PRECEDENCE = ["view", "gold_table", "silver_table", "bronze_table"]
@@ -31,7 +32,7 @@ def config_rule_match(items: DataFrame, nodes: DataFrame, mappings: DataFrame) -
     return hits.groupBy(F.col("key.key").alias("key")).agg(F.min_by("target", F.col("key.pos")).alias("target"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(needle: pd.Series, candidate: pd.Series) -> pd.Series:
     """Ratio of matching blocks; the order of the arguments matters."""
     m, out = difflib.SequenceMatcher(), []

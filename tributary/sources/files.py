@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import file_kind, glob_filter
 
@@ -58,7 +59,7 @@ def decode_text(raw: bytes) -> str:
     return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     """``decode_text`` of binary columns."""
     return raw.map(lambda b: None if b is None else decode_text(bytes(b)))

@@ -284,3 +284,19 @@ def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.drop("hit_spans", "items")
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+v AS (SELECT DISTINCT item, w[s:s + 9] AS win FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM b WHERE len(w) > 0)),
+l AS (SELECT DISTINCT len(win) AS n FROM v),
+p AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, l WHERE len(w) >= n),
+h AS (SELECT r, s, n, item FROM (SELECT r, s, n, w[s:s + n - 1] AS win FROM p) x JOIN v ON v.win = x.win),
+k AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS place FROM h) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN i ON i.r = d.r
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_top_k": top_k.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": chat.OP4_SQL, "op5_top_k": top_k.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL}

@@ -507,4 +507,4 @@ def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.match_nodes(estate.nodes(spark, sf_dir), q)
 
 
-from . import report_queries  # noqa: E402,F401  registers its queries
+from . import page_queries, report_queries  # noqa: E402,F401  these register their queries

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 # Type precedence among equal names, and the thresholds of the similarity rung.
 PRECEDENCE = ["view", "gold_table", "silver_table", "bronze_table"]
 AUTO, PENDING = 0.92, 0.60
+#: Parts that candidates are dealt to where every one is compared.
+SPREAD = 64
 
 
 def _precedence():
@@ -46,7 +48,8 @@ def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float = 0.0) ->
     """(key, target, score) of items (key, needle) and candidates (target, qualified) whose ratio can reach ``least``.
 
     A ratio is at most 2 * shared characters / total length, so lengths and the count of equal characters bound it before
-    the matcher runs. Items and candidates meet by their length bands, not as a cross join.
+    the matcher runs. Items and candidates meet by their length bands; without a least score every candidate is compared
+    with every item (a given set of searches), candidates dealt out to ``SPREAD`` parts.
     """
     i = items.select("key", "needle", F.length("needle").alias("ln"))
     c = candidates.select("target", "qualified", F.length("qualified").alias("lc"))
@@ -55,7 +58,8 @@ def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float = 0.0) ->
         bands = F.sequence(F.floor(F.col("ln") * least / (2 - least) / width), F.floor(F.col("ln") * (2 - least) / least / width))
         pairs = i.withColumn("band", F.explode(bands)).join(c.withColumn("band", F.floor(F.col("lc") / width)), "band").where(2 * F.least("ln", "lc") >= least * (F.col("ln") + F.col("lc")))
     else:
-        pairs = i.withColumn("band", F.lit(0)).join(c.withColumn("band", F.lit(0)), "band")
+        every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+        pairs = i.withColumn("band", every).join(c.withColumn("band", F.pmod(F.hash("target"), F.lit(SPREAD))), "band")
     return pairs.select("key", "target", similarity("needle", "qualified").alias("score")).where(F.col("score") >= least)
 
 

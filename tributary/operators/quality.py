@@ -166,9 +166,9 @@ def estate_layout(groups: DataFrame) -> DataFrame:
     """Row of each group in its lane, sorted by title, and the offset that centres the lane."""
     by_title = Window.partitionBy("lane").orderBy(F.lower("group_id"), "group_id")
     sizes = groups.groupBy("lane").agg(F.count("*").alias("lane_size"))
-    tallest = sizes.agg(F.max("lane_size").alias("tallest"))
-    out = groups.select("group_id", "lane", (F.row_number().over(by_title) - 1).alias("row")).join(sizes, "lane").crossJoin(F.broadcast(tallest))  # one row
-    return out.select("group_id", "lane", "row", ((F.col("tallest") - F.col("lane_size")) / 2.0).alias("offset"))
+    tallest = sizes.agg(F.max("lane_size")).scalar()
+    out = groups.select("group_id", "lane", (F.row_number().over(by_title) - 1).alias("row")).join(sizes, "lane")
+    return out.select("group_id", "lane", "row", ((tallest - F.col("lane_size")) / 2.0).alias("offset"))
 
 
 def loaded_by(sources: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:

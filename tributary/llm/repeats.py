@@ -5,13 +5,15 @@ fixed hash puts first: a function of the window's bytes alone, so equal windows
 Consecutive windows of a text with one key form a segment. Segments whose key occurs once cannot repeat anything; this
 leaves few. Of the others,
 
-* if all segments of a key are equal, each of their windows repeats, and no text needs to move;
-* else, up to ``GROUP`` segments of a key meet in one task, which builds the suffix array of all the segments it has,
+* equal segments of a key are counted by their hash: all their windows repeat, and one of them stands for the rest;
+* up to ``GROUP`` different segments of a key meet in one task, which builds the suffix array of all the segments it has,
   sorted by the first WINDOW bytes, and from it the previous and next smaller positions in suffix order: a window has an
   earlier copy exactly if one of these two neighbours shares its first WINDOW bytes (its longest previous factor is that
   long), and a later copy by the same test with larger positions;
-* keys of more segments (passages that very many texts share, where each copy goes on differently) are split to single
-  windows, which are counted by 128-bit hashes of their bytes.
+* keys of more different segments (passages that very many texts share, where each copy goes on differently) are split:
+  the windows of a segment are dealt to ``WAYS`` ranges by their distance from the anchor, the key of a range is the hash
+  of the bytes that all windows in it share, and the same three cases apply again. A range of one window holds only equal
+  segments, so this ends after four rounds, with few rows for each segment and no task that has a whole group.
 
 ``keep="none"`` removes every byte under a window that occurs more than once; ``keep="first"`` spares the windows that
 occur for the first time, in order of id and place.
@@ -27,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,19 +39,25 @@ WINDOW, ANCHOR = 200, 40
 LONGEST = 1024
 #: Segments of a key that one task takes together.
 GROUP = 512
+#: Ranges that the windows of a key with more segments are dealt to in one round.
+WAYS = 4
 #: Bytes that a vector pass over one text takes at once.
 PIECE = 4 << 20
 _PLACE = U64((1 << 24) - 1)
 
 
-def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, key, hash, several) of the segments of the texts; ``several``: its key stands in it twice."""
+def segments(data: np.ndarray, off: np.ndarray, join: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, key, hash, anchor) of the segments of the texts.
+
+    ``anchor`` is the anchor's distance from the start, or -1 if the segment is joined from neighbours with one key, as in
+    periodic text.
+    """
     n, span = len(data), WINDOW - ANCHOR + 1
     first, count = off[:-1], np.maximum(0, np.diff(off) - WINDOW + 1)
     at = ranges(first, count)
     if not len(at):
         none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, U64), np.empty(0, U64), np.empty(0, bool)
+        return none, none, none, np.empty(0, U64), np.empty(0, U64), none
     sums = prefix_sums(data.astype(U64) + U64(1))
     _, inverse = powers(len(sums))
     anchors = mix((sums[ANCHOR:] - sums[: n - ANCHOR + 1]) * inverse[: n - ANCHOR + 1])
@@ -64,10 +71,9 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = place[1:] != place[:-1]
     begin = np.flatnonzero(new)
     start, windows, key = at[begin], np.diff(np.append(begin, len(at))), anchors[place[begin]]
-    # neighbours with one key become one segment, in periodic text
+    anchor = place[begin] - start
     joined = np.zeros(len(start), bool)
-    joined[1:] = (key[1:] == key[:-1]) & (start[:-1] + windows[:-1] == start[1:])
-    several = np.zeros(len(start), bool)
+    joined[1:] = join & (key[1:] == key[:-1]) & (start[:-1] + windows[:-1] == start[1:])
     if joined.any():
         head = np.flatnonzero(~joined)
         run = np.cumsum(~joined) - 1
@@ -77,9 +83,10 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         head[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
         head = np.flatnonzero(head)
         several = np.diff(np.append(head, len(start))) > 1
+        anchor = np.where(several, -1, anchor[head])
         start, windows, key = start[head], np.add.reduceat(windows, head), key[head]
     text = np.searchsorted(off, start, "right") - 1
-    return text, start - off[text], windows, key, span_hashes(sums, start, start + windows + WINDOW - 1), several
+    return text, start - off[text], windows, key, span_hashes(sums, start, start + windows + WINDOW - 1), anchor
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -94,7 +101,7 @@ def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.nda
                 yield a, at - int(off[a]), data[at:to], np.array([0, to - at])
 
 
-_SEGMENT = "key bigint, hash bigint, id bigint, start int, n int, several boolean"
+_SEGMENT = "key bigint, hash bigint, id bigint, start int, n int, anchor int"
 
 
 def text_segments(docs: DataFrame) -> DataFrame:
@@ -104,10 +111,10 @@ def text_segments(docs: DataFrame) -> DataFrame:
         for x in batches:
             ids = x.column("id").to_numpy(zero_copy_only=False)
             for first, place, data, off in pieces(*utf8(x.column("text"))):
-                text, start, n, key, h, several = segments(data, off)
+                text, start, n, key, h, anchor = segments(data, off)
                 if len(text):
-                    cols = [key.view(np.int64), h.view(np.int64), ids[first + text], (start + place).astype(np.int32), n.astype(np.int32), several]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "hash", "id", "start", "n", "several"])
+                    cols = [key.view(np.int64), h.view(np.int64), ids[first + text], (start + place).astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "hash", "id", "start", "n", "anchor"])
 
     return docs.mapInArrow(run, _SEGMENT)
 
@@ -209,48 +216,101 @@ def group_spans(parts: DataFrame, keep_first: bool) -> DataFrame:
     return ordered.mapInArrow(run, _SPAN)
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
-    """The bytes of the wanted segments (``found`` by document), or with ``single`` the hashes of their windows."""
+_PART = "key bigint, id bigint, start int, n int, anchor int, part binary"
+
+
+_PART = "key bigint, id bigint, start int, n int, anchor int, part binary"
+
+
+def cut_out(docs: DataFrame, wanted: DataFrame, apart: bool = False) -> DataFrame:
+    """The bytes of the wanted segments, a document's together; with ``apart`` joined segments come as what they were
+    joined from, so that each has one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             data, off = utf8(x.column("text"))
             for at, (i, found) in enumerate(zip(x.column("id").to_pylist(), x.column("found").to_pylist(), strict=True)):
-                raw = data[off[at] : off[at + 1]].tobytes()
-                keys, starts, sizes = [f["key"] for f in found], [f["start"] for f in found], [f["n"] for f in found]
-                if single:
-                    starts = [s + j for s, n in zip(starts, sizes, strict=True) for j in range(n)]
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + WINDOW]) for s in starts), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(digests[::2]), pa.array(digests[1::2]), pa.array([i] * len(starts), pa.int64()), pa.array(starts, pa.int32())], ["h1", "h2", "id", "start"])
-                else:
-                    parts = [raw[s : s + n + WINDOW - 1] for s, n in zip(starts, sizes, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([i] * len(keys), pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "id", "start", "part"])
-
-    schema = "h1 bigint, h2 bigint, id bigint, start int" if single else "key bigint, id bigint, start int, part binary"
-    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
-    return docs.join(by_doc, "id").select("id", "text", "found").mapInArrow(run, schema)
+                raw, rows = data[off[at] : off[at + 1]].tobytes(), []
+                for f in found:
+                    part = raw[f["start"] : f["start"] + f["n"] + WINDOW - 1]
+                    if apart and f["anchor"] < 0:
+                        _, start, n, _, _, anchor = segments(np.frombuffer(part, np.uint8), np.array([0, len(part)]), join=False)
+                        rows += [(f["key"], f["start"] + s, k, a, part[s : s + k + WINDOW - 1]) for s, k, a in zip(start.tolist(), n.tolist(), anchor.tolist(), strict=True)]
+                    else:
+                        rows.append((f["key"], f["start"], f["n"], f["anchor"], part))
+                cols = list(zip(*rows, strict=True))
+                made = [pa.array(cols[0], pa.int64()), pa.array([i] * len(rows), pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["key", "id", "start", "n", "anchor", "part"])
+
+    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "start", "n", "anchor")).alias("found"))
+    return docs.join(by_doc, "id").select("id", "text", "found").mapInArrow(run, _PART)
+
+
+def split_parts(parts: DataFrame) -> DataFrame:
+    """Segments with bytes, cut by the distance of their windows from the anchor to at most WAYS ranges of low..high; the
+    key is the hash of the bytes that all windows of the range share, the hash that of the piece's bytes and place."""
+    out = []
+    for k in range(WAYS):
+        step = F.ceil((F.col("high") - F.col("low") + 1) / WAYS).cast("int")
+        r = parts.withColumns({"a": F.col("low") + k * step, "b": F.least(F.col("low") + (k + 1) * step - 1, "high")}).where("a <= high")
+        r = r.withColumns({"far": F.least("anchor", "b"), "near": F.greatest(F.col("anchor") - F.col("n") + 1, "a")}).where("far >= near")
+        piece = F.substring("part", F.col("anchor") - F.col("far") + 1, F.col("far") - F.col("near") + WINDOW)
+        r = r.withColumn("piece", piece)
+        core = F.substring("piece", F.col("far") - F.col("a") + 1, WINDOW - (F.col("b") - F.col("a")))
+        place = F.col("start") + F.col("anchor") - F.col("far")
+        out.append(
+            r.select(
+                F.xxhash64("a", "b", core).alias("key"), F.xxhash64("near", "far", "piece").alias("hash"), "id", place.alias("start"),
+                (F.col("far") - F.col("near") + 1).alias("n"), F.col("far").alias("anchor"), F.col("a").alias("low"), F.col("b").alias("high"), F.col("piece").alias("part"),
+            )
+        )
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows
+
+
+def settled(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, group, more) of segments: the spans of equal ones; and, of keys with different ones, the first of each
+    kind: of keys with few kinds, and of keys with many."""
+    place = F.struct("id", "start")
+    payload = [c for c in rows.columns if c not in ("key", "hash", "id", "start", "n", "anchor")]
+    kinds = rows.groupBy("key", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max("n").alias("n"), F.max("anchor").alias("anchor"))
+    sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("rows"), F.min("anchor").alias("least"))
+    sizes = sizes.where("rows > 1 or least < 0").drop("rows", "least")
+    kinds = cut(kinds.join(sizes, "key"))
+    equal = kinds.where("copies > 1").select("key", "hash", "first")
+    gone = rows.select("key", "hash", "id", "start", "n").join(equal, ["key", "hash"])
+    if keep_first:
+        gone = gone.where(place != F.col("first"))
+    spans = gone.select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
+    one = kinds.where("kinds > 1 or anchor < 0").select("key", "hash", "first.id", "first.start", "n", "anchor", "kinds")
+    if payload:
+        one = cut(one.join(rows.select("key", "hash", "id", "start", *payload), ["key", "hash", "id", "start"]))
+    few = F.col("kinds") <= GROUP
+    return spans, one.where(few).drop("hash", "kinds"), one.where(~few).drop("hash", "kinds")
 
 
 def repeated_spans(docs: DataFrame, keep_first: bool) -> DataFrame:
     """(id, a, b): byte ranges of documents (id, text) that are to go; they may overlap."""
     runs = text_segments(docs)
-    seen = runs.groupBy("key").agg(F.count("*").alias("c"), F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.max("several").alias("several"), F.min(F.struct("id", "start")).alias("first"))
-    # "hot" is a way of counting, chosen by the number of a key's segments; every segment is still judged
-    kind = F.when((F.col("lo") == F.col("hi")) & ~F.col("several"), "whole").when(F.col("c") <= GROUP, "group").otherwise("hot")
-    seen = cut(seen.where("c > 1 or several").select("key", kind.alias("kind"), *(["first"] if keep_first else [])))
-    found = cut(runs.select("key", "id", "start", "n").join(seen, "key"))
-    whole = found.where("kind = 'whole'")
-    if keep_first:
-        whole = whole.where(F.struct("id", "start") != F.col("first"))
-    whole = whole.select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
-    group = group_spans(cut_out(docs, found.where("kind = 'group'"), False), keep_first)
-    single = cut_out(docs, found.where("kind = 'hot'"), True)
-    counts = cut(single.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("first")).where("c > 1").drop("c"))
-    hot = single.join(counts, ["h1", "h2"])
-    if keep_first:
-        hot = hot.where(F.struct("id", "start") != F.col("first"))
-    hot = hot.select("id", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
-    return whole.unionByName(group).unionByName(hot)
+    seen = runs.groupBy("key").agg(F.count("*").alias("c"), F.min("anchor").alias("anchor")).where("c > 1 or anchor < 0").select("key")
+    found = cut(runs.join(cut(seen), "key"))
+    spans, group, more = settled(found, keep_first)
+    every = [spans, group_spans(cut_out(docs, group), keep_first)]
+    parts = cut(cut_out(docs, more, apart=True).select("id", "start", "n", "anchor", F.lit(0).alias("low"), F.lit(WINDOW - ANCHOR).alias("high"), "part"))
+    groups = None
+    while not parts.isEmpty():
+        spans, group, parts = settled(cut(split_parts(parts)), keep_first)
+        every.append(spans)
+        groups = group if groups is None else groups.unionByName(group)
+        parts = cut(parts.drop("key"))
+    if groups is not None:
+        every.append(group_spans(groups, keep_first))
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
+    return out
 
 
 _RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

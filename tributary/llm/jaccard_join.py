@@ -257,9 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of which no other in the class has a smaller id; columns as they came."""
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs[id_col] == first["__first"], "left_semi")
+    """The documents of which no other in the class has a smaller id; columns as they came.
+
+    Documents without an id belong to no class and stay; rows that repeat an id stay or go together.
+    """
+    later = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__later"))
+    return docs.join(later, docs[id_col] == later["__later"], "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

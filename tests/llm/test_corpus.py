@@ -43,11 +43,19 @@ def repeat_rows():
     return small + hot + copies + [(9, "z" * 3000), (10, "ab " * 900), (3000, "x" * 199), (3001, line + text(300) + line)]
 
 
-@pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("group", [512, 8])
-def test_repeats(spark, monkeypatch, keep, group):
+def periodic_rows():
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop qé") for _ in range(n))
+    period = "".join(rng.choice("ab") for _ in range(7))
+    mixed = [(k, text(rng.randint(0, 120)) + (period * 60)[rng.randint(0, 6) : rng.randint(240, 420)] + text(rng.randint(0, 120))) for k in range(30)]
+    return mixed + [(100 + k, "y" * rng.randint(150, 700) + text(50)) for k in range(10)]
+
+
+@pytest.mark.parametrize("make", [repeat_rows, periodic_rows])
+@pytest.mark.parametrize(("keep", "group"), [("none", 512), ("none", 4), ("first", 4)])
+def test_repeats(spark, monkeypatch, make, keep, group):
     monkeypatch.setattr(repeats, "GROUP", group)
-    rows = repeat_rows()
+    rows = make()
     got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(frame(spark, rows), keep=keep).collect()}
     assert got == brute_repeats(rows, keep == "first")
 

@@ -13,7 +13,8 @@ follow each other only if merging their joined text gives exactly these two. A s
 is accepted is the merge encoding and no other sequence is, so every accepted path has weight 0 and there is exactly one.
 
 Paths never leave a stretch between two places that no piece spans (before a U+2581 that follows something else, around
-a line break), so each such stretch is solved once and remembered, up to ``memo`` stretches for each worker.
+a line break, before a sign that no piece has behind a letter), so each such stretch is solved once and remembered, up to
+``memo`` stretches for each worker.
 
 Edge cases: a null or empty text has no pieces and decodes to the empty text. U+2581 in a text decodes to a blank, as in
 the piece format itself; ``lossless`` compares with the text so changed. Columns of the input that are not named in
@@ -35,6 +36,13 @@ from .common import map_texts, table
 
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Stretches that a worker remembers (about 250 bytes for each).
+MEMO = 500_000
+#: Stretches of more characters are not remembered.
+LONG = 64
+_ONE = (1,)
+#: Letters and digits as a part of a character class.
+_WORD = "0-9A-Za-z\u00c0-\u024f"
 
 
 def read_pieces(path: str = MODEL) -> dict:
@@ -56,7 +64,7 @@ def read_pieces(path: str = MODEL) -> dict:
 class Transducer:
     """The compiled transducer of one piece file."""
 
-    def __init__(self, spec: dict, memo: int = 300_000):
+    def __init__(self, spec: dict, memo: int = MEMO):
         self.bpe, self.prefix, self.memo = spec["bpe"], spec["prefix"], memo
         rows = spec["pieces"]
         # types of the piece format: 1 normal, 4 user-defined, 5 unused, 6 byte
@@ -68,18 +76,21 @@ class Transducer:
         self.is_byte = np.array([kind == 6 for _, _, kind in rows])
         spans = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids if len(p) > 1))
-        stop = f"{BLANK}{re.escape(alone)}"
-        self.cut = re.compile(r"(?s).+" if spans else (f"[{re.escape(alone)}]|" if alone else "") + f"{BLANK}+[^{stop}]*|[^{stop}]+")
+        # signs that no piece has behind a letter or digit: between the two no arc can lie
+        word = re.compile(f"[{_WORD}]")
+        behind = {p[k + 1] for p in self.ids for k in range(len(p) - 1) if word.match(p[k])}
+        signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in behind)
+        stop = re.escape(BLANK + alone)
+        other, inner = f"[^{stop}{_WORD}]", f"[^{stop}{_WORD}{re.escape(signs)}]"
+        self.cut = re.compile(r"(?s).+" if spans else (f"[{re.escape(alone)}]|" if alone else "") + f"{BLANK}*{other}*(?:[{_WORD}]+(?:{inner}{other}*)?)*")
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self._arcs = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
-        self._ends: dict = {}  # the pieces read backwards, as a trie
-        for p in self.ids:
-            node = self._ends
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = True
-        self._pairs: dict[str, dict[str, bool]] = {}
-        self._last: dict[str, tuple[str, dict[str, bool]]] = {"": ("", self._pairs.setdefault("", {}))}
+        # for each end of a piece, the sizes of the pieces that end with it, the longest first
+        self._tails: dict[str, tuple[int, ...]] = {p[-k:]: () for p in self.ids for k in range(1, len(p) + 1)}
+        for end in self._tails:
+            self._tails[end] = tuple(k for k in range(len(end), 1, -1) if end[-k:] in self.ids) + _ONE
+        self._judged = 0
+        self._pairs: dict[str, dict[str, bool]] = {"": {}}
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -99,46 +110,53 @@ class Transducer:
 
     def follows(self, left: str, right: str) -> bool:
         """Whether the acceptor of adjacent pieces lets ``right`` follow ``left`` ("": stand first)."""
+        self._judged += 1
         return self.merged(left + right) == ([left, right] if left else [right])
 
-    def last_piece(self, text: str) -> str:
-        """The last arc of the only accepted path of a merge-based file to the end of ``text``; remembered by prefix.
-
-        Beginnings of words recur, so most of a new word's positions are known already.
-        """
-        last, ends, n = self._last, self._ends, len(text)
-        at = n
-        while at and text[:at] not in last:
-            at -= 1
-        for i in range(at + 1, n + 1):
-            node, starts = ends, [i - 1]
-            for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                if "" in node and j < i - 1:
-                    starts.append(j)
-            for j in reversed(starts):
-                piece = text[j:i]
-                left, after = last[text[:j]]
-                ok = after.get(piece)
+    def accepted(self, text: str) -> list[str]:
+        """The only accepted path of a merge-based file, by position: its last arc to each position is known from the
+        arcs that end there and the last arcs of where these start; the longest that may follow is the one."""
+        tails, pairs, n = self._tails, self._pairs, len(text)
+        last, after = [""] * (n + 1), [pairs[""]] * (n + 1)
+        for i in range(1, n + 1):
+            k = min(3, i)  # the longest end of text[:i] that ends some piece has about this size
+            sizes = tails.get(text[i - k : i])
+            if sizes is None:
+                while k > 1 and sizes is None:
+                    k -= 1
+                    sizes = tails.get(text[i - k : i])
+                sizes = sizes or _ONE
+            else:
+                while k < i:
+                    longer = tails.get(text[i - k - 1 : i])
+                    if longer is None:
+                        break
+                    sizes, k = longer, k + 1
+            for size in sizes:
+                j, piece = i - size, text[i - size : i]
+                ok = after[j].get(piece)
                 if ok is None:
-                    ok = after[piece] = self.follows(left, piece)
+                    ok = after[j][piece] = self.follows(last[j], piece)
                 if ok:
-                    last[text[:i]] = (piece, self._pairs.setdefault(piece, {}))
+                    last[i] = piece
+                    then = pairs.get(piece)
+                    if then is None:
+                        then = pairs[piece] = {}
+                    after[i] = then
                     break
-        return last[text][0]
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
 
     def path(self, text: str) -> list[str]:
         """The shortest path through one stretch, as its arcs' strings."""
-        out, n = [], len(text)
         if self.bpe:
-            if len(self._last) > self.memo:
-                self._last = {"": ("", self._pairs.setdefault("", {}))}
-            while n:
-                out.append(self.last_piece(text[:n]))
-                n -= len(out[-1])
-            return out[::-1]
+            if self._judged > 2 * self.memo:
+                self._pairs, self._judged = {"": {}}, 0
+            return self.accepted(text)
+        n, out = len(text), []
         cost, back = [0.0] + [float("inf")] * n, [""] * (n + 1)
         for i in range(1, n + 1):
             for j in range(max(0, i - self.longest), i):
@@ -160,23 +178,24 @@ class Transducer:
             out.append(arc if arc is not None else b"".join(self.bytes[b].to_bytes(4, "little") for b in piece.encode()))
         return b"".join(out)
 
+    def new_stretch(self, stretch: str) -> bytes:
+        ids = self._older.get(stretch)
+        if ids is None:
+            ids = self.solve(stretch)
+        if len(stretch) <= LONG:
+            if len(self._known) >= self.memo // 2:  # what was used lately stays
+                self._older, self._known = self._known, {}
+            self._known[stretch] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         text = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
-        known, out = self._known, []
+        out = []
         for stretch in self.cut.findall(text):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = self._older.get(stretch)
-                if ids is None:
-                    ids = self.solve(stretch)
-                if len(stretch) <= 64:
-                    if len(known) >= self.memo // 2:  # what was used lately stays
-                        self._older, self._known = known, {}
-                        known = self._known
-                    known[stretch] = ids
-            out.append(ids)
+            ids = self._known.get(stretch)
+            out.append(ids if ids is not None else self.new_stretch(stretch))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -189,14 +208,14 @@ _compiled: dict[str, Transducer] = {}
 
 def compiled(spec: dict) -> Transducer:
     """One transducer for each worker and piece file; its memo lasts over the worker's batches."""
-    key = hashlib.sha1(repr((spec["pieces"], spec["bpe"], spec["prefix"])).encode()).hexdigest() if "key" not in spec else spec["key"]
-    if key not in _compiled:
-        _compiled[key] = Transducer(spec)
-    return _compiled[key]
+    if spec["key"] not in _compiled:
+        _compiled.clear()
+        _compiled[spec["key"]] = Transducer(spec, spec["memo"])
+    return _compiled[spec["key"]]
 
 
-def _spec(path: str) -> dict:
-    spec = read_pieces(path)
+def _spec(path: str, memo: int) -> dict:
+    spec = read_pieces(path) | {"memo": memo}
     return spec | {"key": hashlib.sha1(repr(spec).encode()).hexdigest()}
 
 
@@ -204,9 +223,9 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, memo: int = MEMO) -> DataFrame:
     """``ids array<int>`` of each text."""
-    spec = df.sparkSession.sparkContext.broadcast(_spec(model))  # a vocabulary file: a few MB at most
+    spec = df.sparkSession.sparkContext.broadcast(_spec(model, memo))  # a vocabulary file: a few MB at most
 
     def per_batch(column: pa.Array) -> list[pa.Array]:
         t = compiled(spec.value)
@@ -219,7 +238,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
     """``decoded string`` of each list of ids (null list: empty text); nulls and numbers that are no ids are skipped."""
-    spec = df.sparkSession.sparkContext.broadcast(_spec(model))
+    spec = df.sparkSession.sparkContext.broadcast(_spec(model, 0))
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
@@ -234,13 +253,13 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: list[str] | None = None, m
 ROUND_TRIP = "n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean"
 
 
-def round_trip(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
+def round_trip(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, memo: int = MEMO) -> DataFrame:
     """Digests of each text's encoding and of its decoding, in one pass.
 
     ids_sha256 is of the ids as 32-bit little-endian numbers, decoded_sha256 of the UTF-8 text that they decode to, and
     ``lossless`` says that this is the text again (U+2581 counting as a blank).
     """
-    spec = df.sparkSession.sparkContext.broadcast(_spec(model))
+    spec = df.sparkSession.sparkContext.broadcast(_spec(model, memo))
 
     def per_batch(column: pa.Array) -> list[pa.Array]:
         t = compiled(spec.value)

@@ -20,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Bytes of text that the vector passes take at once; bounds their scratch memory.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that are turned into Python objects at once.
+SLICE_ROWS = 2000
 
 # Word bytes: 0-9, a-z (A-Z are lower-cased) and every byte of a non-ASCII character; the rest separates words.
 _TABLE = np.zeros(256, np.uint8)
@@ -164,13 +166,13 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], results: str, per_b
     schema = T.StructType([df.schema[c] for c in keep] + out.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            made = per_batch(b.column("__text"))
-            made, mask = made if isinstance(made, tuple) else (made, None)
-            table = pa.RecordBatch.from_arrays([b.column(f"__keep{i}") for i in range(len(keep))] + made, [*keep, *out.names])
-            yield table if mask is None else table.filter(mask)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(at, SLICE_ROWS)
+                made = per_batch(b.column("__text"))
+                made, mask = made if isinstance(made, tuple) else (made, None)
+                rows = pa.RecordBatch.from_arrays([b.column(f"__keep{i}") for i in range(len(keep))] + made, [*keep, *out.names])
+                yield rows if mask is None else rows.filter(mask)
 
     cols = [df[c].alias(f"__keep{i}") for i, c in enumerate(keep)] + [df[text_col].cast("string").alias("__text")]
     return df.select(*cols).mapInArrow(run, schema)

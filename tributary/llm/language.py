@@ -17,6 +17,7 @@ text is ``und``. Repeated rows give repeated rows. A kept column with a result's
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -36,12 +37,21 @@ def letters(text: str) -> list[str]:
 
 
 def sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int, max_languages: int) -> list[tuple[str, str]]:
-    """(label, text) of a bounded sample: the texts of smallest hash for each label; limits are applied in each task first."""
+    """(label, text) of a bounded sample: the distinct texts of smallest hash for each label.
+
+    The labels are counted first. A label's rows go on only if their hash is under a bound that lets about four times the
+    wanted number through, so what is sorted does not grow with the corpus; copies of a text are one.
+    """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_language)
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    return [(r.lang, r.text) for r in top.where(F.col("lang").isin(langs)).select("lang", "text", "h").orderBy("lang", "h", "text").collect()]
+    rows = rows.where("lang is not null and text rlike '\\\\p{L}'")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counts:
+        return []
+    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 4 * docs_per_language / r.n)))])
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    low = rows.where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < bound[F.col("lang")]).dropDuplicates(["lang", "text"])
+    top = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_language)
+    return [(r.lang, r.text) for r in top.orderBy("lang", "h", "text").select("lang", "text").collect()]
 
 
 def dictionaries(rows: list[tuple[str, str]], bytes_per_language: int) -> dict[str, bytes]:
@@ -66,7 +76,7 @@ class Classifier:
         dicts = [z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT) for lang in self.labels]
 
         def sized(d, at: int):
-            params = z.ZstdCompressionParameters.from_level(at, write_content_size=False, write_checksum=False, write_dict_id=False)
+            params = z.ZstdCompressionParameters.from_level(at, source_size=1 << 17, dict_size=1 << 17, write_content_size=False, write_checksum=False, write_dict_id=False)
             return z.ZstdCompressor(dict_data=d, compression_params=params).compress
 
         self.compress = [sized(d, level) for d in dicts]
@@ -96,9 +106,9 @@ def identify(df: DataFrame, labelled: DataFrame, text_col: str = "text", lang_co
     """Predicted language, score and rejection of each text of ``df``, learned from ``labelled``."""
     content = dictionaries(sample(labelled, text_col, lang_col, docs_per_language, max_languages), bytes_per_language)
     shipped = df.sparkSession.sparkContext.broadcast(content)  # max_languages * bytes_per_language at most
+    key = (hashlib.sha1(repr(sorted(content.items())).encode()).hexdigest(), level)
 
     def per_batch(column: pa.Array):
-        key = (id(shipped), level)
         if key not in _ready:
             _ready.clear()
             _ready[key] = Classifier(shipped.value, level)

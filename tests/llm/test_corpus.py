@@ -183,6 +183,40 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in got})
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_classes_far_from_the_first_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    make = lambda tokens: np.sort(tokens).astype("<u4").tobytes()
+    own = lambda n: rng.choice(2**31, n, replace=False)
+    rows = [(k, [7, 100 + k], make(own(64))) for k in range(60)]
+    for g in range(3):
+        base = own(64)
+        rows += [(100 * (g + 1) + k, [7, 1000 * (g + 1) + k], make(np.append(base[:60], own(4)))) for k in range(g + 2)]
+    near_first = np.append(np.frombuffer(rows[0][2], "<u4")[:40], own(24))
+    rows += [(500, [7], make(near_first)), (501, [7], make(np.append(near_first[30:], own(30))))]
+    got = components(jaccard_join.near_edges(spark.createDataFrame(rows, "rep bigint, paths array<bigint>, sketch binary"))).collect()
+    want = {0: 0, 500: 0} | {100 * (g + 1) + k: 100 * (g + 1) for g in range(3) for k in range(g + 2)}
+    similar = jaccard_join.sketch_similarity([rows[-2][2]], [rows[-1][2]])[0] >= jaccard_join.NEAR
+    assert {r.id: r.root for r in got} == want | ({501: 0} if similar else {})
+
+
+def test_pairs_amid_documents_that_share_their_passage(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for g in range(8):
+        passage = [f"p{g}w{k}" for k in range(204)]
+        for _ in range(500):
+            rows.append((len(rows), " ".join([f"d{rng.randrange(10**9)}" for _ in range(130)] + passage + [f"d{rng.randrange(10**9)}" for _ in range(130)])))
+        other = list(passage)
+        for at in (20, 70, 120, 170):
+            other[at] = "changed"
+        pairs.append((10**6 + 2 * g, " ".join(passage)))
+        pairs.append((10**6 + 2 * g + 1, " ".join(other)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows + pairs, "doc_id bigint, text string")).where("doc_id >= 1000000").collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in pairs}
+
+
 def test_near_duplicate_edges(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, None)]
     got = sorted(((r.doc_id or 0), r.class_id or 0, r.n_links) for r in jaccard_join.near_duplicates(frame(spark, rows)).collect())

@@ -4,8 +4,9 @@ A document is the set of its runs of five words. Sets that are equal are one cla
 class then follows one path of ``DEPTH`` steps in every run: at a step it takes, of its own tokens, the one that a hash
 of the path so far puts first, so two sets of similarity s stay together for a whole path with probability s**DEPTH.
 Classes at the end of the same path are compared with the bucket's first class by bottom-64 sketches, and what is not far
-off joins its cluster; runs are repeated until a pair at the threshold is met with probability ``recall``. Inside the
-clusters the full sets are compared by brute force, every pair once: a cluster of more than ``BLOCK`` classes is dealt
+off joins its cluster. What is far from the first class is compared by sketches with every other class of the bucket, but
+for those so close to the first that whatever is near to them is near to it; a large bucket is dealt out as pairs of
+blocks. Runs are repeated until a pair at the threshold is met with probability ``recall``. Inside the clusters the full sets are compared by brute force, every pair once: a cluster of more than ``BLOCK`` classes is dealt
 out as pairs of blocks, and a task returns sums and a spanning forest, never the pairs.
 
 Results: ``class_id``, the least id that links lead to (a connected component), and ``n_links``, how many other documents
@@ -34,6 +35,8 @@ SKETCH = 64
 BLOCK = 512
 #: Sketches of pairs at the threshold of 0.8 lie above this with a margin of over five standard deviations.
 NEAR = 0.5
+#: What is this near to a bucket's first class stands for it: a pair at the threshold with it is near to the first as well.
+SAME = 0.9
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -124,21 +127,128 @@ def sketch_similarity(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return (same & inside).sum(axis=1) / np.maximum(1, np.minimum(SKETCH, rank[:, -1]))
 
 
+def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share; a token that only one set has is not counted on the diagonal."""
+    n = len(sets)
+    shared = np.zeros((n, n))
+    tokens, who = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, who = tokens[order], who[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1
+    keep = often[column]
+    who, column = who[keep], (np.cumsum(often) - 1)[column[keep]]
+    wide = int(often.sum())
+    width = min(max(256, 8_000_000 // n), wide)
+    for at in range(0, wide, max(1, width)):
+        a, b = np.searchsorted(column, [at, at + width])
+        m = np.zeros((n, width), np.float32)
+        m[who[a:b], column[a:b] - at] = 1
+        shared += m @ m.T
+    return shared
+
+
+def roots_of(linked: np.ndarray) -> np.ndarray:
+    """The least member of each one's component."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:  # labels fall to the least of the neighbours', then jump
+        new = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1, initial=n))
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def near_pairs(groups: Iterator[tuple[list[int], list[bool], list[int], list[bytes]]], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of a spanning forest (all pairs in a small group) of near sketches in each group of (ids, far, side, sketch).
+
+    Two that are not far, or of one side where there are two, are not compared.
+    """
+    ends: list[tuple[int, int]] = []
+    left: list[bytes] = []
+    right: list[bytes] = []
+
+    for ids, far, side, sketches in groups:
+        far_, side_ = np.array(far), np.array(side)
+        wanted = np.triu(far_[:, None] | far_[None, :], 1)
+        if side_.any():
+            wanted &= side_[:, None] != side_[None, :]
+        if len(ids) <= 16:
+            for i, j in zip(*(x.tolist() for x in np.nonzero(wanted)), strict=True):
+                ends.append((ids[i], ids[j]))
+                left.append(sketches[i])
+                right.append(sketches[j])
+        else:
+            # a near pair shares at least NEAR of the smaller of SKETCH and the larger size
+            sets = [np.frombuffer(x, "<u4") for x in sketches]
+            size = np.array([len(x) for x in sets])
+            wanted &= shared_tokens(sets) >= NEAR * np.minimum(SKETCH, np.maximum(size[:, None], size[None, :])) - 1e-9
+            x, y = np.nonzero(wanted)
+            linked = np.zeros_like(wanted)
+            for k in range(0, len(x), most):
+                i, j = x[k : k + most], y[k : k + most]
+                linked[i, j] = linked[j, i] = sketch_similarity([sketches[q] for q in i], [sketches[q] for q in j]) >= NEAR
+            root, at = roots_of(linked), np.arange(len(ids))
+            own = np.array(ids)
+            if (root != at).any():
+                yield own[root[root != at]], own[root != at]
+        if len(ends) >= most:
+            keep = sketch_similarity(left, right) >= NEAR
+            yield tuple(np.array(ends)[keep].T)
+            ends, left, right = [], [], []
+    if ends:
+        keep = sketch_similarity(left, right) >= NEAR
+        yield tuple(np.array(ends)[keep].T)
+
+
 def near_edges(classes: DataFrame) -> DataFrame:
-    """(a, b) of classes that end a path together with its first class and have a sketch near to its."""
+    """(a, b) of classes with near sketches: each class of a bucket and the first one, and those far from the first and the others."""
     ends = classes.select(F.explode("paths").alias("path"), F.col("rep").alias("b"))
     first = ends.groupBy("path").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("path", "a")
-    pairs = ends.join(first, "path").where("a <> b").select("a", "b").distinct()
+    met = cut(ends.join(first, "path").where("a <> b").select("path", "a", "b"))
     left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                near = sketch_similarity(x.column("sa").to_pylist(), x.column("sb").to_pylist()) >= NEAR
-                yield x.select(["a", "b"]).filter(pa.array(near))
+                yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(sketch_similarity(x.column("sa").to_pylist(), x.column("sb").to_pylist()))], ["a", "b", "s"])
+
+    compared = cut(met.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(to_first, "a bigint, b bigint, s double"))
+
+    # what is left of each bucket: the far classes, and those that are near to the first but do not stand for it
+    rest = met.join(compared.where(F.col("s") < SAME), ["a", "b"]).select("path", "b", (F.col("s") < NEAR).alias("far"))
+    count = rest.groupBy("path").agg(F.sum(F.col("far").cast("int")).alias("n_far"), F.count("*").alias("n")).where("n_far > 0 and n > 1")
+    f_blocks, r_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_far"), F.col("n") - F.col("n_far")))
+    rest = rest.join(count, "path").select("path", "b", "far", f_blocks.alias("fb"), r_blocks.alias("rb"))
+    block = F.when(F.col("far"), F.pmod(F.hash("b"), "fb")).otherwise(F.col("fb") + F.pmod(F.hash("b"), F.greatest("rb", F.lit(1))))
+    # far blocks meet all blocks, the other blocks only the far ones
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("far"), F.col("fb") + F.col("rb")).otherwise(F.col("fb")) - 1)).alias("other")
+    dealt = rest.withColumn("block", block).select("*", other).select("path", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "b", "far", (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+        key, rows = None, []
+        for x in batches:
+            for path, b1, b2, *row in zip(*(col.to_pylist() for col in x.columns), strict=True):
+                if (path, b1, b2) != key:
+                    if len(rows) > 1:
+                        yield tuple(map(list, zip(*rows, strict=True)))
+                    key, rows = (path, b1, b2), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield tuple(map(list, zip(*rows, strict=True)))
+
+    def to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in near_pairs(groups(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    signed = dealt.join(right, "b").select("path", "b1", "b2", "b", "far", "side", "sb")
+    ordered = signed.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2", "b")
+    return compared.where(F.col("s") >= NEAR).select("a", "b").union(ordered.mapInArrow(to_others, "a bigint, b bigint"))
 
 
 def links(ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,33 +262,12 @@ def links(ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[np
     if n == 2:
         shared[0, 1] = shared[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
-        tokens, who = np.concatenate(sets), np.repeat(np.arange(n), size)
-        order = np.argsort(tokens, kind="stable")
-        tokens, who = tokens[order], who[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = tokens[1:] != tokens[:-1]
-        column = np.cumsum(new) - 1
-        often = np.bincount(column) > 1
-        keep = often[column]
-        who, column = who[keep], (np.cumsum(often) - 1)[column[keep]]
-        width = max(256, 8_000_000 // n)
-        for at in range(0, int(often.sum()), width):
-            a, b = np.searchsorted(column, [at, at + width])
-            m = np.zeros((n, width), np.float32)
-            m[who[a:b], column[a:b] - at] = 1
-            shared += m @ m.T
+        shared = shared_tokens(sets)
     linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
     np.fill_diagonal(linked, False)
     if across:
         linked &= blocks[:, None] != blocks[None, :]
-    root = np.arange(n)
-    while True:  # labels fall to the least of the neighbours', then jump
-        new = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1, initial=n))
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return linked @ copies, ids[root]
+    return linked @ copies, ids[roots_of(linked)]
 
 
 _MEMBER = "cluster bigint, b1 int, b2 int, id bigint, block int, copies bigint, tokens binary"

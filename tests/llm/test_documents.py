@@ -147,6 +147,18 @@ def test_language_of_held_out_texts(spark):
     assert sum(r.rejected for r in rows) / len(rows) < 0.03
 
 
+@pytest.mark.parametrize("copies", [1, 4000])
+def test_copies_do_not_thin_the_sample(spark, copies):
+    from pyspark.sql import functions as F
+
+    few, many = [f"few {'x' * k}" for k in range(50)], [f"many {'y' * k}" for k in range(300)]
+    rows = [("f", t) for t in few] + [("m", t) for t in many] + [("f", "few "), ("m", "many ")] * copies
+    got = language.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 256, 200)
+    hashed = spark.createDataFrame([(t,) for t in many], "t string").orderBy(F.xxhash64("t")).limit(256)
+    assert [t for lang, t in got if lang == "f"] and {t for lang, t in got if lang == "f"} == set(few)
+    assert [t for lang, t in got if lang == "m"] == [r.t for r in hashed.collect()]
+
+
 def test_language_edges(spark):
     rows = [(i, t, lang) for i, (_, t) in enumerate(awkward()) for lang in ("xx", None)]
     docs = frame(spark, rows, "doc_id bigint, text string, lang string")

@@ -39,17 +39,18 @@ def letters(text: str) -> list[str]:
 def sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int, max_languages: int) -> list[tuple[str, str]]:
     """(label, text) of a bounded sample: the distinct texts of smallest hash for each label.
 
-    The labels are counted first. A label's rows go on only if their hash is under a bound that lets about four times the
-    wanted number through, so what is sorted does not grow with the corpus; copies of a text are one.
+    Each label's rows and distinct texts are counted first, from hashes. A row goes on only if its hash is under a bound
+    that lets about four times the wanted number of distinct texts through, so what is sorted does not grow with the
+    corpus, however many copies it holds; the bound follows the order of the hashes, so it does not change the sample.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    rows = rows.where("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
+    hashes = rows.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    counts = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return []
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 4 * docs_per_language / r.n)))])
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    low = rows.where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < bound[F.col("lang")]).dropDuplicates(["lang", "text"])
+    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(2.0, 4 * docs_per_language / r.distinct)))])
+    low = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 < bound[F.col("lang")]).dropDuplicates(["lang", "text"])
     top = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_language)
     return [(r.lang, r.text) for r in top.orderBy("lang", "h", "text").select("lang", "text").collect()]
 

@@ -91,6 +91,49 @@ def test_rules_and_suppression():
     assert labels("das Haus steht mit dem Garten") == set()
 
 
+def made_from(pattern):
+    """Texts that a rule's pattern matches: the first and last of each choice, optional parts with and without."""
+    from re import _parser
+
+    def build(items, more, pick):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "x"
+            elif name == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif name == "SUBPATTERN":
+                out += build(arg[3], more, pick)
+            elif name == "BRANCH":
+                out += build(arg[1][pick % len(arg[1])], more, pick)
+            elif name == "MAX_REPEAT":
+                out += build(arg[2], more, pick) * (max(arg[0], 1) if more else arg[0])
+            else:
+                raise ValueError(name)
+        return out
+
+    parsed = _parser.parse(pattern.decode())
+    return {build(parsed, more, pick) for more in (False, True) for pick in range(7)}
+
+
+def test_each_license_rule_is_reached_alone():
+    s = licenses.Scanner()
+    assert len(s.rules) == len(licenses.rules())
+    for label, _, p, _, pattern in licenses.rules():
+        for made in made_from(pattern):
+            text = f" {made} ".encode()
+            assert re.fullmatch(pattern, made.encode()), (label, made)
+            tried = [rule for signals, group in s.ways if not signals or any(k in text for k in signals) for (name, key, q, _, rule) in group if (name, q) == (label, p) and key in text]
+            assert any(rule.search(text) for rule in tried), (label, made)
+            assert s.detections(text), (label, made)
+    labels = lambda t: {d[4] for d in s.detections(f" {t} ".encode())}
+    assert labels("released under the gpl v3") == {"gpl-3"} and labels("distributed under cc by sa 4 0") == {"cc-by-sa"}
+    assert labels("see the gpl for details") == {"gpl"} and labels("available under the terms of the eupl 1 2") == {"eupl-1.2"}
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------------
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

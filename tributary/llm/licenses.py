@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text is lower-cased, cut into words and joined by single blanks, so a rule is a regex over words. A rule is tried only
-where a keyword of its family occurs. Detections that lie inside another one of the same or higher priority are
-suppressed; what remains gives the labels. The base phrases are reported wherever their words stand consecutively,
+where a keyword of its family and one of its way of naming occur. Detections that lie inside another one of the same or
+higher priority are suppressed; what remains gives the labels. The base phrases are reported wherever their words stand consecutively,
 whatever the rules say.
 
 Edge cases: a null or empty text has 0 words, no places, empty labels, score 0. Repeated rows give repeated rows. Columns
@@ -65,13 +65,13 @@ FAMILIES = [
     ("php-3", "php", r"(?:the )?php license(?: version)?(?: 3(?: 01?)?)?"),
     ("ruby", "ruby", r"(?:the )?ruby"),
     ("cc0-1", "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "by", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-sa", "by", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nd", "by", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
-    ("cc-by-nc", "by", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "by", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "by", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivs)(?: [1-4] [05])?"),
-    ("odbl-1", "od", r"(?:the )?(?:open database license|odbl)(?: 1 0)?"),
+    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?"),
+    ("cc-by-sa", "c", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
+    ("cc-by-nc", "c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "c", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "c", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivs)(?: [1-4] [05])?"),
+    ("odbl-1", "d", r"(?:the )?(?:open database license|odbl)(?: 1 0)?"),
     ("proprietary", "proprietary", r"(?:a )?proprietary"),
 ]
 
@@ -103,8 +103,17 @@ TEXTS = [
     ("copyright", "copyright", 10, 0.3, r"copyright (?:c )?(?:19|20)[0-9]{2}"),
 ]
 
-#: A text in which none of these occurs has no detection; each rule needs one of them besides its family's keyword.
-SIGNALS = tuple(k.encode() for k in ("licen", "spdx", "permission ", "neither the name", "redistribution and use", "free software", "public domain", "you just do", "all rights reserved", "copyright ", "apache", "cc by nc"))
+#: For each way, in order, the words of which every match holds one.
+WAY_SIGNALS = [
+    (" spdx ",),
+    ("licensed under ", "released under ", "distributed under ", "available under ", "published under "),
+    (" licen",),
+    (" for details ", " for more details "),
+    (" licen",),
+    (" licen",),
+    (" licen",),
+    (" licen",),
+]
 
 
 def rules() -> list[tuple[str, bytes, int, float, bytes]]:
@@ -117,7 +126,14 @@ def rules() -> list[tuple[str, bytes, int, float, bytes]]:
 
 class Scanner:
     def __init__(self) -> None:
-        self.rules = [(label, key, p, c, re.compile(rb"(?<![^ ])(?:" + pattern + rb")(?![^ ])")) for label, key, p, c, pattern in rules()]
+        compiled = {(label, key, p, c, pattern): re.compile(rb"(?<![^ ])(?:" + pattern + rb")(?![^ ])") for label, key, p, c, pattern in rules()}
+        self.rules = [(label, key, p, c, rule) for (label, key, p, c, _), rule in compiled.items()]
+        signals = {way.replace("{}", names).encode(): s for (_, _, way), s in zip(WAYS, WAY_SIGNALS, strict=True) for _, _, names in FAMILIES}
+        ways: dict[tuple[bytes, ...], list] = {}
+        for (label, key, p, c, pattern), rule in compiled.items():
+            ways.setdefault(tuple(s.encode() for s in signals.get(pattern, ())), []).append((label, key, p, c, rule))
+        #: Rules by the words of which a text must hold one (none: any text), then each behind its keyword.
+        self.ways = list(ways.items())
         self.base = [(phrase.encode(), label) for phrase, label in BASE.items()]
 
     def places(self, text: bytes) -> list[tuple[int, str]]:
@@ -132,9 +148,8 @@ class Scanner:
 
     def detections(self, text: bytes) -> list[tuple[int, int, int, float, str]]:
         """(start, end, priority, confidence, label) of what the rules find, without what lies inside a better one."""
-        if not any(k in text for k in SIGNALS):
-            return []
-        found = [(*m.span(), p, c, label) for label, key, p, c, rule in self.rules if key in text for m in rule.finditer(text)]
+        tried = [r for signals, rules in self.ways if not signals or any(k in text for k in signals) for r in rules]
+        found = [(*m.span(), p, c, label) for label, key, p, c, rule in tried if key in text for m in rule.finditer(text)]
         found.sort(key=lambda d: (-d[2], d[0] - d[1], d[0], d[4]))
         kept: list[tuple[int, int, int, float, str]] = []
         for d in found:

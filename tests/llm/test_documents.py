@@ -173,6 +173,36 @@ def test_structures_are_confirmed_before_they_are_reported():
     assert kinds("MIIB" + "A" * 60) == []
 
 
+def test_keys_of_every_shape_are_decoded():
+    import base64
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    tlv = lambda tag, *parts: bytes([tag]) + (bytes([len(b)]) if len(b := b"".join(parts)) < 128 else b"\x81" + bytes([len(b)])) + b
+    fill = bytes((k * 37 + 251) % 256 for k in range(48))
+    p256 = tlv(0x30, b"\x02\x01\x01", tlv(4, fill[:32]), tlv(0xA0, tlv(6, bytes.fromhex("2a8648ce3d030107"))), tlv(0xA1, tlv(3, b"\0\4" + fill + fill[:16])))
+    ed25519 = tlv(0x30, b"\x02\x01\0", tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(4, tlv(4, fill[:32])))
+    sealed = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")), tlv(0x30, tlv(4, fill[:8]))), tlv(4, fill))
+    digest = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")), b"\5\0"), tlv(4, fill[:32]))
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    opened = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + b"\0\0\0\1" + string(fill) + string(fill * 4)
+    wrap = lambda t, n=64, by="\n": by.join(t[k : k + n] for k in range(0, len(t), n))
+    spans = secrets.confirmed_spans
+    assert b64(p256).startswith("MHc") and b64(ed25519).startswith("MC4")
+    for kind, key in ((5, p256), (5, ed25519), (5, sealed), (6, opened)):
+        plain = b64(key)
+        url = base64.urlsafe_b64encode(key).decode()
+        for t in (plain, url, url.rstrip("="), wrap(plain), wrap(plain, 40, "\r\n"), wrap(url, 48, "\n  ")):
+            assert (4, kind, 4 + len(t)) in spans(f"key={t}\nnext words follow"), (kind, t)
+            assert "next words" in secrets.redacted(f"key={t}\nnext words follow") and t[-20:] not in secrets.redacted(f"key={t}\nnext words follow")
+        if kind == 5:
+            assert spans(f"0x{key.hex()}") == [(2, 5, 2 + 2 * len(key))] and spans(f"ab{key.hex().upper()} ") == [(2, 5, 2 + 2 * len(key))]
+            assert spans(b64(key[:-1])) == [] and spans(wrap(b64(key[:-3] + b"\x30\x7f"), 40)) == spans(f"0x{key.hex()}0") == []
+    for name, head, body in (("ENCRYPTED PRIVATE KEY", "", sealed), ("EC PRIVATE KEY", "", p256), ("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n", fill)):
+        pem = f"-----BEGIN {name}-----\n{head}{wrap(b64(body))}\n-----END {name}-----"
+        assert (2, 4, 2 + len(pem)) in spans(f"a {pem} b") and secrets.redacted(f"a {pem} b") == "a [SECRET] b"
+    assert spans(b64(digest)) == spans(wrap(b64(digest), 40)) == spans(f"-----BEGIN PRIVATE KEY-----\nComment: x\n\n{b64(fill)}\n-----END PRIVATE KEY-----") == []
+
+
 def test_redaction(spark):
     rows = [(1, "a password=hunter2xyz b"), (2, None), (3, "clean")]
     got = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}

@@ -3,11 +3,15 @@
 Base spans are found by three patterns. Beyond them, candidates are decoded and parsed before they are reported:
 
 * ``jwt``: three base64url parts whose first decodes to a JSON header with ``alg`` and whose second is a JSON object;
-* ``pem``: an armoured private key whose body decodes to a nested DER structure or an OpenSSH key;
-* ``der``: a bare base64 or hex run that decodes to DER whose nested lengths add up to the whole, holding an integer
-  version first, as private keys do;
+* ``pem``: an armoured private key whose body decodes to a nested DER structure or an OpenSSH key, or whose headers say
+  that it is encrypted and whose body is whole cipher blocks;
+* ``der``: a bare base64 or hex run that ends in DER whose nested lengths add up to the whole, holding an integer version
+  first, as private keys do, or a password-based cipher and its octets (EncryptedPrivateKeyInfo);
 * ``ssh``: a bare base64 run that decodes to the OpenSSH magic, or to length-prefixed fields that begin with a key type.
 
+Base64 may be of the plain or the url-safe alphabet and wrapped into lines of at least 16 characters; a key starts anywhere
+in a run and ends where a line's run of letters does. Bare wrapped keys inside a reported ``pem`` are not reported again.
+
 Edge cases: a null or empty text has no spans (the digest is that of the empty string). Overlapping spans of several
 kinds are all reported. Columns not named in ``keep`` do not appear; a kept column with a result's name gives way.
 """
@@ -33,9 +37,19 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 _ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\n]*\S[^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 _BASE64 = re.compile(r"(?:MI[A-Za-z0-9+/]|AAAA|b3B)[A-Za-z0-9+/]{36,}={0,2}")
-_HEX_DER = re.compile(r"\b30(?:8[0-9a-fA-F]|[0-7][0-9a-fA-F])[0-9a-fA-F]{60,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)?")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Where DER of a SEQUENCE, fields of an SSH key or the OpenSSH magic may start.
+_START = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNz)")
+_URL = str.maketrans("-_", "+/")
+_HEX_RUN = re.compile(r"[0-9a-fA-F]{64,}")
+_HEX_START = re.compile(r"(?=30)")
+#: Password-based ciphers: PKCS #5 and PKCS #12.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: Least size in bytes of a key in DER.
+LEAST_DER = 29
 
 
 def unbase64(text: str, url: bool = False) -> bytes:
@@ -69,12 +83,110 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that fills the data and starts with a short INTEGER (a version), followed by at least one value."""
+    """One SEQUENCE that fills the data and starts with a short INTEGER (a version), followed by at least one value; or
+    one of a SEQUENCE that names a password-based cipher, and an OCTET STRING.
+    """
     top = der_items(data) if data[:1] == b"\x30" else None
     if not top or len(top) != 1:
         return False
     inner = der_items(top[0][1])
-    return bool(inner) and len(inner) >= 2 and inner[0][0] == 2 and len(inner[0][1]) == 1
+    if not inner or len(inner) < 2:
+        return False
+    if inner[0][0] == 2:
+        return len(inner[0][1]) == 1
+    if inner[0][0] != 0x30 or len(inner) != 2 or inner[1][0] != 4:
+        return False
+    cipher = der_items(inner[0][1])
+    return bool(cipher) and cipher[0][0] == 6 and cipher[0][1].startswith(_PBE)
+
+
+def der_size(head: bytes) -> int:
+    """The size that the first bytes of a SEQUENCE state, if an INTEGER of one byte or a SEQUENCE follows; else 0."""
+    if len(head) < 8 or head[0] != 0x30:
+        return 0
+    more = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if more > 4 or head[1] == 0x80:
+        return 0
+    inner = head[2 + more : 4 + more]
+    if inner != b"\x02\x01" and inner[:1] != b"\x30":
+        return 0
+    return 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+
+
+def ssh_size(data: bytes, ends: set[int]) -> int:
+    """The bytes of an SSH key at the start of the data whose size in base64 is one of ``ends``; else 0."""
+    fits = lambda n: n <= len(data) and (4 * n + 2) // 3 in ends
+    if data.startswith(b"openssh-key-v1\0"):  # cipher, key derivation, its options, number of keys, these, private part
+        at = 15
+        for _ in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        for _ in range(min(keys, len(data)) + 1):
+            if at + 4 > len(data):
+                return 0
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at if fits(at) else 0
+    at = fields = 0
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        fields += 1
+        if fields >= 2 and fits(at) and is_ssh_key(data[:at]):
+            return at
+    return 0
+
+
+def bare_keys(text: str) -> list[tuple[int, int, int]]:
+    """(start, index of the kind, end) of keys in runs of base64, wrapped or not, of either alphabet."""
+    out = []
+    for run in _RUN.finditer(text):
+        if not _START.search(run[0]) and "\n" not in run[0]:
+            continue
+        lines = [(m.start(), m.end()) for m in _LINE.finditer(text, run.start(), run.end())]
+        flat = "".join(text[a:b] for a, b in lines).translate(_URL)
+        # for each place in the flat run, its place in the text; and where a line, or its run of the plain alphabet, ends
+        first = [0]
+        for a, b in lines:
+            first.append(first[-1] + b - a)
+        place = lambda k: next(a + k - f for (a, b), f in zip(lines, first, strict=False) if k < f + b - a)
+        stops = set(first[1:]) | {f + m.start() for (a, b), f in zip(lines, first, strict=False) for m in re.finditer("[-_]", text[a:b])}
+        after = 0
+        for m in _START.finditer(flat):
+            i = m.start()
+            if i < after:
+                continue
+            if flat[i] == "M":
+                n = der_size(unbase64(flat[i : i + 16]))
+                chars = (4 * n + 2) // 3
+                if n < LEAST_DER or i + chars not in stops or not is_der_key(unbase64(flat[i : i + chars])):
+                    continue
+                kind = 5
+            else:
+                head = unbase64(flat[i : i + 24])
+                if not head.startswith(b"openssh-key-v1\0") and not head[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+                    continue
+                n = ssh_size(unbase64(flat[i : len(flat) - (len(flat) - i) % 4 * ((len(flat) - i) % 4 == 1)]), {s - i for s in stops})
+                chars = (4 * n + 2) // 3
+                if not n:
+                    continue
+                kind = 6
+            end = place(i + chars - 1) + 1
+            while text[end : end + 1] == "=" and end - place(i + chars - 1) <= 2:
+                end += 1
+            out.append((place(i), kind, end))
+            after = i + chars
+    return out
+
+
+def hex_keys(text: str) -> list[tuple[int, int, int]]:
+    """(start, index of the kind, end) of DER keys at the end of runs of hex digits."""
+    out = []
+    for run in _HEX_RUN.finditer(text):
+        for m in _HEX_START.finditer(run[0]):
+            n = len(run[0]) - m.start()
+            if n % 2 == 0 and 2 * der_size(bytes.fromhex(run[0][m.start() : m.start() + 16])) == n and n >= 64 and is_der_key(bytes.fromhex(run[0][m.start() :])):
+                out.append((run.start() + m.start(), 5, run.end()))
+                break
+    return out
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -100,6 +212,12 @@ def is_jwt(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def is_pem_key(headers: str, body: str) -> bool:
+    """A body of a key's structure, or of whole cipher blocks behind headers that say so."""
+    data = unbase64(body)
+    return is_der_key(data) or is_ssh_key(data) or ("ENCRYPTED" in headers and "DEK-Info:" in headers and len(data) >= LEAST_DER and len(data) % 8 == 0)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of the base kinds, leftmost non-overlapping for each."""
     out = []
@@ -118,19 +236,21 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "eyJ" in text:
         out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_jwt(m[0])]
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_der_key(d := unbase64(m[2])) or is_ssh_key(d)]
+        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2], m[3])]
+    bare: dict[tuple[int, int], int] = {}
     if "MI" in text or "AAAA" in text or "b3B" in text:
         for m in _BASE64.finditer(text):
             data = unbase64(m[0])
             if is_der_key(data):
-                out.append((m.start(), 5, m.end()))
+                bare[m.start(), 5] = m.end()
             elif is_ssh_key(data):
-                out.append((m.start(), 6, m.end()))
-    if "30" in text:
-        for m in _HEX_DER.finditer(text):
-            if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-                out.append((m.start(), 5, m.end()))
-    return out
+                bare[m.start(), 6] = m.end()
+    armoured = [(a, b) for a, kind, b in out if kind == 4]
+    for a, kind, b in bare_keys(text):
+        if not any(x <= a and b <= y for x, y in armoured):
+            bare[a, kind] = max(b, bare.get((a, kind), 0))
+    out += [(a, kind, b) for (a, kind), b in bare.items()]
+    return out + hex_keys(text)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

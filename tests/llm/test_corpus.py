@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from texts import awkward, frame, words_of
 
-from tributary.llm import chat, jaccard_join, repeats, top_k
+from tributary.llm import chat, common, jaccard_join, repeats, top_k
 from tributary.llm.components import components
 
 # --- repeated byte strings --------------------------------------------------------------------------------------------
@@ -69,6 +69,24 @@ def test_repeats_edges(spark):
     assert left[0].kept == b"short"
 
 
+def test_rows_that_share_an_id_keep_their_own_spans(spark):
+    text = "".join(random.Random(k).choice("abcdefgh ") for k in range(260))
+    for ids, schema in (((1, 2), "doc_id bigint, text string"), (("a", "b"), "doc_id string, text string")):
+        rows = [(ids[0], "other"), (ids[0], text), (ids[1], text + "!"), (None, "x")]
+        got = sorted((r.doc_id or "", r.n_bytes, r.n_removed) for r in repeats.remove_repeats(frame(spark, rows, schema)).collect() if r.doc_id)
+        assert got == [(ids[0], 5, 0), (ids[0], 260, 260), (ids[1], 261, 260)]
+        first = sorted((r.doc_id or "", r.n_bytes, r.n_removed) for r in repeats.remove_repeats(frame(spark, rows, schema), keep="first").collect() if r.doc_id)
+        assert first == [(ids[0], 5, 0), (ids[0], 260, 0), (ids[1], 261, 260)]
+
+
+def test_structured_texts_do_not_collide():
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + " " + other).encode(), np.uint8)
+    hashes, _, _, per = common.word_hashes(data, np.array([0, len(data)]))
+    assert len(hashes) == 2 and hashes[0] != hashes[1]
+
+
 def test_smaller_neighbours():
     rng = np.random.default_rng(1)
     for _ in range(100):
@@ -130,6 +148,43 @@ def test_search_is_exact():
         assert got == sorted(want), trial
 
 
+def grouped_vectors(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(-20000, 20000, (groups, dim))
+    return (centres[rng.integers(0, groups, n)] + rng.integers(-200, 200, (n, dim))).astype(float)
+
+
+def test_node_pairs_are_pruned_on_grouped_vectors():
+    x, ids = grouped_vectors(6000, 12, 40, 5), np.arange(6000)
+    q, work = ids % 10 == 0, []
+    got = top_k.search(ids[q], x[q], ids, x, 10, work=work)
+    scores = x[q] @ x.T
+    scores[np.arange(q.sum()), ids[q]] = -np.inf
+    want = sorted((int(i), int(c), int(r[c])) for i, r in zip(ids[q], scores, strict=True) for c in np.lexsort((ids, -r))[:10])
+    assert sorted(zip(*(g.tolist() for g in got), strict=True)) == want
+    bounded, scored = work
+    assert bounded + scored < 0.1 * q.sum() * len(x)
+    # a floor at the k-th score prunes further and loses nothing
+    more, floor = [], np.array([s for _, _, s in want], float).reshape(-1, 10).min(axis=1)
+    again = top_k.search(ids[q], x[q], ids, x, 10, floor=floor, work=more)
+    assert sorted(zip(*(g.tolist() for g in again), strict=True)) == want and sum(more) < sum(work)
+
+
+@pytest.mark.parametrize("block", [8192, 100])
+def test_blocks_keep_every_result(spark, monkeypatch, block):
+    monkeypatch.setattr(top_k, "BLOCK", block)
+    x = grouped_vectors(1500, 6, 12, 9) / 1024
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[4].tolist())], "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k.top_k(df, df["vec_id"] % 100 == 0, 5).select("query_id", "rank", "vec_id", "score").collect())
+    ids, v = np.array([*range(1500), 3]), np.floor(np.concatenate([x, x[4:5]]) * 1024)
+    want = []
+    for i in range(0, 1500, 100):
+        s = v @ v[i]
+        order = [c for c in np.lexsort((ids, -s)) if ids[c] != i][:5]
+        want += [(i, k + 1, int(ids[c]), int(s[c])) for k, c in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_search_edges(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (100, [0.25, -3.0]), (200, None), (300, [inf, 1.0]), (400, [nan, 1.0]), (500, [None, 1.0]), (600, []), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [7.0])]

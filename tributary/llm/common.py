@@ -18,6 +18,8 @@ U64 = np.uint64
 #: Odd multiplier of the rolling hash; odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
+#: The second lane: structured texts (Thue-Morse words) collide modulo any power of two, not modulo a prime.
+PRIME, PRIME_BASE = 2**31 - 1, 1_103_515_245
 #: Bytes of text that the vector passes take at once; bounds their scratch memory.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch that are turned into Python objects at once.
@@ -64,6 +66,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 _powers = [np.ones(1, U64), np.ones(1, U64)]
+_prime_powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +80,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for PRIME_BASE modulo PRIME."""
+    if len(_prime_powers[0]) <= n:
+        size = max(n + 1, CHUNK_BYTES + 1)
+        for k, b in enumerate((PRIME_BASE, pow(PRIME_BASE, -1, PRIME))):
+            row, filled = np.ones(size, U64), 1
+            while filled < size:  # the second half is the first one times a power
+                step = min(filled, size - filled)
+                row[filled : filled + step] = row[:step] * U64(pow(b, filled, PRIME)) % U64(PRIME)
+                filled += step
+            _prime_powers[k] = row
+    return _prime_powers[0], _prime_powers[1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits (a bijection)."""
     x = x ^ (x >> U64(32))
@@ -87,18 +104,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """S with S[i] the sum of values[j] * BASE**j for j < i."""
-    power, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values.astype(U64) * power[: len(values)], out=out[1:])
+Sums = tuple[np.ndarray, np.ndarray]
+
+
+def prefix_sums(values: np.ndarray) -> Sums:
+    """Two lanes of S with S[i] the sum of values[j] * base**j for j < i: modulo 2**64, and in powers modulo PRIME.
+
+    Values are under 2**9, so the second lane's sums stay exact below 2**24 values.
+    """
+    values, out = values.astype(U64), (np.zeros(len(values) + 1, U64), np.zeros(len(values) + 1, U64))
+    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[0][1:])
+    np.cumsum(values * prime_powers(len(values))[0][: len(values)], out=out[1][1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(sums: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end), equal for equal contents wherever they stand."""
-    _, inverse = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    wide, prime = sums
+    first = (wide[end] - wide[start]) * powers(len(wide))[1][start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407)
+    second = (prime[end] - prime[start]) % U64(PRIME) * prime_powers(len(prime))[1][start] % U64(PRIME)
+    return mix(first ^ mix(second * U64(0x9FB21C651E98DF25)))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,32 +175,81 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def carried(df: DataFrame, keep: list[str], results: T.StructType) -> list[str]:
-    """The columns of ``keep`` that no result column replaces."""
-    return [c for c in keep if c not in set(results.names)]
+def position(df: DataFrame, name: str) -> int:
+    """Where the column of this name stands: the one spelt so, else the first that differs only in case."""
+    names = df.columns
+    if name in names:
+        return names.index(name)
+    same = [i for i, c in enumerate(names) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name} among {names}")
+    return same[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named by their place, so that names that differ only in case can be told apart."""
+    return df.toDF(*[f"__{i}" for i in range(len(df.columns))])
+
 
+def carried(keep: list[str], results: list[str]) -> list[str]:
+    """The columns of ``keep`` that no result column replaces; case does not tell names apart."""
+    taken = {c.lower() for c in results}
+    return [c for c in keep if c.lower() not in taken]
 
-def map_texts(df: DataFrame, text_col: str, keep: list[str], results: str, per_batch: Callable[[pa.Array], list[pa.Array] | tuple[list[pa.Array], pa.Array]]) -> DataFrame:
+
+PerBatch = Callable[[pa.Array], list[pa.Array] | tuple[list[pa.Array], pa.Array]]
+
+
+def map_texts(df: DataFrame, text_col: str, keep: list[str], results: str, per_batch: PerBatch) -> DataFrame:
     """Columns ``keep`` and, from ``per_batch`` over the text column, the columns ``results``; no shuffle.
 
     ``per_batch`` gives the result columns, or these and a mask of the rows to keep. A kept column whose name is also a
     result's gives way to the result.
     """
-    out = T.StructType.fromDDL(results)
-    keep = carried(df, keep, out)
-    schema = T.StructType([df.schema[c] for c in keep] + out.fields)
+    out = T.StructType.fromDDL(results).fields if results else []
+    keep = carried(keep, [f.name for f in out])
+    return _mapped(df, text_col, [(c, position(df, c)) for c in keep], out, per_batch)
+
+
+def _mapped(df: DataFrame, text_col: str, kept: list[tuple[str, int]], out: list[T.StructField], per_batch: PerBatch) -> DataFrame:
+    """``map_texts`` over columns by place; a string text column among the kept ones is sent to the tasks once."""
+    text_at, fields = position(df, text_col), df.schema.fields
+    sent = [i for _, i in kept]
+    names = [c for c, _ in kept] + [f.name for f in out]
+    if not (text_at in sent and isinstance(fields[text_at].dataType, T.StringType)):
+        sent = [*sent, text_at]
+    column = sent.index(text_at) if sent[-1] != text_at else len(sent) - 1
+    schema = T.StructType([T.StructField(c, fields[i].dataType, True) for c, i in kept] + out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 b = whole.slice(at, SLICE_ROWS)
-                made = per_batch(b.column("__text"))
+                made = per_batch(b.column(column))
                 made, mask = made if isinstance(made, tuple) else (made, None)
-                rows = pa.RecordBatch.from_arrays([b.column(f"__keep{i}") for i in range(len(keep))] + made, [*keep, *out.names])
+                rows = pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + made, names)
                 yield rows if mask is None else rows.filter(mask)
 
-    cols = [df[c].alias(f"__keep{i}") for i, c in enumerate(keep)] + [df[text_col].cast("string").alias("__text")]
-    return df.select(*cols).mapInArrow(run, schema)
+    by_place = numbered(df)
+    cols = [by_place[f"__{i}"].alias(f"__s{k}") for k, i in enumerate(sent)]
+    cols[column] = by_place[f"__{text_at}"].cast("string").alias(f"__s{column}")
+    return by_place.select(*cols).mapInArrow(run, schema)
+
+
+def keep_texts(df: DataFrame, text_col: str, good: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows for which ``good`` gives true; every column as it came, whatever its name."""
+    every = [(c, i) for i, c in enumerate(df.columns)]
+    return _mapped(df, text_col, every, [], lambda column: ([], good(column)))
+
+
+def replace_texts(df: DataFrame, text_col: str, change: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """Every row and column, the text column changed; other columns as they came, whatever their names."""
+    at = position(df, text_col)
+    kept = [(c, i) for i, c in enumerate(df.columns) if i != at]
+    made = _mapped(df, text_col, kept, [T.StructField("__changed", T.StringType())], lambda column: [change(column)])
+    order = [k for k in range(at)] + [len(kept)] + [k for k in range(at, len(kept))]
+    by_place = numbered(made)
+    return by_place.select(*[by_place[f"__{k}"] for k in order]).toDF(*df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

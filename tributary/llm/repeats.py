@@ -18,8 +18,12 @@ leaves few. Of the others,
 ``keep="none"`` removes every byte under a window that occurs more than once; ``keep="first"`` spares the windows that
 occur for the first time, in order of id and place.
 
+A row is known by its id and its text's hash, so rows may share an id. Segments are equal if hashes of two lanes are; the
+first lane's alone only brings together what is then told apart.
+
 Edge cases: null and empty texts, and texts shorter than a window, have nothing to remove. Repeated rows are copies of
-each other (an id stands for one text). Rows without an id take part. Columns other than id and text are ignored.
+each other, of which ``keep="first"`` spares all or none. Rows without an id take part, as the first ones. Ids are whole
+numbers or strings (anything else is compared as a string). Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, chunks, cut, mix, powers, prefix_sums, ranges, span_hashes, table, utf8
+from .common import U64, chunks, cut, mix, numbered, position, powers, prefix_sums, ranges, span_hashes, table, utf8
 
 WINDOW, ANCHOR = 200, 40
 #: Windows of a segment at most (more only arise in periodic text).
@@ -59,8 +64,8 @@ def segments(data: np.ndarray, off: np.ndarray, join: bool = True) -> tuple[np.n
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, U64), np.empty(0, U64), none
     sums = prefix_sums(data.astype(U64) + U64(1))
-    _, inverse = powers(len(sums))
-    anchors = mix((sums[ANCHOR:] - sums[: n - ANCHOR + 1]) * inverse[: n - ANCHOR + 1])
+    wide = sums[0]
+    anchors = mix((wide[ANCHOR:] - wide[: n - ANCHOR + 1]) * powers(n + 1)[1][: n - ANCHOR + 1])
     low = np.full(-(-len(anchors) // span) * span, ~U64(0))
     low[: len(anchors)] = (anchors & ~_PLACE) | np.arange(len(anchors), dtype=U64)
     rows = low.reshape(-1, span)
@@ -101,22 +106,24 @@ def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.nda
                 yield a, at - int(off[a]), data[at:to], np.array([0, to - at])
 
 
-_SEGMENT = "key bigint, hash bigint, id bigint, start int, n int, anchor int"
+#: What a row is known by: its id (null: the least value) and its text's hash.
+ROW = ["id", "th"]
+_SEGMENT = "key bigint, hash bigint, id {id}, th bigint, start int, n int, anchor int"
 
 
 def text_segments(docs: DataFrame) -> DataFrame:
-    """The segments of documents (id, text)."""
+    """The segments of documents (id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ids = x.column("id").to_numpy(zero_copy_only=False)
             for first, place, data, off in pieces(*utf8(x.column("text"))):
                 text, start, n, key, h, anchor = segments(data, off)
                 if len(text):
-                    cols = [key.view(np.int64), h.view(np.int64), ids[first + text], (start + place).astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "hash", "id", "start", "n", "anchor"])
+                    row = x.select(ROW).take(pa.array(first + text))
+                    numbers = [pa.array(c) for c in (key.view(np.int64), h.view(np.int64), (start + place).astype(np.int32), n.astype(np.int32), anchor.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*numbers[:2], *row.columns, *numbers[2:]], ["key", "hash", *ROW, "start", "n", "anchor"])
 
-    return docs.mapInArrow(run, _SEGMENT)
+    return docs.mapInArrow(run, _SEGMENT.format(id=docs.schema["id"].dataType.simpleString()))
 
 
 def suffix_groups(data: np.ndarray) -> np.ndarray:
@@ -187,17 +194,19 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + WINDOW - 1).tolist(), strict=True))
 
 
-_SPAN = "id bigint, a int, b int"
+_SPAN = "id {id}, th bigint, a int, b int"
 
 
 def group_spans(parts: DataFrame, keep_first: bool) -> DataFrame:
-    """Spans that repeat, from rows (key, id, start, part) of keys with few segments each."""
+    """Spans that repeat, from rows (key, id, th, start, part) of keys with few segments each."""
+    id_type = parts.schema["id"].dataType.simpleString()
+    kinds = (pa.string() if id_type == "string" else pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[2]))
-        out = [(r[1], r[2] + a, r[2] + b) for r, flags in zip(rows, repeated_windows([r[3] for r in rows], keep_first), strict=True) for a, b in spans_of(flags)]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["id", "a", "b"])
+        rows.sort(key=lambda r: r[1:4])
+        out = [(r[1], r[2], r[3] + a, r[3] + b) for r, flags in zip(rows, repeated_windows([r[4] for r in rows], keep_first), strict=True) for a, b in spans_of(flags)]
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], [*ROW, "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, key = [], 0, None
@@ -208,18 +217,15 @@ def group_spans(parts: DataFrame, keep_first: bool) -> DataFrame:
                     rows, size = [], 0
                 key = row[0]
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield solve(rows)
 
-    ordered = parts.select("key", "id", "start", "part").repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, _SPAN)
-
-
-_PART = "key bigint, id bigint, start int, n int, anchor int, part binary"
+    ordered = parts.select("key", *ROW, "start", "part").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, _SPAN.format(id=id_type))
 
 
-_PART = "key bigint, id bigint, start int, n int, anchor int, part binary"
+_PART = "key bigint, id {id}, th bigint, start int, n int, anchor int, part binary"
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, apart: bool = False) -> DataFrame:
@@ -229,7 +235,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, apart: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             data, off = utf8(x.column("text"))
-            for at, (i, found) in enumerate(zip(x.column("id").to_pylist(), x.column("found").to_pylist(), strict=True)):
+            for at, found in enumerate(x.column("found").to_pylist()):
                 raw, rows = data[off[at] : off[at + 1]].tobytes(), []
                 for f in found:
                     part = raw[f["start"] : f["start"] + f["n"] + WINDOW - 1]
@@ -239,11 +245,12 @@ def cut_out(docs: DataFrame, wanted: DataFrame, apart: bool = False) -> DataFram
                     else:
                         rows.append((f["key"], f["start"], f["n"], f["anchor"], part))
                 cols = list(zip(*rows, strict=True))
-                made = [pa.array(cols[0], pa.int64()), pa.array([i] * len(rows), pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, ["key", "id", "start", "n", "anchor", "part"])
+                row = x.select(ROW).take(pa.array([at] * len(rows)))
+                made = [pa.array(cols[0], pa.int64()), *row.columns, *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["key", *ROW, "start", "n", "anchor", "part"])
 
-    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "start", "n", "anchor")).alias("found"))
-    return docs.join(by_doc, "id").select("id", "text", "found").mapInArrow(run, _PART)
+    by_doc = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("key", "start", "n", "anchor")).alias("found"))
+    return docs.join(by_doc, ROW).select(*ROW, "text", "found").mapInArrow(run, _PART.format(id=docs.schema["id"].dataType.simpleString()))
 
 
 def split_parts(parts: DataFrame) -> DataFrame:
@@ -260,7 +267,7 @@ def split_parts(parts: DataFrame) -> DataFrame:
         place = F.col("start") + F.col("anchor") - F.col("far")
         out.append(
             r.select(
-                F.xxhash64("a", "b", core).alias("key"), F.xxhash64("near", "far", "piece").alias("hash"), "id", place.alias("start"),
+                F.xxhash64("a", "b", core).alias("key"), F.xxhash64("near", "far", "piece").alias("hash"), *ROW, place.alias("start"),
                 (F.col("far") - F.col("near") + 1).alias("n"), F.col("far").alias("anchor"), F.col("a").alias("low"), F.col("b").alias("high"), F.col("piece").alias("part"),
             )
         )
@@ -273,32 +280,32 @@ def split_parts(parts: DataFrame) -> DataFrame:
 def settled(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, group, more) of segments: the spans of equal ones; and, of keys with different ones, the first of each
     kind: of keys with few kinds, and of keys with many."""
-    place = F.struct("id", "start")
-    payload = [c for c in rows.columns if c not in ("key", "hash", "id", "start", "n", "anchor")]
+    place = F.struct(*ROW, "start")
+    payload = [c for c in rows.columns if c not in ("key", "hash", *ROW, "start", "n", "anchor")]
     kinds = rows.groupBy("key", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max("n").alias("n"), F.max("anchor").alias("anchor"))
     sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("rows"), F.min("anchor").alias("least"))
     sizes = sizes.where("rows > 1 or least < 0").drop("rows", "least")
     kinds = cut(kinds.join(sizes, "key"))
     equal = kinds.where("copies > 1").select("key", "hash", "first")
-    gone = rows.select("key", "hash", "id", "start", "n").join(equal, ["key", "hash"])
+    gone = rows.select("key", "hash", *ROW, "start", "n").join(equal, ["key", "hash"])
     if keep_first:
         gone = gone.where(place != F.col("first"))
-    spans = gone.select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
-    one = kinds.where("kinds > 1 or anchor < 0").select("key", "hash", "first.id", "first.start", "n", "anchor", "kinds")
+    spans = gone.select(*ROW, F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
+    one = kinds.where("kinds > 1 or anchor < 0").select("key", "hash", "first.id", "first.th", "first.start", "n", "anchor", "kinds")
     if payload:
-        one = cut(one.join(rows.select("key", "hash", "id", "start", *payload), ["key", "hash", "id", "start"]))
+        one = cut(one.join(rows.select("key", "hash", *ROW, "start", *payload).dropDuplicates(["key", "hash", *ROW, "start"]), ["key", "hash", *ROW, "start"]))
     few = F.col("kinds") <= GROUP
     return spans, one.where(few).drop("hash", "kinds"), one.where(~few).drop("hash", "kinds")
 
 
 def repeated_spans(docs: DataFrame, keep_first: bool) -> DataFrame:
-    """(id, a, b): byte ranges of documents (id, text) that are to go; they may overlap."""
+    """(id, th, a, b): byte ranges of documents (id, th, text) that are to go; they may overlap."""
     runs = text_segments(docs)
     seen = runs.groupBy("key").agg(F.count("*").alias("c"), F.min("anchor").alias("anchor")).where("c > 1 or anchor < 0").select("key")
     found = cut(runs.join(cut(seen), "key"))
     spans, group, more = settled(found, keep_first)
     every = [spans, group_spans(cut_out(docs, group), keep_first)]
-    parts = cut(cut_out(docs, more, apart=True).select("id", "start", "n", "anchor", F.lit(0).alias("low"), F.lit(WINDOW - ANCHOR).alias("high"), "part"))
+    parts = cut(cut_out(docs, more, apart=True).select(*ROW, "start", "n", "anchor", F.lit(0).alias("low"), F.lit(WINDOW - ANCHOR).alias("high"), "part"))
     groups = None
     while not parts.isEmpty():
         spans, group, parts = settled(cut(split_parts(parts)), keep_first)
@@ -320,9 +327,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Digests of what is left of each document; with ``texts`` also the bytes themselves (``kept binary``)."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    docs = df.select(df[id_col].alias("doc_id"), F.coalesce(df[id_col].cast("bigint"), F.xxhash64(text)).alias("id"), text.alias("text"))
-    by_doc = repeated_spans(docs.select("id", "text"), keep == "first").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    by_place = numbered(df)
+    given, text = by_place[f"__{position(df, id_col)}"], F.coalesce(by_place[f"__{position(df, text_col)}"].cast("string"), F.lit(""))
+    whole = isinstance(df.schema.fields[position(df, id_col)].dataType, T.IntegralType)
+    known = F.coalesce(given.cast("bigint"), F.lit(0)) if whole else F.coalesce(given.cast("string"), F.lit(""))
+    docs = by_place.select(given.alias("doc_id"), known.alias("id"), F.xxhash64(text, given.isNull()).alias("th"), text.alias("text"))
+    by_doc = repeated_spans(docs.select(*ROW, "text"), keep == "first").groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -346,8 +356,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), *cols], ["doc_id", *names])
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
-    id_type = df.schema[id_col].dataType.simpleString()
-    return docs.join(by_doc, "id", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {id_type}, {_RESULT}" + ", kept binary" * texts)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.join(by_doc, ROW, "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {id_type}, {_RESULT}" + ", kept binary" * texts)
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token counts from an exact length histogram.
 
 Each document is encoded once and only its length leaves the task. Lengths are aggregated to a histogram (partial sums
-before the shuffle), and suffix sums over it answer, for every context limit that is a length in the data: how many
+before the shuffle), which is written to the shared checkpoint folder, since its sums read it twice; suffix sums over it answer, for every context limit that is a length in the data: how many
 documents and tokens lie at or above it, how many tokens remain if every document is truncated to it, and the share of
 documents that fit. Between two such lengths the truncated total is linear, so the rows answer every limit.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import cut, map_texts, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern that belongs to this vocabulary.
@@ -98,4 +98,4 @@ def quantiles(totals: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    return context_totals(histogram(lengths(table(spark, sf_dir, "documents"), keep=[])))
+    return context_totals(cut(histogram(lengths(table(spark, sf_dir, "documents"), keep=[]))))

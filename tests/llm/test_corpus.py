@@ -241,19 +241,38 @@ def test_near_duplicates(spark, monkeypatch, block):
 @pytest.mark.parametrize("block", [512, 7])
 def test_classes_far_from_the_first_are_compared(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    rng = np.random.default_rng(3)
-    make = lambda tokens: np.sort(tokens).astype("<u4").tobytes()
-    own = lambda n: rng.choice(2**31, n, replace=False)
-    rows = [(k, [7, 100 + k], make(own(64))) for k in range(60)]
+    rng, n = np.random.default_rng(3), jaccard_join.COORDINATES
+    own = lambda: rng.integers(0, 256, n, dtype=np.uint8)
+    changed = lambda base, k: np.where(np.isin(np.arange(n), rng.choice(n, k, replace=False)), own(), base).astype(np.uint8)
+    rows, want = [(k, own()) for k in range(60)], {}
     for g in range(3):
-        base = own(64)
-        rows += [(100 * (g + 1) + k, [7, 1000 * (g + 1) + k], make(np.append(base[:60], own(4)))) for k in range(g + 2)]
-    near_first = np.append(np.frombuffer(rows[0][2], "<u4")[:40], own(24))
-    rows += [(500, [7], make(near_first)), (501, [7], make(np.append(near_first[30:], own(30))))]
-    got = components(jaccard_join.near_edges(spark.createDataFrame(rows, "rep bigint, paths array<bigint>, sketch binary"))).collect()
-    want = {0: 0, 500: 0} | {100 * (g + 1) + k: 100 * (g + 1) for g in range(3) for k in range(g + 2)}
-    similar = jaccard_join.sketch_similarity([rows[-2][2]], [rows[-1][2]])[0] >= jaccard_join.NEAR
-    assert {r.id: r.root for r in got} == want | ({501: 0} if similar else {})
+        base = own()
+        rows += [(100 * (g + 1) + k, changed(base, 12)) for k in range(g + 2)]
+        want |= {100 * (g + 1) + k: 100 * (g + 1) for k in range(g + 2)}
+    middle = changed(rows[0][1], 40)
+    rows += [(500, middle), (501, changed(middle, 12))]
+    df = spark.createDataFrame([(7, i, bytes(x)) for i, x in rows], "path bigint, rep bigint, sketch binary")
+    near = jaccard_join.near_for(0.8)
+    got = {r.id: r.root for r in components(jaccard_join.large_edges(df, near)).collect()}
+    sketches = np.stack([x for _, x in rows])
+    linked, root = jaccard_join.agreements(sketches) >= near, list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in np.flatnonzero(linked[i])) for i in range(len(rows))]
+    every = {rows[i][0]: rows[root[i]][0] for i in range(len(rows)) if linked[i].sum() > 1}
+    assert got == every and want.items() <= every.items() and 500 in every
+
+
+def test_large_buckets_are_split_and_small_ones_are_not(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rng = np.random.default_rng(6)
+    alike = [[1] * 100 + rng.integers(2, 2**31, 28).tolist() for _ in range(40)]
+    rows = [(i, r) for i, r in enumerate(alike)] + [(100 + i, [5] * 128) for i in range(3)] + [(200, [9] * 128)]
+    classes = spark.createDataFrame(rows, "rep bigint, sampled array<int>")
+    small, large, lost = jaccard_join.split_runs(classes, range(0, 3), 0.8)
+    assert sorted((r.rep, r["count"]) for r in small.where("rep between 100 and 199").groupBy("rep").count().collect()) == [(100, 3), (101, 3), (102, 3)]
+    assert small.where("rep = 200").count() == large.where("rep >= 100").count() == 0
+    assert {r.rep for r in lost.collect()} <= set(range(40)) and all(r.loss > 0 for r in lost.collect())
+    assert small.groupBy("path").count().agg({"count": "max"}).collect()[0][0] <= 4
 
 
 def test_pairs_amid_documents_that_share_their_passage(spark):
@@ -293,6 +312,21 @@ def test_components(spark):
 
 
 def test_runs_reach_the_recall():
-    assert jaccard_join.runs_for(0.8, 0.99) < jaccard_join.runs_for(0.8, 0.999999)
-    n = jaccard_join.runs_for(0.8, 0.999)
-    assert (1 - 0.8**jaccard_join.DEPTH) ** n <= 0.001
+    assert jaccard_join.runs_for(0.8, 0.99, 4) < jaccard_join.runs_for(0.8, 0.999999, 4)
+    n = jaccard_join.runs_for(0.8, 0.999, 6)
+    assert (1 - 0.8**6) ** n <= 0.001
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 1.0])
+def test_other_thresholds(spark, threshold):
+    rng = random.Random(21)
+    rows = []
+    for g in range(25):
+        base = [f"w{g}x{k}" for k in range(40)]
+        for _ in range(4):
+            w = list(base)
+            for at in rng.sample(range(40), rng.randint(0, 4)):
+                w[at] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold).collect())
+    assert got == brute_classes(rows, threshold)

@@ -1,47 +1,70 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is the set of its runs of five words. Sets that are equal are one class of copies and go on as one. Each
-class then follows one path of ``DEPTH`` steps in every run: at a step it takes, of its own tokens, the one that a hash
-of the path so far puts first, so two sets of similarity s stay together for a whole path with probability s**DEPTH.
-Classes at the end of the same path are compared with the bucket's first class by bottom-64 sketches, and what is not far
-off joins its cluster. What is far from the first class is compared by sketches with every other class of the bucket, but
-for those so close to the first that whatever is near to them is near to it; a large bucket is dealt out as pairs of
-blocks. Runs are repeated until a pair at the threshold is met with probability ``recall``. Inside the clusters the full sets are compared by brute force, every pair once: a cluster of more than ``BLOCK`` classes is dealt
-out as pairs of blocks, and a task returns sums and a spanning forest, never the pairs.
+A document is the set of its runs of five words. Sets that are equal are one class of copies and go on as one. A class
+has ``COORDINATES`` sampled tokens: of its tokens the ones that as many hash functions put first. Two sets of similarity s
+share each sampled token with probability s.
+
+A run splits the classes recursively: at a node all members are parted by one of their sampled tokens, which the run and
+the depth choose. A bucket of at most ``SMALL`` classes is not split again but compared by brute force; a larger one is
+split on the next token, ``DEPTH`` times at most. A pair at the threshold t meets in a run in which a class ended at depth
+d with probability t**d, so what each class has missed so far is known from the depths it reached; runs are repeated for
+the classes that have not reached ``recall`` until none is left. What is still large at the last depth agrees in
+``DEPTH`` sampled tokens: it is compared with its first class, and what is not close to that one with the rest, in blocks.
+
+These comparisons are of sketches (the lowest byte of each sampled token) and keep a pair whose sketches agree as often
+as a pair at the threshold does, less ``SLACK`` standard deviations. Kept pairs connect clusters. Inside a cluster the
+full sets are compared by brute force, every pair once: a cluster of more than ``BLOCK`` classes is dealt out by bands of
+set size, of which only neighbours can hold pairs at the threshold, and bands as pairs of blocks; a task returns sums and
+a spanning forest, never the pairs.
 
 Results: ``class_id``, the least id that links lead to (a connected component), and ``n_links``, how many other documents
 have a similarity of at least the threshold, copies among them.
 
 Edge cases: a document of one to four words has one token, all of its words; one without words (null, empty) is alone in
-its class and has no links. Repeated rows count as copies. Null ids form no classes (null class_id, 0 links). Extra
-columns are ignored. An empty table gives no rows.
+its class and has no links. Repeated rows count as copies; rows that share an id but not a text fall into one class. Null ids form no classes (null class_id, 0 links); ids are
+whole numbers. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, map_texts, mix, ranges, table, utf8, window_hashes, word_hashes
+from .common import U64, chunks, cut, map_texts, mix, numbered, position, table, utf8, window_hashes, word_hashes
 from .components import components
 
-DEPTH = 4
-SKETCH = 64
+COORDINATES = 128
+#: Classes of a bucket that is compared by brute force, and splits of a larger one at most.
+SMALL, DEPTH = 64, 6
+#: Runs that all classes take part in.
+RUNS = 12
+#: Classes of a cluster that one task takes together.
 BLOCK = 512
-#: Sketches of pairs at the threshold of 0.8 lie above this with a margin of over five standard deviations.
-NEAR = 0.5
-#: What is this near to a bucket's first class stands for it: a pair at the threshold with it is near to the first as well.
-SAME = 0.9
+SLACK = 5.5
+#: Parts that the comparisons with a large bucket's first class are dealt to.
+SALT = 16
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)))
+def near_for(threshold: float) -> float:
+    """Share of agreeing sketch bytes that a pair at the threshold falls short of only by SLACK standard deviations."""
+    agree = threshold + (1 - threshold) / 256
+    return max(0.0, agree - SLACK * math.sqrt(agree * (1 - agree) / COORDINATES))
+
+
+def same_for(near: float) -> float:
+    """How near to a bucket's first class stands for it: whatever is at the threshold with it is near to the first too."""
+    return (1 + near) / 2
+
+
+def runs_for(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has met with this probability if all buckets end at this depth."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
 def token_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,37 +83,31 @@ def token_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray
     return np.concatenate(sets) if sets else np.empty(0, U64), np.cumsum([0, *map(len, sets)])
 
 
-def paths(tokens: np.ndarray, off: np.ndarray, runs: int) -> np.ndarray:
-    """The end of each non-empty set's path in each run, as a 64-bit number."""
-    small = (tokens >> U64(32)).astype(np.uint32)
-    n, first = np.diff(off), off[:-1]
+def sampled(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each non-empty set, the least value of its tokens under each of COORDINATES hash functions."""
+    small, first = (tokens >> U64(32)).astype(np.uint32), off[:-1]
     rng = np.random.default_rng(20)
-    odd = (rng.integers(0, 2**31, (runs, DEPTH, 2), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-    out = np.empty((len(n), runs), U64)
-    for r in range(runs):
-        key = np.full(len(n), r + 1, U64)
-        for step in range(DEPTH):
-            at = (mix(key) >> U64(32)).astype(np.uint32)
-            x = small ^ np.repeat(at, n)
-            x *= odd[r, step, 0]
-            x ^= x >> np.uint32(15)
-            x *= odd[r, step, 1]
-            key = mix(key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, first).astype(U64))
-        out[:, r] = key
+    odd = (rng.integers(0, 2**31, COORDINATES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+    shift = rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
+    out, x = np.empty((len(first), COORDINATES), np.uint32), np.empty_like(small)
+    for k in range(COORDINATES):
+        np.bitwise_xor(small, shift[k], out=x)
+        x *= odd[k]
+        out[:, k] = np.minimum.reduceat(x, first)
     return out
 
 
-_SIGNATURE = "k1 bigint, k2 bigint, n_tokens bigint, paths array<bigint>, sketch binary"
+_SIGNATURE = "k1 bigint, k2 bigint, n_tokens bigint, sampled array<int>, sketch binary"
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int) -> DataFrame:
-    """Identity of each document's set, its paths and its sketch."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Identity of each document's set, its size, its sampled tokens and their sketch."""
 
     def per_batch(column: pa.Array) -> list[pa.Array]:
         data, off = utf8(column)
         n = len(off) - 1
         k = np.zeros((2, n), U64)
-        count, ends, sketches = np.zeros(n, np.int64), np.zeros((n, runs), U64), [b""] * n
+        count, least = np.zeros(n, np.int64), np.zeros((n, COORDINATES), np.uint32)
         for a, b in chunks(off):
             tokens, o = token_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
             count[a:b] = np.diff(o)
@@ -100,31 +117,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
             o = np.append(o[:-1][full], len(tokens))
             k[0, a + full] = np.add.reduceat(mix(tokens + U64(1)), o[:-1])
             k[1, a + full] = np.add.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), o[:-1])
-            ends[a + full] = paths(tokens, o, runs)
-            small = (tokens >> U64(32)).astype("<u4")
-            for d, x, y in zip((a + full).tolist(), o[:-1].tolist(), o[1:].tolist(), strict=True):
-                sketches[d] = small[x : min(y, x + SKETCH)].tobytes()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * runs, pa.int32()), pa.array(ends.ravel().view(np.int64)))
-        return [pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), pa.array(count), lists, pa.array(sketches, pa.binary())]
+            least[a + full] = sampled(tokens, o)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * COORDINATES, pa.int32()), pa.array(least.ravel().view(np.int32)))
+        sketches = pa.array([row.tobytes() for row in least.astype(np.uint8)], pa.binary())
+        return [pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), pa.array(count), lists, sketches]
 
     return map_texts(docs.withColumnRenamed(id_col, "id"), text_col, ["id"], _SIGNATURE, per_batch)
 
 
-def sketch_similarity(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Estimated Jaccard similarity of pairs of bottom-k sketches; exact where the sets are smaller than k."""
-    n = len(left)
-    both = np.full((n, 2 * SKETCH), 2**32, np.int64)
-    for side, rows in ((0, left), (1, right)):
-        size = np.array([len(x) // 4 for x in rows])
-        flat = np.frombuffer(b"".join(rows), "<u4")
-        both[np.repeat(np.arange(n), size), ranges(np.full(n, side * SKETCH), size)] = flat
-    both.sort(axis=1)
-    real = both < 2**32
-    same = np.zeros_like(real)
-    same[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real & ~same, axis=1)
-    inside = rank <= SKETCH
-    return (same & inside).sum(axis=1) / np.maximum(1, np.minimum(SKETCH, rank[:, -1]))
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Share of equal bytes of pairs of sketches."""
+    return (left == right).mean(axis=1)
+
+
+def agreements(sketches: np.ndarray) -> np.ndarray:
+    """The same for every two of some sketches."""
+    n = len(sketches)
+    out = np.zeros((n, n), np.uint8)
+    for column in np.ascontiguousarray(sketches.T):
+        out += column[:, None] == column[None, :]
+    return out / COORDINATES
 
 
 def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,98 +175,163 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_pairs(groups: Iterator[tuple[list[int], list[bool], list[int], list[bytes]]], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of a spanning forest (all pairs in a small group) of near sketches in each group of (ids, far, side, sketch).
+def sketch_rows(column: pa.Array) -> np.ndarray:
+    """Sketches of a batch as a matrix of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the keys and the edges of their groups; a group never lies in two of these tables."""
+    held: list[pa.RecordBatch] = []
+
+    def edges(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+
+    for x in batches:
+        if not x.num_rows:
+            continue
+        held.append(x)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        at = edges(whole)
+        if len(at) > 2:
+            last = int(at[-2])
+            yield whole.slice(0, last), at[:-1]
+            held = whole.slice(last).combine_chunks().to_batches()
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield whole, edges(whole)
+
+
+def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, edges: np.ndarray, near: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of near sketches and fitting set sizes inside each small bucket, by brute force."""
+    many = np.diff(edges)
+    for m in np.unique(many[many > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        begin = edges[:-1][many == m]
+        step = max(1, 200_000 // len(i))
+        for at in range(0, len(begin), step):
+            x, y = (begin[at : at + step, None] + i).ravel(), (begin[at : at + step, None] + j).ravel()
+            fit = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-9
+            x, y = x[fit], y[fit]
+            good = agreement(sketches[x], sketches[y]) >= near
+            yield ids[x[good]], ids[y[good]]
+
+
+_EDGE = "a bigint, b bigint"
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def small_edges(members: DataFrame, near: float, threshold: float) -> DataFrame:
+    """Near pairs inside small buckets (path, rep, n_tokens, sketch)."""
 
-    Two that are not far, or of one side where there are two, are not compared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edges in whole_groups(batches, ["path"]):
+            ids, sizes = t.column("rep").to_numpy(), t.column("n_tokens").to_numpy()
+            for a, b in bucket_pairs(ids, sizes, sketch_rows(t.column("sketch")), edges, near, threshold):
+                if len(a):
+                    yield _edges(a, b)
+
+    ordered = members.select("path", "rep", "n_tokens", "sketch").repartition("path").sortWithinPartitions("path", "rep")
+    return ordered.mapInArrow(run, _EDGE).distinct()
+
+
+def large_edges(members: DataFrame, near: float) -> DataFrame:
+    """A spanning forest of near sketches in each large bucket (path, rep, sketch).
+
+    Every class is compared with the bucket's first one, in ``SALT`` parts. Those that are near to it without standing
+    for it, and those that are far from it, are compared with the far ones, in blocks.
     """
-    ends: list[tuple[int, int]] = []
-    left: list[bytes] = []
-    right: list[bytes] = []
-
-    for ids, far, side, sketches in groups:
-        far_, side_ = np.array(far), np.array(side)
-        wanted = np.triu(far_[:, None] | far_[None, :], 1)
-        if side_.any():
-            wanted &= side_[:, None] != side_[None, :]
-        if len(ids) <= 16:
-            for i, j in zip(*(x.tolist() for x in np.nonzero(wanted)), strict=True):
-                ends.append((ids[i], ids[j]))
-                left.append(sketches[i])
-                right.append(sketches[j])
-        else:
-            # a near pair shares at least NEAR of the smaller of SKETCH and the larger size
-            sets = [np.frombuffer(x, "<u4") for x in sketches]
-            size = np.array([len(x) for x in sets])
-            wanted &= shared_tokens(sets) >= NEAR * np.minimum(SKETCH, np.maximum(size[:, None], size[None, :])) - 1e-9
-            x, y = np.nonzero(wanted)
-            linked = np.zeros_like(wanted)
-            for k in range(0, len(x), most):
-                i, j = x[k : k + most], y[k : k + most]
-                linked[i, j] = linked[j, i] = sketch_similarity([sketches[q] for q in i], [sketches[q] for q in j]) >= NEAR
-            root, at = roots_of(linked), np.arange(len(ids))
-            own = np.array(ids)
-            if (root != at).any():
-                yield own[root[root != at]], own[root != at]
-        if len(ends) >= most:
-            keep = sketch_similarity(left, right) >= NEAR
-            yield tuple(np.array(ends)[keep].T)
-            ends, left, right = [], [], []
-    if ends:
-        keep = sketch_similarity(left, right) >= NEAR
-        yield tuple(np.array(ends)[keep].T)
-
-
-def near_edges(classes: DataFrame) -> DataFrame:
-    """(a, b) of classes with near sketches: each class of a bucket and the first one, and those far from the first and the others."""
-    ends = classes.select(F.explode("paths").alias("path"), F.col("rep").alias("b"))
-    first = ends.groupBy("path").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("path", "a")
-    met = cut(ends.join(first, "path").where("a <> b").select("path", "a", "b"))
-    left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
+    first = members.groupBy("path").agg(F.min(F.struct("rep", "sketch")).alias("f")).select("path", F.col("f.rep").alias("a"), F.col("f.sketch").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    met = members.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALT))).join(first, ["path", "salt"]).where("rep <> a").select("path", "a", F.col("rep").alias("b"), "first", "sketch")
 
     def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(sketch_similarity(x.column("sa").to_pylist(), x.column("sb").to_pylist()))], ["a", "b", "s"])
-
-    compared = cut(met.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(to_first, "a bigint, b bigint, s double"))
+                close = agreement(sketch_rows(x.column("first")), sketch_rows(x.column("sketch")))
+                yield pa.RecordBatch.from_arrays([x.column(c) for c in ("path", "a", "b", "sketch")] + [pa.array(close)], ["path", "a", "b", "sketch", "close"])
 
-    # what is left of each bucket: the far classes, and those that are near to the first but do not stand for it
-    rest = met.join(compared.where(F.col("s") < SAME), ["a", "b"]).select("path", "b", (F.col("s") < NEAR).alias("far"))
-    count = rest.groupBy("path").agg(F.sum(F.col("far").cast("int")).alias("n_far"), F.count("*").alias("n")).where("n_far > 0 and n > 1")
+    compared = cut(met.mapInArrow(to_first, "path bigint, a bigint, b bigint, sketch binary, close double"))
+    rest = compared.where(F.col("close") < same_for(near)).select("path", "b", "sketch", (F.col("close") < near).alias("far"))
+    count = rest.groupBy("path").agg(F.count_if("far").alias("n_far"), F.count("*").alias("n")).where("n_far > 0 and n > 1")
     f_blocks, r_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_far"), F.col("n") - F.col("n_far")))
-    rest = rest.join(count, "path").select("path", "b", "far", f_blocks.alias("fb"), r_blocks.alias("rb"))
+    rest = rest.join(count.select("path", f_blocks.alias("fb"), r_blocks.alias("rb")), "path")
     block = F.when(F.col("far"), F.pmod(F.hash("b"), "fb")).otherwise(F.col("fb") + F.pmod(F.hash("b"), F.greatest("rb", F.lit(1))))
     # far blocks meet all blocks, the other blocks only the far ones
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("far"), F.col("fb") + F.col("rb")).otherwise(F.col("fb")) - 1)).alias("other")
-    dealt = rest.withColumn("block", block).select("*", other).select("path", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "b", "far", (F.col("block") > F.col("other")).cast("int").alias("side"))
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-        key, rows = None, []
-        for x in batches:
-            for path, b1, b2, *row in zip(*(col.to_pylist() for col in x.columns), strict=True):
-                if (path, b1, b2) != key:
-                    if len(rows) > 1:
-                        yield tuple(map(list, zip(*rows, strict=True)))
-                    key, rows = (path, b1, b2), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield tuple(map(list, zip(*rows, strict=True)))
+    dealt = rest.withColumn("block", block).select("*", other).select("path", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "b", "far", (F.col("block") > F.col("other")).cast("int").alias("side"), "sketch")
 
     def to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in near_pairs(groups(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    signed = dealt.join(right, "b").select("path", "b1", "b2", "b", "far", "side", "sb")
-    ordered = signed.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2", "b")
-    return compared.where(F.col("s") >= NEAR).select("a", "b").union(ordered.mapInArrow(to_others, "a bigint, b bigint"))
-
-
-def links(ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        for t, edges in whole_groups(batches, ["path", "b1", "b2"]):
+            ids, far, side, sketches = t.column("b").to_numpy(), t.column("far").to_numpy(), t.column("side").to_numpy(), sketch_rows(t.column("sketch"))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                linked = agreements(sketches[x:y]) >= near
+                linked &= far[x:y, None] | far[None, x:y]
+                if side[x:y].any():
+                    linked &= side[x:y, None] != side[None, x:y]
+                root, at = roots_of(linked), np.arange(y - x)
+                if (root != at).any():
+                    yield _edges(ids[x:y][root[root != at]], ids[x:y][root != at])
+
+    ordered = dealt.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2", "b")
+    return compared.where(F.col("close") >= near).select("a", "b").union(ordered.mapInArrow(to_others, _EDGE))
+
+
+def _token(run: Column, depth: int) -> Column:
+    """Which sampled token a run splits on at a depth: a different one at each depth of a run."""
+    start, step = F.pmod(F.xxhash64(run, F.lit("start")), F.lit(COORDINATES)), 2 * F.pmod(F.xxhash64(run, F.lit("step")), F.lit(COORDINATES // 2)) + 1
+    return F.get("sampled", F.pmod(start + depth * step, F.lit(COORDINATES)).cast("int"))
+
+
+def split_runs(classes: DataFrame, runs: range, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(small, large, missed) of some runs over classes (rep, sampled): members (path, rep) of buckets with more than one
+    class, and what each class that went deeper than one split loses by that: log((1 - t**d) / (1 - t))."""
+    run = F.explode(F.sequence(F.lit(runs.start), F.lit(runs.stop - 1))).alias("run")
+    deeper = F.array(*[_token(F.col("run"), d) for d in range(2, DEPTH + 1)]).alias("tokens")
+    state = classes.select("rep", "sampled", run).select("rep", F.xxhash64("run", _token(F.col("run"), 1)).alias("path"), deeper)
+    small, missed = [], []
+    for depth in range(1, DEPTH + 1):
+        n = state.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        state = cut(state.join(n, "path"))
+        small.append(state.where(F.col("n") <= SMALL).select("path", "rep"))
+        state = state.where(F.col("n") > SMALL)
+        if depth == DEPTH or state.isEmpty():
+            break
+        loss = math.log((1 - threshold ** (depth + 1)) / (1 - threshold**depth))
+        missed.append(state.groupBy("rep").agg((F.count("*") * loss).alias("loss")))
+        state = state.select("rep", F.xxhash64("path", F.get("tokens", F.lit(depth - 1))).alias("path"), "tokens")
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    lost = union(missed).groupBy("rep").agg(F.sum("loss").alias("loss")) if missed else classes.select("rep", F.lit(0.0).alias("loss")).where("false")
+    return union(small), state.select("path", "rep"), lost
+
+
+def near_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(a, b) of classes (rep, n_tokens, sampled, sketch) that connect whatever may reach the threshold."""
+    near, owed = near_for(threshold), math.log(1 - recall)
+    sketch = classes.select("rep", "n_tokens", "sketch")
+    alive, runs, found = classes.select("rep", "sampled", F.lit(0.0).alias("had")), range(0, RUNS), []
+    while len(runs):
+        small, large, lost = split_runs(alive, runs, threshold)
+        found.append(small_edges(small.join(sketch, "rep"), near, threshold))
+        if not large.isEmpty():
+            found.append(large_edges(large.join(sketch, "rep"), near))
+        had = F.col("had") + len(runs) * math.log(1 - threshold) + F.coalesce("loss", F.lit(0.0))
+        alive = cut(alive.join(lost, "rep", "left").select("rep", "sampled", had.alias("had")).where(F.col("had") > owed))
+        left = alive.agg(F.max("had")).collect()[0][0]
+        runs = range(0) if left is None else range(runs.stop, runs.stop + math.ceil((owed - left) / math.log(1 - threshold**DEPTH)))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def links(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For each member of a group, the copies of the members linked to it, and the root of its tree in a spanning forest.
 
-    ``across``: only pairs of members of different blocks count.
+    ``across``: only pairs of members of different sides count.
     """
     n = len(ids)
     size = np.array([len(s) for s in sets])
@@ -266,15 +343,30 @@ def links(ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[np
     linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
     np.fill_diagonal(linked, False)
     if across:
-        linked &= blocks[:, None] != blocks[None, :]
+        linked &= side[:, None] != side[None, :]
     return linked @ copies, ids[roots_of(linked)]
 
 
-_MEMBER = "cluster bigint, b1 int, b2 int, id bigint, block int, copies bigint, tokens binary"
+def dealt_members(cluster: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, copies, cluster, key, side): each cluster member once for each group of members that it meets.
+
+    A cluster of at most BLOCK members is one group. A larger one is parted into bands of set size, so that sets of
+    bands that are no neighbours differ by more than the threshold allows, and into blocks inside these.
+    """
+    band = F.floor(F.log(F.col("n_tokens").cast("double")) / (math.log(1 / threshold) * (1 + 1e-6))).cast("int") if threshold < 1 else F.col("n_tokens").cast("int")
+    n = cluster.groupBy("root").agg(F.count("*").alias("n"))
+    members = cluster.join(n, "root").join(classes.select(F.col("rep").alias("id"), "copies", "n_tokens"), "id").select("id", "copies", F.col("root").alias("cluster"), F.when(F.col("n") > BLOCK, band).otherwise(0).alias("band"))
+    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    beside = sizes.select("cluster", F.col("band").alias("o_band"), F.col("blocks").alias("o_blocks"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    meets = sizes.join(beside, ["cluster", "band"]).groupBy("cluster", "band", "blocks").agg(F.collect_list(F.struct("o_band", "o_blocks")).alias("others"))
+    placed = members.join(meets, ["cluster", "band"]).withColumn("block", F.pmod(F.hash("id"), "blocks")).select("id", "copies", "cluster", "band", "block", F.explode("others").alias("o"))
+    placed = placed.select("id", "copies", "cluster", "band", "block", "o.o_band", F.explode(F.sequence(F.lit(0), F.col("o.o_blocks") - 1)).alias("o_block"))
+    mine, its = F.struct("band", "block"), F.struct(F.col("o_band").alias("band"), F.col("o_block").alias("block"))
+    return placed.select("id", "copies", "cluster", F.xxhash64(F.least(mine, its), F.greatest(mine, its)).alias("key"), F.when(mine < its, 0).when(mine > its, 1).otherwise(2).alias("side"))
 
 
 def cluster_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
-    """(id, linked, root) of cluster members, one row for each group of blocks that a member is in."""
+    """(id, linked, root) of cluster members, one row for each group that a member is in."""
 
     def per_batch(column: pa.Array) -> list[pa.Array]:
         data, off = utf8(column)
@@ -284,56 +376,42 @@ def cluster_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
             out += [tokens[x:y].tobytes() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
         return [pa.array(out, pa.binary())]
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(members, "id")
-    sets = map_texts(texts, "text", ["id", "cluster", "block", "blocks", "copies"], "tokens binary", per_batch)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("*", other).select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "id", "block", "copies", "tokens")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-        key, rows = None, []
-        for x in batches:
-            for c, b1, b2, *row in zip(*(col.to_pylist() for col in x.columns), strict=True):
-                if (c, b1, b2) != key:
-                    if rows:
-                        yield key, rows
-                    key, rows = (c, b1, b2), []
-                if not rows or rows[-1][0] != row[0]:  # a repeated row of the input is the same member
-                    rows.append(row)
-        if rows:
-            yield key, rows
+    groups = members.groupBy("id", "copies").agg(F.collect_list(F.struct("cluster", "key", "side")).alias("groups"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(groups, "id")
+    sets = map_texts(texts, "text", ["id", "copies", "groups"], "tokens binary", per_batch)
+    dealt = sets.select("id", "copies", "tokens", F.explode("groups").alias("g")).select("g.cluster", "g.key", "g.side", "id", "copies", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for (_, b1, b2), rows in groups(batches):
-            if len(rows) > 1:
-                ids = np.array([r[0] for r in rows])
-                done.append((ids, *links(ids, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[3], U64) for r in rows], b1 != b2, threshold)))
-            if len(done) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done, strict=True)], ["id", "linked", "root"])
-                done = []
+        for t, edges in whole_groups(batches, ["cluster", "key"]):
+            names = np.concatenate([t.column(c).to_numpy()[:, None] for c in ("cluster", "key", "id")], axis=1)
+            once = np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)])  # rows that repeat an id are one member
+            t, edges = t.filter(pa.array(once)), np.concatenate([[0], np.cumsum(once)])[edges]
+            ids, side, copies, tokens = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("copies").to_numpy(), t.column("tokens")
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if y - x > 1:
+                    sets = [np.frombuffer(r, U64) for r in tokens.slice(x, y - x).to_pylist()]
+                    done.append((ids[x:y], *links(ids[x:y], side[x:y], copies[x:y], sets, bool(side[x] != 2), threshold)))
+                if len(done) >= 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done, strict=True)], ["id", "linked", "root"])
+                    done = []
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done, strict=True)], ["id", "linked", "root"])
 
-    ordered = dealt.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2", "id")
+    ordered = dealt.repartition("cluster", "key").sortWithinPartitions("cluster", "key", "id", "tokens")
     return ordered.mapInArrow(run, "id bigint, linked bigint, root bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
     """``class_id`` and ``n_links`` of each document."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(signatures(docs, "doc_id", "text", size, runs_for(threshold, recall)))
+    by_place = numbered(docs)
+    docs = by_place.select(by_place[f"__{position(docs, id_col)}"].cast("bigint").alias("doc_id"), by_place[f"__{position(docs, text_col)}"].cast("string").alias("text"))
+    signed = cut(signatures(docs, "doc_id", "text", size))
     classes = cut(
-        signed.where("n_tokens > 0 and id is not null").groupBy("k1", "k2", "n_tokens").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-    )
-    cluster = components(near_edges(classes))
-    sizes = cluster.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = (
-        cluster.join(sizes, "root")
-        .join(classes.select(F.col("rep").alias("id"), "copies"), "id")
-        .select("id", F.col("root").alias("cluster"), blocks.alias("blocks"), F.pmod(F.hash("id"), blocks).alias("block"), "copies")
+        signed.where("n_tokens > 0 and id is not null").groupBy("k1", "k2", "n_tokens").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sampled").alias("sampled"), F.first("sketch").alias("sketch"))
     )
-    found = cut(cluster_links(docs, members, "doc_id", "text", size, threshold))
+    cluster = cut(components(near_edges(classes, min(threshold, 1 - 1e-9), recall)))
+    found = cut(cluster_links(docs, dealt_members(cluster, classes, threshold), "doc_id", "text", size, threshold))
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     roots = components(found.where("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b")))
     named = classes.select("k1", "k2", "n_tokens", "rep", "copies").join(linked.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
@@ -350,8 +428,9 @@ def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> D
 
     Documents without an id belong to no class and stay; rows that repeat an id stay or go together.
     """
-    later = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__later"))
-    return docs.join(later, docs[id_col] == later["__later"], "left_anti")
+    later = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__later")).distinct()
+    by_place = numbered(docs)
+    return by_place.join(later, by_place[f"__{position(docs, id_col)}"] == later["__later"], "left_anti").toDF(*docs.columns)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,25 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted finite-state transducer.
 
-Three small transducers are compiled from a piece file and composed with each input:
+Three transducers are compiled from a piece file and composed with each input:
 
-* the normaliser: blank -> U+2581, and one U+2581 in front of a non-empty text (as the file's flags say);
-* the pieces: a dictionary of strings, each an arc that writes one id;
-* byte fallback: a character that is no piece of its own writes its UTF-8 bytes as byte pieces.
+* the normaliser: blank -> U+2581, and one U+2581 in front of a non-empty text (as the file's flags say); where the file
+  asks for it, runs of blanks become one and those at the ends go;
+* the pieces: a trie of states, one arc for each character; a path from the root to a final state writes one id;
+* byte fallback: a character that is no piece of its own has an arc that writes its UTF-8 bytes as byte pieces.
 
-An input of n characters gives n + 1 positions; the tropical-semiring shortest path from the first to the last is the
-encoding. In a unigram file the weight of an arc is minus its piece's score. In a merge-based (BPE) file the scores are
-merge ranks, which do not add up along a path; there an acceptor of adjacent pieces is composed as well: two pieces may
-follow each other only if merging their joined text gives exactly these two. A sequence in which every neighbouring pair
-is accepted is the merge encoding and no other sequence is, so every accepted path has weight 0 and there is exactly one.
+An input of n characters gives n + 1 positions; walking the trie from each position gives the arcs of the composed
+machine, made only as far as they are reached, and the encoding is its shortest path in a tropical semiring. In a unigram
+file the weight of an arc is minus its piece's score, and weights add up.
+
+In a merge-based (BPE) file an arc's weight is the set of merges that build its piece, each as rank and place. Weights
+multiply by union and compare by the least merge that only one of them has: the path that has it is the better one. Since
+a merge ranks behind the merges that build its parts, the merge algorithm's first step is the least merge of any path, and
+so on, and the shortest path is its result. This order is total and kept by union, so one best weight for each position is
+enough.
+
+Weights grow along a stretch, and do not rank upwards in a few pieces of equal score (runs of blanks). A stretch of more
+than ``LONG`` characters or with such a piece is composed with an acceptor of adjacent pieces first: two pieces may follow each other only if merging their joined text gives exactly these two. A sequence in
+which every neighbouring pair is accepted is the merge encoding and no other sequence is, so one path is left.
 
 Paths never leave a stretch between two places that no piece spans (before a U+2581 that follows something else, around
 a line break, before a sign that no piece has behind a letter), so each such stretch is solved once and remembered, up to
@@ -18,7 +27,8 @@ a line break, before a sign that no piece has behind a letter), so each such str
 
 Edge cases: a null or empty text has no pieces and decodes to the empty text. U+2581 in a text decodes to a blank, as in
 the piece format itself; ``lossless`` compares with the text so changed. Columns of the input that are not named in
-``keep`` do not appear; a kept column with the name of a result gives way to it.
+``keep`` do not appear; a kept column with the name of a result gives way to it. Files with a table of characters to
+normalise are refused.
 """
 
 from __future__ import annotations
@@ -41,6 +51,9 @@ MEMO = 500_000
 #: Stretches of more characters are not remembered.
 LONG = 64
 _ONE = (1,)
+#: Ends a weight, so that of two weights of which one begins the other the longer one is the lesser.
+END = float("inf")
+TIED: list[int] = [-1]
 #: Letters and digits as a part of a character class.
 _WORD = "0-9A-Za-z\u00c0-\u024f"
 
@@ -52,12 +65,13 @@ def read_pieces(path: str = MODEL) -> dict:
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
-    if m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces:
-        raise ValueError("only files with the identity normaliser are supported")
+    if m.normalizer_spec.precompiled_charsmap:
+        raise ValueError("files with a table of characters to normalise are not supported")
     return {
         "pieces": [(p.piece, p.score, p.type) for p in m.pieces],
         "bpe": m.trainer_spec.model_type == 2,
         "prefix": m.normalizer_spec.add_dummy_prefix,
+        "tidy": m.normalizer_spec.remove_extra_whitespaces,
     }
 
 
@@ -65,7 +79,7 @@ class Transducer:
     """The compiled transducer of one piece file."""
 
     def __init__(self, spec: dict, memo: int = MEMO):
-        self.bpe, self.prefix, self.memo = spec["bpe"], spec["prefix"], memo
+        self.bpe, self.prefix, self.memo, self.tidy = spec["bpe"], spec["prefix"], memo, spec.get("tidy", False)
         rows = spec["pieces"]
         # types of the piece format: 1 normal, 4 user-defined, 5 unused, 6 byte
         self.ids = {p: i for i, (p, _, kind) in enumerate(rows) if kind in (1, 4, 5)}
@@ -84,7 +98,24 @@ class Transducer:
         other, inner = f"[^{stop}{_WORD}]", f"[^{stop}{_WORD}{re.escape(signs)}]"
         self.cut = re.compile(r"(?s).+" if spans else (f"[{re.escape(alone)}]|" if alone else "") + f"{BLANK}*{other}*(?:[{_WORD}]+(?:{inner}{other}*)?)*")
         self.unknown = min(self.score.values(), default=0.0) - 10.0
-        self._arcs = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self._written = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        # the trie: for each state its arcs by character, and the piece that ends there
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list[str] = [""]
+        for p in self.ids:
+            at = 0
+            for ch in p:
+                to = self.arcs[at].get(ch)
+                if to is None:
+                    to = self.arcs[at][ch] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append("")
+                at = to
+            self.final[at] = p
+        order = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: order[x] << 32 for p, x in self.score.items()}
+        #: Arcs that building never gives have no weight; those whose merges do not rank upwards have TIED.
+        self.weight = {p: TIED if w and any(b <= a for a, b in zip(w, w[1:], strict=False)) else w for p, w in ((p, self.merges(p)) for p in self.ids)} if self.bpe else {}
         # for each end of a piece, the sizes of the pieces that end with it, the longest first
         self._tails: dict[str, tuple[int, ...]] = {p[-k:]: () for p in self.ids for k in range(1, len(p) + 1)}
         for end in self._tails:
@@ -108,6 +139,49 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merges(self, piece: str) -> list[int] | None:
+        """The merges that build a piece, in their order, each as rank and place; None if merging does not give it."""
+        parts, starts, out = list(piece), list(range(len(piece))), []
+        while len(parts) > 1:
+            merge, i = min(((r + starts[i], i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None), default=(0, -1))
+            if i < 0:
+                return None
+            out.append(merge)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del starts[i + 1]
+        return out
+
+    def shortest(self, text: str) -> list[str]:
+        """The best path through the composed machine, as its arcs' strings: Viterbi over positions."""
+        n, arcs, final, weight, score = len(text), self.arcs, self.final, self.weight, self.score
+        cost: list = [None] * (n + 1)
+        cost[0], back = [END] if self.bpe else 0.0, [""] * (n + 1)
+        for j in range(n):
+            mine, i, at = cost[j], j, arcs[0].get(text[j])
+            if at is None or not final[at]:  # byte fallback
+                c = mine if self.bpe else mine - self.unknown
+                if cost[j + 1] is None or c < cost[j + 1]:
+                    cost[j + 1], back[j + 1] = c, text[j]
+            while at is not None:
+                i += 1
+                piece = final[at]
+                if piece:
+                    if self.bpe:
+                        w = weight[piece]
+                        if w is TIED:
+                            return self.accepted(text)
+                        c = None if w is None else sorted(mine + [m + j for m in w]) if w else mine
+                    else:
+                        c = mine - score[piece]
+                    if c is not None and (cost[i] is None or c < cost[i]):
+                        cost[i], back[i] = c, piece
+                at = arcs[at].get(text[i]) if i < n else None
+        out = []
+        while n:
+            out.append(back[n])
+            n -= len(back[n])
+        return out[::-1]
+
     def follows(self, left: str, right: str) -> bool:
         """Whether the acceptor of adjacent pieces lets ``right`` follow ``left`` ("": stand first)."""
         self._judged += 1
@@ -116,6 +190,8 @@ class Transducer:
     def accepted(self, text: str) -> list[str]:
         """The only accepted path of a merge-based file, by position: its last arc to each position is known from the
         arcs that end there and the last arcs of where these start; the longest that may follow is the one."""
+        if self._judged > 2 * self.memo:
+            self._pairs, self._judged = {"": {}}, 0
         tails, pairs, n = self._tails, self._pairs, len(text)
         last, after = [""] * (n + 1), [pairs[""]] * (n + 1)
         for i in range(1, n + 1):
@@ -152,27 +228,11 @@ class Transducer:
 
     def path(self, text: str) -> list[str]:
         """The shortest path through one stretch, as its arcs' strings."""
-        if self.bpe:
-            if self._judged > 2 * self.memo:
-                self._pairs, self._judged = {"": {}}, 0
-            return self.accepted(text)
-        n, out = len(text), []
-        cost, back = [0.0] + [float("inf")] * n, [""] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                piece = text[j:i]
-                if piece in self.ids or j == i - 1:
-                    c = cost[j] - self.score.get(piece, self.unknown)
-                    if c < cost[i]:
-                        cost[i], back[i] = c, piece
-        while n:
-            out.append(back[n])
-            n -= len(back[n])
-        return out[::-1]
+        return self.shortest(text) if len(text) <= LONG or not self.bpe else self.accepted(text)
 
     def solve(self, text: str) -> bytes:
         """Ids (32-bit, little-endian) of one stretch."""
-        arcs, out = self._arcs, []
+        arcs, out = self._written, []
         for piece in self.path(text):
             arc = arcs.get(piece)
             out.append(arc if arc is not None else b"".join(self.bytes[b].to_bytes(4, "little") for b in piece.encode()))
@@ -189,6 +249,8 @@ class Transducer:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.tidy:
+            text = re.sub("  +", " ", text.strip(" "))
         if not text:
             return b""
         text = (BLANK if self.prefix else "") + text.replace(" ", BLANK)

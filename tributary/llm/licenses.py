@@ -1,139 +1,73 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A text is lower-cased, cut into words and joined by single blanks, so a rule is a regex over words. A rule is tried only
-where a keyword of its family and one of its way of naming occur. Detections that lie inside another one of the same or
-higher priority are suppressed; what remains gives the labels. The base phrases are reported wherever their words stand consecutively,
-whatever the rules say.
+A text is lower-cased, cut into words and joined by single blanks, so a rule is a regex over words. One pass with an
+Aho-Corasick automaton finds which keywords occur; only the rules of these are tried. Detections that lie inside another one of
+the same or higher priority are suppressed (of equal ones the first label stays); what remains gives the labels. The base
+phrases are reported wherever their words stand consecutively, whatever the rules say.
 
 Edge cases: a null or empty text has 0 words, no places, empty labels, score 0. Repeated rows give repeated rows. Columns
-not named in ``keep`` do not appear; a kept column with a result's name gives way to it. Texts are scanned whole.
+not named in ``keep`` do not appear; a kept column with a result's name gives way to it. Texts are scanned whole. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WORD_TRANSLATE, map_texts, table, utf8
+from .license_rules import RULES
 
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-# Label, keyword that must occur, and the names of the license as a regex over words.
-FAMILIES = [
-    ("mit", "mit", r"(?:the )?mit"),
-    ("mit-0", "mit", r"(?:the )?mit (?:no attribution|0)"),
-    ("apache-2", "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version)? (?:v ?)?2(?: 0)?"),
-    ("apache-1.1", "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version)? (?:v ?)?1 1"),
-    ("apache", "apache", r"(?:the )?apache(?: software)?"),
-    ("gpl-2", "g", r"(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?(?:v ?)?2(?: 0)?"),
-    ("gpl-3", "g", r"(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?(?:v ?)?3(?: 0)?"),
-    ("gpl", "g", r"(?:the )?(?:gnu general public|gnu gpl|gpl)"),
-    ("lgpl-2.1", "l", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?: version)? ?(?:v ?)?2 1"),
-    ("lgpl-3", "l", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?: version)? ?(?:v ?)?3(?: 0)?"),
-    ("lgpl", "l", r"(?:the )?(?:gnu lesser general public|gnu lgpl|lgpl)"),
-    ("agpl-3", "a", r"(?:the )?(?:gnu )?(?:affero general public license|agpl)(?: version)? ?(?:v ?)?3(?: 0)?"),
-    ("agpl", "a", r"(?:the )?(?:gnu affero general public|agpl)"),
-    ("bsd-2", "bsd", r"(?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd)"),
-    ("bsd-3", "bsd", r"(?:the )?(?:(?:new|revised|modified) bsd|bsd 3 clause|3 clause bsd)"),
-    ("bsd-4", "bsd", r"(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("bsd-0", "bsd", r"(?:the )?(?:zero clause bsd|0bsd|bsd 0 clause)"),
-    ("bsd", "bsd", r"(?:the )?bsd"),
-    ("mpl-1.1", "m", r"(?:the )?(?:mozilla public license|mpl)(?: version)? (?:v ?)?1 1"),
-    ("mpl-2", "m", r"(?:the )?(?:mozilla public license|mpl)(?: version)? ?(?:v ?)?2(?: 0)?"),
-    ("epl-1", "e", r"(?:the )?(?:eclipse public license|epl)(?: version)? ?(?:v ?)?1(?: 0)?"),
-    ("epl-2", "e", r"(?:the )?(?:eclipse public license|epl)(?: version)? ?(?:v ?)?2(?: 0)?"),
-    ("eupl-1.2", "eu", r"(?:the )?(?:european union public license|eupl)(?: version)? (?:v ?)?1 2"),
-    ("cddl-1", "c", r"(?:the )?(?:common development and distribution license|cddl)(?: version)?(?: 1(?: 0)?)?"),
-    ("cpl-1", "common public", r"(?:the )?common public license(?: version)?(?: 1(?: 0)?)?"),
-    ("isc", "isc", r"(?:the )?isc"),
-    ("zlib", "zlib", r"(?:the )?zlib(?: libpng)?"),
-    ("boost-1", "b", r"(?:the )?(?:boost software license|bsl)(?: version)?(?: 1(?: 0)?)?"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"(?:the )?wtfpl"),
-    ("artistic-2", "artistic", r"(?:the )?artistic license(?: version)? 2(?: 0)?"),
-    ("artistic-1", "artistic", r"(?:the )?artistic license(?: version)? 1(?: 0)?"),
-    ("perl", "perl", r"(?:the same terms as )?perl(?: itself)?"),
-    ("python-2", "python", r"(?:the )?python(?: software foundation)? license(?: version)?(?: 2(?: 0)?)?"),
-    ("postgresql", "postgresql", r"(?:the )?postgresql"),
-    ("openssl", "openssl", r"(?:the )?openssl"),
-    ("ofl-1.1", "o", r"(?:the )?(?:sil )?(?:open font license|ofl)(?: version)?(?: 1 1)?"),
-    ("ncsa", "ncsa", r"(?:the )?(?:university of illinois )?ncsa"),
-    ("vim", "vim", r"(?:the )?vim"),
-    ("php-3", "php", r"(?:the )?php license(?: version)?(?: 3(?: 01?)?)?"),
-    ("ruby", "ruby", r"(?:the )?ruby"),
-    ("cc0-1", "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-sa", "c", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
-    ("cc-by-nc", "c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "c", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "c", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivs)(?: [1-4] [05])?"),
-    ("odbl-1", "d", r"(?:the )?(?:open database license|odbl)(?: 1 0)?"),
-    ("proprietary", "proprietary", r"(?:a )?proprietary"),
-]
-
-# Ways to name a license: priority (higher wins), confidence, pattern with {} for the name.
-WAYS = [
-    (90, 1.0, r"spdx license identifier {}(?: only| or later)?"),
-    (80, 0.95, r"(?:licensed|released|distributed|available|published|made available|redistributed) under (?:the terms of )?(?:an? )?{}(?: only| or later)?(?: licen[cs]es?)?"),
-    (70, 0.95, r"(?:under|subject to) (?:the terms (?:and conditions )?of )?{}(?: version [0-9]+(?: [0-9]+)?)? licen[cs]e"),
-    (60, 0.9, r"see {} (?:licen[cs]e )?for (?:more )?details"),
-    (60, 0.9, r"licen[cs]e(?:d)? (?:is |type |name )?{}"),
-    (50, 0.85, r"{} licen[cs]e(?:d)?"),
-    (40, 0.7, r"(?:dual|multi) licen[cs]ed (?:with|under|as) {}"),
-    (30, 0.6, r"{} (?:terms|compatible|style|like) licen[cs](?:e|ing)"),
-]
-
-# Signatures of license texts themselves: label, keyword, priority, confidence, pattern.
-TEXTS = [
-    ("mit", "permission is hereby granted", 95, 1.0, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use", 95, 1.0, r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3", "neither the name", 95, 1.0, r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors"),
-    ("bsd", "redistribution and use", 90, 0.95, r"redistribution and use in source and binary forms with or without modification"),
-    ("apache-2", "apache", 95, 1.0, r"apache license version 2(?: 0)?"),
-    ("cc-by-nc", "cc by nc", 35, 0.7, r"cc by nc(?: [1-4] [05])?"),
-    ("gpl", "free software", 90, 0.95, r"this program is free software you can redistribute it and or modify it"),
-    ("unlicense", "public domain", 90, 0.95, r"free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", 50, 0.8, r"(?:dedicated|released|placed) (?:in)?to the public domain"),
-    ("wtfpl", "you just do", 90, 1.0, r"you just do what the fuck you want to"),
-    ("all-rights-reserved", "all rights reserved", 20, 0.5, r"all rights reserved"),
-    ("copyright", "copyright", 10, 0.3, r"copyright (?:c )?(?:19|20)[0-9]{2}"),
-]
-
-#: For each way, in order, the words of which every match holds one.
-WAY_SIGNALS = [
-    (" spdx ",),
-    ("licensed under ", "released under ", "distributed under ", "available under ", "published under "),
-    (" licen",),
-    (" for details ", " for more details "),
-    (" licen",),
-    (" licen",),
-    (" licen",),
-    (" licen",),
-]
+#: How sure a detection of each priority is.
+CONFIDENCE = {95: 1.0, 90: 1.0, 80: 0.95, 75: 0.9, 70: 0.9, 60: 0.85, 50: 0.8, 40: 0.6, 20: 0.4}
 
 
 def rules() -> list[tuple[str, bytes, int, float, bytes]]:
-    """Every rule as (label, keyword, priority, confidence, pattern), ordered by priority."""
-    out = [(label, key.encode(), p, c, pattern.encode()) for label, key, p, c, pattern in TEXTS]
-    for priority, confidence, way in WAYS:
-        out += [(label, key.encode(), priority, confidence, way.replace("{}", names).encode()) for label, key, names in FAMILIES]
-    return sorted(out, key=lambda r: (-r[2], r[0], r[4]))
+    """Every rule as (label, keyword, priority, confidence, pattern), ordered by priority, then as written."""
+    out = []
+    for line in RULES.strip().split("\n"):
+        label, priority, key, pattern = line.split(" | ", 3)
+        out.append((label, key.encode(), int(priority), CONFIDENCE[int(priority)], pattern.encode()))
+    return sorted(out, key=lambda r: -r[2])
+
+
+Detection = tuple[int, int, int, float, str]
+
+
+def outermost(found: list[Detection]) -> list[Detection]:
+    """Detections that lie inside no other one of the same or higher priority, by start; a sweep for each priority."""
+    kept: list[Detection] = []
+    for priority in sorted({d[2] for d in found}, reverse=True):
+        starts, reach = [k[0] for k in kept], []
+        for k in kept:
+            reach.append(max(k[1], reach[-1] if reach else 0))
+        far, mine = -1, []
+        for d in sorted((d for d in found if d[2] == priority), key=lambda d: (d[0], -d[1], d[4])):
+            before = bisect_right(starts, d[0])
+            if d[1] > far and not (before and reach[before - 1] >= d[1]):
+                mine.append(d)
+                far = d[1]
+        kept = sorted(kept + mine)
+    return kept
 
 
 class Scanner:
+    """The compiled rules by keyword, and the automaton of all keywords."""
+
     def __init__(self) -> None:
-        compiled = {(label, key, p, c, pattern): re.compile(rb"(?<![^ ])(?:" + pattern + rb")(?![^ ])") for label, key, p, c, pattern in rules()}
-        self.rules = [(label, key, p, c, rule) for (label, key, p, c, _), rule in compiled.items()]
-        signals = {way.replace("{}", names).encode(): s for (_, _, way), s in zip(WAYS, WAY_SIGNALS, strict=True) for _, _, names in FAMILIES}
-        ways: dict[tuple[bytes, ...], list] = {}
-        for (label, key, p, c, pattern), rule in compiled.items():
-            ways.setdefault(tuple(s.encode() for s in signals.get(pattern, ())), []).append((label, key, p, c, rule))
-        #: Rules by the words of which a text must hold one (none: any text), then each behind its keyword.
-        self.ways = list(ways.items())
+        self.rules: dict[bytes, list] = {}
+        for label, key, p, c, pattern in rules():
+            self.rules.setdefault(key, []).append((label, p, c, re.compile(rb"(?<![^ ])(?:" + pattern + rb")(?![^ ])")))
+        self.keywords = ahocorasick.Automaton()
+        for key in self.rules:
+            self.keywords.add_word(key.decode(), key)
+        self.keywords.make_automaton()
         self.base = [(phrase.encode(), label) for phrase, label in BASE.items()]
 
     def places(self, text: bytes) -> list[tuple[int, str]]:
@@ -146,16 +80,11 @@ class Scanner:
                 at = text.find(b" " + phrase + b" ", at + 1)
         return out
 
-    def detections(self, text: bytes) -> list[tuple[int, int, int, float, str]]:
+    def detections(self, text: bytes) -> list[Detection]:
         """(start, end, priority, confidence, label) of what the rules find, without what lies inside a better one."""
-        tried = [r for signals, rules in self.ways if not signals or any(k in text for k in signals) for r in rules]
-        found = [(*m.span(), p, c, label) for label, key, p, c, rule in tried if key in text for m in rule.finditer(text)]
-        found.sort(key=lambda d: (-d[2], d[0] - d[1], d[0], d[4]))
-        kept: list[tuple[int, int, int, float, str]] = []
-        for d in found:
-            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-                kept = [k for k in kept if not (d[0] <= k[0] and k[1] <= d[1] and d[2] == k[2])] + [d]
-        return sorted(kept)
+        keys = {key for _, key in self.keywords.iter(text.decode("latin-1"))}
+        found = [(*m.span(), p, c, label) for key in keys for label, p, c, rule in self.rules[key] for m in rule.finditer(text)]
+        return outermost(found) if found else found
 
 
 RESULTS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
@@ -176,9 +105,9 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -
             text = b" " + _BLANKS.sub(b" ", raw[a:b].translate(WORD_TRANSLATE)).strip(b" ") + b" "
             n = text.count(b" ") - 1 if len(text) > 2 else 0
             places, found = s.places(text), s.detections(text)
-            starts = [text.count(b" ", 0, at) for at, _ in places]
+            ends = [text.count(b" ", 0, pick(places)[0]) if places else None for pick in (min, max)]
             base = {label for _, label in places}
-            rows.append((n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d[4] for d in found})), max([1.0] * bool(base) + [d[3] for d in found], default=0.0), len(found)))
+            rows.append((n, len(places), *ends, ",".join(sorted(base)), ",".join(sorted(base | {d[4] for d in found})), max([1.0] * bool(base) + [d[3] for d in found], default=0.0), len(found)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
         return [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
 

@@ -115,6 +115,52 @@ def test_history_rewrites_are_seen():
     assert chat.Rendered([("user", "x"), ("assistant", "y")], numbered).rewrites == 1
 
 
+TEMPLATES = {
+    "default": chat.template,
+    "first turn differs": lambda turns: "".join(("<s>" if k == 0 else "") + f"[{r}]{t}[/]" for k, (r, t) in enumerate(turns)),
+    "merged roles": lambda turns: "".join(("" if k and turns[k - 1][0] == r else f"<{r}>") + t + "." for k, (r, t) in enumerate(turns)),
+    "numbered turns": lambda turns: "".join(f"{k}.{r}: {t}\n" for k, (r, t) in enumerate(turns)),
+    "last answer only": lambda turns: "".join(t if r != "assistant" or k == len(turns) - 1 else "(cut)" for k, (r, t) in enumerate(turns)),
+    "ending": lambda turns: "".join(r + t for r, t in turns) + "END",
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_windows_give_what_every_prefix_gives(name):
+    rng = random.Random(7)
+    for _ in range(150):
+        turns = [(rng.choice(["user", "assistant", "system"]), "".join(rng.choice("ab<|.\\") for _ in range(rng.randint(0, 5)))) for _ in range(rng.randint(0, 12))]
+        got, want = chat.Rendered(turns, TEMPLATES[name]), chat.Rendered([], TEMPLATES[name])
+        want.every_prefix(turns, TEMPLATES[name], ("assistant",))
+        assert (got.text, got.spans, got.rewrites) == (want.text, want.spans, want.rewrites), turns
+        assert [got.text[a:b] for a, b in got.loss] == [want.text[a:b] for a, b in want.loss] and got.loss == want.loss, turns
+
+
+def test_long_conversations_take_linear_time(monkeypatch):
+    calls = [0]
+
+    def counted(turns):
+        calls[0] += sum(len(t) for _, t in turns)
+        return chat.template(turns)
+
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(20_000)]
+    r = chat.Rendered(turns, counted)
+    assert calls[0] < 12 * sum(len(t) for _, t in turns) and chat.read_back(r.text) == turns
+    monkeypatch.setattr(chat, "HELD", 100)
+    assert chat.digest_row(iter(turns))[0] == 20_000
+
+
+def test_the_query_has_its_conversation(spark, tmp_path):
+    rows = [(5, 1, "assistant", "b <|im_end|>"), (5, 0, "user", "a"), (6, 0, "user", None)]
+    frame(spark, rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op4_chat_format(spark, str(tmp_path)).collect()}
+    says = "<|im_end|><|im_start|>assistant ok"
+    assert sorted(got) == [-1, 5, 6] and (got[-1].n_turns, got[-1].loss_chars) == (2, len(says))
+    assert got[-1].loss_sha256 == hashlib.sha256(says.encode()).hexdigest()
+    assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{says}\nassistant\n{says}\n".encode()).hexdigest()
+    assert got[5].loss_sha256 == hashlib.sha256(b"b <|im_end|>").hexdigest() and got[6].loss_chars == 0
+
+
 def test_chat_digests(spark):
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "hi <|im_end|>", "x" * 3000])) for c in (1, 2, None, 3) for t in range(c or 5)] + [(7, None, "assistant", "first"), (7, 0, "user", "b"), (7, 0, "user", "a")]

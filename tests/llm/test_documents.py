@@ -249,16 +249,81 @@ def test_language_of_held_out_texts(spark):
     assert sum(r.rejected for r in rows) / len(rows) < 0.03
 
 
+def brute_language(content, text):
+    """(label, score) by compressing with each dictionary, written out plainly."""
+    import unicodedata
+
+    import zstandard as z
+
+    runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    if not runs:
+        return "und", 0.0
+    if len(content) == 1:
+        return next(iter(content)), 1.0
+    raw = " ".join(runs).encode()
+
+    def size(label, level, piece):
+        d = z.ZstdCompressionDict(content[label], dict_type=z.DICT_TYPE_RAWCONTENT)
+        params = z.ZstdCompressionParameters.from_level(level, source_size=1 << 17, dict_size=1 << 17, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(z.ZstdCompressor(dict_data=d, compression_params=params).compress(piece))
+
+    sizes = {x: size(x, 6, raw) for x in content}
+    if sorted(sizes.values())[0] == sorted(sizes.values())[1]:
+        sizes = {x: sizes[x] + sum(size(x, 19, p) for p in [raw, *(f" {w} ".encode() for w in dict.fromkeys(runs))]) for x in content}
+    first, second = sorted(sizes, key=lambda x: (sizes[x], x))[:2]
+    return first, (sizes[second] - sizes[first]) / max(1, sizes[second])
+
+
+def test_language_is_that_of_plain_compression(spark, tmp_path):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).toPandas()
+    extra = [(10_000 + i, t, "en") for i, t in enumerate(["½ ² Ⅷ", "½word²", "", None, "Ünïcödé ⅷ", "12 _ 3"])]
+    rows = [(int(r.doc_id), r.text, r.lang) for r in docs.itertuples()] + extra
+    frame(spark, rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(language.op8_language_id(spark, str(tmp_path)))
+    model = language.fit(language.labelled_part(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    assert set(model.content) == {lang for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 4 != 2}
+    for i, text, _ in rows:
+        label, score = brute_language(model.content, text)
+        assert (got[i].lang_pred, got[i].score, got[i].held_out) == (label, pytest.approx(score), zlib.crc32(str(i).encode()) % 4 == 2), text
+        assert got[i].rejected == (label == "und" or score <= model.narrow)
+
+
+def test_foreign_texts_and_letter_junk_are_rejected(spark):
+    docs, rng = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), random.Random(1)
+    dutch = "het is een grote dag voor iedereen die wij kennen morgen komt regen uit westen zegt vrouw tegen haar buurman fiets straat".split()
+    rows = [(k, " ".join(rng.choice(dutch) for _ in range(60))) for k in range(100)] + [(100 + k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400))) for k in range(100)]
+    kept = {r.doc_id for r in language.accepted(frame(spark, rows), language.labelled_part(docs)).select("doc_id").collect()}
+    assert sum(k < 100 for k in kept) <= 20 and sum(k >= 100 for k in kept) <= 5
+
+
+def test_every_label_is_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} word{k} text", f"l{k}") for k in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.content) == 300
+    small = language.fit(spark.createDataFrame(rows * 2, "doc_id bigint, text string, lang string"), all_bytes=3000)
+    assert len(small.content) == 300 and all(small.content.values())
+
+
+def test_excerpts_come_from_the_whole_text():
+    text = " ".join(f"word{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(2000))
+    part = language.excerpt(text, 400)
+    assert len(part) <= 404 and part.decode().split()[0] == "worda" and part.decode()[-20:] == " ".join(language.letters(text))[-20:]
+    assert language.excerpt("A b 1 c", 400) == b"a b c"
+
+
 @pytest.mark.parametrize("copies", [1, 4000])
 def test_copies_do_not_thin_the_sample(spark, copies):
     from pyspark.sql import functions as F
 
     few, many = [f"few {'x' * k}" for k in range(50)], [f"many {'y' * k}" for k in range(300)]
     rows = [("f", t) for t in few] + [("m", t) for t in many] + [("f", "few "), ("m", "many ")] * copies
-    got = language.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 256, 200)
+    got = language.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 256, 375, 64_000_000)
+    words = lambda t: " ".join(t.split()).encode()
     hashed = spark.createDataFrame([(t,) for t in many], "t string").orderBy(F.xxhash64("t")).limit(256)
-    assert [t for lang, t in got if lang == "f"] and {t for lang, t in got if lang == "f"} == set(few)
-    assert [t for lang, t in got if lang == "m"] == [r.t for r in hashed.collect()]
+    assert {t for lang, t in got if lang == "f"} == set(map(words, few))
+    assert [t for lang, t in got if lang == "m"] == [words(r.t)[:375] for r in hashed.collect()]
 
 
 def test_language_edges(spark):
@@ -266,7 +331,7 @@ def test_language_edges(spark):
     docs = frame(spark, rows, "doc_id bigint, text string, lang string")
     got = language.identify(docs, docs, keep=["doc_id"]).collect()
     assert len(got) == len(rows)
-    letters = {i: bool(re.search(r"[^\W\d_]", t or "")) for i, (_, t) in enumerate(awkward())}
+    letters = {i: language.has_letters(t) for i, (_, t) in enumerate(awkward())}
     assert all((r.lang_pred == "xx") == letters[r.doc_id] and 0 <= r.score <= 1 for r in got)
     none = language.identify(docs, docs.where("false"), keep=["doc_id"]).collect()
     assert {(r.lang_pred, r.score, r.rejected) for r in none} == {("und", 0.0, True)}

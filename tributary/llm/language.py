@@ -1,70 +1,103 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is made of labelled texts; a text goes to the language whose
-dictionary makes it smallest. The margin between the two smallest sizes, as a share of the text's own bytes, gives the
-score; a narrow margin rejects the text.
-
-Texts and dictionaries are reduced to their runs of letters, lower-cased, so that shouting and ornaments do not count.
-Fitting reads a bounded sample (``docs_per_language`` texts by smallest hash for each of at most ``max_languages``
-labels, ``bytes_per_language`` bytes in the dictionary); prediction reads every whole text and nothing else. Short or
-repetitive texts differ by fractions of a byte that one size cannot show: where the two smallest sizes are equal, sizes
-at the highest level, which also finds matches of three bytes, are added, for the text and for its distinct words one by
-one. What is equal even then falls to the label that sorts first and is rejected.
+dictionary makes it smallest. The margin between the two smallest sizes, as a share of the second, gives the score; a
+narrow margin rejects the text.
+
+Texts and dictionaries are reduced to their runs of letters (Unicode category L), lower-cased, so that shouting and
+ornaments do not count. Short or repetitive texts differ by fractions of a byte that one size cannot show: where the two
+smallest sizes are equal, sizes at the highest level, which also finds matches of three bytes, are added, for the text and
+for its distinct words one by one. What is equal even then falls to the label that sorts first and is rejected.
+
+Fitting reads a bounded sample: for each label the distinct texts of smallest hash, ``docs_per_language`` for the
+dictionary and ``tested_per_language`` to fit the margin, of each text as many bytes as its share of the dictionary, taken
+from ``PLACES`` places spread over all of it. Every label is learned: a dictionary has ``bytes_per_language`` bytes, or, with
+so many labels that all would exceed ``all_bytes``, an equal share of these, ``LEAST_BYTES`` at least. The tested texts are
+classified by the dictionaries, which do not hold them. A text is rejected whose score is at most half of what
+``low_share`` of those classified rightly lie under (half, since whole texts mix more than excerpts do). Prediction reads
+every whole text and nothing else.
 
 Edge cases: a null text or one without letters is ``und`` with score 0 and rejected. With no labelled text at all every
-text is ``und``. Repeated rows give repeated rows. A kept column with a result's name gives way to the result.
+text is ``und``; with one label every text with letters gets it. Repeated rows give repeated rows. A kept column with a
+result's name gives way to the result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
+import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import keep_texts, map_texts, numbered, position, table
+
+#: Places of a sampled text that its share of a dictionary is taken from.
+PLACES = 4
+LEAST_BYTES = 1024
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Least margin, in bytes of compressed size, under which a prediction counts as rejected.
-NARROW = 1
+
+@functools.cache
+def _letter_runs() -> re.Pattern:
+    """Runs of characters of category L: word characters without digits, "_" and other numbers such as fractions."""
+    other = [c for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isdecimal() and unicodedata.category(chr(c))[0] != "L"]
+    return re.compile(r"[^\W\d_" + "".join(map(chr, other)) + "]+")
 
 
 def letters(text: str) -> list[str]:
     """The runs of letters of a text, lower-cased."""
-    return _LETTERS.findall(text.lower())
+    return _letter_runs().findall(text.lower())
+
+
+def has_letters(text: str | None) -> bool:
+    return bool(text) and _letter_runs().search(text) is not None
+
+
+def excerpt(text: str, size: int) -> bytes:
+    """About ``size`` bytes of a text's words, from places spread over the whole of it."""
+    raw = " ".join(letters(text)).encode()
+    if len(raw) <= size:
+        return raw
+    part, out = size // PLACES, []
+    for k in range(PLACES):
+        at = (len(raw) - part) * k // (PLACES - 1)
+        out.append(raw[at : at + part].decode("utf-8", "ignore"))
+    return " ".join(out).encode()
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int, max_languages: int) -> list[tuple[str, str]]:
-    """(label, text) of a bounded sample: the distinct texts of smallest hash for each label.
+def sample(labelled: DataFrame, text_col: str, lang_col: str, wanted: int, share: int | None, all_bytes: int) -> list[tuple[str, bytes]]:
+    """(label, excerpt) of a bounded sample: the distinct texts of smallest hash for each label, in order of hash.
 
-    Each label's rows and distinct texts are counted first, from hashes. A row goes on only if its hash is under a bound
-    that lets about four times the wanted number of distinct texts through, so what is sorted does not grow with the
-    corpus, however many copies it holds; the bound follows the order of the hashes, so it does not change the sample.
+    Each label's distinct texts are counted first, from hashes. A row goes on only if its hash is under a bound that lets
+    about four times the wanted number of distinct texts through, and from then on only its excerpt, so what is sorted
+    and collected does not grow with the corpus, however many copies it holds or how long its texts are; the bound follows
+    the order of the hashes, so it does not change the sample.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    by_place = numbered(labelled)
+    pick = lambda c: by_place[f"__{position(labelled, c)}"]
+    rows = by_place.select(pick(lang_col).cast("string").alias("lang"), pick(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
-    hashes = rows.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    counts = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(2.0, 4 * docs_per_language / r.distinct)))])
-    low = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 < bound[F.col("lang")]).dropDuplicates(["lang", "text"])
-    top = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_language)
-    return [(r.lang, r.text) for r in top.orderBy("lang", "h", "text").select("lang", "text").collect()]
+    size = max(LEAST_BYTES // 4, min(share or all_bytes, all_bytes // (len(counts) * wanted)))
+    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(2.0, 4 * wanted / r.n)))])
+    low = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 < bound[F.col("lang")])
 
+    def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            parts = [excerpt(t, size) for t in x.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column("lang"), x.column("h"), pa.array(parts, pa.binary())], ["lang", "h", "part"])
 
-def dictionaries(rows: list[tuple[str, str]], bytes_per_language: int) -> dict[str, bytes]:
-    """Raw content for each label: pieces of its texts, of about equal length, up to the limit."""
-    by: dict[str, list[bytes]] = {}
-    for lang, text in rows:
-        by.setdefault(lang, []).append(" ".join(letters(text)).encode())
-    out = {}
-    for lang, texts in by.items():
-        share = max(256, bytes_per_language // len(texts))
-        out[lang] = b"\n".join(t[:share] for t in texts)[:bytes_per_language]
-    return out
+    parts = low.mapInArrow(cut_down, "lang string, h bigint, part binary").dropDuplicates(["lang", "h"])
+    top = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= wanted)
+    return [(r.lang, bytes(r.part)) for r in top.orderBy("lang", "h").select("lang", "part").collect() if r.part]
 
 
 class Classifier:
@@ -83,43 +116,92 @@ class Classifier:
         self.compress = [sized(d, level) for d in dicts]
         self.closely = [sized(d, 19) for d in dicts]
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def sizes(self, raw: bytes, words: list[bytes]) -> list[int]:
+        """Compressed size for each label; where the least is no other's, at one level, else with the closer sizes added."""
+        out = [len(c(raw)) for c in self.compress]
+        if len(out) > 1 and sorted(out)[0] == sorted(out)[1]:
+            alone = [b" " + w + b" " for w in dict.fromkeys(words)]
+            out = [s + sum(len(c(w)) for w in [raw, *alone]) for s, c in zip(out, self.closely, strict=True)]
+        return out
+
+    def predict(self, text: str | None, narrow: float = 0.0) -> tuple[str, float, bool]:
         words = letters(text) if text and self.labels else []
         if not words:
             return "und", 0.0, True
         if len(self.labels) == 1:
             return self.labels[0], 1.0, False
         raw = " ".join(words).encode()
-        sizes = [len(c(raw)) for c in self.compress]
-        if sorted(sizes)[0] == sorted(sizes)[1]:
-            alone = [f" {w} ".encode() for w in dict.fromkeys(words)]
-            sizes = [s + sum(len(c(w)) for w in [raw, *alone]) for s, c in zip(sizes, self.closely, strict=True)]
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        best, second = sizes[order[0]], sizes[order[1]]
-        return self.labels[order[0]], min(1.0, (second - best) / max(1, second)), second - best < NARROW
+        label, score = self.nearest(raw)
+        return label, score, score <= narrow
+
+    def nearest(self, raw: bytes) -> tuple[str, float]:
+        """The label that makes the words smallest, and what it saves against the second one, as a share of that one."""
+        sizes = self.sizes(raw, raw.split(b" "))
+        first, second = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))[:2]
+        return self.labels[first], (sizes[second] - sizes[first]) / max(1, sizes[second])
+
+
+class Model(NamedTuple):
+    content: dict[str, bytes]
+    narrow: float
+
+
+def fitted(rows: list[tuple[str, bytes]], docs_per_language: int, bytes_per_language: int, level: int, low_share: float) -> Model:
+    """Dictionaries of each label's first texts, and the margin fitted on the others."""
+    by: dict[str, list[bytes]] = {}
+    for lang, part in rows:
+        by.setdefault(lang, []).append(part)
+    used = {lang: min(docs_per_language, max(1, len(parts) * 4 // 5)) for lang, parts in by.items()}
+    content = {lang: b"\n".join(parts[: used[lang]])[:bytes_per_language] for lang, parts in by.items()}
+    narrow = 0.0
+    if len(content) > 1:
+        c = Classifier(content, level)
+        scores = sorted(score for lang, parts in by.items() for part in parts[used[lang] :] for label, score in [c.nearest(part)] if label == lang)
+        narrow = scores[int(len(scores) * low_share)] / 2 if scores else 0.0
+    return Model(content, narrow)
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, tested_per_language: int = 64, bytes_per_language: int = 96_000, all_bytes: int = 64_000_000, level: int = 6, low_share: float = 0.01) -> Model:
+    """The model of labelled texts; what comes to the driver is ``all_bytes``, or LEAST_BYTES for each label, at most."""
+    rows = sample(labelled, text_col, lang_col, docs_per_language + tested_per_language, bytes_per_language // docs_per_language, all_bytes)
+    return fitted(rows, docs_per_language, bytes_per_language, level, low_share)
 
 
 RESULTS = "lang_pred string, score double, rejected boolean"
 _ready: dict[tuple, Classifier] = {}
 
 
-def identify(df: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, docs_per_language: int = 256, bytes_per_language: int = 96_000, max_languages: int = 200, level: int = 6, only_accepted: bool = False) -> DataFrame:
-    """Predicted language, score and rejection of each text of ``df``, learned from ``labelled``."""
-    content = dictionaries(sample(labelled, text_col, lang_col, docs_per_language, max_languages), bytes_per_language)
-    shipped = df.sparkSession.sparkContext.broadcast(content)  # max_languages * bytes_per_language at most
-    key = (hashlib.sha1(repr(sorted(content.items())).encode()).hexdigest(), level)
+class Shipped:
+    """A model as the tasks see it: broadcast once, compiled once in each worker."""
+
+    def __init__(self, spark, model: Model, level: int):
+        self.value, self.level = spark.sparkContext.broadcast(model), level
+        self.key = (hashlib.sha1(repr((sorted(model.content.items()), model.narrow)).encode()).hexdigest(), level)
 
-    def per_batch(column: pa.Array):
-        if key not in _ready:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        if self.key not in _ready:
             _ready.clear()
-            _ready[key] = Classifier(shipped.value, level)
-        rows = list(map(_ready[key].predict, column.to_pylist()))
-        cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-        return (cols, pa.array([not r[2] for r in rows])) if only_accepted else cols
+            _ready[self.key] = Classifier(self.value.value.content, self.level)
+        return [_ready[self.key].predict(t, self.value.value.narrow) for t in texts]
+
+
+def identify(df: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, level: int = 6, **fitting) -> DataFrame:
+    """Predicted language, score and rejection of each text of ``df``, learned from ``labelled``."""
+    model = Shipped(df.sparkSession, fit(labelled, text_col, lang_col, level=level, **fitting), level)
+
+    def per_batch(column: pa.Array) -> list[pa.Array]:
+        rows = model.predict(column.to_pylist())
+        return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
 
     return map_texts(df, text_col, df.columns if keep is None else keep, RESULTS, per_batch)
 
 
+def accepted(df: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", level: int = 6, **fitting) -> DataFrame:
+    """The rows of ``df`` whose text's language is not rejected; columns as they came."""
+    model = Shipped(df.sparkSession, fit(labelled, text_col, lang_col, level=level, **fitting), level)
+    return keep_texts(df, text_col, lambda column: pa.array([not rejected for _, _, rejected in model.predict(column.to_pylist())], pa.bool_()))
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; rows of remainder 2 are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

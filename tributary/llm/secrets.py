@@ -7,13 +7,14 @@ Base spans are found by three patterns. Beyond them, candidates are decoded and
   that it is encrypted and whose body is whole cipher blocks;
 * ``der``: a bare base64 or hex run that ends in DER whose nested lengths add up to the whole, holding an integer version
   first, as private keys do, or a password-based cipher and its octets (EncryptedPrivateKeyInfo);
-* ``ssh``: a bare base64 run that decodes to the OpenSSH magic, or to length-prefixed fields that begin with a key type.
+* ``ssh``: a bare base64 run that decodes to an OpenSSH private key: the magic, and length-prefixed fields whose number of keys,
+  public parts and private part add up. Public keys (``ssh-rsa AAAA...``) and certificates are no secrets.
 
 Base64 may be of the plain or the url-safe alphabet and wrapped into lines of at least 16 characters; a key starts anywhere
 in a run and ends where a line's run of letters does. Bare wrapped keys inside a reported ``pem`` are not reported again.
 
 Edge cases: a null or empty text has no spans (the digest is that of the empty string). Overlapping spans of several
-kinds are all reported. Columns not named in ``keep`` do not appear; a kept column with a result's name gives way.
+kinds are all reported. An empty table gives no rows. Columns not named in ``keep`` do not appear; a kept column with a result's name gives way.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, table
+from .common import map_texts, replace_texts, table
 
 # The base kinds in their order, with the least length that counts (of group 2, of the match, of the match).
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,12 +39,13 @@ _ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\n]*\S[^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?:MI[A-Za-z0-9+/]|AAAA|b3B)[A-Za-z0-9+/]{36,}={0,2}")
+_BASE64 = re.compile(r"(?:MI[A-Za-z0-9+/]|b3B)[A-Za-z0-9+/]{36,}={0,2}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)?")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-#: Where DER of a SEQUENCE, fields of an SSH key or the OpenSSH magic may start.
-_START = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNz)")
+#: Where DER of a SEQUENCE or the OpenSSH magic may start.
+_START = re.compile(r"(?=M[A-P]|b3BlbnNz)")
 _URL = str.maketrans("-_", "+/")
+_MAGIC = b"openssh-key-v1\0"
 _HEX_RUN = re.compile(r"[0-9a-fA-F]{64,}")
 _HEX_START = re.compile(r"(?=30)")
 #: Password-based ciphers: PKCS #5 and PKCS #12.
@@ -113,26 +115,34 @@ def der_size(head: bytes) -> int:
     return 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
 
 
-def ssh_size(data: bytes, ends: set[int]) -> int:
-    """The bytes of an SSH key at the start of the data whose size in base64 is one of ``ends``; else 0."""
-    fits = lambda n: n <= len(data) and (4 * n + 2) // 3 in ends
-    if data.startswith(b"openssh-key-v1\0"):  # cipher, key derivation, its options, number of keys, these, private part
-        at = 15
-        for _ in range(3):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        for _ in range(min(keys, len(data)) + 1):
-            if at + 4 > len(data):
-                return 0
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at if fits(at) else 0
-    at = fields = 0
-    while at + 4 <= len(data):
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        fields += 1
-        if fields >= 2 and fits(at) and is_ssh_key(data[:at]):
-            return at
-    return 0
+def ssh_size(data: bytes) -> int:
+    """The bytes of an OpenSSH private key at the start of the data; 0 if its fields do not add up.
+
+    Magic; cipher, key derivation and its options; the number of keys; that many public parts, each a field that begins
+    with a key type; the private part.
+    """
+    if not data.startswith(_MAGIC):
+        return 0
+    at = len(_MAGIC)
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    if any(field() is None for _ in range(3)):
+        return 0
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= len(data) // 8:
+        return 0
+    for _ in range(keys):
+        public = field()
+        if public is None or not public[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+            return 0
+    return at if field() is not None else 0
 
 
 def bare_keys(text: str) -> list[tuple[int, int, int]]:
@@ -161,12 +171,11 @@ def bare_keys(text: str) -> list[tuple[int, int, int]]:
                     continue
                 kind = 5
             else:
-                head = unbase64(flat[i : i + 24])
-                if not head.startswith(b"openssh-key-v1\0") and not head[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+                if not unbase64(flat[i : i + 20]).startswith(_MAGIC):
                     continue
-                n = ssh_size(unbase64(flat[i : len(flat) - (len(flat) - i) % 4 * ((len(flat) - i) % 4 == 1)]), {s - i for s in stops})
+                n = ssh_size(unbase64(flat[i : len(flat) - (len(flat) - i) % 4 * ((len(flat) - i) % 4 == 1)]))
                 chars = (4 * n + 2) // 3
-                if not n:
+                if not n or i + chars not in stops:
                     continue
                 kind = 6
             end = place(i + chars - 1) + 1
@@ -190,17 +199,8 @@ def hex_keys(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """The OpenSSH private key magic, or length-prefixed fields that fill the data and begin with a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+    """An OpenSSH private key that fills the data."""
+    return len(data) > 0 and ssh_size(data) == len(data)
 
 
 def is_jwt(text: str) -> bool:
@@ -238,7 +238,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2], m[3])]
     bare: dict[tuple[int, int], int] = {}
-    if "MI" in text or "AAAA" in text or "b3B" in text:
+    if "MI" in text or "b3B" in text:
         for m in _BASE64.finditer(text):
             data = unbase64(m[0])
             if is_der_key(data):
@@ -288,11 +288,7 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with the secrets in ``text_col`` replaced by ``mark``; a null text stays null."""
-
-    def per_batch(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([None if t is None else redacted(t, mark) for t in column.to_pylist()], pa.string())]
-
-    return map_texts(df, text_col, df.columns, f"`{text_col}` string", per_batch).select(*df.columns)
+    return replace_texts(df, text_col, lambda column: pa.array([None if t is None else redacted(t, mark) for t in column.to_pylist()], pa.string()))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from texts import awkward, frame, words_of
 
 from tributary.llm import decontaminate, language, licenses, pieces, secrets, token_counts
@@ -459,11 +460,14 @@ def test_windows_are_found_like_by_brute_force():
 @pytest.mark.parametrize("part_chars", [8_000_000, 40])
 def test_decontamination(spark, part_chars):
     rows = awkward() + [(5, awkward()[5][1])]
-    items = [(1, " ".join(words_of(rows[5][1])[20:60])), (2, "One, two three"), (3, None), (4, ""), (5, "nowhere at all"), (6, "ONE two-three"), (10, "one")]
+    items = [(1, " ".join(words_of(rows[5][1])[20:60])), (2, "One, two three"), (3, None), (4, ""), (5, "nowhere at all"), (6, "ONE two-three"), (10, "one"), (None, "two three four")]
     bench = frame(spark, items, "item_id bigint, text string")
     got = decontaminate.scan(frame(spark, rows), bench, keep=["doc_id"], part_chars=part_chars).collect()
-    want = brute_hits([(str(i), t) for i, t in items], [t for _, t in rows], 10)
+    want = brute_hits([("" if i is None else str(i), t) for i, t in items], [t for _, t in rows], 10)
     expect = sorted((i, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0) for (i, _), (n, h, f) in zip(rows, want, strict=True))
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == expect
     assert decontaminate.scan(frame(spark, rows), bench.where("false"), keep=["doc_id"]).where("contaminated").count() == 0
     assert decontaminate.scan(frame(spark, []), bench, keep=["doc_id"]).count() == 0
+    left = decontaminate.clean(frame(spark, rows).withColumn("items", F.lit("own")), bench, part_chars=part_chars).collect()
+    assert sorted(r.doc_id for r in left) == sorted(i for (i, _), (_, h, _) in zip(rows, want, strict=True) if not h)
+    assert {(r["items"], r.score) for r in left} == {("own", "clash")}

@@ -7,13 +7,13 @@ with every ``SAMPLE``-th suffix position kept. All distinct windows are searched
 narrowing the suffix intervals by wavelet ranks; occurrences are located by stepping back to a kept position. Covered
 words of a document are merged to spans.
 
-The benchmark is taken in parts of at most ``part_chars`` characters; a part is collected and broadcast, and the
-documents pass through one stage for each part, carrying what earlier parts found. So neither a task nor the driver
-holds more than one part.
+The benchmark is taken in parts of at most ``part_chars`` characters. A part is collected and broadcast, the documents pass
+through one stage that adds what it hits, and what was found is written to the shared checkpoint folder before the next part
+is read. So neither a task nor the driver holds more than one part.
 
-Words are compared by 64-bit hashes. Edge cases: null and empty texts have no words and no hits; an item without words
-has no window; an item of fewer than ``size`` words is one window; items with the same text all count. Repeated document
-rows give repeated rows. Columns not named in ``keep`` do not appear; a kept column with a result's name gives way.
+Words are compared by 64-bit hashes of two lanes. Edge cases: null and empty texts have no words and no hits; an item
+without words has no window; an item of fewer than ``size`` words is one window; items with the same text all count. Items
+without an id are one item of an empty id. Repeated document rows give repeated rows. An empty table gives no rows. Columns not named in ``keep`` do not appear; a kept column with a result's name gives way.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ranges, table, utf8, word_hashes
+from .common import carried, chunks, cut, numbered, position, ranges, table, utf8, word_hashes
 
 SAMPLE = 8
 
@@ -242,32 +242,39 @@ def _stage(df: DataFrame, windows) -> DataFrame:
 
 
 def parts(benchmark: DataFrame, id_col: str, text_col: str, part_chars: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's (id as text, text) in parts of about ``part_chars`` characters."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null")
+    """The benchmark's (id as text, text) in parts of about ``part_chars`` characters, at least one."""
+    by_place = numbered(benchmark)
+    item, text = (by_place[f"__{position(benchmark, c)}"].cast("string") for c in (id_col, text_col))
+    rows = by_place.select(F.coalesce(item, F.lit("")).alias("i"), text.alias("t"))
     total = rows.agg(F.sum(F.length("t"))).collect()[0][0] or 0
-    n = -(-total // part_chars)
+    n = max(1, -(-total // part_chars))
     for k in range(n):
-        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "items")
+RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "items"]
 
 
-def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10, part_chars: int = 8_000_000) -> DataFrame:
-    """Words, hit words and items with occurring windows of each document; ``hit_spans`` are pairs of word numbers."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in RESULTS]
-    state = df.select(
-        *[df[c].alias(f"__keep{i}") for i, c in enumerate(keep)],
-        df[text_col].cast("string").alias("__text"),
+def _hits(df: DataFrame, kept: list[int], benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, size: int, part_chars: int) -> DataFrame:
+    """Columns of ``df`` by place, as __keep0, __keep1, ..., and the state columns after all parts."""
+    by_place = numbered(df)
+    state = by_place.select(
+        *[by_place[f"__{i}"].alias(f"__keep{k}") for k, i in enumerate(kept)],
+        by_place[f"__{position(df, text_col)}"].cast("string").alias("__text"),
         F.lit(0).cast("bigint").alias("__words"),
         F.array().cast("array<bigint>").alias("__spans"),
         F.array().cast("array<string>").alias("__items"),
     )
-    some = False
-    for items in parts(benchmark, item_id_col, item_text_col, part_chars):
-        state, some = _stage(state, df.sparkSession.sparkContext.broadcast(Windows(items, size))), True
-    if not some:  # an empty benchmark: the words are still counted
-        state = _stage(state, df.sparkSession.sparkContext.broadcast(Windows([], size)))
+    for k, items in enumerate(parts(benchmark, item_id_col, item_text_col, part_chars)):
+        state = cut(state) if k else state
+        state = _stage(state, df.sparkSession.sparkContext.broadcast(Windows(items, size)))
+    return state
+
+
+def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10, part_chars: int = 8_000_000) -> DataFrame:
+    """Words, hit words and items with occurring windows of each document; ``hit_spans`` are pairs of word numbers."""
+    keep = carried(df.columns if keep is None else keep, RESULTS)
+    state = _hits(df, [position(df, c) for c in keep], benchmark, text_col, item_id_col, item_text_col, size, part_chars)
     hit = F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return state.select(
         *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)],
@@ -281,6 +288,12 @@ def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list
     )
 
 
+def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10, part_chars: int = 8_000_000) -> DataFrame:
+    """The documents that no window of the benchmark hits; columns as they came, whatever their names."""
+    state = _hits(df, list(range(len(df.columns))), benchmark, text_col, item_id_col, item_text_col, size, part_chars)
+    return state.where(F.size("__spans") == 0).select(*[f"__keep{i}" for i in range(len(df.columns))]).toDF(*df.columns)
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.drop("hit_spans", "items")
@@ -289,7 +302,7 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP6_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS_SQL} AS w FROM benchmark),
 v AS (SELECT DISTINCT item, w[s:s + 9] AS win FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM b WHERE len(w) > 0)),
 l AS (SELECT DISTINCT len(win) AS n FROM v),
 p AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, l WHERE len(w) >= n),

@@ -1,15 +1,26 @@
-"""The corpus pipeline: language, near duplicates, benchmark leaks, secrets, and piece encoding, in this order."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, secrets, and piece encoding, in this order.
+
+Each stage takes what its predecessor kept and only drops rows or changes the text; every other column goes through as it
+came, whatever its name. Edge cases: a null text or one without letters has no language and goes at the first stage, so
+later stages see texts with letters only; given such rows directly, the near-duplicate stage keeps them (they belong to
+no class), as do the benchmark and secrets stages, and the last stage gives them no pieces. Rows without an id belong to
+no class of near duplicates and stay; rows that repeat an id and a text stay or go together. Ties in a class go to the
+smallest id. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tributary.llm import decontaminate, jaccard_join, language, pieces, secrets
+from tributary.llm.common import cut, numbered, position
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compression classifier accepts; columns as they came."""
+    """Documents whose language the compression classifier accepts."""
     labelled = language.labelled_part(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return language.identify(docs, labelled, only_accepted=True, keep=docs.columns).select(*docs.columns)
+    return language.accepted(docs, labelled)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,20 +30,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    scanned = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return scanned.where("not contaminated").select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark; n_chars is counted anew."""
-    from pyspark.sql import functions as F
-
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    by_place = numbered(secrets.redact(docs))
+    text, n_chars = (position(docs, c) for c in ("text", "n_chars"))
+    counted = F.length(by_place[f"__{text}"]).cast(docs.schema.fields[n_chars].dataType)
+    return by_place.select(*[counted if i == n_chars else by_place[f"__{i}"] for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document; a small memo, since earlier stages' memory is still held by the executors."""
-    return pieces.encode(docs, keep=["doc_id", "lang", "source", "n_chars"], memo=100_000)
+    """Piece ids of every document."""
+    return pieces.encode(docs, keep=["doc_id", "lang", "source", "n_chars"])
 
 
 STAGES = [
@@ -48,8 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared checkpoint folder before the next."""
-    from tributary.llm.common import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -299,9 +299,11 @@ def test_classes_far_from_the_first_are_compared(spark, monkeypatch, block):
     rows += [(500, middle), (501, changed(middle, 12))]
     df = spark.createDataFrame([(7, i, bytes(x)) for i, x in rows], "path bigint, rep bigint, sketch binary")
     near = jaccard_join.near_for(0.8)
-    got = {r.id: r.root for r in components(jaccard_join.large_edges(df, near)).collect()}
+    compared = jaccard_join.compared_with_first(df)
+    edges = compared.where(compared["close"] >= near).select("a", compared["rep"].alias("b")).union(jaccard_join.rest_edges(compared, near))
+    got = {r.id: r.root for r in components(edges).collect()}
     sketches = np.stack([x for _, x in rows])
-    linked, root = jaccard_join.agreements(sketches) >= near, list(range(len(rows)))
+    linked, root = jaccard_join.agreements(sketches) >= near * jaccard_join.COORDINATES, list(range(len(rows)))
     for _ in rows:
         root = [min(root[j] for j in np.flatnonzero(linked[i])) for i in range(len(rows))]
     every = {rows[i][0]: rows[root[i]][0] for i in range(len(rows)) if linked[i].sum() > 1}
@@ -310,15 +312,31 @@ def test_classes_far_from_the_first_are_compared(spark, monkeypatch, block):
 
 def test_large_buckets_are_split_and_small_ones_are_not(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 4)
-    rng = np.random.default_rng(6)
-    alike = [[1] * 100 + rng.integers(2, 2**31, 28).tolist() for _ in range(40)]
-    rows = [(i, r) for i, r in enumerate(alike)] + [(100 + i, [5] * 128) for i in range(3)] + [(200, [9] * 128)]
-    classes = spark.createDataFrame(rows, "rep bigint, sampled array<int>")
-    small, large, lost = jaccard_join.split_runs(classes, range(0, 3), 0.8)
+    rng, n = np.random.default_rng(6), jaccard_join.COORDINATES
+    # forty that share sampled tokens but not their sketches, three alike, one alone, ten alike
+    loose = [(i, [1] * 100 + rng.integers(2, 2**31, 28).tolist(), bytes(rng.integers(0, 256, n, dtype=np.uint8))) for i in range(40)]
+    tight = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+    rows = loose + [(100 + i, [5] * n, bytes(n)) for i in range(3)] + [(200, [9] * n, bytes(n))] + [(300 + i, [7] * n, tight) for i in range(10)]
+    classes = spark.createDataFrame(rows, "rep bigint, sampled array<int>, sketch binary")
+    small, edges, lost = jaccard_join.split_runs(classes.select("rep", "sampled"), classes.select("rep", "sketch"), range(0, 3), jaccard_join.near_for(0.8), 0.8)
     assert sorted((r.rep, r["count"]) for r in small.where("rep between 100 and 199").groupBy("rep").count().collect()) == [(100, 3), (101, 3), (102, 3)]
-    assert small.where("rep = 200").count() == large.where("rep >= 100").count() == 0
-    assert {r.rep for r in lost.collect()} <= set(range(40)) and all(r.loss > 0 for r in lost.collect())
+    assert small.where("rep >= 200").count() == 0
     assert small.groupBy("path").count().agg({"count": "max"}).collect()[0][0] <= 4
+    found = {(r.a, r.b) for e in edges for r in e.collect()}
+    assert found == {(300, 300 + i) for i in range(1, 10)}  # they end at the bucket's first class
+    assert {r.rep for r in lost.collect()} <= set(range(40)) and all(r.loss > 0 for r in lost.collect())
+
+
+def test_bucket_forest():
+    rng, n = np.random.default_rng(5), jaccard_join.COORDINATES
+    base = rng.integers(0, 256, (6, n), dtype=np.uint8)
+    for sizes_of in ((3, 5, 2), (20, 1, 40), (16, 17, 2)):
+        rows = np.concatenate([base[rng.integers(0, 6, m)] for m in sizes_of])
+        edges, sizes = np.concatenate([[0], np.cumsum(sizes_of)]), rng.integers(90, 110, len(rows))
+        root = jaccard_join.bucket_forest(sizes, rows, edges, 0.6, 0.8)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            for i in range(lo, hi):
+                assert root[i] == min(j for j in range(lo, hi) if (rows[i] == rows[j]).all())
 
 
 def test_pairs_amid_documents_that_share_their_passage(spark):

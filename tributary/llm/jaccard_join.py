@@ -5,11 +5,12 @@ has ``COORDINATES`` sampled tokens: of its tokens the ones that as many hash fun
 share each sampled token with probability s.
 
 A run splits the classes recursively: at a node all members are parted by one of their sampled tokens, which the run and
-the depth choose. A bucket of at most ``SMALL`` classes is not split again but compared by brute force; a larger one is
-split on the next token, ``DEPTH`` times at most. A pair at the threshold t meets in a run in which a class ended at depth
-d with probability t**d, so what each class has missed so far is known from the depths it reached; runs are repeated for
-the classes that have not reached ``recall`` until none is left. What is still large at the last depth agrees in
-``DEPTH`` sampled tokens: it is compared with its first class, and what is not close to that one with the rest, in blocks.
+the depth choose. A bucket of at most ``SMALL`` classes is not split again but compared by brute force. In a larger one
+every class is compared with the first; one so close to it that whatever is at the threshold with it must be near to the
+first too ends there, and the others are split on the next token, ``DEPTH`` times at most, or, at the last depth, compared
+in blocks. A pair at the threshold t meets in a run in which a class ended at depth d with probability t**d, so what each
+class has missed so far is known from the depths it reached; runs are repeated for the classes that have not reached
+``recall`` until none is left.
 
 These comparisons are of sketches (the lowest byte of each sampled token) and keep a pair whose sketches agree as often
 as a pair at the threshold does, less ``SLACK`` standard deviations. Kept pairs connect clusters. Inside a cluster the
@@ -41,9 +42,9 @@ from .components import components
 
 COORDINATES = 128
 #: Classes of a bucket that is compared by brute force, and splits of a larger one at most.
-SMALL, DEPTH = 64, 6
+SMALL, DEPTH = 2048, 6
 #: Runs that all classes take part in.
-RUNS = 12
+RUNS = 14
 #: Classes of a cluster that one task takes together.
 BLOCK = 512
 SLACK = 5.5
@@ -131,12 +132,12 @@ def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def agreements(sketches: np.ndarray) -> np.ndarray:
-    """The same for every two of some sketches."""
+    """The number of equal bytes of every two of some sketches."""
     n = len(sketches)
     out = np.zeros((n, n), np.uint8)
     for column in np.ascontiguousarray(sketches.T):
         out += column[:, None] == column[None, :]
-    return out / COORDINATES
+    return out
 
 
 def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,19 +207,41 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield whole, edges(whole)
 
 
-def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, edges: np.ndarray, near: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of near sketches and fitting set sizes inside each small bucket, by brute force."""
-    many = np.diff(edges)
-    for m in np.unique(many[many > 1]).tolist():
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n things the least one of its component, by the pairs (a, b): labels fall to the least, then jump."""
+    root = np.arange(n)
+    while len(a):
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def bucket_forest(sizes: np.ndarray, sketches: np.ndarray, edges: np.ndarray, near: float, threshold: float) -> np.ndarray:
+    """For each row the least row of its component of near sketches and fitting set sizes inside its bucket, by brute
+    force; rows of a bucket lie together."""
+    many, pairs = np.diff(edges), []
+    fits = lambda x, y: np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-9
+    for m in np.unique(many[(many > 1) & (many <= 16)]).tolist():
         i, j = np.triu_indices(m, 1)
         begin = edges[:-1][many == m]
         step = max(1, 200_000 // len(i))
         for at in range(0, len(begin), step):
             x, y = (begin[at : at + step, None] + i).ravel(), (begin[at : at + step, None] + j).ravel()
-            fit = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-9
-            x, y = x[fit], y[fit]
+            good = fits(x, y)
+            x, y = x[good], y[good]
             good = agreement(sketches[x], sketches[y]) >= near
-            yield ids[x[good]], ids[y[good]]
+            pairs.append((x[good], y[good]))
+    for lo, hi in zip(edges[:-1][many > 16].tolist(), edges[1:][many > 16].tolist(), strict=True):
+        x, y = np.nonzero(np.triu(agreements(sketches[lo:hi]) >= near * COORDINATES, 1))
+        good = fits(lo + x, lo + y)
+        pairs.append((lo + x[good], lo + y[good]))
+    a, b = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
+    return forest(a, b, len(sizes))
 
 
 _EDGE = "a bigint, b bigint"
@@ -229,36 +252,40 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def small_edges(members: DataFrame, near: float, threshold: float) -> DataFrame:
-    """Near pairs inside small buckets (path, rep, n_tokens, sketch)."""
+    """A spanning forest of what is near inside each small bucket (path, rep, n_tokens, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in whole_groups(batches, ["path"]):
             ids, sizes = t.column("rep").to_numpy(), t.column("n_tokens").to_numpy()
-            for a, b in bucket_pairs(ids, sizes, sketch_rows(t.column("sketch")), edges, near, threshold):
-                if len(a):
-                    yield _edges(a, b)
+            root = bucket_forest(sizes, sketch_rows(t.column("sketch")), edges, near, threshold)
+            yield _edges(ids[root[root != np.arange(len(ids))]], ids[root != np.arange(len(ids))])
 
     ordered = members.select("path", "rep", "n_tokens", "sketch").repartition("path").sortWithinPartitions("path", "rep")
     return ordered.mapInArrow(run, _EDGE).distinct()
 
 
-def large_edges(members: DataFrame, near: float) -> DataFrame:
-    """A spanning forest of near sketches in each large bucket (path, rep, sketch).
+def compared_with_first(members: DataFrame) -> DataFrame:
+    """(…, a, close) of the members (path, rep, sketch, …) of large buckets but the first one, a: how close they are to it.
 
-    Every class is compared with the bucket's first one, in ``SALT`` parts. Those that are near to it without standing
-    for it, and those that are far from it, are compared with the far ones, in blocks.
-    """
+    A bucket's members are dealt to ``SALT`` parts, and so is its first one."""
     first = members.groupBy("path").agg(F.min(F.struct("rep", "sketch")).alias("f")).select("path", F.col("f.rep").alias("a"), F.col("f.sketch").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    met = members.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALT))).join(first, ["path", "salt"]).where("rep <> a").select("path", "a", F.col("rep").alias("b"), "first", "sketch")
+    met = members.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALT))).join(first, ["path", "salt"]).where("rep <> a").drop("salt")
+    kept = [c for c in met.columns if c != "first"]
 
-    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
                 close = agreement(sketch_rows(x.column("first")), sketch_rows(x.column("sketch")))
-                yield pa.RecordBatch.from_arrays([x.column(c) for c in ("path", "a", "b", "sketch")] + [pa.array(close)], ["path", "a", "b", "sketch", "close"])
+                yield pa.RecordBatch.from_arrays([x.column(c) for c in kept] + [pa.array(close)], [*kept, "close"])
+
+    schema = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in kept)
+    return met.mapInArrow(run, f"{schema}, close double")
 
-    compared = cut(met.mapInArrow(to_first, "path bigint, a bigint, b bigint, sketch binary, close double"))
-    rest = compared.where(F.col("close") < same_for(near)).select("path", "b", "sketch", (F.col("close") < near).alias("far"))
+
+def rest_edges(compared: DataFrame, near: float) -> DataFrame:
+    """A spanning forest of near sketches among the classes of each bucket that do not end at its first one: those that
+    are near to it without standing for it and those that are far from it are compared with the far ones, in blocks."""
+    rest = compared.where(F.col("close") < same_for(near)).select("path", F.col("rep").alias("b"), "sketch", (F.col("close") < near).alias("far"))
     count = rest.groupBy("path").agg(F.count_if("far").alias("n_far"), F.count("*").alias("n")).where("n_far > 0 and n > 1")
     f_blocks, r_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_far"), F.col("n") - F.col("n_far")))
     rest = rest.join(count.select("path", f_blocks.alias("fb"), r_blocks.alias("rb")), "path")
@@ -267,11 +294,11 @@ def large_edges(members: DataFrame, near: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("far"), F.col("fb") + F.col("rb")).otherwise(F.col("fb")) - 1)).alias("other")
     dealt = rest.withColumn("block", block).select("*", other).select("path", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "b", "far", (F.col("block") > F.col("other")).cast("int").alias("side"), "sketch")
 
-    def to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in whole_groups(batches, ["path", "b1", "b2"]):
             ids, far, side, sketches = t.column("b").to_numpy(), t.column("far").to_numpy(), t.column("side").to_numpy(), sketch_rows(t.column("sketch"))
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                linked = agreements(sketches[x:y]) >= near
+                linked = agreements(sketches[x:y]) >= near * COORDINATES
                 linked &= far[x:y, None] | far[None, x:y]
                 if side[x:y].any():
                     linked &= side[x:y, None] != side[None, x:y]
@@ -279,8 +306,7 @@ def large_edges(members: DataFrame, near: float) -> DataFrame:
                 if (root != at).any():
                     yield _edges(ids[x:y][root[root != at]], ids[x:y][root != at])
 
-    ordered = dealt.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2", "b")
-    return compared.where(F.col("close") >= near).select("a", "b").union(ordered.mapInArrow(to_others, _EDGE))
+    return dealt.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2", "b").mapInArrow(run, _EDGE)
 
 
 def _token(run: Column, depth: int) -> Column:
@@ -289,26 +315,32 @@ def _token(run: Column, depth: int) -> Column:
     return F.get("sampled", F.pmod(start + depth * step, F.lit(COORDINATES)).cast("int"))
 
 
-def split_runs(classes: DataFrame, runs: range, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(small, large, missed) of some runs over classes (rep, sampled): members (path, rep) of buckets with more than one
-    class, and what each class that went deeper than one split loses by that: log((1 - t**d) / (1 - t))."""
+def split_runs(classes: DataFrame, sketch: DataFrame, runs: range, near: float, threshold: float) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(small, edges, missed) of some runs over classes (rep, sampled): members (path, rep) of small buckets with more than
+    one class, near edges in large ones, and what each class that was split again loses by that:
+    log((1 - t**d) / (1 - t))."""
     run = F.explode(F.sequence(F.lit(runs.start), F.lit(runs.stop - 1))).alias("run")
     deeper = F.array(*[_token(F.col("run"), d) for d in range(2, DEPTH + 1)]).alias("tokens")
     state = classes.select("rep", "sampled", run).select("rep", F.xxhash64("run", _token(F.col("run"), 1)).alias("path"), deeper)
-    small, missed = [], []
+    small, edges, missed = [], [], []
     for depth in range(1, DEPTH + 1):
         n = state.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         state = cut(state.join(n, "path"))
         small.append(state.where(F.col("n") <= SMALL).select("path", "rep"))
-        state = state.where(F.col("n") > SMALL)
-        if depth == DEPTH or state.isEmpty():
+        state = state.where(F.col("n") > SMALL).drop("n")
+        if state.isEmpty():
+            break
+        compared = cut(compared_with_first(state.join(sketch.select("rep", "sketch"), "rep")))
+        edges.append(compared.where(F.col("close") >= near).select("a", F.col("rep").alias("b")))
+        if depth == DEPTH:
+            edges.append(rest_edges(compared, near))
             break
-        loss = math.log((1 - threshold ** (depth + 1)) / (1 - threshold**depth))
-        missed.append(state.groupBy("rep").agg((F.count("*") * loss).alias("loss")))
+        state = compared.where(F.col("close") < same_for(near)).select("rep", "path", "tokens")
+        missed.append(state.groupBy("rep").agg((F.count("*") * math.log((1 - threshold ** (depth + 1)) / (1 - threshold**depth))).alias("loss")))
         state = state.select("rep", F.xxhash64("path", F.get("tokens", F.lit(depth - 1))).alias("path"), "tokens")
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
     lost = union(missed).groupBy("rep").agg(F.sum("loss").alias("loss")) if missed else classes.select("rep", F.lit(0.0).alias("loss")).where("false")
-    return union(small), state.select("path", "rep"), lost
+    return union(small), edges, lost
 
 
 def near_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -317,10 +349,8 @@ def near_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     sketch = classes.select("rep", "n_tokens", "sketch")
     alive, runs, found = classes.select("rep", "sampled", F.lit(0.0).alias("had")), range(0, RUNS), []
     while len(runs):
-        small, large, lost = split_runs(alive, runs, threshold)
-        found.append(small_edges(small.join(sketch, "rep"), near, threshold))
-        if not large.isEmpty():
-            found.append(large_edges(large.join(sketch, "rep"), near))
+        small, edges, lost = split_runs(alive, sketch, runs, near, threshold)
+        found += [small_edges(small.join(sketch, "rep"), near, threshold), *edges]
         had = F.col("had") + len(runs) * math.log(1 - threshold) + F.coalesce("loss", F.lit(0.0))
         alive = cut(alive.join(lost, "rep", "left").select("rep", "sampled", had.alias("had")).where(F.col("had") > owed))
         left = alive.agg(F.max("had")).collect()[0][0]

@@ -69,10 +69,10 @@ def test_similarity_is_the_matchers(spark):
     ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
     items = spark.createDataFrame([(a, a) for a in needles], "key string, needle string")
     targets = spark.createDataFrame([(c, c) for c in candidates], "target string, qualified string")
-    for least in (0.0, 0.6):
+    for least in (0.3, 0.6):
         got = linking.fuzzy_scores(items, targets, least)
         assert {(r.key, r.target): r.score for r in got.collect()} == {(a, c): ratio(a, c) for a in needles for c in candidates if ratio(a, c) >= least}
-    best = {r.key: r for r in linking.best_and_runner_up(linking.fuzzy_scores(items, targets)).collect()}
+    best = {r.key: r for r in linking.best_and_runner_up(linking.best_candidates(items, targets)).collect()}
     for a in needles:
         order = sorted(candidates, key=lambda c: (-ratio(a, c), c))
         assert (best[a].target, best[a].score, best[a].runner_up) == (order[0], ratio(a, order[0]), ratio(a, order[1]))

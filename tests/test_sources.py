@@ -130,7 +130,7 @@ def test_declared_models(spark):
 
 def test_m_and_dax(spark):
     m = spark.createDataFrame([(1, 'S{[Item="T",Schema="s"]} // {[Schema="n",Item="n"]}'), (2, 'Sql.Database("a","b",[Query="SELECT 1 FROM q.t#(lf) JOIN ""w"".z ON 1=1"])')], "id int, expression string")
-    assert rows(models.m_sources(m).select("id", "schema_name", "name", "raw_kind")) == [(1, "s", "T", "navigation"), (2, "q", "t", "native_query"), (2, "w", "z", "native_query")]
+    assert rows(models.m_sources(m).select("id", "schema_name", "name", "raw_kind")) == [(1, "s", "t", "navigation"), (2, "q", "t", "native_query"), (2, "w", "z", "native_query")]
     d = spark.createDataFrame([(1, "VAR x = [A] RETURN [B] + 'T t'[C] + U[D] & \"[no]\" -- [no]")], "id int, expression string")
     assert rows(models.dax_refs(d).select("table_name", "name")) == [("", "A"), ("", "B"), ("T t", "C"), ("U", "D")]
 

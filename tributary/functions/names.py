@@ -12,10 +12,10 @@ FILE_KINDS = [
     ("bim", r"(?i)\.bim$"),
     ("pbix", r"(?i)\.pbix$"),
     ("pbir_definition", r"(?i)(^|/)definition\.pbir$"),
-    ("pbir_visual", r"(?i)(^|/)visual\.json$"),
-    ("pbir_page", r"(?i)(^|/)page\.json$"),
-    ("pbir_report", r"(?i)(^|/)definition/report\.json$"),
-    ("report_json_legacy", r"(?i)(^|/)report\.json$"),
+    ("pbir_visual", r"definition/pages/[^/]+/visuals/[^/]+/visual\.json$"),
+    ("pbir_page", r"definition/pages/[^/]+/page\.json$"),
+    ("pbir_report", r"(^|/)definition/report\.json$"),
+    ("report_json_legacy", r"(?i)^(?!(?:.*/)?(?-i:definition)/)(?:.*/)?report\.json$"),
 ]
 
 #: Edge types whose data flow runs from target to source.
@@ -119,3 +119,52 @@ def flow(edge_type: Column, source: Column, target: Column) -> tuple[Column, Col
     """(up, down) ends of an edge in the direction of the data."""
     against = edge_type.isin(*AGAINST)
     return F.when(against, target).otherwise(source), F.when(against, source).otherwise(target)
+
+
+def auto_date_entity(entity: Column) -> Column:
+    """Whether a table is one of the hidden ones that a model makes for every date column."""
+    return F.coalesce(F.lower(entity).rlike(r"^(localdatetable_|datetabletemplate_)[0-9a-f-]{8,}$"), F.lit(False))
+
+
+def _root(path: Column, suffix: str, plain: Column) -> Column:
+    marked = F.regexp_extract(path, rf"(?i)^((?:[^/]+/)*?[^/]*\.{suffix})(?:/|$)", 1)
+    before = F.regexp_extract(path, r"^((?:[^/]+/)*?[^/]+)/definition/", 1)
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    first = F.element_at(F.split(path, "/"), 1)
+    root = F.when(marked != "", marked).when(before != "", before).otherwise(F.when(path.contains("/"), first).otherwise(""))
+    name = F.when(marked != "", F.substring(last(marked), F.lit(1), F.length(last(marked)) - len(suffix) - 1)).when(before != "", last(before)).otherwise(plain)
+    return F.struct(root.alias("root"), name.alias("name"))
+
+
+def model_root(path: Column) -> Column:
+    """``struct<root, name>`` of the model that a file belongs to: its .SemanticModel folder, else what holds ``definition``."""
+    return _root(path, "semanticmodel", F.regexp_replace(F.element_at(F.split(path, "/"), 1), r"\.[^.]*$", ""))
+
+
+def report_root(path: Column) -> Column:
+    """The same of a report, by its .Report folder."""
+    return _root(path, "report", F.element_at(F.split(path, "/"), 1))
+
+
+def shortened(code: Column, limit: int = 100_000) -> Column:
+    """Source code as it is shown: its first ``limit`` characters (a display limit of the pages, 100,000 by rule)."""
+    return F.left(code, F.lit(limit))
+
+
+def md_text(c: Column) -> Column:
+    """Text outside of tables: HTML and Markdown signs made harmless."""
+    out = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.regexp_replace(out, r"([\\`*_\[\]])", r"\\$1")
+
+
+def inline_code(c: Column) -> Column:
+    """Code in a line, in as many backticks as it needs."""
+    runs = F.transform(F.regexp_extract_all(c, F.lit("(`+)"), F.lit(1)), lambda x: F.length(x))
+    n = F.when(F.size(runs) > 0, F.array_max(runs)).otherwise(0) + 1
+    edge = F.when(c.startswith("`") | c.endswith("`"), F.lit(" ")).otherwise("")
+    return F.concat(F.repeat(F.lit("`"), n), edge, c, edge, F.repeat(F.lit("`"), n))
+
+
+def html_attribute(c: Column) -> Column:
+    """A value between double quotes of HTML."""
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))

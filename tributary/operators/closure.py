@@ -15,7 +15,8 @@ def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: i
     root has not met; each round is one join, one distinct and one anti join, and is cut to files.
     """
     here, there = ("up", "down") if direction == "down" else ("down", "up")
-    steps = cut(flow.select(F.col(here).alias("here"), F.col(there).alias("node")).distinct())
+    # dealt by where a step begins, once for all rounds
+    steps = cut(flow.select(F.col(here).alias("here"), F.col(there).alias("node")).distinct().repartition("here"))
     front = cut(roots.select("root").distinct().select("root", F.col("root").alias("node")))
     seen, found, level = front, [], 0
     while depth is None or level < depth:
@@ -44,3 +45,8 @@ def column_trace(columns: DataFrame, roots: DataFrame, depth: int | None = None)
     """(root, node, depth) over column-level lineage (node_id, col, src_id, src_col); nodes are ``id.column``."""
     step = columns.select(F.concat_ws(".", "src_id", "src_col").alias("up"), F.concat_ws(".", "node_id", "col").alias("down"))
     return closure(step, roots, "up", depth)
+
+
+def sources_union(lineage: DataFrame) -> DataFrame:
+    """(node_id, col, sources): the sorted set of what all writers of a column read for it; lineage (node_id, col, source)."""
+    return lineage.groupBy("node_id", "col").agg(F.array_sort(F.collect_set("source")).alias("sources"))

@@ -85,3 +85,14 @@ def collapse(edges: DataFrame, parents: DataFrame) -> DataFrame:
     """Edges of children moved up to their top ancestor by (child, parent); links between child and parent vanish."""
     top = parents.join(parents.select(F.col("child").alias("parent"), F.col("parent").alias("grand")), "parent", "left")
     return rename_ends(edges, top.select(F.col("child").alias("old"), F.coalesce("grand", "parent").alias("new")))
+
+
+def metadata_merge(entries: DataFrame) -> DataFrame:
+    """(id, key, value) of metadata entries (id, key, value, ord): the first contribution that has a key gives its value."""
+    return entries.groupBy("id", "key").agg(F.min_by("value", "ord").alias("value"))
+
+
+def rewrite_columns(lineage: DataFrame, renamed: DataFrame) -> DataFrame:
+    """Column lineage (…, table_id, …) with its tables moved by (old, new), each row once."""
+    moved = lineage.join(renamed.select(F.col("old").alias("table_id"), F.col("new").alias("__new")), "table_id", "left")
+    return moved.withColumn("table_id", F.coalesce("__new", "table_id")).select(*lineage.columns).distinct()

@@ -51,3 +51,9 @@ def layer_heuristic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     written = edges.where("edge_type in ('writes', 'defines')").select(F.col("target_id").alias("id"))
     loose = nodes.where("layer is null and node_type = 'gold_table' and source_file = ''")
     return loose.join(written, "id", "left_anti").select("id")
+
+
+def unclassified(nodes: DataFrame, heuristic: DataFrame, any_rule: bool) -> DataFrame:
+    """Info rows for tables (id) that only the heuristic gave a layer, where layer rules are configured at all."""
+    w = nodes.join(heuristic.select("id"), "id", "left_semi")
+    return w.where(F.lit(any_rule)).select(F.col("id").alias("file"), F.lit("no layer rule fits this table").alias("message"), F.lit("layer_unclassified").alias("category"))

@@ -44,34 +44,66 @@ def similarity(needle: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float = 0.0) -> DataFrame:
-    """(key, target, score) of items (key, needle) and candidates (target, qualified) whose ratio can reach ``least``.
+def _bag(c):
+    """How often each character stands in a text."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(F.array_distinct(chars), lambda x: F.struct(x.alias("ch"), F.size(F.filter(chars, lambda y: y == x)).alias("n")))
 
-    A ratio is at most 2 * shared characters / total length, so lengths and the count of equal characters bound it before
-    the matcher runs. Items and candidates meet by their length bands; without a least score every candidate is compared
-    with every item (a given set of searches), candidates dealt out to ``SPREAD`` parts.
+
+def _most(left, right, ln, lc):
+    """What no ratio of two texts exceeds: twice the characters that they share, in any order, over all of them."""
+    shared = F.aggregate(left, F.lit(0), lambda s, x: s + F.least(x["n"], F.coalesce(F.aggregate(F.filter(right, lambda y: y["ch"] == x["ch"]), F.lit(0), lambda t, y: t + y["n"]), F.lit(0))))
+    return F.when(ln + lc > 0, 2.0 * shared / F.greatest(ln + lc, F.lit(1))).otherwise(1.0)
+
+
+def _bags(items: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    i = items.select("key", "needle", F.length("needle").alias("ln"), _bag(F.col("needle")).alias("bi"))
+    return i, candidates.select("target", "qualified", F.length("qualified").alias("lc"), _bag(F.col("qualified")).alias("bc"))
+
+
+def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """(key, target, score) of items (key, needle) and candidates (target, qualified) whose ratio reaches ``least`` (over 0).
+
+    Items and candidates meet by bands of length that the ratio implies, and the matcher only runs where the characters
+    that both hold could reach it.
     """
-    i = items.select("key", "needle", F.length("needle").alias("ln"))
-    c = candidates.select("target", "qualified", F.length("qualified").alias("lc"))
-    if least > 0:
-        width = 8
-        bands = F.sequence(F.floor(F.col("ln") * least / (2 - least) / width), F.floor(F.col("ln") * (2 - least) / least / width))
-        pairs = i.withColumn("band", F.explode(bands)).join(c.withColumn("band", F.floor(F.col("lc") / width)), "band").where(2 * F.least("ln", "lc") >= least * (F.col("ln") + F.col("lc")))
-    else:
-        every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-        pairs = i.withColumn("band", every).join(c.withColumn("band", F.pmod(F.hash("target"), F.lit(SPREAD))), "band")
+    if least <= 0:
+        raise ValueError("use best_candidates for scores without a bound")
+    i, c = _bags(items, candidates)
+    width = 8
+    bands = F.sequence(F.floor(F.col("ln") * least / (2 - least) / width), F.floor(F.col("ln") * (2 - least) / least / width))
+    pairs = i.withColumn("band", F.explode(bands)).join(c.withColumn("band", F.floor(F.col("lc") / width)), "band")
+    pairs = pairs.where((2 * F.least("ln", "lc") >= least * (F.col("ln") + F.col("lc"))) & (_most(F.col("bi"), F.col("bc"), F.col("ln"), F.col("lc")) >= least - 1e-9))
     return pairs.select("key", "target", similarity("needle", "qualified").alias("score")).where(F.col("score") >= least)
 
 
+def best_candidates(items: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+    """(key, target, score, rank) of the k best of all candidates for each item, whatever their scores.
+
+    Items are a stated set of searches (those left for review); candidates are dealt out to SPREAD parts and each part
+    bounds every ratio by shared characters. The k-th ratio of the k best-bounded candidates is a floor; the matcher runs
+    only where the bound reaches it.
+    """
+    i, c = _bags(items, candidates)
+    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    pairs = i.withColumn("part", every).join(c.withColumn("part", F.pmod(F.hash("target"), F.lit(SPREAD))), "part")
+    bound = pairs.select("key", "target", "needle", "qualified", _most(F.col("bi"), F.col("bc"), F.col("ln"), F.col("lc")).alias("most"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("most"), "target"))
+    seeds = bound.withColumn("r", first).where(F.col("r") <= k).select("key", similarity("needle", "qualified").alias("s"))
+    floor = seeds.groupBy("key").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(0.0).alias("floor"))
+    wanted = bound.join(floor, "key").where(F.col("most") >= F.col("floor") - 1e-9)
+    return top_candidates(wanted.select("key", "target", similarity("needle", "qualified").alias("score")), k)
+
+
 def top_candidates(scores: DataFrame, k: int = 10) -> DataFrame:
     """The k best candidates of each item, ties to the lesser id."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "target"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def best_and_runner_up(scores: DataFrame) -> DataFrame:
-    """(key, target, score, runner_up): the best candidate and the next score (0 if there is none)."""
-    two = top_candidates(scores, 2)
+def best_and_runner_up(ranked: DataFrame) -> DataFrame:
+    """(key, target, score, runner_up) of ranked candidates: the best one and the next score (0 if there is none)."""
+    two = ranked.where(F.col("rank") <= 2)
     return two.groupBy("key").agg(F.min_by("target", "rank").alias("target"), F.max("score").alias("score"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("runner_up"))
 
 
@@ -79,11 +111,19 @@ def ladder(items: DataFrame, decisions: DataFrame, exact: DataFrame, rule: DataF
     """(key, target, method): each item on the first rung that holds it.
 
     ``decisions`` (key, target, signature): a changed signature sends the item to review; a null target marks it external.
+    A decision without a signature is compared by ``legacy`` (items) with ``published`` (decisions), where both have it.
     """
-    d = decisions.select("key", F.col("target").alias("d_target"), F.col("signature").alias("d_signature"), F.lit(True).alias("decided"))
+    for df, c in ((items, "legacy"), (decisions, "published")):
+        if c not in df.columns:
+            if df is items:
+                items = items.withColumn(c, F.lit(None).cast("string"))
+            else:
+                decisions = decisions.withColumn(c, F.lit(None).cast("string"))
+    d = decisions.select("key", F.col("target").alias("d_target"), F.col("signature").alias("d_signature"), F.col("published").alias("d_published"), F.lit(True).alias("decided"))
     out = items.join(d, "key", "left").join(exact.withColumnRenamed("target", "e_target"), "key", "left").join(rule.withColumnRenamed("target", "r_target"), "key", "left")
     decided = F.coalesce("decided", F.lit(False))
-    stale = decided & F.col("d_signature").isNotNull() & ~F.col("d_signature").eqNullSafe(F.col("signature"))
+    signed = F.col("d_signature").isNotNull()
+    stale = decided & ((signed & ~F.col("d_signature").eqNullSafe(F.col("signature"))) | (~signed & F.coalesce(F.col("d_published") != F.col("legacy"), F.lit(False))))
     rungs = [
         (stale, F.lit(None), "review"),
         (decided & F.col("d_target").isNull(), F.lit(None), "external"),
@@ -115,3 +155,19 @@ def unmatched_decisions(decisions: DataFrame, items: DataFrame, nodes: DataFrame
 def source_signatures(sources: DataFrame) -> DataFrame:
     """(table_id, qualified, signature): the hash of the sorted definitions of each table's source of one name."""
     return sources.groupBy("table_id", "qualified").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("definition")), ",").cast("binary"), 256).alias("signature"))
+
+
+def decision_warnings(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(file, message, category) of used decisions whose source changed, or that carry no signature to tell."""
+    j = items.join(decisions.select("key", F.col("signature").alias("d_signature")), "key")
+    changed = F.col("d_signature").isNotNull() & ~F.col("d_signature").eqNullSafe(F.col("signature"))
+    category = F.when(changed, "cache_source_changed").when(F.col("d_signature").isNull(), "cache_source_unverified")
+    text = F.when(changed, "the source changed since it was linked").otherwise("the link carries no signature of its source")
+    return j.select(F.col("key").alias("file"), text.alias("message"), category.alias("category")).where("category is not null")
+
+
+def carried_reviews(reviews: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(open, retired) of review markers (key, since) after a run (key, target, method): an item that is still in review or
+    pending keeps its old marker, a new one gets none yet, and markers of settled or vanished items retire."""
+    waiting = results.where(F.col("method").isin("review", "pending")).select("key", "method")
+    return waiting.join(reviews, "key", "left").select("key", "method", "since"), reviews.join(waiting, "key", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ INFOS = ["layer_unclassified", "select_star_view", "unclassified_file"]
 OMISSIONS = ["crawl_incomplete", "file_unreadable", "file_too_large", "symlink_escape"]
 STRICT = ["regex_fallback", "dynamic_sql", "unresolved_partition_source", "ambiguous_visual_binding"]
 STATES = ["unresolved", "missing", "partial", "unknown", "external"]
+FACTS = {
+    "unresolved": ["unresolved", "skipped", "partition_source_unresolved", "declared_model_unresolved", "pbix_model_opaque"],
+    "missing": ["source_missing"],
+    "partial": ["fuzzy_resolution", "dynamic_sql_untraced", "dax_refs_heuristic", "columns_unresolved", "cache_source_unverified"],
+    "external": ["external_source"],
+}
 
 
 def severity_of(category: Column) -> Column:
@@ -66,15 +74,15 @@ def source_coverage(files: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def evidence_state(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """The state of the evidence of each group of nodes: the worst of what its nodes show, else complete."""
-    show = {
-        "unresolved": "unresolved or skipped",
-        "missing": "source_missing",
-        "partial": "dynamic_sql_untraced or parse_quality = 'regex_fallback' or columns_unresolved",
-        "unknown": "source_file = '' and node_type in ('bronze_table', 'silver_table', 'gold_table', 'view', 'stored_proc')",
-        "external": "external_source",
-    }
-    flags = nodes.groupBy(*by).agg(*[F.coalesce(F.bool_or(F.expr(show[s])), F.lit(False)).alias(s) for s in STATES])
+    """The state of the evidence of each group of nodes: the worst of what its nodes show, else complete. Facts that the
+    nodes have no column for are not there."""
+    has = lambda name: F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in nodes.columns else F.lit(False)
+    any_of = lambda names: functools.reduce(lambda a, b: a | b, map(has, names))
+    by_regex = F.coalesce(F.col("parse_quality") == "regex_fallback", F.lit(False)) if "parse_quality" in nodes.columns else F.lit(False)
+    sql = F.col("node_type").isin("bronze_table", "silver_table", "gold_table", "view", "stored_proc")
+    show = {state: any_of(names) for state, names in FACTS.items()} | {"unknown": (F.col("source_file") == "") & sql}
+    show["partial"] = show["partial"] | by_regex
+    flags = nodes.groupBy(*by).agg(*[F.coalesce(F.bool_or(show[s]), F.lit(False)).alias(s) for s in STATES])
     state = F.lit("complete")
     for s in reversed(STATES):
         state = F.when(F.col(s), F.lit(s)).otherwise(state)
@@ -182,15 +190,67 @@ def loaded_by(sources: DataFrame, links: DataFrame, names: DataFrame) -> DataFra
     return hits.join(links.select("table_id").distinct().withColumn("linked", F.lit(True)), "table_id", "left").select("query", "table_id", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
+def _grams(c: Column, size: Column) -> Column:
+    """The distinct pieces of a text of a size, or none."""
+    return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(c, i, size)))).otherwise(F.array())
+
+
+def _holding(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id) of nodes (id, full) whose id or full name holds the query's text k, by an index of three characters.
+
+    A query is looked up under the rarest of its pieces, so only nodes that hold this one are compared. Shorter queries are
+    pieces themselves.
+    """
+    sizes = [F.lit(1), F.lit(2), F.lit(3)]
+    index = nodes.select("id", "full", F.explode(F.array_distinct(F.concat(*[_grams(c, s) for s in sizes for c in (F.lower("id"), F.col("full"))]))).alias("gram"))
+    size = F.least(F.length("k"), F.lit(3))
+    looked = queries.where("k <> ''").select("query", "k", F.explode(_grams(F.col("k"), size)).alias("gram"))
+    often = index.join(looked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = looked.join(often, "gram", "left").groupBy("query", "k").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = rarest.join(index, "gram").where(F.contains(F.lower("id"), F.col("k")) | F.contains("full", F.col("k")))
+    return hits.select("query", "id")
+
+
 def match_nodes(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id): lookup by exact id, else by exact name, else by substring; the first step with hits counts."""
+    """(query, id): lookup by exact id, else by exact name, else by substring; the first step with hits counts. An empty
+    query has none."""
     n = nodes.select("id", F.lower("name").alias("n"), F.lower(F.concat_ws(".", "schema_name", "name")).alias("full"))
     q = queries.select("query", F.lower("query").alias("k"))
     by_id = q.join(n.select("id", F.lower("id").alias("k")), "k").select("query", "id", F.lit(1).alias("step"))
     by_name = q.join(n.select("id", F.explode(F.array_distinct(F.array("n", "full"))).alias("k")), "k").select("query", "id", F.lit(2).alias("step"))
     exact = by_id.unionByName(by_name)
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    inside = n.join(rest, n["id"].contains(rest["k"]) | n["full"].contains(rest["k"])).select("query", "id", F.lit(3).alias("step"))
+    inside = _holding(n, rest).select("query", "id", F.lit(3).alias("step"))
     every = exact.unionByName(inside)
     least = every.groupBy("query").agg(F.min("step").alias("step"))
     return every.join(least, ["query", "step"]).select("query", "id").distinct()
+
+
+def diagnostics_json(warnings: DataFrame) -> DataFrame:
+    """The diagnostics as JSON lines in order (ord, value): the counts by severity first, then one line for each finding."""
+    w = diagnostics_rows(warnings)
+    counts = severity_counts(warnings).groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_counts"))
+    head = counts.select(F.struct(F.lit(-1).alias("severity_rank"), F.lit("").alias("category"), F.lit("").alias("file"), F.lit("").alias("message")).alias("ord"), F.to_json(F.struct("severity_counts")).alias("value"))
+    rows = w.select(F.struct("severity_rank", "category", "file", "message").alias("ord"), F.to_json(F.struct("category", "file", "message", "severity")).alias("value"))
+    return head.unionByName(rows)
+
+
+def findings_json(warnings: DataFrame) -> DataFrame:
+    """One JSON line for each finding with the keys of the exchange format: rule, severity, message, file, line, object."""
+    w = diagnostics_rows(warnings)
+    return w.select(F.struct("severity_rank", "category", "file", "message").alias("ord"), F.to_json(F.struct(F.col("category").alias("rule"), "severity", "message", "file", F.lit(0).alias("line"), F.lit("").alias("object"))).alias("value"))
+
+
+def diagnostics_markdown(warnings: DataFrame) -> DataFrame:
+    """Lines (ord, value) of the diagnostics page: a table of counts, then a table of findings for each category."""
+    from ..functions.names import md_cell
+
+    rank = severity_rank(F.col("category"))
+    blank = F.lit("")
+    line = lambda rows, a, b, c, d, e, value: rows.select(F.struct(a.alias("part"), b.alias("rank"), c.alias("category"), d.alias("step"), e.alias("file"), F.col("__m").alias("message") if "__m" in rows.columns else blank.alias("message")).alias("ord"), value.alias("value"))
+    w = warnings.select("file", F.col("message").alias("__m"), "category", rank.alias("r"), severity_of(F.col("category")).alias("severity"))
+    counts, cats = w.groupBy("r", "severity").agg(F.count("*").alias("n")), w.groupBy("r", "severity", "category").agg(F.count("*").alias("n"))
+    out = line(counts, F.lit(1), F.col("r"), blank, F.lit(0), blank, F.concat(F.lit("| "), "severity", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")))
+    out = out.unionByName(line(cats, F.lit(2), F.col("r"), F.col("category"), F.lit(0), blank, F.concat(F.lit("### `"), "category", F.lit("` ("), F.col("n").cast("string"), F.lit(")"))))
+    out = out.unionByName(line(w, F.lit(2), F.col("r"), F.col("category"), F.lit(1), F.col("file"), F.concat(F.lit("| "), md_cell(F.col("file")), F.lit(" | "), md_cell(F.col("__m")), F.lit(" |"))))
+    return out

@@ -1,9 +1,11 @@
-"""Lineage from SQL texts by patterns, in column expressions only.
+"""Lineage from SQL texts by patterns, in column expressions over a mask of the text.
 
-This is the pattern layer: texts are freed of comments and string literals, split at GO lines and semicolons, and each
-statement's targets and sources are found by their keywords. It never guesses: names of common table expressions and
-aliases, temporary tables and variables are no tables, and statements that build their SQL at run time only give a
-warning.
+This is the pattern layer: a text is masked once (``functions.masks``), split at GO lines and semicolons, and each
+statement's targets and sources are found by their keywords, all in one projection. It never guesses: names of common table
+expressions and aliases, temporary tables, variables, cursors and built-in row sources are no tables, and statements that
+build their SQL at run time only give a warning. No pattern repeats a group without a bound, so texts of any length match.
+
+Not seen: a table that stands behind a comma after a derived table (``FROM (...) d, t``).
 """
 
 from __future__ import annotations
@@ -11,59 +13,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.masks import sql_mask, unmasked
 from ..functions.names import normalize_identifier, qualify
 
-_PART = r'(?:\[[^\]]+\]|"[^"]+"|[A-Za-z_@#][\w@#$]*)'
-_NAME = rf"({_PART}(?:\s*\.\s*{_PART})*)"
-# What is written stands after these keywords, what is read after those.
-WRITES = r"\b(?:INSERT\s+INTO|MERGE(?:\s+INTO)?|UPDATE|INTO|DELETE\s+FROM|TRUNCATE\s+TABLE)\s+"
-READS = r"\b(?:FROM|JOIN|USING|CLONE\s+OF)\s+"
-DYNAMIC = r"(?i)\bsp_executesql\b|\bEXEC(?:UTE)?\s*\("
-_WORDS = {"select", "where", "set", "values", "on", "as", "inner", "left", "right", "full", "cross", "join", "group", "order", "with", "when", "output", "into"}
-
-
-def scrubbed(sql: Column) -> Column:
-    """Text without comments and with empty string literals (comments that nest are removed from the inside out)."""
-    out = F.regexp_replace(sql, r"('(?:[^']|'')*')|--[^\n]*", "$1")
-    for _ in range(3):
-        out = F.regexp_replace(out, r"/\*(?:(?!/\*|\*/)[\s\S])*\*/", " ")
-    return F.regexp_replace(out, r"'(?:[^']|'')*'", "''")
+_LETTER = r"A-Za-z_@#\x{80}-\x{2FFF}\x{3001}-\x{DFFF}\x{F900}-\x{FFEF}"
+_PART = rf'(?:\[[^\]]*+\]|"[^"]*+"|[{_LETTER}][{_LETTER}0-9$]*+)'
+_NAME = rf"{_PART}(?:\s*+\.\s*+{_PART}){{0,3}}"
+_AS = rf"(?:\s+(?:AS\s+)?({_PART}))?"
+#: A keyword of code: not a part of a name.
+_KEY = rf'(?<![\[".{_LETTER}0-9$])'
+# What is written stands after these keywords, what is read after those; what ends a list of tables.
+WRITES = r"(?:INSERT(?:\s+INTO)?|MERGE(?:\s+INTO)?|UPDATE|INTO|DELETE(?:\s+FROM)?|TRUNCATE\s+TABLE)"
+LISTS = r"(?:FROM|USING)"
+SINGLE = r"(?:JOIN|CLONE\s+OF|APPLY)"
+ENDS = "WHERE GROUP ORDER HAVING UNION EXCEPT INTERSECT INNER LEFT RIGHT FULL CROSS OUTER JOIN ON SELECT WHEN SET FOR OPTION VALUES OUTPUT WITH INSERT UPDATE DELETE MERGE EXEC EXECUTE DECLARE RETURN END BEGIN IF ELSE WHILE FROM USING GO PIVOT UNPIVOT TABLESAMPLE".split()
+NO_NAMES = [w.lower() for w in ENDS] + ["as", "into", "top", "statistics", "table", "distinct", "all", "not", "exists", "and", "or", "cascade", "of"]
+DYNAMIC = r"(?i)\bsp_executesql\b|\bexec(?:ute)?\s*\("
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(repo_key, path, batch, stmt, sql): statements of each file, split at GO lines and semicolons."""
-    batch = F.posexplode(F.split(scrubbed(F.col("text")), r"(?im)^[ \t]*GO[ \t]*$")).alias("batch", "part")
-    b = files.select("repo_key", "path", batch)
+    """(repo_key, path, batch, stmt, sql): masked statements of each file (…, text), split at GO lines and semicolons."""
+    batch = F.posexplode(F.split(F.col("mask"), r"(?im)^[ \t]*+GO[ \t]*+\r?$")).alias("batch", "part")
+    b = files.select("repo_key", "path", sql_mask("text").alias("mask")).select("repo_key", "path", batch)
     return b.select("repo_key", "path", "batch", F.posexplode(F.split("part", ";")).alias("stmt", "sql")).where("trim(sql) <> ''")
 
 
-def _names(sql: Column, keywords: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(sql, F.lit("(?i)" + keywords + _NAME), F.lit(1)))
+def _found(sql: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(sql, F.lit("(?i)" + pattern), F.lit(group))
+
+
+def _bare(name: Column) -> Column:
+    return ~F.contains(name, F.lit("."))
+
+
+def _source(element: Column) -> Column:
+    """``struct<raw, alias>`` of an element of a list of tables; null for what is no table."""
+    raw = F.regexp_extract(element, rf"(?i)^\s*+({_NAME})", 1)
+    call = element.rlike(rf"(?i)^\s*+{_NAME}\s*+\(")
+    alias = F.regexp_extract(element, rf"(?i)^\s*+{_NAME}{_AS}", 1)
+    good = (raw != "") & ~(call & _bare(raw)) & ~(_bare(raw) & F.lower(raw).isin(NO_NAMES))
+    return F.when(good, F.struct(raw.alias("raw"), F.when(F.lower(alias).isin(NO_NAMES) | call, "").otherwise(normalize_identifier(alias)).alias("alias")))
+
+
+def sources_of(sql: Column) -> Column:
+    """``array<struct<raw, alias>>`` of the tables that a masked statement reads from."""
+    sql = F.regexp_replace(sql, r"(?i)\b(trim|extract|substring|overlay)\s*+\(([^()]*?)\bfrom\b", "$1($2,")
+    sql = F.regexp_replace(sql, rf"(?i){_KEY}fetch\s+(?:(?:next|prior|first|last)\s+)?from\s+{_PART}", " ")
+    sql = F.regexp_replace(sql, rf"(?i){_KEY}delete\s+from\b", "delete ")
+    stop = "|".join(ENDS)
+    lists = _found(sql, rf'{_KEY}{LISTS}\s+([^()]*?\(?)(?=(?<=\()|(?<![\[".])\b(?:{stop})\b(?![\]"])|[);]|$)')
+    elements = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
+    joined = _found(sql, rf"{_KEY}{SINGLE}\s+({_NAME}(?:\s*+\(|{_AS}))")
+    return F.filter(F.transform(F.concat(elements, joined), _source), lambda x: x.isNotNull())
 
 
 def statement_lineage(stmts: DataFrame) -> DataFrame:
     """Rows (…, direction, schema_name, name) of what each statement reads and writes; reads of its own target are dropped."""
     sql = F.col("sql")
-    body = stmts.where(~sql.rlike(DYNAMIC))
-    ctes = F.transform(F.regexp_extract_all(sql, F.lit(rf"(?i)(?:\bWITH|,)\s+({_PART})\s*(?:\([^)]*\))?\s+AS\s*\("), F.lit(1)), lambda c: normalize_identifier(c))
-    aliases = F.regexp_extract_all(sql, F.lit(rf"(?i)(?:FROM|JOIN)\s+{_NAME}\s+(?:AS\s+)?({_PART})"), F.lit(2))
-    aliases = F.filter(F.transform(aliases, lambda a: normalize_identifier(a)), lambda a: ~a.isin(*_WORDS))
-    targets = F.regexp_extract_all(sql, F.lit(rf"(?i)(?:FROM|JOIN)\s+{_NAME}\s+(?:AS\s+)?{_PART}"), F.lit(1))
-    body = body.withColumns({"ctes": ctes, "aliases": aliases, "alias_of": targets, "w": _names(sql, WRITES), "r": _names(sql, READS)})
-    raw_alias = F.transform(F.regexp_extract_all(sql, F.lit(rf"(?i)(?:FROM|JOIN)\s+{_NAME}\s+(?:AS\s+)?({_PART})"), F.lit(2)), lambda a: normalize_identifier(a))
-    body = body.withColumn("raw_alias", raw_alias)
-    keys = [c for c in stmts.columns if c != "sql"]
-    both = body.select(*keys, "ctes", "aliases", "alias_of", "raw_alias", F.explode(F.concat(F.transform("w", lambda x: F.struct(F.lit("writes").alias("d"), x.alias("x"))), F.transform("r", lambda x: F.struct(F.lit("reads").alias("d"), x.alias("x"))))).alias("e"))
-    bare = normalize_identifier(F.col("e.x"))
-    is_bare = ~F.contains(F.col("e.x"), F.lit("."))
-    of = F.element_at("alias_of", F.array_position("raw_alias", bare).cast("int"))
-    known = is_bare & F.array_contains("aliases", bare)
-    name = F.when(known & (F.col("e.d") == "writes"), of).otherwise(F.col("e.x"))
-    found = both.where(~(is_bare & F.array_contains("ctes", bare)) & ~(known & (F.col("e.d") == "reads")))
-    found = found.select(*keys, F.col("e.d").alias("direction"), name.alias("raw"), qualify(name).alias("q")).where(~F.col("raw").rlike(r"^[#@]|^(?i:select|set)$"))
-    found = found.select(*keys, "direction", "q.schema_name", "q.name").where(~F.col("name").isin(*_WORDS)).distinct()
-    written = found.where("direction = 'writes'").drop("direction")
-    return found.where("direction = 'writes'").unionByName(found.where("direction = 'reads'").join(written, [*keys, "schema_name", "name"], "left_anti").select(*found.columns))
+    ctes = F.transform(_found(sql, rf"(?:\bWITH|,)\s*+({_PART})\s*+(?:\([^()]*+\)\s*+)?AS\s*+\("), lambda c: normalize_identifier(c))
+    written = _found(sql, rf"{_KEY}{WRITES}\s+(?:TOP\s*+\([^()]*+\)\s*+)?({_NAME})")
+    body = stmts.where(~sql.rlike(DYNAMIC)).withColumns({"__ctes": ctes, "__w": written, "__r": sources_of(sql)})
+    aliases, raws = F.transform("__r", lambda x: x["alias"]), F.transform("__r", lambda x: x["raw"])
+
+    def table_of(raw: Column) -> Column:
+        """The table that a written name means: what its alias stands for, or itself."""
+        of = F.array_position(aliases, normalize_identifier(raw))
+        return F.when(_bare(raw) & (of > 0), F.element_at(raws, F.greatest(of, F.lit(1)).cast("int"))).otherwise(raw)
+
+    no_table = lambda raw: raw.rlike("^[#@]") | (_bare(raw) & (F.array_contains("__ctes", normalize_identifier(raw)) | F.lower(raw).isin(NO_NAMES)))
+    named = lambda raws: F.array_distinct(F.transform(F.filter(raws, lambda x: ~no_table(x)), lambda x: qualify(unmasked_name(x))))
+    read = F.transform(F.filter("__r", lambda x: ~(_bare(x["raw"]) & F.array_contains(F.filter(aliases, lambda a: a != ""), normalize_identifier(x["raw"])))), lambda x: x["raw"])
+    both = body.select(*[c for c in stmts.columns if c != "sql"], named(F.transform("__w", table_of)).alias("w"), named(read).alias("r"))
+    marked = lambda d, x: F.transform(x, lambda q: F.struct(F.lit(d).alias("direction"), q["schema_name"].alias("schema_name"), q["name"].alias("name")))
+    rows = F.explode(F.concat(marked("writes", F.col("w")), marked("reads", F.array_except("r", "w")))).alias("e")
+    return both.select(*[c for c in stmts.columns if c != "sql"], rows).select(*[c for c in stmts.columns if c != "sql"], "e.*")
+
+
+def unmasked_name(raw: Column) -> Column:
+    """A name as written, blanks around its dots removed; dots inside its quoted parts do not part it."""
+    return unmasked(F.regexp_replace(raw, r"\s*+\.\s*+", "."))
 
 
 def dynamic_sql(stmts: DataFrame) -> DataFrame:
@@ -72,16 +100,61 @@ def dynamic_sql(stmts: DataFrame) -> DataFrame:
 
 
 def callees(stmts: DataFrame) -> DataFrame:
-    """(…, schema_name, name) of procedures that a statement executes."""
-    found = F.explode(F.regexp_extract_all("sql", F.lit(rf"(?i)\bEXEC(?:UTE)?\s+(?!AS\b)(?:@\w+\s*=\s*)?{_NAME}"), F.lit(1)))
-    c = stmts.where(~F.col("sql").rlike(DYNAMIC)).select(*[c for c in stmts.columns if c != "sql"], found.alias("raw")).where(~F.col("raw").startswith("@"))
-    return c.select(*[x for x in c.columns if x != "raw"], qualify(F.col("raw")).alias("q")).select(*[x for x in c.columns if x != "raw"], "q.schema_name", "q.name").distinct()
+    """(…, schema_name, name) of procedures that a statement executes, once each."""
+    keys = [c for c in stmts.columns if c != "sql"]
+    found = F.array_distinct(F.transform(F.filter(_found(F.col("sql"), rf"{_KEY}EXEC(?:UTE)?\s+(?!AS\b)(?:@\w++\s*+=\s*+)?({_NAME})"), lambda x: ~x.startswith("@")), lambda x: qualify(unmasked_name(x))))
+    return stmts.where(~F.col("sql").rlike(DYNAMIC)).select(*keys, F.explode(found).alias("q")).select(*keys, "q.schema_name", "q.name")
+
+
+_CREATE = rf"(?i){_KEY}CREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(TABLE|VIEW|PROC(?:EDURE)?|FUNCTION|TRIGGER)\s+({_NAME})"
 
 
 def definitions(stmts: DataFrame) -> DataFrame:
-    """(…, node_type, schema_name, name) of what statements create."""
-    pattern = rf"(?i)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(TABLE|VIEW|PROC(?:EDURE)?|FUNCTION|TRIGGER)\s+{_NAME}"
-    kind = F.upper(F.regexp_extract("sql", pattern, 1))
-    d = stmts.where(kind != "").withColumn("k", kind).withColumn("q", qualify(F.regexp_extract("sql", pattern, 2)))
-    node_type = F.when(F.col("k") == "TABLE", "gold_table").when(F.col("k") == "VIEW", "view").otherwise("stored_proc")
-    return d.select(*[c for c in stmts.columns if c != "sql"], node_type.alias("node_type"), "q.schema_name", "q.name").where("name not like '#%' and name not like '@%'")
+    """(…, node_type, object_kind, schema_name, name, display_name) of what statements create; temporary tables are left out.
+
+    A function that returns the rows of one SELECT is a view, as are views; what has a body is a stored procedure.
+    """
+    keys = [c for c in stmts.columns if c != "sql"]
+    kind, name = F.upper(F.regexp_extract("sql", _CREATE, 1)), F.regexp_extract("sql", _CREATE, 2)
+    inline = F.col("sql").rlike(r"(?i)\breturns\s+table\s+(?:with\s+\w++\s+)?as\s+return\b")
+    d = stmts.where(kind != "").select(*keys, kind.alias("k"), inline.alias("inline"), unmasked_name(name).alias("raw"))
+    node_type = F.when(F.col("k") == "TABLE", "gold_table").when((F.col("k") == "VIEW") | ((F.col("k") == "FUNCTION") & F.col("inline")), "view").otherwise("stored_proc")
+    object_kind = F.when(F.col("k") == "FUNCTION", F.when(F.col("inline"), "inline_tvf").otherwise("scalar_function")).when(F.col("k") == "TRIGGER", "trigger").otherwise("")
+    d = d.select(*keys, node_type.alias("node_type"), object_kind.alias("object_kind"), qualify(F.col("raw")).alias("q"), F.trim(F.regexp_replace(F.element_at(F.regexp_extract_all("raw", F.lit('\\[[^\\]]*+\\]|"[^"]*+"|[^.]++'), F.lit(0)), -1), '[\\[\\]"]', "")).alias("display_name"))
+    return d.select(*keys, "node_type", "object_kind", "q.schema_name", "q.name", "display_name").where("name not like '#%' and name not like '@%'")
+
+
+def star_views(stmts: DataFrame) -> DataFrame:
+    """Info rows for views that select all columns, whose columns are therefore unknown."""
+    star = F.col("sql").rlike(rf"(?i){_KEY}CREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?VIEW\b[\s\S]*?\bSELECT\s+(?:(?:DISTINCT|TOP\s*+\([^()]*+\))\s+)?(?:{_PART}\s*+\.\s*+)?\*")
+    return stmts.where(star).select(F.col("path").alias("file"), F.lit("a view selects all columns").alias("message"), F.lit("select_star_view").alias("category"))
+
+
+_COLUMN = rf"^\s*+({_PART})\s++({_PART}(?:\s*+\([^()]*+\))?)([\s\S]*)$"
+
+
+def table_columns(stmts: DataFrame) -> DataFrame:
+    """(…, schema_name, name, pos, column, data_type, nullable, constraints) of CREATE TABLE statements.
+
+    Constraints are primary_key (at the column or the table), unique, identity and default; a key column is not nullable.
+    """
+    keys = [c for c in stmts.columns if c != "sql"]
+    head = rf"(?i)^\s*+CREATE\s+TABLE\s+({_NAME})\s*+\(([\s\S]*)\)[^()]*+$"
+    t = stmts.select(*keys, F.regexp_extract("sql", head, 1).alias("raw"), F.regexp_extract("sql", head, 2).alias("body")).where("raw <> '' and raw not like '#%' and raw not like '@%'")
+    # the innermost parentheses are folded away, so a comma inside of two levels is followed by a closing one
+    folded = F.regexp_replace("body", r"\(([^()]*+)\)", "\uE0F0$1\uE0F1")
+    part = F.posexplode(F.split(folded, r",(?![^()]*+\))(?![^\x{E0F0}\x{E0F1}]*+\x{E0F1})")).alias("pos", "part")
+    rows = t.select(*keys, "raw", part).select(*keys, "raw", "pos", F.translate("part", "\uE0F0\uE0F1", "()").alias("part"))
+    own = ~F.col("part").rlike(r"(?i)^\s*+(?:constraint|primary\s+key|unique|foreign\s+key|check|index|period)\b")
+    keyed = F.regexp_extract("part", r"(?i)\bprimary\s+key\b[^()]*+\(([^()]*+)\)", 1)
+    table_key = rows.where(~own & (keyed != "")).select(*keys, "raw", F.transform(F.split(keyed, ","), lambda x: normalize_identifier(F.regexp_replace(unmasked(x), r"(?i)\s+(?:asc|desc)\s*$", ""))).alias("key"))
+    c = rows.where(own & F.col("part").rlike("(?i)" + _COLUMN)).join(table_key, [*keys, "raw"], "left")
+    piece = lambda k: F.regexp_extract("part", "(?i)" + _COLUMN, k)
+    c = c.select(*keys, "raw", "pos", "key", piece(1).alias("n"), piece(2).alias("d"), piece(3).alias("rest"))
+    name = F.trim(F.regexp_replace(unmasked(F.col("n")), '^[\\["]|[\\]"]$', ""))
+    is_key = F.col("rest").rlike(r"(?i)\bprimary\s+key\b") | F.coalesce(F.array_contains("key", F.lower(name)), F.lit(False))
+    has = lambda pattern, label: F.when(F.col("rest").rlike(rf"(?i)\b{pattern}\b"), F.lit(label))
+    constraints = F.array_compact(F.array(F.when(is_key, "primary_key"), has("unique", "unique"), has("identity", "identity"), has("default", "default")))
+    nullable = ~(is_key | F.col("rest").rlike(r"(?i)\bnot\s+null\b"))
+    c = c.select(*keys, qualify(unmasked_name(F.col("raw"))).alias("q"), "pos", name.alias("column"), F.upper(F.regexp_replace(unmasked(F.col("d")), r"[\[\]\s]+", "")).alias("data_type"), nullable.alias("nullable"), constraints.alias("constraints"))
+    return c.select(*keys, "q.schema_name", "q.name", "pos", "column", "data_type", "nullable", "constraints")

@@ -345,15 +345,15 @@ def md_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", names.md_cell(F.col("html")).alias("cell"))
 
 
-_PATH = "CASE WHEN page_id % 9 = 0 THEN concat(url, '.SQL') WHEN page_id % 9 = 1 THEN concat(url, '.tmdl') WHEN page_id % 9 = 2 THEN concat(url, '/definition/report.json') WHEN page_id % 9 = 3 THEN concat(url, '/report.json') WHEN page_id % 9 = 4 THEN concat(url, '/Visual.json') WHEN page_id % 9 = 5 THEN concat(url, '/definition.pbir') WHEN page_id % 9 = 6 THEN concat(url, '.bim') ELSE url END"
+_PATH = "concat(url, CASE page_id % 10 WHEN 0 THEN '.SQL' WHEN 1 THEN '.tmdl' WHEN 2 THEN '/definition/report.json' WHEN 3 THEN '/report.json' WHEN 4 THEN '/definition/pages/p1/visuals/v/visual.json' WHEN 5 THEN '/definition.pbir' WHEN 6 THEN '.bim' WHEN 7 THEN '/definition/pages/p1/page.json' WHEN 8 THEN '/visual.json' ELSE '/definition/x/report.json' END)"
 
 
 @query(
-    """SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'sql_file' WHEN page_id % 9 = 1 THEN 'tmdl' WHEN page_id % 9 = 2 THEN 'pbir_report' WHEN page_id % 9 = 3 THEN 'report_json_legacy'
- WHEN page_id % 9 = 4 THEN 'pbir_visual' WHEN page_id % 9 = 5 THEN 'pbir_definition' WHEN page_id % 9 = 6 THEN 'bim' END AS kind FROM pages""",
+    "SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'sql_file' WHEN 1 THEN 'tmdl' WHEN 2 THEN 'pbir_report' WHEN 3 THEN 'report_json_legacy' WHEN 4 THEN 'pbir_visual' WHEN 5 THEN 'pbir_definition' WHEN 6 THEN 'bim' WHEN 7 THEN 'pbir_page' END AS kind FROM pages",
     False,
 )
 def file_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visual.json outside of pages and a report.json deeper under definition are no report files."""
     return table(spark, sf_dir, "pages").select("page_id", names.file_kind(F.expr(_PATH)).alias("kind"))
 
 
@@ -363,11 +363,17 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(want).select("page_id", "url")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_refs, list_aggregate(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))), 'string_agg', ',') AS refs FROM pages", False)
+@query("SELECT page_id, CAST(3 AS BIGINT) AS n_refs, '[' || url || '],T' || CAST(page_id AS VARCHAR) || '[c],[x]' AS refs FROM pages", False)
 def dax_bracket_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in text; links stand in for bracketed names."""
-    refs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(refs).cast("bigint").alias("n_refs"), F.nullif(F.array_join(F.array_sort(F.array_distinct(refs)), ","), F.lit("")).alias("refs"))
+    """References of a formula made for each page: a bare one named by its link, a column of a table, one behind RETURN."""
+    from ..sources.models import dax_refs
+
+    formula = F.concat(F.lit("VAR a = [ "), "url", F.lit("] + T"), F.col("page_id").cast("string"), F.lit('[c] + "[no]" RETURN [x] + [x]'))
+    refs = dax_refs(table(spark, sf_dir, "pages").select("page_id", "url", formula.alias("expression")))
+    shown = F.concat("table_name", F.lit("["), F.trim("name"), F.lit("]"))
+    order = F.when(F.trim("name") == F.col("url"), 0).when(F.col("table_name") != "", 1).otherwise(2)
+    g = refs.groupBy("page_id").agg(F.count("*").alias("n_refs"), F.array_sort(F.collect_list(F.struct(order.alias("o"), shown.alias("s")))).alias("r"))
+    return g.select("page_id", "n_refs", F.array_join(F.transform("r", lambda x: x["s"]), ",").alias("refs"))
 
 
 # --- linking ---------------------------------------------------------------------------------------------------------
@@ -463,12 +469,12 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     items = p.select(F.concat_ws(".", F.lower("p_type"), "p_name").alias("needle")).distinct().select(F.col("needle").alias("key"), "needle")
     candidates = p.select(F.concat_ws(".", F.lower(F.left("p_type", F.lit(6))), F.reverse(F.split("p_name", " "))[0]).alias("qualified")).distinct().select(F.col("qualified").alias("target"), "qualified")
-    return linking.fuzzy_scores(items, candidates, linking.PENDING)
+    return linking.best_candidates(items, candidates)
 
 
 @query()
 def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.top_candidates(_fuzzy(spark, sf_dir), 10).select("key", "rank", "target", "score")
+    return _fuzzy(spark, sf_dir).select("key", "rank", "target", "score")
 
 
 @query()
@@ -507,4 +513,4 @@ def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.match_nodes(estate.nodes(spark, sf_dir), q)
 
 
-from . import page_queries, report_queries  # noqa: E402,F401  these register their queries
+from . import build_queries, page_queries, report_queries  # noqa: E402,F401  these register their queries

@@ -12,7 +12,7 @@ from .session import table
 
 # Orders are reports (their id modulo 500), lines are visuals, and a part's name is the entity they show; a table is a
 # part of that name, its model the size group.
-_BINDINGS_SQL = "SELECT o_orderkey % 500 AS report, p_name || '/' || CAST(p_partkey % 40 AS VARCHAR) AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1"
+_BINDINGS_SQL = "SELECT o_orderkey % 500 AS report, p_name || '/' || CAST(p_partkey % 40 AS VARCHAR) AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
 _TABLES_SQL = "SELECT DISTINCT p_name || '/' || CAST(p_partkey % 40 AS VARCHAR) AS entity, CAST(p_partkey AS VARCHAR) AS table_id, 'm' || CAST(p_size AS VARCHAR) AS model FROM part WHERE p_partkey % 3 <> 0"
 _DECLARED_SQL = "SELECT DISTINCT o_orderkey % 500 AS report, 'm' || CAST(o_orderkey % 50 + 1 AS VARCHAR) AS model FROM orders WHERE o_orderkey % 500 % 4 = 0"
 _RESOLVED_SQL = f"""b0 AS ({_BINDINGS_SQL}), t AS ({_TABLES_SQL}), dm AS (SELECT report, min(model) AS model FROM ({_DECLARED_SQL}) GROUP BY 1), b AS (SELECT DISTINCT report, entity FROM b0),
@@ -27,7 +27,7 @@ s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2)
 
 
 def _bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     j = li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select((F.col("o_orderkey") % 500).alias("report"), F.expr("concat(p_name, '/', cast(p_partkey % 40 as string))").alias("entity"))
 
@@ -226,10 +226,10 @@ def estate_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.estate_layout(quality.estate_groups(_layered(spark, sf_dir)))
 
 
-@query("SELECT id FROM n WHERE id LIKE 'customer:%' AND id NOT IN (SELECT target_id FROM e WHERE edge_type IN ('references', 'visualizes'))")
+@query("SELECT id FROM n WHERE (id LIKE 'customer:%' OR id LIKE 'part:%') AND id NOT IN (SELECT target_id FROM c WHERE edge_type IN ('references', 'visualizes'))")
 def unused_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = estate.nodes(spark, sf_dir).where("id like 'customer:%'").select("id")
-    return quality.unused_measures(m, estate.edges(spark, sf_dir))
+    m = estate.nodes(spark, sf_dir).where("id like 'customer:%' or id like 'part:%'").select("id")
+    return quality.unused_measures(m, estate.cyclic_edges(spark, sf_dir))
 
 
 @query(
@@ -321,7 +321,7 @@ _M = """let Source = Sql.Database("srv", "db"), // {[Schema="no",Item="no"]}
 
 
 @query(
-    """SELECT s_suppkey, schema_name, name, raw_kind FROM (SELECT s_suppkey, concat('s', CAST(s_nationkey AS VARCHAR)) AS schema_name, concat('T', CAST(s_suppkey AS VARCHAR)) AS name, 'navigation' AS raw_kind FROM supplier
+    """SELECT s_suppkey, schema_name, name, raw_kind FROM (SELECT s_suppkey, concat('s', CAST(s_nationkey AS VARCHAR)) AS schema_name, concat('t', CAST(s_suppkey AS VARCHAR)) AS name, 'navigation' AS raw_kind FROM supplier
  UNION ALL SELECT s_suppkey, 'nat', concat('q', CAST(s_suppkey % 10 AS VARCHAR)), 'native_query' FROM supplier UNION ALL SELECT s_suppkey, 'ext', 'z', 'native_query' FROM supplier)""",
     False,
 )
@@ -331,12 +331,12 @@ def m_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT concat('T', CAST(l_orderkey % 40 AS VARCHAR)) AS "table", concat('c', CAST(l_partkey AS VARCHAR)) AS name, min(l_linestatus) AS data_type, bool_and(l_returnflag = 'R') AS hidden FROM lineitem GROUP BY 1, 2""",
+    """SELECT concat('T', CAST(l_orderkey // 500 AS VARCHAR)) AS "table", concat('c', CAST(l_partkey AS VARCHAR)) AS name, min(l_linestatus) AS data_type, bool_and(l_returnflag = 'R') AS hidden FROM lineitem GROUP BY 1, 2""",
     False,
 )
 def tom_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines become columns of model files, one file for each fortieth of the orders, written as JSON and read back."""
-    li = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("t"), "l_partkey").agg(F.min("l_linestatus").alias("d"), F.bool_and(F.col("l_returnflag") == "R").alias("h"))
+    """Lines become columns of model files, one file for each 500 orders, written as JSON and read back."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 500").alias("t"), "l_partkey").agg(F.min("l_linestatus").alias("d"), F.bool_and(F.col("l_returnflag") == "R").alias("h"))
     cols = F.collect_list(F.struct(F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("name"), F.col("d").alias("dataType"), F.col("h").alias("isHidden")))
     tables = F.array(F.struct(F.concat(F.lit("T"), F.col("t").cast("string")).alias("name"), F.col("c").alias("columns")))
     files = li.groupBy("t").agg(cols.alias("c")).select(F.lit("r").alias("repo_key"), F.concat(F.col("t").cast("string"), F.lit(".bim")).alias("path"), F.to_json(F.struct(F.struct(tables.alias("tables")).alias("model"))).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,19 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import file_kind, glob_filter
+from ..functions.names import file_kind, glob_filter, glob_regex
 
 # Size limits in bytes of a file and of a member of an archive.
 MOST_BYTES, MOST_MEMBER = 10 * 1024 * 1024, 200 * 1024 * 1024
 LISTED = "repo_key string, path string, abs_path string, size bigint, problem string"
 
 
-def walk(repos: dict[str, str]) -> Iterator[tuple[str, str, str, int, str]]:
-    """(repo, relative path, absolute path, size, problem) of every file outside hidden folders, in order."""
+def folder_excluded(folder: str, exclude: list[str]) -> bool:
+    """Whether the globs exclude whatever a folder could hold, at its top and deeper."""
+    out = lambda path: any(re.search(glob_regex(g), path) for g in exclude)
+    return bool(exclude) and out(f"{folder}/\0") and out(f"{folder}/\0/\0")
+
+
+def walk(repos: dict[str, str], exclude: list[str] = ()) -> Iterator[tuple[str, str, str, int, str]]:
+    """(repo, relative path, absolute path, size, problem) of every file outside hidden and excluded folders, in order."""
+    skipped = lambda folder: folder_excluded(folder, list(exclude))
     for key in sorted(repos):
         root = os.path.realpath(repos[key])
         for at, folders, files in os.walk(root):
-            folders[:] = sorted(f for f in folders if not f.startswith("."))
+            here = os.path.relpath(at, root).replace(os.sep, "/")
+            folders[:] = sorted(f for f in folders if not f.startswith(".") and not skipped(f if here == "." else f"{here}/{f}"))
             for name in sorted(f for f in files if not f.startswith(".")):
                 full = os.path.join(at, name)
                 rel = os.path.relpath(full, root).replace(os.sep, "/")
@@ -39,7 +48,7 @@ def walk(repos: dict[str, str]) -> Iterator[tuple[str, str, str, int, str]]:
 
 def crawl(spark: SparkSession, repos: dict[str, str], include: list[str] = (), exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(files, warnings) of local repositories: files of a known kind that the globs let through, and what was left out."""
-    listed = spark.createDataFrame(list(walk(repos)), LISTED)
+    listed = spark.createDataFrame(list(walk(repos, exclude)), LISTED)
     listed = listed.withColumn("kind", file_kind(F.col("path"))).where(F.col("kind").isNotNull())
     wanted = glob_filter(F.col("path"), list(include), list(exclude)) | ((F.col("kind") == "pbir_definition") & ~glob_filter(F.col("path"), list(exclude), []) if exclude else F.col("kind") == "pbir_definition")
     listed = listed.where(wanted)
@@ -65,18 +74,26 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else decode_text(bytes(b)))
 
 
+def contents(path: str) -> bytes:
+    """A file's bytes, from the file system that its path names (a plain path: the one of the machine)."""
+    from pyarrow import fs
+
+    where, at = (fs.FileSystem.from_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
+    with where.open_input_stream(at) as f:
+        return f.read()
+
+
 def read_files(files: DataFrame, per_task: int = 64) -> DataFrame:
-    """``files`` with ``text`` and ``sha``; contents are read in the tasks, about ``per_task`` files in each."""
+    """``files`` (…, abs_path) with ``text`` and ``sha``; contents are read in the tasks, about ``per_task`` files in each.
+
+    Tasks open paths by their URI, so the files may lie in any file system that all executors reach. (Spark's own binary
+    reader leaves out names that begin with an underscore.)
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, hashes = [], []
-            for path in b["abs_path"]:
-                with open(path, "rb") as f:
-                    raw = f.read()
-                texts.append(decode_text(raw))
-                hashes.append(hashlib.sha256(raw).hexdigest())
-            yield b.assign(text=texts, sha=hashes)
+            raw = [contents(path) for path in b["abs_path"]]
+            yield b.assign(text=[decode_text(x) for x in raw], sha=[hashlib.sha256(x).hexdigest() for x in raw])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema) + ", text string, sha string"
     n = max(1, -(-files.count() // per_task))

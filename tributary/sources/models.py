@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.masks import dax_mask, m_mask, sql_mask, unmasked
+from ..operators.statements import statement_lineage
 from .files import MOST_MEMBER
 
 _COLUMN = "struct<name: string, dataType: string, isHidden: boolean, type: string, expression: string, description: string>"
@@ -68,6 +70,9 @@ def _rows(files: DataFrame, schema: str, read: Callable[[dict], list[tuple]], co
 _HEAD = re.compile(r"^(\t*| *)(table|column|measure|partition|relationship|expression)\s+('(?:[^']|'')*'|[^\s=]+)\s*(?:=\s*(.*))?$")
 
 
+FENCE = "```"
+
+
 def unquoted(name: str) -> str:
     return name[1:-1].replace("''", "'") if name[:1] == "'" else name
 
@@ -78,10 +83,18 @@ def tmdl_objects(text: str) -> list[tuple]:
     The value is what follows '=': the rest of the line, or the deeper indented lines below, without their indent.
     """
     out: list[list] = []
-    table, current, depth, block, doc = "", None, 0, False, []
+    table, current, depth, block, doc, fenced = "", None, 0, False, [], False
     for line in text.split("\n"):
         bare = line.strip()
         indent = len(line) - len(line.lstrip())
+        if fenced:  # until the closing fence, or what stands no deeper than the object where there is none
+            if bare == FENCE or (bare and indent <= fence_depth):
+                fenced = False
+                if bare == FENCE:
+                    continue
+            else:
+                current[3].append(line)
+                continue
         if block and (not bare or indent > depth + 1):
             current[3].append(line)
             continue
@@ -98,6 +111,8 @@ def tmdl_objects(text: str) -> list[tuple]:
             current, depth = [kind, table, name, [value] if value else [], {"description": " ".join(doc)} if doc else {}], indent
             out.append(current)
             block, doc = value is not None, []
+            if value and value.strip() == FENCE:
+                current[3], block, fenced, fence_depth = [""], False, True, indent
         elif current is not None and indent > depth:
             key, sep, value = bare.partition(":")
             equals = re.match(r"^(source|expression)\s*=\s*(.*)$", bare)
@@ -105,6 +120,8 @@ def tmdl_objects(text: str) -> list[tuple]:
                 current[3] = [equals[2]] if equals[2] else []
                 block = True
                 depth = indent - 1
+                if equals[2].strip() == FENCE:
+                    current[3], block, fenced, fence_depth = [""], False, True, indent
             elif sep:
                 current[4][key.strip()] = value.strip()
             else:
@@ -204,31 +221,84 @@ def declared_model(text: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(by_path, F.lit("")), F.nullif(by_connection, F.lit("")))
 
 
-def without_m_comments(m: Column) -> Column:
-    return F.regexp_replace(m, r'("(?:[^"]|"")*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+#: Characters of a name in a mask: word characters, dots, and what stands for others inside quotes.
+_WORD = r"[\w.\x{80}-\x{FFFF}]"
+_VALUE = rf'("[^"]*+"|#"[^"]*+"|{_WORD}++)'
+
+
+def _literal(value: Column, names: Column, values: Column) -> Column:
+    """The text of a quoted value, or of the one that a ``let`` name is bound to; null if it is neither."""
+    bound = F.try_element_at(values, F.array_position(names, value).cast("int"))
+    text = F.when(value.startswith('"'), F.substring(value, F.lit(2), F.length(value) - 2)).when((value != "") & (F.array_position(names, value) > 0), bound)
+    return F.replace(unmasked(text), F.lit('""'), F.lit('"'))
 
 
 def m_sources(partitions: DataFrame, text_col: str = "expression") -> DataFrame:
-    """(…, schema_name, name, raw_kind) of what an M expression reads: navigation steps and native queries' tables."""
-    m = partitions.withColumn("__m", without_m_comments(F.col(text_col)))
-    keys = partitions.columns
-    nav = F.explode(F.regexp_extract_all("__m", F.lit(r'\{\s*\[\s*(Schema\s*=\s*"[^"]*"\s*,\s*Item\s*=\s*"[^"]*"|Item\s*=\s*"[^"]*"\s*,\s*Schema\s*=\s*"[^"]*")'), F.lit(1)))
-    n = m.select(*keys, nav.alias("__x")).select(*keys, F.regexp_extract("__x", r'Schema\s*=\s*"([^"]*)"', 1).alias("schema_name"), F.regexp_extract("__x", r'Item\s*=\s*"([^"]*)"', 1).alias("name"), F.lit("navigation").alias("raw_kind"))
-    sql = F.explode(F.concat(F.regexp_extract_all("__m", F.lit(r'Value\.NativeQuery\s*\([^"]*"((?:[^"]|"")*)"'), F.lit(1)), F.regexp_extract_all("__m", F.lit(r'\bQuery\s*=\s*"((?:[^"]|"")*)"'), F.lit(1))))
-    from ..operators.statements import statement_lineage
+    """(…, schema_name, name, raw_kind) of what an M expression reads, each source once.
 
-    q = m.select(*keys, sql.alias("__sql")).select(*keys, F.replace(F.replace("__sql", F.lit("#(lf)"), F.lit("\n")), F.lit('""'), F.lit('"')).alias("sql"))
+    Kinds: navigation (records with Schema and Item, as text or as names bound in the ``let``), native_query (tables of
+    the SQL in Value.NativeQuery or in a Query option, which may be bound too), as_model (another model, alone), and, only
+    where none of these is there, lakehouse (the last two Name or Id values) and static (tables written out in M).
+    """
+    keys = partitions.columns
+    bind = rf'(?<![\w.\[\x{{80}}-\x{{FFFF}}])(#"[^"]*+"|{_WORD}++)\s*+=\s*+"([^"]*+)"'
+    m = partitions.withColumn("__m", m_mask(F.col(text_col)))
+    m = m.withColumns({"__names": F.regexp_extract_all("__m", F.lit(bind), F.lit(1)), "__values": F.regexp_extract_all("__m", F.lit(bind), F.lit(2))})
+    value = lambda record, key: _literal(F.regexp_extract(record, rf"(?:^|[,\s])(?:{key})\s*+=\s*+{_VALUE}", 1), F.col("__names"), F.col("__values"))
+    made = lambda schema, name, kind: F.struct(F.lower(schema).alias("schema_name"), F.lower(name).alias("name"), F.lit(kind).alias("raw_kind"))
+    records = F.regexp_extract_all("__m", F.lit(r"\{\s*+\[([^\[\]{}]*+)\]\s*+\}"), F.lit(1))
+    full = lambda x: x["schema_name"].isNotNull() & x["name"].isNotNull()
+    navigation = F.filter(F.transform(records, lambda r: made(value(r, "Schema"), value(r, "Item"), "navigation")), full)
+    queries = F.regexp_extract_all("__m", F.lit(rf"\bValue\.NativeQuery\s*+\((?:[^(),]++|\([^()]*+\)){{1,40}}+,\s*+{_VALUE}"), F.lit(1))
+    options = F.regexp_extract_all("__m", F.lit(rf"\bSql\.Databases?\s*+\([^()]*?\bQuery\s*+=\s*+{_VALUE}"), F.lit(1))
+    sql = F.filter(F.transform(F.concat(queries, options), lambda q: F.replace(_literal(q, F.col("__names"), F.col("__values")), F.lit("#(lf)"), F.lit("\n"))), lambda x: x.isNotNull())
+    model = F.regexp_extract("__m", r'\bAnalysisServices\.Database\s*+\(\s*+"[^"]*+"\s*+,\s*+"([^"]++)"', 1)
+    lake = F.regexp_extract_all("__m", F.lit(r'\b(?:Name|Id)\s*+=\s*+"([^"]++)"'), F.lit(1))
+    lake = F.transform(lake, lambda x: unmasked(x))
+    in_lake = F.col("__m").rlike(r"Lakehouse\.Contents\s*+\(|Fabric\.|\.Warehouse\s*+\(") & (F.size("__lake") > 0)
+    static = F.col("__m").rlike(r"Table\.FromRows|#table\b|Json\.Document")
+    m = m.withColumns({"__nav": navigation, "__sql": sql, "__model": unmasked(model), "__lake": lake})
+    other = F.when(in_lake, F.array(made(F.when(F.size("__lake") > 1, F.element_at("__lake", -2)).otherwise(""), F.element_at("__lake", -1), "lakehouse"))).when(static, F.array(made(F.lit(""), F.lit(""), "static")))
+    direct = F.when(F.col("__model") != "", F.array(F.struct(F.lit("").alias("schema_name"), F.col("__model").alias("name"), F.lit("as_model").alias("raw_kind")))).when(F.size("__nav") > 0, F.array_distinct("__nav")).when(F.size("__sql") == 0, other)
+    m = cut_columns(m, keys, {"__direct": direct, "__sql": F.col("__sql")})
+    found = m.select(*keys, F.explode("__direct").alias("x")).select(*keys, "x.*")
+
+    q = m.select(*keys, F.posexplode("__sql").alias("__q", "sql")).withColumn("sql", sql_mask("sql"))
     native = statement_lineage(q).where("direction = 'reads'").select(*keys, "schema_name", "name", F.lit("native_query").alias("raw_kind"))
-    return n.unionByName(native)
+    return found.unionByName(native).distinct()
+
+
+def cut_columns(df: DataFrame, keys: list[str], made: dict[str, Column]) -> DataFrame:
+    """The keys and some made columns; the rest goes."""
+    return df.select(*keys, *[c.alias(name) for name, c in made.items()])
+
+
+_DAX_NAME = r"(?:'[^']*+'|[\w.\x{80}-\x{DFFF}\x{F900}-\x{FFFF}]++)"
 
 
 def dax_refs(expressions: DataFrame, text_col: str = "expression") -> DataFrame:
     """(…, table_name, name): ``T[x]`` and ``'T t'[x]`` with their table, bare ``[x]`` with an empty one, once each."""
-    clean = F.regexp_replace(F.col(text_col), r'"(?:[^"]|"")*"|//[^\n]*|--[^\n]*|/\*[\s\S]*?\*/', " ")
-    words = r"(?i)\b(return|var|in|not|and|or)(\s*\[)"
-    marked = F.regexp_replace(clean, words, "$1 ;$2")  # after these words a bracket is a bare reference
-    raw = F.explode(F.array_distinct(F.regexp_extract_all(marked, F.lit(r"((?:'(?:[^']|'')*'|[\w.]+)?\s*\[(?:[^\]]|\]\])*\])"), F.lit(1))))
-    r = expressions.select(*expressions.columns, raw.alias("__r"))
-    table_name = F.regexp_replace(F.trim(F.regexp_extract("__r", r"^((?:'(?:[^']|'')*'|[\w.]+)?)\s*\[", 1)), "^'|'$", "")
-    name = F.replace(F.regexp_extract("__r", r"\[((?:[^\]]|\]\])*)\]", 1), F.lit("]]"), F.lit("]"))
-    return r.select(*expressions.columns, F.replace(table_name, F.lit("''"), F.lit("'")).alias("table_name"), name.alias("name")).distinct()
+    marked = F.regexp_replace(dax_mask(F.col(text_col)), r"(?i)\b(return|var|in|not|and|or)(\s*+\[)", "$1 ;$2")  # after these a bracket is bare
+    begin = r"(?<![\w.'\x{80}-\x{DFFF}\x{F900}-\x{FFFF}])"
+    found = lambda group: F.regexp_extract_all(marked, F.lit(rf"{begin}({_DAX_NAME}|)\s*+\[([^\]]*+)\]"), F.lit(group))
+    pairs = F.explode(F.array_distinct(F.arrays_zip(found(1).alias("t"), found(2).alias("n")))).alias("p")
+    r = expressions.select(*expressions.columns, pairs)
+    table_name = F.replace(unmasked(F.regexp_replace("p.t", "^'|'$", "")), F.lit("''"), F.lit("'"))
+    return r.select(*expressions.columns, table_name.alias("table_name"), F.replace(unmasked(F.col("p.n")), F.lit("]]"), F.lit("]")).alias("name")).distinct()
+
+
+def dax_tables(expressions: DataFrame, tables: DataFrame, text_col: str = "expression") -> DataFrame:
+    """(…, table_name) of the model's tables (model, table_name) that an expression (…, model) names, in quotes or bare.
+
+    A name that the expression binds by VAR is no table, nor is what is called as a function.
+    """
+    keys = expressions.columns
+    e = expressions.withColumn("__d", dax_mask(F.col(text_col)))
+    shadow = F.transform(F.regexp_extract_all("__d", F.lit(r"(?i)\bvar\s+(\w++)\s*+="), F.lit(1)), lambda x: F.lower(x))
+    no_columns = F.regexp_replace("__d", r"\[[^\]]*+\]", " ")
+    quoted = F.transform(F.regexp_extract_all(no_columns, F.lit("'([^']*+)'"), F.lit(1)), lambda x: F.lower(F.replace(unmasked(x), F.lit("''"), F.lit("'"))))
+    bare = F.transform(F.regexp_extract_all(F.regexp_replace(no_columns, "'[^']*+'", " "), F.lit(r"(?<![\w.'])([A-Za-z_\x{80}-\x{DFFF}][\w\x{80}-\x{DFFF}]*+)(?!\s*+\()"), F.lit(1)), lambda x: F.lower(x))
+    words = F.array_distinct(F.concat(quoted, F.filter(bare, lambda x: ~F.array_contains("__shadow", x))))
+    w = e.withColumn("__shadow", shadow).select(*keys, F.explode(words).alias("__w"))
+    known = tables.select("model", "table_name", F.lower("table_name").alias("__w")).distinct()
+    return w.join(known, ["model", "__w"]).select(*keys, "table_name").distinct()

@@ -40,6 +40,15 @@ def extract_new(files: DataFrame, step: str, extract: Callable[[DataFrame], Data
     return spark.read.parquet(store).join(now.select("cache_key").distinct(), "cache_key", "left_semi").distinct()
 
 
+def memo_counts(files: DataFrame, step: str, store: str) -> DataFrame:
+    """(hits, misses): how many of the files the store knows under their key, and how many it would extract."""
+    now = keyed(files, step).select("cache_key")
+    seen = _remembered(files.sparkSession, store.rstrip("/") + "_keys")
+    known = now.select("cache_key").where("false") if seen is None else seen.select("cache_key").distinct()
+    hit = now.join(known.withColumn("__hit", F.lit(True)), "cache_key", "left")
+    return hit.agg(F.count_if(F.col("__hit").isNotNull()).alias("hits"), F.count_if(F.col("__hit").isNull()).alias("misses"))
+
+
 def stream(files: DataFrame, step: str, extract: Callable[[DataFrame], DataFrame], store: str, checkpoint: str):
     """The same over a streaming DataFrame of files, one micro-batch at a time; returns the started query."""
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: extract_new(batch, step, extract, store).limit(0).count()).trigger(availableNow=True).start()

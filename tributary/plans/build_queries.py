@@ -117,7 +117,8 @@ UNION SELECT DISTINCT 'report:' || lower(report), CASE WHEN n = 7 THEN 'filter'
 )
 def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each report shows and filters on, folded up from visuals and pages."""
-    return _built(spark, sf_dir)["field_refs"].select("report_id", "role", "target", "kind", "scope")
+    tables, _, measures = _models(spark, sf_dir)
+    return build.report_graph(*_fields(spark, sf_dir), tables, measures)["field_refs"].select("report_id", "role", "target", "kind", "scope")
 
 
 @query("SELECT 'dynamic_sql' AS category, CAST(o_orderkey AS VARCHAR) AS file FROM orders UNION ALL SELECT 'unresolved_partition_source', 'pbi_table:m' || CAST(p_size AS VARCHAR) || '.t' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 5 = 3", False)

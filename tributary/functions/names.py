@@ -38,21 +38,21 @@ def display(display_name: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(display_name, F.lit("")), name)
 
 
-def name_parts(raw: Column) -> Column:
-    """Parts of a dotted name; dots inside brackets or double quotes do not part."""
-    return F.regexp_extract_all(raw, F.lit('\\[[^\\]]*\\]|"[^"]*"|[^.]+'), F.lit(0))
+def qualified_parts(raw: Column) -> Column:
+    """Parts of a dotted name, empty ones left out: cut at the dots that no bracket and no pair of double quotes encloses."""
+    return F.filter(F.split(raw, r'\.(?![^\[\]]*+\])(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'), lambda x: x != "")
 
 
 def qualify(raw: Column, default_schema: str = "dbo") -> Column:
     """``struct<schema_name, name>``: the last part is the name, all before it the schema."""
-    p = F.transform(name_parts(raw), normalize_identifier)
+    p = F.transform(qualified_parts(raw), normalize_identifier)
     schema = F.when(F.size(p) > 1, F.array_join(F.slice(p, F.lit(1), F.size(p) - 1), ".")).otherwise(F.lit(default_schema))
     return F.struct(schema.alias("schema_name"), F.try_element_at(p, F.lit(-1)).alias("name"))
 
 
 def original_name(raw: Column) -> Column:
     """The last part in its original case."""
-    return F.trim(F.regexp_replace(F.try_element_at(name_parts(raw), F.lit(-1)), "[\\[\\]\"'`]", ""))
+    return F.trim(F.regexp_replace(F.try_element_at(qualified_parts(raw), F.lit(-1)), "[\\[\\]\"'`]", ""))
 
 
 def slug(node_id: Column, node_type: Column) -> Column:

@@ -22,11 +22,15 @@ def composite_links(sources: DataFrame, models: DataFrame) -> tuple[DataFrame, D
 def measure_links(refs: DataFrame, measures: DataFrame, columns: DataFrame) -> DataFrame:
     """(source_id, target_id) of references (source_id, model, table_name, name) to measures.
 
-    A bare name is a measure of the model; under a table name a column of that table wins, then a measure of it.
+    A bare name is a measure of the model; under a table name a column of that table wins, then a measure of it. Names are
+    compared without case.
     """
-    bare = refs.where("table_name = ''").join(measures.select("model", "name", F.col("id").alias("target_id")), ["model", "name"])
-    own = refs.where("table_name <> ''").join(columns.select("model", "table_name", "name"), ["model", "table_name", "name"], "left_anti")
-    named = own.join(measures.select("model", "table_name", "name", F.col("id").alias("target_id")), ["model", "table_name", "name"])
+    low = lambda df, *names: df.withColumns({f"__{c}": F.lower(c) for c in names})
+    refs = low(refs, "table_name", "name").select("source_id", "model", "__table_name", "__name")
+    of = low(measures, "table_name", "name").select("model", "__table_name", "__name", F.col("id").alias("target_id"))
+    bare = refs.where("__table_name = ''").join(of.drop("__table_name"), ["model", "__name"])
+    own = refs.where("__table_name <> ''").join(low(columns, "table_name", "name").select("model", "__table_name", "__name"), ["model", "__table_name", "__name"], "left_anti")
+    named = own.join(of, ["model", "__table_name", "__name"])
     out = bare.select("source_id", "target_id").unionByName(named.select("source_id", "target_id"))
     return out.where("source_id <> target_id").distinct()
 

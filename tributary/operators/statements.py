@@ -1,92 +1,119 @@
 """Lineage from SQL texts by patterns, in column expressions over a mask of the text.
 
-This is the pattern layer: a text is masked once (``functions.masks``), split at GO lines and semicolons, and each
-statement's targets and sources are found by their keywords, all in one projection. It never guesses: names of common table
-expressions and aliases, temporary tables, variables, cursors and built-in row sources are no tables, and statements that
-build their SQL at run time only give a warning. No pattern repeats a group without a bound, so texts of any length match.
-
-Not seen: a table that stands behind a comma after a derived table (``FROM (...) d, t``).
+A text is masked once (``functions.masks``) and split at GO lines, semicolons and the headers of what it creates. Each
+statement is then folded: every parenthesis goes to a line of its own and keywords are marked, so a clause is what stands
+between two marks, however deep its neighbours nest. It never guesses: names of common table expressions and aliases,
+temporary tables, variables, cursors, the row sets of triggers and built-in row sources are no tables, a FROM inside a
+function or of IS DISTINCT FROM lists none, and statements that build their SQL at run time only give a warning. No
+pattern repeats a group without a possessive bound, so texts of any length match.
+
+A statement belongs to the object whose header it carries; behind the header of what has a body (procedure, trigger,
+function) all statements up to the next such header or the end of the batch belong to that (``owners``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.masks import sql_mask, unmasked
-from ..functions.names import normalize_identifier, qualify
+from ..functions.masks import KEY, sql_folded, sql_mask, unmasked
+from ..functions.names import normalize_identifier, qualify, qualified_parts
 
 _LETTER = r"A-Za-z_@#\x{80}-\x{2FFF}\x{3001}-\x{DFFF}\x{F900}-\x{FFEF}"
 _PART = rf'(?:\[[^\]]*+\]|"[^"]*+"|[{_LETTER}][{_LETTER}0-9$]*+)'
 _NAME = rf"{_PART}(?:\s*+\.\s*+{_PART}){{0,3}}"
-_AS = rf"(?:\s+(?:AS\s+)?({_PART}))?"
 #: A keyword of code: not a part of a name.
 _KEY = rf'(?<![\[".{_LETTER}0-9$])'
-# What is written stands after these keywords, what is read after those; what ends a list of tables.
-WRITES = r"(?:INSERT(?:\s+INTO)?|MERGE(?:\s+INTO)?|UPDATE|INTO|DELETE(?:\s+FROM)?|TRUNCATE\s+TABLE)"
-LISTS = r"(?:FROM|USING)"
-SINGLE = r"(?:JOIN|CLONE\s+OF|APPLY)"
-ENDS = "WHERE GROUP ORDER HAVING UNION EXCEPT INTERSECT INNER LEFT RIGHT FULL CROSS OUTER JOIN ON SELECT WHEN SET FOR OPTION VALUES OUTPUT WITH INSERT UPDATE DELETE MERGE EXEC EXECUTE DECLARE RETURN END BEGIN IF ELSE WHILE FROM USING GO PIVOT UNPIVOT TABLESAMPLE".split()
-NO_NAMES = [w.lower() for w in ENDS] + ["as", "into", "top", "statistics", "table", "distinct", "all", "not", "exists", "and", "or", "cascade", "of"]
-DYNAMIC = r"(?i)\bsp_executesql\b|\bexec(?:ute)?\s*\("
+_HEADER = r"CREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(?:TABLE|VIEW|PROC(?:EDURE)?|FUNCTION|TRIGGER)\s"
+# Words that are no table where one may stand, and the row sets of a trigger.
+NO_NAMES = """after all and as begin by case cascade distinct else end exists for from go group having in index inner into is join key left like no not null of on or
+order outer over overwrite percent procedure right select set statistics table then to top trigger union values view when where with""".split()
+ROW_SETS = ["inserted", "deleted"]
+
+# On folded statements: a name is what holds no blank, sign or parenthesis (quoted names are single words there).
+_RAW = rf"[^\s\d,()=<>+*/'%|&!~^;:.{KEY}-][^\s,()=<>+*/'%|&!~^;:{KEY}-]*+"
+_TOP = r"(?:top ?\(\d++\) ?(?:percent )?)?"
+#: What is written stands behind these.
+_WRITES = rf"{KEY}(?:(?:insert|merge|update) {_TOP}(?:overwrite )?(?:table )?|into (?:table )?|delete {_TOP}(?:from )?|truncate (?:table )?)({_RAW})"
+#: What may hold tables, up to the next mark: lists, and what goes on behind a list's first comma.
+_LISTS = rf"{KEY}(?:(?:from|using|join|apply|clone of)\b|on [^{KEY}\n,]*+,|with ?\(\d++\) ?,|(?:tablesample|(?:un)?pivot) ?\([^{KEY}\n,]*+,|for system_time[^{KEY}\n,]*+,)([^{KEY}\n]*+)"
+_ELEMENT = rf"^ ?({_RAW})( ?\()?+(?:\d++\))?(?: (?:as )?({_RAW}))?"
+_CTES = rf"(?:{KEY}with (?:recursive )?|, ?)({_RAW}) ?(?:\(\d++\) ?)?as (?:not )?(?:materialized )?\("
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(repo_key, path, batch, stmt, sql): masked statements of each file (…, text), split at GO lines and semicolons."""
+    """(repo_key, path, batch, stmt, sql): masked statements of each file (…, text), split at GO lines, semicolons and headers."""
     batch = F.posexplode(F.split(F.col("mask"), r"(?im)^[ \t]*+GO[ \t]*+\r?$")).alias("batch", "part")
     b = files.select("repo_key", "path", sql_mask("text").alias("mask")).select("repo_key", "path", batch)
-    return b.select("repo_key", "path", "batch", F.posexplode(F.split("part", ";")).alias("stmt", "sql")).where("trim(sql) <> ''")
+    return b.select("repo_key", "path", "batch", F.posexplode(F.split("part", rf"(?i);|(?<=[^\s;])\s++(?={_HEADER})")).alias("stmt", "sql")).where("trim(sql) <> ''")
 
 
 def _found(sql: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(sql, F.lit("(?i)" + pattern), F.lit(group))
 
 
-def _bare(name: Column) -> Column:
-    return ~F.contains(name, F.lit("."))
-
-
-def _source(element: Column) -> Column:
-    """``struct<raw, alias>`` of an element of a list of tables; null for what is no table."""
-    raw = F.regexp_extract(element, rf"(?i)^\s*+({_NAME})", 1)
-    call = element.rlike(rf"(?i)^\s*+{_NAME}\s*+\(")
-    alias = F.regexp_extract(element, rf"(?i)^\s*+{_NAME}{_AS}", 1)
-    good = (raw != "") & ~(call & _bare(raw)) & ~(_bare(raw) & F.lower(raw).isin(NO_NAMES))
-    return F.when(good, F.struct(raw.alias("raw"), F.when(F.lower(alias).isin(NO_NAMES) | call, "").otherwise(normalize_identifier(alias)).alias("alias")))
+#: The procedure that runs a text.
+RUNS_TEXT = "sp_executesql"
 
 
-def sources_of(sql: Column) -> Column:
-    """``array<struct<raw, alias>>`` of the tables that a masked statement reads from."""
-    sql = F.regexp_replace(sql, r"(?i)\b(trim|extract|substring|overlay)\s*+\(([^()]*?)\bfrom\b", "$1($2,")
-    sql = F.regexp_replace(sql, rf"(?i){_KEY}fetch\s+(?:(?:next|prior|first|last)\s+)?from\s+{_PART}", " ")
-    sql = F.regexp_replace(sql, rf"(?i){_KEY}delete\s+from\b", "delete ")
-    stop = "|".join(ENDS)
-    lists = _found(sql, rf'{_KEY}{LISTS}\s+([^()]*?\(?)(?=(?<=\()|(?<![\[".])\b(?:{stop})\b(?![\]"])|[);]|$)')
-    elements = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
-    joined = _found(sql, rf"{_KEY}{SINGLE}\s+({_NAME}(?:\s*+\(|{_AS}))")
-    return F.filter(F.transform(F.concat(elements, joined), _source), lambda x: x.isNotNull())
+def _bare(name: Column) -> Column:
+    return ~F.contains(name, F.lit("."))
 
 
 def statement_lineage(stmts: DataFrame) -> DataFrame:
     """Rows (…, direction, schema_name, name) of what each statement reads and writes; reads of its own target are dropped."""
-    sql = F.col("sql")
-    ctes = F.transform(_found(sql, rf"(?:\bWITH|,)\s*+({_PART})\s*+(?:\([^()]*+\)\s*+)?AS\s*+\("), lambda c: normalize_identifier(c))
-    written = _found(sql, rf"{_KEY}{WRITES}\s+(?:TOP\s*+\([^()]*+\)\s*+)?({_NAME})")
-    body = stmts.where(~sql.rlike(DYNAMIC)).withColumns({"__ctes": ctes, "__w": written, "__r": sources_of(sql)})
-    aliases, raws = F.transform("__r", lambda x: x["alias"]), F.transform("__r", lambda x: x["raw"])
-
-    def table_of(raw: Column) -> Column:
+    keys = [c for c in stmts.columns if c != "sql"]
+    all_of = lambda pattern: F.regexp_extract_all("__f", F.lit(pattern), F.lit(1))
+    folded = stmts.select(*keys, sql_folded("sql").alias("__f"))
+    folded = folded.where(~(_dynamic("__f") | F.col("__f").rlike(f"^{KEY}(?:grant|deny|revoke) ")))
+    found = folded.select(*keys, F.array_distinct(all_of(_WRITES)).alias("__w"), F.split(F.array_join(all_of(_LISTS), ","), ",").alias("__e"), all_of(_CTES).alias("__ctes"))
+
+    piece = lambda x, k: F.regexp_extract(x, _ELEMENT, k)
+    read = F.transform("__e", lambda x: F.struct(piece(x, 1).alias("raw"), (piece(x, 2) != "").alias("call"), piece(x, 3).alias("alias")))
+    found = found.select(*keys, "__w", "__ctes", F.filter(read, lambda x: x["raw"] != "").alias("__r"))
+    # an alias that is no word of the syntax, once each, and what it stands for
+    named = F.filter("__r", lambda x: ~x["call"] & (x["alias"] != "") & ~x["alias"].isin(NO_NAMES) & ~_no_table(x["raw"]))
+    found = found.select(*keys, "__w", "__r", F.array_union("__ctes", F.array(*map(F.lit, ROW_SETS))).alias("__none"), F.transform(named, lambda x: x["alias"]).alias("__as"), F.transform(named, lambda x: x["raw"]).alias("__of"))
+    found = found.where((F.size("__w") > 0) | (F.size("__r") > 0))
+
+    def meant(raw: Column) -> Column:
         """The table that a written name means: what its alias stands for, or itself."""
-        of = F.array_position(aliases, normalize_identifier(raw))
-        return F.when(_bare(raw) & (of > 0), F.element_at(raws, F.greatest(of, F.lit(1)).cast("int"))).otherwise(raw)
+        at = F.array_position("__as", raw)
+        return F.when(_bare(raw) & (at > 0), F.try_element_at("__of", at.cast("int"))).otherwise(raw)
 
-    no_table = lambda raw: raw.rlike("^[#@]") | (_bare(raw) & (F.array_contains("__ctes", normalize_identifier(raw)) | F.lower(raw).isin(NO_NAMES)))
-    named = lambda raws: F.array_distinct(F.transform(F.filter(raws, lambda x: ~no_table(x)), lambda x: qualify(unmasked_name(x))))
-    read = F.transform(F.filter("__r", lambda x: ~(_bare(x["raw"]) & F.array_contains(F.filter(aliases, lambda a: a != ""), normalize_identifier(x["raw"])))), lambda x: x["raw"])
-    both = body.select(*[c for c in stmts.columns if c != "sql"], named(F.transform("__w", table_of)).alias("w"), named(read).alias("r"))
+    outside = lambda x: ~(_no_table(x) | (_bare(x) & F.array_contains("__none", x)))
+    tables = lambda raws: F.array_distinct(F.transform(F.filter(raws, outside), lambda x: qualify(unmasked(x))))
+    real = F.filter("__r", lambda x: ~_bare(x["raw"]) | ~(x["call"] | F.array_contains("__as", x["raw"])))
+    both = found.select(*keys, tables(F.transform("__w", meant)).alias("w"), tables(F.transform(real, lambda x: x["raw"])).alias("r"))
     marked = lambda d, x: F.transform(x, lambda q: F.struct(F.lit(d).alias("direction"), q["schema_name"].alias("schema_name"), q["name"].alias("name")))
     rows = F.explode(F.concat(marked("writes", F.col("w")), marked("reads", F.array_except("r", "w")))).alias("e")
-    return both.select(*[c for c in stmts.columns if c != "sql"], rows).select(*[c for c in stmts.columns if c != "sql"], "e.*")
+    return both.select(*keys, rows).select(*keys, "e.*")
+
+
+def _no_table(raw: Column) -> Column:
+    return raw.rlike("^[#@]") | (_bare(raw) & raw.isin(NO_NAMES))
+
+
+def _dynamic(folded: str) -> Column:
+    """Whether a folded statement runs a text: EXEC of a parenthesis, or the procedure that does so."""
+    return F.col(folded).rlike(rf"{KEY}exec(?:ute)? ?\(|(?:^|[\s.=\[]){RUNS_TEXT}(?:[\s\]]|$)")
+
+
+def owners(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (repo_key, path, batch, stmt, …) with ``owner`` and ``owner_type``, null where a statement belongs to nothing.
+
+    As of each statement of a batch, the last header before it of what has a body is carried forward; without one, the
+    statement's own header counts. Only ids travel: headers ``made`` (…, id, node_type) and rows are put in one order.
+    """
+    batch, extra = ["repo_key", "path", "batch"], [c for c in rows.columns if c not in ("repo_key", "path", "batch", "stmt")]
+    body = F.col("node_type") == "stored_proc"
+    heads = made.select(*batch, "stmt", F.when(body, F.struct("id", "node_type")).alias("__body"), F.when(~body, F.struct("id", "node_type", "stmt")).alias("__own"), F.lit(0).alias("__k"))
+    heads = heads.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra])
+    every = heads.unionByName(rows.withColumn("__k", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*batch).orderBy("stmt", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = every.select("*", F.last("__body", True).over(so_far).alias("__b"), F.last("__own", True).over(so_far).alias("__o")).where("__k = 1")
+    own = F.when(F.col("__o.stmt") == F.col("stmt"), F.struct("__o.id", "__o.node_type"))
+    return seen.withColumn("__w", F.coalesce("__b", own)).select(*batch, "stmt", *extra, F.col("__w.id").alias("owner"), F.col("__w.node_type").alias("owner_type"))
 
 
 def unmasked_name(raw: Column) -> Column:
@@ -94,16 +121,22 @@ def unmasked_name(raw: Column) -> Column:
     return unmasked(F.regexp_replace(raw, r"\s*+\.\s*+", "."))
 
 
+def _runs_text(mask: str) -> Column:
+    """The same on a mask: a call by parenthesis, or the procedure's name as a word or a name's last part."""
+    word = rf'(?:^|[\s.="\[]){RUNS_TEXT}(?:[\s"\]]|$)'
+    return F.lower(mask).rlike(rf"(?:^|[^\w.$#@\[\"])exec(?:ute)?\s*+\(|{word}")
+
+
 def dynamic_sql(stmts: DataFrame) -> DataFrame:
     """Warnings for statements that build their SQL at run time."""
-    return stmts.where(F.col("sql").rlike(DYNAMIC)).select(F.col("path").alias("file"), F.lit("SQL built at run time is not traced").alias("message"), F.lit("dynamic_sql").alias("category"))
+    return stmts.where(_runs_text("sql")).select(F.col("path").alias("file"), F.lit("SQL built at run time is not traced").alias("message"), F.lit("dynamic_sql").alias("category"))
 
 
 def callees(stmts: DataFrame) -> DataFrame:
     """(…, schema_name, name) of procedures that a statement executes, once each."""
     keys = [c for c in stmts.columns if c != "sql"]
     found = F.array_distinct(F.transform(F.filter(_found(F.col("sql"), rf"{_KEY}EXEC(?:UTE)?\s+(?!AS\b)(?:@\w++\s*+=\s*+)?({_NAME})"), lambda x: ~x.startswith("@")), lambda x: qualify(unmasked_name(x))))
-    return stmts.where(~F.col("sql").rlike(DYNAMIC)).select(*keys, F.explode(found).alias("q")).select(*keys, "q.schema_name", "q.name")
+    return stmts.where(~_runs_text("sql")).select(*keys, F.explode(found).alias("q")).select(*keys, "q.schema_name", "q.name")
 
 
 _CREATE = rf"(?i){_KEY}CREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(TABLE|VIEW|PROC(?:EDURE)?|FUNCTION|TRIGGER)\s+({_NAME})"
@@ -120,7 +153,7 @@ def definitions(stmts: DataFrame) -> DataFrame:
     d = stmts.where(kind != "").select(*keys, kind.alias("k"), inline.alias("inline"), unmasked_name(name).alias("raw"))
     node_type = F.when(F.col("k") == "TABLE", "gold_table").when((F.col("k") == "VIEW") | ((F.col("k") == "FUNCTION") & F.col("inline")), "view").otherwise("stored_proc")
     object_kind = F.when(F.col("k") == "FUNCTION", F.when(F.col("inline"), "inline_tvf").otherwise("scalar_function")).when(F.col("k") == "TRIGGER", "trigger").otherwise("")
-    d = d.select(*keys, node_type.alias("node_type"), object_kind.alias("object_kind"), qualify(F.col("raw")).alias("q"), F.trim(F.regexp_replace(F.element_at(F.regexp_extract_all("raw", F.lit('\\[[^\\]]*+\\]|"[^"]*+"|[^.]++'), F.lit(0)), -1), '[\\[\\]"]', "")).alias("display_name"))
+    d = d.select(*keys, node_type.alias("node_type"), object_kind.alias("object_kind"), qualify(F.col("raw")).alias("q"), F.trim(F.regexp_replace(F.element_at(qualified_parts(F.col("raw")), -1), '[\\[\\]"]', "")).alias("display_name"))
     return d.select(*keys, "node_type", "object_kind", "q.schema_name", "q.name", "display_name").where("name not like '#%' and name not like '@%'")
 
 
@@ -130,6 +163,10 @@ def star_views(stmts: DataFrame) -> DataFrame:
     return stmts.where(star).select(F.col("path").alias("file"), F.lit("a view selects all columns").alias("message"), F.lit("select_star_view").alias("category"))
 
 
+#: A parenthesis with up to four levels inside.
+_GROUP = r"\([^()]*+\)"
+for _ in range(4):
+    _GROUP = rf"\((?:[^()]++|{_GROUP})*+\)"
 _COLUMN = rf"^\s*+({_PART})\s++({_PART}(?:\s*+\([^()]*+\))?)([\s\S]*)$"
 
 
@@ -139,12 +176,10 @@ def table_columns(stmts: DataFrame) -> DataFrame:
     Constraints are primary_key (at the column or the table), unique, identity and default; a key column is not nullable.
     """
     keys = [c for c in stmts.columns if c != "sql"]
-    head = rf"(?i)^\s*+CREATE\s+TABLE\s+({_NAME})\s*+\(([\s\S]*)\)[^()]*+$"
+    head = rf"(?i)^\s*+CREATE\s+TABLE\s+({_NAME})\s*+\(((?:[^()]++|{_GROUP})*+)\)"
     t = stmts.select(*keys, F.regexp_extract("sql", head, 1).alias("raw"), F.regexp_extract("sql", head, 2).alias("body")).where("raw <> '' and raw not like '#%' and raw not like '@%'")
-    # the innermost parentheses are folded away, so a comma inside of two levels is followed by a closing one
-    folded = F.regexp_replace("body", r"\(([^()]*+)\)", "\uE0F0$1\uE0F1")
-    part = F.posexplode(F.split(folded, r",(?![^()]*+\))(?![^\x{E0F0}\x{E0F1}]*+\x{E0F1})")).alias("pos", "part")
-    rows = t.select(*keys, "raw", part).select(*keys, "raw", "pos", F.translate("part", "\uE0F0\uE0F1", "()").alias("part"))
+    # a definition is what no comma outside of parentheses parts; each is one match, so the cost is linear
+    rows = t.select(*keys, "raw", F.posexplode(F.regexp_extract_all("body", F.lit(rf"((?:[^,()]++|{_GROUP})++)"), F.lit(1))).alias("pos", "part"))
     own = ~F.col("part").rlike(r"(?i)^\s*+(?:constraint|primary\s+key|unique|foreign\s+key|check|index|period)\b")
     keyed = F.regexp_extract("part", r"(?i)\bprimary\s+key\b[^()]*+\(([^()]*+)\)", 1)
     table_key = rows.where(~own & (keyed != "")).select(*keys, "raw", F.transform(F.split(keyed, ","), lambda x: normalize_identifier(F.regexp_replace(unmasked(x), r"(?i)\s+(?:asc|desc)\s*$", ""))).alias("key"))

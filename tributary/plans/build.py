@@ -21,17 +21,17 @@ _NODE = ["id", "node_type", "name", "schema_name", "source_file"]
 
 
 def sql_graph(scripts: DataFrame) -> dict[str, DataFrame]:
-    """Nodes and edges of SQL scripts: what they define, and what the defined object of a batch reads, writes and calls.
+    """Nodes and edges of SQL scripts: what they define, and what each defined object reads, writes and calls (see
+    ``statements.owners``).
 
     Objects that are only named get a table without a file; such a table of a view's name is that view.
     """
     stmts = cut(statements.statements(scripts))
     made = cut(statements.definitions(stmts).withColumn("id", make_id(F.col("node_type"), F.col("schema_name"), F.col("name"))))
-    batch = ["repo_key", "path", "batch"]
-    owner = made.groupBy(*batch).agg(F.min_by(F.struct("id", "node_type"), "stmt").alias("o")).select(*batch, F.col("o.id").alias("owner"), F.col("o.node_type").alias("kind"))
-    lineage = cut(statements.statement_lineage(stmts).join(owner, batch, "left").withColumn("id", make_id(F.lit("gold_table"), F.col("schema_name"), F.col("name"))))
-    calls = statements.callees(stmts).join(owner, batch).select("owner", make_id(F.lit("stored_proc"), F.col("schema_name"), F.col("name")).alias("target_id"), "path")
-    flow = lineage.where("owner is not null and owner <> id").select(F.col("owner").alias("source_id"), F.col("id").alias("target_id"), F.col("direction").alias("edge_type"), F.col("path").alias("evidence"))
+    lineage = cut(statements.owners(made, statements.statement_lineage(stmts)).withColumn("id", make_id(F.lit("gold_table"), F.col("schema_name"), F.col("name"))))
+    calls = statements.owners(made, statements.callees(stmts)).where("owner_type = 'stored_proc'").select("owner", make_id(F.lit("stored_proc"), F.col("schema_name"), F.col("name")).alias("target_id"), "path")
+    # only what has a body writes; a view or table is made of what it reads
+    flow = lineage.where("owner <> id and (direction = 'reads' or owner_type = 'stored_proc')").select(F.col("owner").alias("source_id"), F.col("id").alias("target_id"), F.col("direction").alias("edge_type"), F.col("path").alias("evidence"))
     edges = flow.unionByName(calls.select(F.col("owner").alias("source_id"), "target_id", F.lit("references").alias("edge_type"), F.col("path").alias("evidence")))
     own = made.select("id", "node_type", "name", "schema_name", F.col("path").alias("source_file"), F.lit(0).alias("ord"))
     named = lineage.select("id", F.lit("gold_table").alias("node_type"), "name", "schema_name", F.lit("").alias("source_file"), F.lit(1).alias("ord"))
@@ -43,9 +43,10 @@ def sql_graph(scripts: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes.select(*_NODE), "edges": edges.select("source_id", "target_id", "edge_type", "evidence"), "warnings": statements.dynamic_sql(stmts).unionByName(statements.star_views(stmts))}
 
 
-def model_graph(tables: DataFrame, parts: DataFrame, measures: DataFrame, sql_nodes: DataFrame) -> dict[str, DataFrame]:
+def model_graph(tables: DataFrame, parts: DataFrame, measures: DataFrame, sql_nodes: DataFrame, columns: DataFrame | None = None) -> dict[str, DataFrame]:
     """Nodes and edges of semantic models: tables and measures feed their model, partitions are fed by the SQL objects of
-    exactly their names or by other models, formulas reference measures and tables."""
+    exactly their names or by other models, formulas reference measures and tables. Names in formulas are compared without
+    case; ``columns`` (model, table_name, name) tells which qualified names are columns, which win over measures."""
     models = tables.select("model").distinct()
     model_id = lambda c: F.concat(F.lit("semantic_model:"), F.lower(c))
     nodes = models.select(model_id("model").alias("id"), F.lit("semantic_model").alias("node_type"), F.col("model").alias("name"), F.lit("").alias("schema_name"))
@@ -57,9 +58,10 @@ def model_graph(tables: DataFrame, parts: DataFrame, measures: DataFrame, sql_no
     upstream, open_models = pages.composite_links(found["models"], models)
     calculated = partitions.calculated_links(parts, tables, measures)
     refs = cut(dax_refs(measures.select(F.col("id").alias("source_id"), "model", "expression")).select("source_id", "model", "table_name", "name"))
-    columns = tables.select("model", "table_name", F.lit("").alias("name")).where("false")
+    columns = tables.select("model", "table_name", F.lit("").alias("name")).where("false") if columns is None else columns
     between = pages.measure_links(refs, measures.select("id", "model", "table_name", "name"), columns)
-    named = refs.where("table_name <> ''").join(tables.select("model", "table_name", "table_id"), ["model", "table_name"]).select("source_id", F.col("table_id").alias("target_id")).distinct()
+    of_table = tables.select("model", F.lower("table_name").alias("__t"), F.col("table_id").alias("target_id"))
+    named = refs.where("table_name <> ''").withColumn("__t", F.lower("table_name")).join(of_table, ["model", "__t"]).select("source_id", "target_id").distinct()
     edge = lambda df, a, b, kind, why: df.select(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("edge_type"), why.alias("evidence"))
     edges = edge(tables.withColumn("m", model_id("model")), "table_id", "m", "feeds", F.col("model"))
     edges = edges.unionByName(edge(measures.withColumn("m", model_id("model")), "id", "m", "feeds", F.col("model")))
@@ -87,12 +89,12 @@ def report_graph(shown: DataFrame, filters: DataFrame, declared: DataFrame, tabl
     return {"nodes": nodes, "edges": edges.unionByName(feeds), "field_refs": fields, "unresolved_bindings": open_, "warnings": warnings}
 
 
-def build(scripts: DataFrame, tables: DataFrame, parts: DataFrame, measures: DataFrame, shown: DataFrame, filters: DataFrame, declared: DataFrame) -> dict[str, DataFrame]:
-    """The whole graph of all sources, in one plan."""
+def build(scripts: DataFrame, tables: DataFrame, parts: DataFrame, measures: DataFrame, shown: DataFrame, filters: DataFrame, declared: DataFrame, columns: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole graph of all sources, in one plan. Where several rows share an id, the least (name, file) stays."""
     sql = sql_graph(scripts)
-    model = model_graph(tables, parts, measures, sql["nodes"])
+    model = model_graph(tables, parts, measures, sql["nodes"], columns)
     report = report_graph(shown, filters, declared, tables, measures)
     union = lambda key: sql[key].unionByName(model[key]).unionByName(report[key])
-    nodes = union("nodes").dropDuplicates(["id"])
+    nodes = union("nodes").groupBy("id").agg(F.min(F.struct("name", "source_file", "node_type", "schema_name")).alias("n")).select("id", *[f"n.{c}" for c in _NODE[1:]])
     edges = graph.edge_dedup(union("edges").withColumn("ord", F.col("evidence")))
     return {"nodes": nodes, "edges": edges, "warnings": quality.diagnostics_rows(union("warnings")), "field_refs": report["field_refs"], "unresolved": model["unresolved"], "unresolved_bindings": report["unresolved_bindings"]}

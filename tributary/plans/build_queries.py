@@ -400,3 +400,59 @@ def report_overview_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layer_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = estate.nodes(spark, sf_dir)
     return layering.unclassified(n, n.where("id like 'part:%' and key % 3 = 0"), True).select("file", "category")
+
+
+# --- owners: each order is a batch of objects, one for each of its lines ------------------------------------------------
+
+# Lines 1 and 5 become tables, lines 2, 4, 6 and 7 views, line 3 a procedure, whose body takes in all that follows it.
+_OBJECT = {
+    "table": "CREATE TABLE own.t%d_%d (id INT)",
+    "view": "Create View own.v%d_%d As Select * From src.p%d x, (Select 1 As a) y, src.s%d",
+    "proc": "CREATE PROC own.q%d_%d AS BEGIN INSERT INTO out.p%d SELECT * FROM src.s%d END",
+}
+
+
+def _object_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = (F.col("l_orderkey"), F.col("l_linenumber"))
+    more = (*ids, F.col("l_partkey") % 97, F.col("l_suppkey") % 7)
+    n = F.col("l_linenumber")
+    text = F.when(n.isin(1, 5), F.format_string(_OBJECT["table"], *ids)).when(n == 3, F.format_string(_OBJECT["proc"], *more)).otherwise(F.format_string(_OBJECT["view"], *more))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    objects = lines.select("l_orderkey", F.struct(n.alias("n"), text.alias("t")).alias("o"))
+    batch = objects.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("o")).alias("o"))  # at most seven lines an order
+    joined = F.array_join(F.transform("o", lambda x: F.concat(x["t"], F.when(x["n"] % 2 == 0, "\n").otherwise(";\n"))), "")
+    return batch.select(F.lit("r").alias("repo_key"), F.col("l_orderkey").cast("string").alias("path"), joined.alias("text"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) % 97 AS p, min(l_suppkey) % 7 AS s FROM lineitem GROUP BY 1, 2),
+b AS (SELECT *, max(CASE WHEN n = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY k) = 1 AND n >= 3 AS inside FROM l),
+w AS (SELECT *, CASE WHEN inside THEN 'stored_proc:own.q' || CAST(k AS VARCHAR) || '_3' ELSE 'view:own.v' || CAST(k AS VARCHAR) || '_' || CAST(n AS VARCHAR) END AS owner FROM b WHERE n NOT IN (1, 5))
+SELECT owner AS source_id, 'gold_table:src.s' || CAST(s AS VARCHAR) AS target_id, 'reads' AS edge_type FROM w
+UNION SELECT owner, 'gold_table:src.p' || CAST(p AS VARCHAR), 'reads' FROM w WHERE n <> 3
+UNION SELECT owner, 'gold_table:out.p' || CAST(p AS VARCHAR), 'writes' FROM w WHERE n = 3""",
+    False,
+)
+def owned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of batches that hold several objects, each of its own object or of the body around it."""
+    return build.sql_graph(_object_scripts(spark, sf_dir))["edges"].select("source_id", "target_id", "edge_type")
+
+
+# Formulas in every case: each part is a table with columns and, every third one, a measure; formulas name them in upper case.
+@query(
+    """WITH p AS (SELECT p_partkey AS k, 'm' || CAST(p_size AS VARCHAR) AS model, 'T' || CAST(p_partkey AS VARCHAR) AS t FROM part), me AS (SELECT *, 'measure:' || model || '.x' || CAST(k AS VARCHAR) AS id FROM p WHERE k % 3 = 0)
+SELECT a.id AS source_id, 'pbi_table:' || b.model || '.' || lower(b.t) AS target_id FROM me a JOIN p b ON b.model = a.model AND b.k IN (a.k, a.k - 3, a.k - 5)
+UNION SELECT a.id, b.id FROM me a JOIN me b ON b.model = a.model AND b.k = a.k - 3 AND b.k % 2 = 0""",
+    False,
+)
+def formula_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What formulas reference, names compared without case, a column before a measure of the same name."""
+    k = F.col("k")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "concat('m', cast(p_size as string)) as model", "concat('T', cast(p_partkey as string)) as table_name", "concat('pbi_table:m', cast(p_size as string), '.t', cast(p_partkey as string)) as table_id")
+    dax = F.format_string("SUM(t%d[amount]) + T%d[X%d] + 'T%d'[y]", k, k - 3, k - 3, k - 5)
+    measures = p.where("k % 3 = 0").select(F.format_string("measure:%s.x%d", "model", k).alias("id"), "model", "table_name", F.format_string("x%d", k).alias("name"), dax.alias("expression"))
+    columns = p.where("k % 2 = 1").select("model", "table_name", F.format_string("x%d", k).alias("name"))
+    parts = p.where("false").select("table_id", "model", F.col("table_name").alias("name"), F.lit("m").alias("type"), F.lit("").alias("expression"))
+    sql_nodes = build.sql_graph(p.where("false").select(F.lit("r").alias("repo_key"), F.lit("").alias("path"), F.lit("").alias("text")))["nodes"]
+    edges = build.model_graph(p.select("model", "table_name", "table_id"), parts, measures, sql_nodes, columns)["edges"]
+    return edges.where("edge_type = 'references'").select("source_id", "target_id")

@@ -63,31 +63,33 @@ def _bare(name: Column) -> Column:
 def statement_lineage(stmts: DataFrame) -> DataFrame:
     """Rows (…, direction, schema_name, name) of what each statement reads and writes; reads of its own target are dropped."""
     keys = [c for c in stmts.columns if c != "sql"]
-    all_of = lambda pattern: F.regexp_extract_all("__f", F.lit(pattern), F.lit(1))
+    # no filter on what the fold gives: it would be pushed below and the fold run twice
     folded = stmts.select(*keys, sql_folded("sql").alias("__f"))
-    folded = folded.where(~(_dynamic("__f") | F.col("__f").rlike(f"^{KEY}(?:grant|deny|revoke) ")))
-    found = folded.select(*keys, F.array_distinct(all_of(_WRITES)).alias("__w"), F.split(F.array_join(all_of(_LISTS), ","), ",").alias("__e"), all_of(_CTES).alias("__ctes"))
+    skipped = _dynamic("__f") | F.col("__f").rlike(f"^{KEY}(?:grant|deny|revoke) ")
+    all_of = lambda pattern: F.regexp_extract_all("__f", F.lit(pattern), F.lit(1))
+    found = folded.select(*keys, F.when(~skipped, F.struct(all_of(_WRITES).alias("w"), F.split(F.array_join(all_of(_LISTS), ","), ",").alias("e"), all_of(_CTES).alias("c"))).alias("__x"))
 
     piece = lambda x, k: F.regexp_extract(x, _ELEMENT, k)
-    read = F.transform("__e", lambda x: F.struct(piece(x, 1).alias("raw"), (piece(x, 2) != "").alias("call"), piece(x, 3).alias("alias")))
-    found = found.select(*keys, "__w", "__ctes", F.filter(read, lambda x: x["raw"] != "").alias("__r"))
-    # an alias that is no word of the syntax, once each, and what it stands for
-    named = F.filter("__r", lambda x: ~x["call"] & (x["alias"] != "") & ~x["alias"].isin(NO_NAMES) & ~_no_table(x["raw"]))
-    found = found.select(*keys, "__w", "__r", F.array_union("__ctes", F.array(*map(F.lit, ROW_SETS))).alias("__none"), F.transform(named, lambda x: x["alias"]).alias("__as"), F.transform(named, lambda x: x["raw"]).alias("__of"))
-    found = found.where((F.size("__w") > 0) | (F.size("__r") > 0))
+    read = F.transform("__x.e", lambda x: F.struct(piece(x, 1).alias("raw"), (piece(x, 2) != "").alias("call"), piece(x, 3).alias("alias")))
+    found = found.select(*keys, "__x.w", F.array_union("__x.c", F.array(*map(F.lit, ROW_SETS))).alias("none"), F.filter(read, lambda x: x["raw"] != "").alias("r"))
+    # aliases that are no words of the syntax, and what each stands for
+    named = F.filter("r", lambda x: ~x["call"] & (x["alias"] != "") & ~x["alias"].isin(NO_NAMES) & ~_no_table(x["raw"]))
+    found = found.select(*keys, "w", "none", "r", named.alias("named"))
 
     def meant(raw: Column) -> Column:
         """The table that a written name means: what its alias stands for, or itself."""
-        at = F.array_position("__as", raw)
-        return F.when(_bare(raw) & (at > 0), F.try_element_at("__of", at.cast("int"))).otherwise(raw)
-
-    outside = lambda x: ~(_no_table(x) | (_bare(x) & F.array_contains("__none", x)))
-    tables = lambda raws: F.array_distinct(F.transform(F.filter(raws, outside), lambda x: qualify(unmasked(x))))
-    real = F.filter("__r", lambda x: ~_bare(x["raw"]) | ~(x["call"] | F.array_contains("__as", x["raw"])))
-    both = found.select(*keys, tables(F.transform("__w", meant)).alias("w"), tables(F.transform(real, lambda x: x["raw"])).alias("r"))
-    marked = lambda d, x: F.transform(x, lambda q: F.struct(F.lit(d).alias("direction"), q["schema_name"].alias("schema_name"), q["name"].alias("name")))
-    rows = F.explode(F.concat(marked("writes", F.col("w")), marked("reads", F.array_except("r", "w")))).alias("e")
-    return both.select(*keys, rows).select(*keys, "e.*")
+        at = F.array_position("named.alias", raw)
+        return F.when(_bare(raw) & (at > 0), F.try_element_at("named.raw", at.cast("int"))).otherwise(raw)
+
+    outside = lambda x: ~(_no_table(x) | (_bare(x) & F.array_contains("none", x)))
+    whole = lambda x: F.regexp_replace(F.when(_bare(x), F.concat(F.lit("dbo."), x)).otherwise(x), '["\\[\\]]', "")
+    tables = lambda raws: F.array_distinct(F.transform(F.filter(raws, outside), lambda x: F.struct(whole(x).alias("key"), x.alias("raw"))))
+    real = F.filter("r", lambda x: ~_bare(x["raw"]) | ~(x["call"] | F.array_contains("named.alias", x["raw"])))
+    both = found.select(*keys, tables(F.transform("w", meant)).alias("w"), tables(F.transform(real, lambda x: x["raw"])).alias("r"))
+    # by key, so that one table that is written in several ways counts once
+    once = lambda direction, xs, but: F.transform(F.array_except(F.transform(xs, lambda x: x["key"]), but), lambda k: F.struct(F.lit(direction).alias("direction"), F.element_at(xs, F.array_position(F.transform(xs, lambda x: x["key"]), k).cast("int"))["raw"].alias("raw")))
+    rows = both.select(*keys, F.explode(F.concat(once("writes", F.col("w"), F.array().cast("array<string>")), once("reads", F.col("r"), F.col("w.key")))).alias("e"))
+    return rows.select(*keys, "e.direction", qualify(unmasked(F.col("e.raw"))).alias("q")).select(*keys, "direction", "q.schema_name", "q.name")
 
 
 def _no_table(raw: Column) -> Column:

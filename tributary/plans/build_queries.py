@@ -26,7 +26,8 @@ EXEC sp_executesql N'DELETE FROM z'"""
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.format_string(_SCRIPT, k, k % 50, F.col("o_custkey"), k, k % 50, F.col("o_orderstatus"), k)
-    return table(spark, sf_dir, "orders").select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return orders.select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
 
 
 def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -274,7 +274,8 @@ EXEC @rc = dbo.usp_%s"""
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.format_string(_SCRIPT, k % 50, F.col("o_custkey"), F.col("o_orderstatus"), k % 7, k % 50, F.lower("o_orderstatus"))
-    return table(spark, sf_dir, "orders").select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return orders.select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
 
 
 @query(

@@ -471,3 +471,25 @@ def test_decontamination(spark, part_chars):
     left = decontaminate.clean(frame(spark, rows).withColumn("items", F.lit("own")), bench, part_chars=part_chars).collect()
     assert sorted(r.doc_id for r in left) == sorted(i for (i, _), (_, h, _) in zip(rows, want, strict=True) if not h)
     assert {(r["items"], r.score) for r in left} == {("own", "clash")}
+
+
+def test_long_runs_of_blanks_are_counted_exactly(spark):
+    enc, rng = token_counts.encoding(token_counts.RANKS), random.Random(8)
+    for _ in range(25):
+        text = "".join(rng.choice([" ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "a", "b1", "!"]) * rng.choice([1, 2, 11_000, 25_000]) for _ in range(10))
+        assert token_counts.token_ids(enc, text) == enc.encode_ordinary(text)
+    rows = [(k, "x" + blank * n + tail) for k, (blank, n, tail) in enumerate([(" ", 1_000_000, "y"), ("\n", 2_000_000, "y"), (" \n\t", 700_000, ""), ("\u00a0", 1_000_000, "y"), (" ", 5_000_000, "")])]
+    got = {r.doc_id: r.n_tokens for r in token_counts.lengths(spark.createDataFrame(rows, "doc_id bigint, text string"), keep=["doc_id"]).collect()}
+    assert len(got) == 5 and all(n > 0 for n in got.values())
+    assert got[0] == 1 + len(enc._encode_single_piece(" " * 999_999)) + len(enc.encode_ordinary(" y"))
+
+
+def test_texts_full_of_key_beginnings_take_linear_time():
+    import time
+
+    magic = base64.b64encode(b"openssh-key-v1\0" * 100_000).decode()
+    texts = [magic, "b3BlbnNzaC1rZXktdjEA" * 100_000, "\n".join(["b3BlbnNzaC1rZXktdjEAb3BlbnNzaC1rZXktdjEA"] * 50_000), "30" * 1_000_000, "MIIEpAIBAAKCAQEA" * 120_000]
+    for text in texts:
+        began = time.time()
+        assert secrets.confirmed_spans(text) == []
+        assert time.time() - began < 10

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -44,6 +45,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Where DER of a SEQUENCE or the OpenSSH magic may start.
 _START = re.compile(r"(?=M[A-P]|b3BlbnNz)")
+_SIGN = re.compile("[-_]")
 _URL = str.maketrans("-_", "+/")
 _MAGIC = b"openssh-key-v1\0"
 _HEX_RUN = re.compile(r"[0-9a-fA-F]{64,}")
@@ -63,43 +65,45 @@ def unbase64(text: str, url: bool = False) -> bytes:
         return b""
 
 
-def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """Tags and contents of a sequence of DER values that fills ``data`` exactly, nested ones checked too; else None."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def der_items(data: bytes, lo: int, hi: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """(tag, begin, end) of the contents of DER values that fill data[lo:hi] exactly, nested ones checked too; else None."""
+    out, at = [], lo
+    while at < hi:
+        if at + 2 > hi:
             return None
         tag, n, at = data[at], data[at + 1], at + 2
         if n >= 0x80:
             size = n & 0x7F
-            if not 1 <= size <= 4 or at + size > len(data):
+            if not 1 <= size <= 4 or at + size > hi:
                 return None
             n, at = int.from_bytes(data[at : at + size], "big"), at + size
-        if at + n > len(data):
+        if at + n > hi:
             return None
-        body, at = data[at : at + n], at + n
-        if tag & 0x20 and (depth > 8 or der_items(body, depth + 1) is None):
+        out.append((tag, at, at + n))
+        if tag & 0x20 and (depth > 8 or der_items(data, at, at + n, depth + 1) is None):
             return None
-        out.append((tag, body))
+        at += n
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that fills the data and starts with a short INTEGER (a version), followed by at least one value; or
+def is_der_key(data: bytes, lo: int = 0, hi: int | None = None) -> bool:
+    """One SEQUENCE that fills data[lo:hi] and starts with a short INTEGER (a version), followed by at least one value; or
     one of a SEQUENCE that names a password-based cipher, and an OCTET STRING.
     """
-    top = der_items(data) if data[:1] == b"\x30" else None
+    hi = len(data) if hi is None else hi
+    top = der_items(data, lo, hi) if data[lo : lo + 1] == b"\x30" else None
     if not top or len(top) != 1:
         return False
-    inner = der_items(top[0][1])
+    inner = der_items(data, *top[0][1:])
     if not inner or len(inner) < 2:
         return False
-    if inner[0][0] == 2:
-        return len(inner[0][1]) == 1
-    if inner[0][0] != 0x30 or len(inner) != 2 or inner[1][0] != 4:
+    (tag, begin, end), second = inner[0], inner[1]
+    if tag == 2:
+        return end - begin == 1
+    if tag != 0x30 or len(inner) != 2 or second[0] != 4:
         return False
-    cipher = der_items(inner[0][1])
-    return bool(cipher) and cipher[0][0] == 6 and cipher[0][1].startswith(_PBE)
+    cipher = der_items(data, begin, end)
+    return bool(cipher) and cipher[0][0] == 6 and data[cipher[0][1] : cipher[0][2]].startswith(_PBE)
 
 
 def der_size(head: bytes) -> int:
@@ -115,73 +119,95 @@ def der_size(head: bytes) -> int:
     return 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
 
 
-def ssh_size(data: bytes) -> int:
-    """The bytes of an OpenSSH private key at the start of the data; 0 if its fields do not add up.
+def ssh_size(data: bytes, begin: int = 0) -> int:
+    """The bytes of an OpenSSH private key at a place of the data; 0 if its fields do not add up.
 
     Magic; cipher, key derivation and its options; the number of keys; that many public parts, each a field that begins
     with a key type; the private part.
     """
-    if not data.startswith(_MAGIC):
+    if not data.startswith(_MAGIC, begin):
         return 0
-    at = len(_MAGIC)
+    at = begin + len(_MAGIC)
 
-    def field() -> bytes | None:
+    def field() -> int:
+        """Where the next field's contents begin, or -1."""
         nonlocal at
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return None
+            return -1
         at += 4 + n
-        return data[at - n : at]
+        return at - n
 
-    if any(field() is None for _ in range(3)):
+    if any(field() < 0 for _ in range(3)):
         return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= keys <= len(data) // 8:
+    if not 1 <= keys <= (len(data) - begin) // 8:
         return 0
     for _ in range(keys):
         public = field()
-        if public is None or not public[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+        if public < 0 or not data[public + 4 : min(public + 12, at)].startswith((b"ssh-", b"ecdsa-", b"sk-")):
             return 0
-    return at if field() is not None else 0
+    return at - begin if field() >= 0 else 0
+
+
+class Run:
+    """A run of base64 lines as one string, its places in the text, and its bytes, decoded once for each alignment."""
+
+    def __init__(self, text: str, start: int, end: int):
+        lines = [m.span() for m in _LINE.finditer(text, start, end)]
+        self.begin = [a for a, _ in lines]
+        self.flat = "".join([text[a:b] for a, b in lines]).translate(_URL)
+        self.first = [0]
+        for a, b in lines:
+            self.first.append(self.first[-1] + b - a)
+        # where a line, or its run of the plain alphabet, ends
+        self.stops = set(self.first[1:]) | {f + m.start() - a for (a, b), f in zip(lines, self.first, strict=False) for m in _SIGN.finditer(text, a, b)}
+        self.decoded: dict[int, bytes] = {}
+
+    def place(self, k: int) -> int:
+        line = bisect.bisect_right(self.first, k, 0, len(self.begin)) - 1
+        return self.begin[line] + k - self.first[line]
+
+    def bytes_at(self, k: int) -> tuple[bytes, int]:
+        """Bytes of the run from its character k mod 4 on, and where character k's begin in them."""
+        shift = k % 4
+        if shift not in self.decoded:
+            size = len(self.flat) - shift
+            self.decoded[shift] = unbase64(self.flat[shift : len(self.flat) - (size % 4 == 1)])
+        return self.decoded[shift], (k - shift) // 4 * 3
 
 
 def bare_keys(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of keys in runs of base64, wrapped or not, of either alphabet."""
     out = []
-    for run in _RUN.finditer(text):
-        if not _START.search(run[0]) and "\n" not in run[0]:
+    for found in _RUN.finditer(text):
+        if not _START.search(text, *found.span()) and text.find("\n", *found.span()) < 0:
             continue
-        lines = [(m.start(), m.end()) for m in _LINE.finditer(text, run.start(), run.end())]
-        flat = "".join(text[a:b] for a, b in lines).translate(_URL)
-        # for each place in the flat run, its place in the text; and where a line, or its run of the plain alphabet, ends
-        first = [0]
-        for a, b in lines:
-            first.append(first[-1] + b - a)
-        place = lambda k: next(a + k - f for (a, b), f in zip(lines, first, strict=False) if k < f + b - a)
-        stops = set(first[1:]) | {f + m.start() for (a, b), f in zip(lines, first, strict=False) for m in re.finditer("[-_]", text[a:b])}
-        after = 0
-        for m in _START.finditer(flat):
+        run, after = Run(text, *found.span()), 0
+        for m in _START.finditer(run.flat):
             i = m.start()
             if i < after:
                 continue
-            if flat[i] == "M":
-                n = der_size(unbase64(flat[i : i + 16]))
+            if run.flat[i] == "M":
+                n = der_size(unbase64(run.flat[i : i + 16]))
                 chars = (4 * n + 2) // 3
-                if n < LEAST_DER or i + chars not in stops or not is_der_key(unbase64(flat[i : i + chars])):
+                if n < LEAST_DER or i + chars not in run.stops:
+                    continue
+                data, lo = run.bytes_at(i)
+                if lo + n > len(data) or not is_der_key(data, lo, lo + n):
                     continue
                 kind = 5
             else:
-                if not unbase64(flat[i : i + 20]).startswith(_MAGIC):
-                    continue
-                n = ssh_size(unbase64(flat[i : len(flat) - (len(flat) - i) % 4 * ((len(flat) - i) % 4 == 1)]))
+                n = ssh_size(*run.bytes_at(i)) if unbase64(run.flat[i : i + 20]).startswith(_MAGIC) else 0
                 chars = (4 * n + 2) // 3
-                if not n or i + chars not in stops:
+                if not n or i + chars not in run.stops:
                     continue
                 kind = 6
-            end = place(i + chars - 1) + 1
-            while text[end : end + 1] == "=" and end - place(i + chars - 1) <= 2:
+            last = run.place(i + chars - 1)
+            end = last + 1
+            while text[end : end + 1] == "=" and end - last <= 2:
                 end += 1
-            out.append((place(i), kind, end))
+            out.append((run.place(i), kind, end))
             after = i + chars
     return out
 
@@ -190,9 +216,15 @@ def hex_keys(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of DER keys at the end of runs of hex digits."""
     out = []
     for run in _HEX_RUN.finditer(text):
-        for m in _HEX_START.finditer(run[0]):
-            n = len(run[0]) - m.start()
-            if n % 2 == 0 and 2 * der_size(bytes.fromhex(run[0][m.start() : m.start() + 16])) == n and n >= 64 and is_der_key(bytes.fromhex(run[0][m.start() :])):
+        digits, data = run[0], {}
+        for m in _HEX_START.finditer(digits):
+            n = len(digits) - m.start()
+            if n % 2 or n < 64 or 2 * der_size(bytes.fromhex(digits[m.start() : m.start() + 16])) != n:
+                continue
+            shift = m.start() % 2
+            if shift not in data:
+                data[shift] = bytes.fromhex(digits[shift : len(digits) - (len(digits) - shift) % 2])
+            if is_der_key(data[shift], m.start() // 2):
                 out.append((run.start() + m.start(), 5, run.end()))
                 break
     return out

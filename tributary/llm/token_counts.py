@@ -1,9 +1,9 @@
 """Token counts from an exact length histogram.
 
 Each document is encoded once and only its length leaves the task. Lengths are aggregated to a histogram (partial sums
-before the shuffle), which is written to the shared checkpoint folder, since its sums read it twice; suffix sums over it answer, for every context limit that is a length in the data: how many
-documents and tokens lie at or above it, how many tokens remain if every document is truncated to it, and the share of
-documents that fit. Between two such lengths the truncated total is linear, so the rows answer every limit.
+before the shuffle), which is written to the shared checkpoint folder, since its sums read it twice; suffix sums over it
+answer, for every context limit that is a length in the data: how many documents and tokens lie at or above it, how many
+tokens remain if every document is truncated to it, and the share of documents that fit. Between two such lengths the truncated total is linear, so the rows answer every limit.
 
 Suffix sums run in blocks of lengths: inside each block by a window over the block, and over the block totals (as many
 rows as the longest document has blocks), so no task sorts all lengths.
@@ -15,6 +15,7 @@ ordinary text.
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Lengths of a block of suffix sums.
 BLOCK = 4096
 _encodings: dict[str, object] = {}
+#: Runs of blanks (Unicode White_Space) that are too long for the pattern's look-ahead.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10001,}")
 
 
 def encoding(path: str):
@@ -41,12 +44,24 @@ def encoding(path: str):
     return _encodings[path]
 
 
+def token_ids(encoding, text: str) -> list[int]:
+    """The ids of a text. A long run of blanks is encoded as the one piece that the pattern makes of it: all of it at the end
+    of the text, else all but its last blank, which goes to what follows."""
+    out, at = [], 0
+    for m in LONG_BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def lengths(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, ranks: str = RANKS) -> DataFrame:
     """``n_tokens long`` of each text."""
 
     def per_batch(column: pa.Array) -> list[pa.Array]:
-        encode = encoding(ranks).encode_ordinary
-        return [pa.array([len(encode(t)) if t else 0 for t in column.to_pylist()], pa.int64())]
+        known = encoding(ranks)
+        return [pa.array([len(token_ids(known, t)) if t else 0 for t in column.to_pylist()], pa.int64())]
 
     return map_texts(df, text_col, df.columns if keep is None else keep, "n_tokens long", per_batch)
 

@@ -34,7 +34,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mark; n_chars is counted anew."""
+    """Every document, its secrets replaced by a mark; n_chars, where there is such a column, is counted anew."""
+    if "n_chars" not in [c.lower() for c in docs.columns]:
+        return secrets.redact(docs)
     by_place = numbered(secrets.redact(docs))
     text, n_chars = (position(docs, c) for c in ("text", "n_chars"))
     counted = F.length(by_place[f"__{text}"]).cast(docs.schema.fields[n_chars].dataType)
@@ -42,8 +44,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
-    return pieces.encode(docs, keep=["doc_id", "lang", "source", "n_chars"])
+    """Piece ids of every document, with what it has of id, language, source and length."""
+    have = {c.lower() for c in docs.columns}
+    return pieces.encode(docs, keep=[c for c in ("doc_id", "lang", "source", "n_chars") if c in have])
 
 
 STAGES = [

@@ -121,9 +121,15 @@ def flow(edge_type: Column, source: Column, target: Column) -> tuple[Column, Col
     return F.when(against, target).otherwise(source), F.when(against, source).otherwise(target)
 
 
+# How the tables begin that a model makes for its date columns; the rest is an id in hex digits.
+DATE_TABLES = ["localdatetable_", "datetabletemplate_"]
+
+
 def auto_date_entity(entity: Column) -> Column:
     """Whether a table is one of the hidden ones that a model makes for every date column."""
-    return F.coalesce(F.lower(entity).rlike(r"^(localdatetable_|datetabletemplate_)[0-9a-f-]{8,}$"), F.lit(False))
+    low = F.lower(entity)
+    of = lambda prefix: low.startswith(prefix) & (F.length(low) >= len(prefix) + 8) & (F.translate(F.substr(low, F.lit(len(prefix) + 1)), "0123456789abcdef-", "") == "")
+    return F.coalesce(of(DATE_TABLES[0]) | of(DATE_TABLES[1]), F.lit(False))
 
 
 def _root(path: Column, suffix: str, plain: Column) -> Column:

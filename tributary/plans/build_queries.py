@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks, names
 from ..operators import bindings, closure, diff, graph, layering, linking, partitions, quality, reports, statements
-from ..sources import catalog, estate, sinks
+from ..sources import catalog, estate, models, sinks
 from . import build
 from .queries import _NEW_N, _OLD_N, _versions, query
 from .session import table
@@ -457,3 +457,23 @@ def formula_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_nodes = build.sql_graph(p.where("false").select(F.lit("r").alias("repo_key"), F.lit("").alias("path"), F.lit("").alias("text")))["nodes"]
     edges = build.model_graph(p.select("model", "table_name", "table_id"), parts, measures, sql_nodes, columns)["edges"]
     return edges.where("edge_type = 'references'").select("source_id", "target_id")
+
+
+# --- steps of M: chains of 1 to 20 steps, each with a dead one beside it; every third text has its steps in reverse -------
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_partkey") % 20
+    step = lambda i: F.format_string('#"s %d" = #"s %d"{[Schema="live", Item="t%d_%d"]}[Data]', i, i - 1, k, i)
+    dead = lambda i: F.format_string('Dead%d = Value.NativeQuery(#"s %d", "SELECT * FROM dead.d%d")', i, i, i)
+    first = F.array(F.lit('#"s 0" = let a = Sql.Database("in", "b"), c = a in c'))
+    steps = F.concat(first, F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.array(step(i), dead(i)))))
+    steps = F.when(k % 3 == 0, F.reverse(steps)).otherwise(steps)
+    text = F.concat(F.lit("let "), F.array_join(steps, ", "), F.format_string(' in #"s %d"', n + 1 - F.when(n > 2, 1).otherwise(0)))
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("id"), text.alias("expression"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'live' AS schema_name, 't' || CAST(p_partkey AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS name FROM part, range(1, 22) r(i) WHERE i <= p_partkey % 20 + 1 - CASE WHEN p_partkey % 20 > 2 THEN 1 ELSE 0 END", False)
+def reachable_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What M expressions read, steps left out that the result does not need."""
+    return models.m_sources(_chains(spark, sf_dir)).select("id", "schema_name", "name")

@@ -318,7 +318,7 @@ def dax_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Each supplier becomes a table partition whose M expression navigates to a source or sends a query.
 _M = """let Source = Sql.Database("srv", "db"), // {[Schema="no",Item="no"]}
- T = Source{[Schema="s%d",Item="T%d"]}[Data], Q = Value.NativeQuery(Source, "SELECT * FROM nat.q%d x JOIN ""ext"".z ON 1=1") in T"""
+ T = Source{[Schema="s%d",Item="T%d"]}[Data], Q = Value.NativeQuery(Source, "SELECT * FROM nat.q%d x JOIN ""ext"".z ON 1=1") in Table.Combine({T, Q})"""
 
 
 @query(

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masks import dax_mask, m_mask, sql_mask, unmasked
+from ..functions.masks import dax_mask, m_mask, m_reached, sql_mask, unmasked
 from ..operators.statements import statement_lineage
 from .files import MOST_MEMBER
 
@@ -223,6 +223,9 @@ def declared_model(text: Column, path: Column) -> Column:
 
 #: Characters of a name in a mask: word characters, dots, and what stands for others inside quotes.
 _WORD = r"[\w.\x{80}-\x{FFFF}]"
+# Functions that open a lake, the library and the ending of others, keys of what lies there, tables in the text.
+LAKES, LAKE_LIBRARY, WAREHOUSE, LAKE_KEYS = ["Lakehouse.Contents"], "Fabric.", ".Warehouse", ["Name", "Id"]
+WRITTEN_OUT = ["Table.FromRows", "#table", "Json.Document"]
 _VALUE = rf'("[^"]*+"|#"[^"]*+"|{_WORD}++)'
 
 
@@ -234,7 +237,8 @@ def _literal(value: Column, names: Column, values: Column) -> Column:
 
 
 def m_sources(partitions: DataFrame, text_col: str = "expression") -> DataFrame:
-    """(…, schema_name, name, raw_kind) of what an M expression reads, each source once.
+    """(…, schema_name, name, raw_kind) of what an M expression reads, each source once; steps that its result does not need
+    read nothing.
 
     Kinds: navigation (records with Schema and Item, as text or as names bound in the ``let``), native_query (tables of
     the SQL in Value.NativeQuery or in a Query option, which may be bound too), as_model (another model, alone), and, only
@@ -242,22 +246,26 @@ def m_sources(partitions: DataFrame, text_col: str = "expression") -> DataFrame:
     """
     keys = partitions.columns
     bind = rf'(?<![\w.\[\x{{80}}-\x{{FFFF}}])(#"[^"]*+"|{_WORD}++)\s*+=\s*+"([^"]*+)"'
-    m = partitions.withColumn("__m", m_mask(F.col(text_col)))
+    m = partitions.withColumn("__m", m_reached(m_mask(F.col(text_col))))
     m = m.withColumns({"__names": F.regexp_extract_all("__m", F.lit(bind), F.lit(1)), "__values": F.regexp_extract_all("__m", F.lit(bind), F.lit(2))})
     value = lambda record, key: _literal(F.regexp_extract(record, rf"(?:^|[,\s])(?:{key})\s*+=\s*+{_VALUE}", 1), F.col("__names"), F.col("__values"))
     made = lambda schema, name, kind: F.struct(F.lower(schema).alias("schema_name"), F.lower(name).alias("name"), F.lit(kind).alias("raw_kind"))
     records = F.regexp_extract_all("__m", F.lit(r"\{\s*+\[([^\[\]{}]*+)\]\s*+\}"), F.lit(1))
     full = lambda x: x["schema_name"].isNotNull() & x["name"].isNotNull()
     navigation = F.filter(F.transform(records, lambda r: made(value(r, "Schema"), value(r, "Item"), "navigation")), full)
-    queries = F.regexp_extract_all("__m", F.lit(rf"\bValue\.NativeQuery\s*+\((?:[^(),]++|\([^()]*+\)){{1,40}}+,\s*+{_VALUE}"), F.lit(1))
-    options = F.regexp_extract_all("__m", F.lit(rf"\bSql\.Databases?\s*+\([^()]*?\bQuery\s*+=\s*+{_VALUE}"), F.lit(1))
+    called = lambda name: rf"(?<![\w.#]){name}\s*+\("
+    argument = r"(?:[^(),]++|\([^()]*+\))"
+    queries = F.regexp_extract_all("__m", F.lit(rf"{called('Value.NativeQuery')}{argument}++,\s*+{_VALUE}"), F.lit(1))
+    options = F.flatten(F.transform(F.regexp_extract_all("__m", F.lit(rf"{called('Sql.Databases?')}([^()]*+)\)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(rf"(?<!\w)Query\s*+=\s*+{_VALUE}"), F.lit(1))))
     sql = F.filter(F.transform(F.concat(queries, options), lambda q: F.replace(_literal(q, F.col("__names"), F.col("__values")), F.lit("#(lf)"), F.lit("\n"))), lambda x: x.isNotNull())
-    model = F.regexp_extract("__m", r'\bAnalysisServices\.Database\s*+\(\s*+"[^"]*+"\s*+,\s*+"([^"]++)"', 1)
-    lake = F.regexp_extract_all("__m", F.lit(r'\b(?:Name|Id)\s*+=\s*+"([^"]++)"'), F.lit(1))
-    lake = F.transform(lake, lambda x: unmasked(x))
-    in_lake = F.col("__m").rlike(r"Lakehouse\.Contents\s*+\(|Fabric\.|\.Warehouse\s*+\(") & (F.size("__lake") > 0)
-    static = F.col("__m").rlike(r"Table\.FromRows|#table\b|Json\.Document")
-    m = m.withColumns({"__nav": navigation, "__sql": sql, "__model": unmasked(model), "__lake": lake})
+    opened = F.regexp_extract("__m", rf"{called('AnalysisServices.Database')}([^()]*+)\)", 1)
+    model = F.try_element_at(F.regexp_extract_all(opened, F.lit('"([^"]*+)"'), F.lit(1)), F.lit(2))
+    functions = F.regexp_extract_all("__m", F.lit(rf"(#?{_WORD}++)\s*+\("), F.lit(1))
+    fields = F.regexp_extract_all("__m", F.lit(r'(\w++)\s*+=\s*+"[^"]++"'), F.lit(1)), F.regexp_extract_all("__m", F.lit(r'\w++\s*+=\s*+"([^"]++)"'), F.lit(1))
+    lake = F.transform(F.filter(F.arrays_zip(fields[0].alias("key"), fields[1].alias("value")), lambda f: f["key"].isin(*LAKE_KEYS)), lambda f: unmasked(f["value"]))
+    in_lake = F.exists("__functions", lambda f: f.isin(*LAKES) | f.startswith(LAKE_LIBRARY) | f.endswith(WAREHOUSE)) & (F.size("__lake") > 0)
+    static = F.arrays_overlap("__functions", F.array(*map(F.lit, WRITTEN_OUT)))
+    m = m.withColumns({"__nav": navigation, "__sql": sql, "__model": F.coalesce(unmasked(model), F.lit("")), "__lake": lake, "__functions": functions})
     other = F.when(in_lake, F.array(made(F.when(F.size("__lake") > 1, F.element_at("__lake", -2)).otherwise(""), F.element_at("__lake", -1), "lakehouse"))).when(static, F.array(made(F.lit(""), F.lit(""), "static")))
     direct = F.when(F.col("__model") != "", F.array(F.struct(F.lit("").alias("schema_name"), F.col("__model").alias("name"), F.lit("as_model").alias("raw_kind")))).when(F.size("__nav") > 0, F.array_distinct("__nav")).when(F.size("__sql") == 0, other)
     m = cut_columns(m, keys, {"__direct": direct, "__sql": F.col("__sql")})

@@ -149,3 +149,25 @@ def test_quoted_names_keep_their_case(spark):
     from tributary.functions.names import original_name
 
     assert df.select(original_name(F.col("x")).alias("n")).collect()[0].n == "C d"
+
+
+def test_the_index_compares_few_pairs_and_loses_none(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop_") for _ in range(rng.randint(3, 9)))
+    names = sorted({f"{word()}.{word()}_{word()}" for _ in range(700)})
+    changed = lambda t: "".join(c if rng.random() > 0.06 else rng.choice("xyz") for c in t)
+    needles = [changed(rng.choice(names)) for _ in range(40)] + ["", "q", names[0], "zzzz"]
+    i = spark.createDataFrame([(f"k{n}", t) for n, t in enumerate(needles)] + [("null", None)], "key string, needle string")
+    c = spark.createDataFrame([(f"t{n:04d}", t) for n, t in enumerate(names)] + [("t9", ""), ("t99", None)], "target string, qualified string")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    every = {(f"k{n}", t.target): ratio(needle, t.qualified) for n, needle in enumerate(needles) for t in c.collect() if t.qualified is not None}
+    for k in (1, 4):
+        want = {}
+        for n in range(len(needles)):
+            mine = sorted(((-s, t) for (key, t), s in every.items() if key == f"k{n}"))[:k]
+            want.update({(f"k{n}", r + 1): (t, -s) for r, (s, t) in enumerate(mine)})
+        got = {(r.key, r["rank"]): (r.target, r.score) for r in linking.best_candidates(i, c, k).collect()}
+        assert got == want
+    assert linking.compared_pairs(i, c, 1).count() < 0.1 * len(every)
+    for least in (0.6, 0.7, 0.92):
+        assert {(r.key, r.target): r.score for r in linking.fuzzy_scores(i, c, least).collect()} == {p: s for p, s in every.items() if s >= least}

@@ -5,15 +5,17 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.session import cut
+
 # Type precedence among equal names, and the thresholds of the similarity rung.
 PRECEDENCE = ["view", "gold_table", "silver_table", "bronze_table"]
 AUTO, PENDING = 0.92, 0.60
-#: Parts that candidates are dealt to where every one is compared.
-SPREAD = 64
+#: Rarest tokens of an item by which its first candidates are found.
+SEEDS = 8
 
 
 def _precedence():
@@ -44,55 +46,108 @@ def similarity(needle: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _bag(c):
-    """How often each character stands in a text."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.transform(F.array_distinct(chars), lambda x: F.struct(x.alias("ch"), F.size(F.filter(chars, lambda y: y == x)).alias("n")))
+def _numbered(grams: Column) -> Column:
+    """The grams of a text, each with how often it stood before, so that sets of them count what two texts share."""
+    return F.transform(grams, lambda g, i: F.concat(g, F.lit("\x01"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).cast("string")))
 
 
-def _most(left, right, ln, lc):
-    """What no ratio of two texts exceeds: twice the characters that they share, in any order, over all of them."""
-    shared = F.aggregate(left, F.lit(0), lambda s, x: s + F.least(x["n"], F.coalesce(F.aggregate(F.filter(right, lambda y: y["ch"] == x["ch"]), F.lit(0), lambda t, y: t + y["n"]), F.lit(0))))
-    return F.when(ln + lc > 0, 2.0 * shared / F.greatest(ln + lc, F.lit(1))).otherwise(1.0)
+def _profiles(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, len, ones, twos): characters and pairs of neighbouring ones, numbered."""
+    n = F.length(text)
+    ones = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(1)))
+    twos = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(2)))
+    none = F.array().cast("array<string>")
+    r = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), n.alias("len"), F.when(n > 0, ones).otherwise(none).alias("o"), F.when(n > 1, twos).otherwise(none).alias("t"))
+    return r.select("key", "text", "len", _numbered(F.col("o")).alias("ones"), _numbered(F.col("t")).alias("twos"))
 
 
-def _bags(items: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    i = items.select("key", "needle", F.length("needle").alias("ln"), _bag(F.col("needle")).alias("bi"))
-    return i, candidates.select("target", "qualified", F.length("qualified").alias("lc"), _bag(F.col("qualified")).alias("bc"))
+def _most(i: str, c: str) -> Column:
+    """What no ratio exceeds of two profiles. M characters in matching blocks are among those that both hold; and as two
+    blocks have at least one unmatched character between them, in either text, they keep M - (T - 2 M) - 1 neighbours, T
+    being both lengths, so that M is at most a third of T + 1 and the neighbours that both hold."""
+    total = F.col(f"{i}.len") + F.col(f"{c}.len")
+    one, two = (F.size(F.array_intersect(F.col(f"{i}.{x}"), F.col(f"{c}.{x}"))) for x in ("ones", "twos"))
+    return F.when(total > 0, 2.0 * F.least(one, F.floor((two + total + 1) / 3)) / total).otherwise(1.0)
 
 
-def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """(key, target, score) of items (key, needle) and candidates (target, qualified) whose ratio reaches ``least`` (over 0).
+def _tokens(profiles: DataFrame) -> DataFrame:
+    """(token, key): the inverted index of profiles, one row for each character and pair."""
+    return profiles.select(F.explode(F.concat("ones", "twos")).alias("token"), "key")
+
+
+def _rarest_first(profiles: DataFrame, index: DataFrame) -> DataFrame:
+    """The profiles with their tokens, those first that the fewest texts of the index hold."""
+    held = index.groupBy("token").agg(F.count("*").alias("n"))
+    of = profiles.select("key", F.explode(F.concat("ones", "twos")).alias("token")).join(held, "token", "left")
+    token = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")
+    pair = F.length(F.substring_index("token", "\x01", 1)) == 2
+    by_kind = of.groupBy("key").agg(F.array_sort(F.collect_list(F.when(~pair, token))).alias("r1"), F.array_sort(F.collect_list(F.when(pair, token))).alias("r2"))
+    return profiles.join(by_kind, "key", "left")
 
-    Items and candidates meet by bands of length that the ratio implies, and the matcher only runs where the characters
-    that both hold could reach it.
+
+def _meeting(wanted: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
+    """(i, c) of profiles: every candidate whose ratio with an item may reach the item's ``floor`` (over 0).
+
+    A ratio of at least f leaves so many shared characters, or pairs if f is over two thirds, that a candidate holds one of
+    the item's rarest tokens: of n tokens of which m must be shared, one of the n - m + 1 rarest. Only these are looked up.
     """
+    f, n = F.col("floor"), F.col("len")
+    total = n + F.ceil(n * f / (2 - f) - 1e-9)  # with the shortest candidate that may reach it
+    pairs_shared, chars_shared = F.ceil(1.5 * f * total - total - 1 - 1e-9), F.ceil(f * total / 2 - 1e-9)
+    by_pairs = (1.5 * f >= 1) & (pairs_shared >= 1)
+    rarest = lambda tokens, m: F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - F.greatest(m, F.lit(1)) + 1, F.lit(0)).cast("int"))
+    looked_up = F.when(by_pairs, rarest(F.col("r2"), pairs_shared)).otherwise(rarest(F.col("r1"), chars_shared))
+    probes = wanted.select("key", "len", "floor", F.explode(F.transform(looked_up, lambda x: x["token"])).alias("token"))
+    met = probes.join(index.withColumnRenamed("key", "target"), "token").select("key", "target").distinct()
+    both = met.join(wanted.select("key", "floor", F.struct("len", "text", "ones", "twos").alias("i")), "key").join(candidates.select(F.col("key").alias("target"), F.struct("len", "text", "ones", "twos").alias("c")), "target")
+    short = 2 * F.least("i.len", "c.len") >= F.col("floor") * (F.col("i.len") + F.col("c.len")) - 1e-9
+    return both.where(short & (_most("i", "c") >= F.col("floor") - 1e-9))
+
+
+def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """(key, target, score) of items (key, needle) and candidates (target, qualified) whose ratio reaches ``least`` (over 0)."""
     if least <= 0:
         raise ValueError("use best_candidates for scores without a bound")
-    i, c = _bags(items, candidates)
-    width = 8
-    bands = F.sequence(F.floor(F.col("ln") * least / (2 - least) / width), F.floor(F.col("ln") * (2 - least) / least / width))
-    pairs = i.withColumn("band", F.explode(bands)).join(c.withColumn("band", F.floor(F.col("lc") / width)), "band")
-    pairs = pairs.where((2 * F.least("ln", "lc") >= least * (F.col("ln") + F.col("lc"))) & (_most(F.col("bi"), F.col("bc"), F.col("ln"), F.col("lc")) >= least - 1e-9))
-    return pairs.select("key", "target", similarity("needle", "qualified").alias("score")).where(F.col("score") >= least)
+    i, c = cut(_profiles(items, "key", "needle")), cut(_profiles(candidates, "target", "qualified"))
+    index = _tokens(c)
+    pairs = _meeting(_rarest_first(i, index).withColumn("floor", F.lit(float(least))), c, index)
+    empty = i.where("len = 0").select("key", "len").join(c.where("len = 0").select(F.col("key").alias("target"), "len"), "len").select("key", "target", F.lit(1.0).alias("score"))
+    return pairs.select("key", "target", similarity("i.text", "c.text").alias("score")).where(F.col("score") >= least).unionByName(empty)
+
+
+def compared_pairs(items: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+    """(key, target, needle, qualified): the pairs that the matcher has to see to know the k best candidates of each item.
+
+    The candidates with most rare tokens in common come first; their k-th ratio is a floor, and ``_meeting`` finds what may
+    reach it. An item without k candidates of some ratio gets those of the least ids, whose ratio is 0.
+    """
+    i, c = cut(_profiles(items, "key", "needle")), cut(_profiles(candidates, "target", "qualified"))
+    index = cut(_tokens(c))
+    ranked = cut(_rarest_first(i, index))
+    texts = c.select(F.col("key").alias("target"), F.col("text").alias("qualified"), F.col("len").alias("lc"))
+    least = texts.orderBy("target").limit(k)  # k rows
+    begin = ranked.select("key", "text", "len", F.explode(F.slice(F.array_sort(F.filter(F.concat("r1", "r2"), lambda x: x["n"] > 0)), 1, SEEDS)).alias("x")).select("key", "text", "len", "x.token")
+    shared = begin.join(index.withColumnRenamed("key", "target"), "token").groupBy("key", "target").agg(F.first("text").alias("needle"), F.first("len").alias("len"), F.count("*").alias("n"))
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("n") / (F.col("len") + F.col("lc"))), "target"))
+    near = shared.join(texts, "target").withColumn("r", order).where(F.col("r") <= k).select("key", "target", "needle", "qualified")
+    seeds = cut(near.unionByName(ranked.select("key", F.col("text").alias("needle")).join(F.broadcast(least.drop("lc")), F.lit(True)).select("key", "target", "needle", "qualified")).distinct())
+    scored = seeds.select("key", similarity("needle", "qualified").alias("s"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s")))
+    floor = scored.withColumn("r", place).groupBy("key").agg(F.coalesce(F.max(F.when(F.col("r") == k, F.col("s"))), F.lit(0.0)).alias("floor"))
+    # a floor of 0 leaves what shares a character; of texts without characters only equal ones have a ratio
+    wanted = ranked.join(floor, "key").withColumn("floor", F.greatest("floor", F.lit(1e-6)))
+    met = _meeting(wanted, c, index).select("key", "target", F.col("i.text").alias("needle"), F.col("c.text").alias("qualified"))
+    empty = wanted.where("len = 0").select("key", F.col("text").alias("needle")).join(F.broadcast(texts.where("lc = 0").orderBy("target").limit(k).drop("lc")), F.lit(True))
+    return met.unionByName(seeds).unionByName(empty.select("key", "target", "needle", "qualified")).distinct()
 
 
 def best_candidates(items: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """(key, target, score, rank) of the k best of all candidates for each item, whatever their scores.
 
-    Items are a stated set of searches (those left for review); candidates are dealt out to SPREAD parts and each part
-    bounds every ratio by shared characters. The k-th ratio of the k best-bounded candidates is a floor; the matcher runs
-    only where the bound reaches it.
+    Items (key, needle) and candidates (target, qualified) are lists of names; rows without a text take no part.
     """
-    i, c = _bags(items, candidates)
-    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    pairs = i.withColumn("part", every).join(c.withColumn("part", F.pmod(F.hash("target"), F.lit(SPREAD))), "part")
-    bound = pairs.select("key", "target", "needle", "qualified", _most(F.col("bi"), F.col("bc"), F.col("ln"), F.col("lc")).alias("most"))
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("most"), "target"))
-    seeds = bound.withColumn("r", first).where(F.col("r") <= k).select("key", similarity("needle", "qualified").alias("s"))
-    floor = seeds.groupBy("key").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(0.0).alias("floor"))
-    wanted = bound.join(floor, "key").where(F.col("most") >= F.col("floor") - 1e-9)
-    return top_candidates(wanted.select("key", "target", similarity("needle", "qualified").alias("score")), k)
+    pairs = compared_pairs(items, candidates, k)
+    return top_candidates(pairs.select("key", "target", similarity("needle", "qualified").alias("score")), k)
 
 
 def top_candidates(scores: DataFrame, k: int = 10) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators on one text each, against plain Python."""
 
+import base64
 import hashlib
 import random
 import re

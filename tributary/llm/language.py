@@ -24,11 +24,7 @@ result's name gives way to the result.
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,20 +39,24 @@ PLACES = 4
 LEAST_BYTES = 1024
 
 
-@functools.cache
-def _letter_runs() -> re.Pattern:
-    """Runs of characters of category L: word characters without digits, "_" and other numbers such as fractions."""
-    other = [c for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isdecimal() and unicodedata.category(chr(c))[0] != "L"]
-    return re.compile(r"[^\W\d_" + "".join(map(chr, other)) + "]+")
+class _Letters(dict):
+    """A table for ``str.translate`` that leaves letters (category L) and makes blanks of all else; it grows as it is used."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if chr(code).isalpha() else 32
+        return self[code]
+
+
+_ONLY_LETTERS = _Letters()
 
 
 def letters(text: str) -> list[str]:
     """The runs of letters of a text, lower-cased."""
-    return _letter_runs().findall(text.lower())
+    return text.lower().translate(_ONLY_LETTERS).split()
 
 
 def has_letters(text: str | None) -> bool:
-    return bool(text) and _letter_runs().search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def excerpt(text: str, size: int) -> bytes:

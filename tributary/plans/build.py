@@ -9,6 +9,8 @@ and ``declared`` (report, model). The result has ``nodes`` (id, node_type, name,
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ from ..operators import graph, linking, pages, partitions, quality, reports, sta
 from ..sources.models import dax_refs
 from .session import cut
 
+class Links(NamedTuple):
+    """How sources of models find their SQL objects beyond exact names: schemas that a model maps to (model, schema_name,
+    pos), people's decisions (key, target, signature), and whether similar names are tried."""
+
+    mappings: DataFrame | None = None
+    decisions: DataFrame | None = None
+    similar: bool = False
+
+
 _NODE = ["id", "node_type", "name", "schema_name", "source_file"]
 
 
@@ -43,18 +54,17 @@ def sql_graph(scripts: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes.select(*_NODE), "edges": edges.select("source_id", "target_id", "edge_type", "evidence"), "warnings": statements.dynamic_sql(stmts).unionByName(statements.star_views(stmts))}
 
 
-def model_graph(tables: DataFrame, parts: DataFrame, measures: DataFrame, sql_nodes: DataFrame, columns: DataFrame | None = None) -> dict[str, DataFrame]:
+def model_graph(tables: DataFrame, parts: DataFrame, measures: DataFrame, sql_nodes: DataFrame, columns: DataFrame | None = None, links: Links | None = None) -> dict[str, DataFrame]:
     """Nodes and edges of semantic models: tables and measures feed their model, partitions are fed by the SQL objects of
     exactly their names or by other models, formulas reference measures and tables. Names in formulas are compared without
-    case; ``columns`` (model, table_name, name) tells which qualified names are columns, which win over measures."""
+    case; ``columns`` (model, table_name, name) tells which qualified names are columns, which win over measures. ``links`` (key, target, method) tells the rung of each source."""
     models = tables.select("model").distinct()
     model_id = lambda c: F.concat(F.lit("semantic_model:"), F.lower(c))
     nodes = models.select(model_id("model").alias("id"), F.lit("semantic_model").alias("node_type"), F.col("model").alias("name"), F.lit("").alias("schema_name"))
     nodes = nodes.unionByName(tables.select(F.col("table_id").alias("id"), F.lit("pbi_table").alias("node_type"), F.col("table_name").alias("name"), F.col("model").alias("schema_name")))
     nodes = nodes.unionByName(measures.select("id", F.lit("measure").alias("node_type"), "name", F.col("model").alias("schema_name"))).withColumn("source_file", F.col("schema_name"))
     found = partitions.attach(parts)
-    items = found["sources"].select(F.concat_ws("#", "table_id", F.concat_ws(".", "schema_name", "name")).alias("key"), "table_id", "schema_name", "name").distinct()
-    linked = cut(linking.exact_match(items, sql_nodes).join(items, "key"))
+    linked = cut(link(found["sources"], tables, sql_nodes, links or Links()))
     upstream, open_models = pages.composite_links(found["models"], models)
     calculated = partitions.calculated_links(parts, tables, measures)
     refs = cut(dax_refs(measures.select(F.col("id").alias("source_id"), "model", "expression")).select("source_id", "model", "table_name", "name"))
@@ -65,12 +75,39 @@ def model_graph(tables: DataFrame, parts: DataFrame, measures: DataFrame, sql_no
     edge = lambda df, a, b, kind, why: df.select(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("edge_type"), why.alias("evidence"))
     edges = edge(tables.withColumn("m", model_id("model")), "table_id", "m", "feeds", F.col("model"))
     edges = edges.unionByName(edge(measures.withColumn("m", model_id("model")), "id", "m", "feeds", F.col("model")))
-    edges = edges.unionByName(edge(linked, "target", "table_id", "feeds", F.concat_ws(".", "schema_name", "name")))
+    edges = edges.unionByName(edge(linked.where("target is not null"), "target", "table_id", "feeds", F.concat_ws(".", "schema_name", "name")))
     edges = edges.unionByName(edge(upstream.withColumn("m", model_id("upstream")), "m", "table_id", "feeds", F.col("upstream")))
-    for links in (calculated, between, named):
-        edges = edges.unionByName(edge(links, "source_id", "target_id", "references", F.lit("formula")))
-    unresolved = items.join(linked.select("key"), "key", "left_anti").select("key", "table_id")
-    return {"nodes": nodes.select(*_NODE), "edges": edges.distinct(), "unresolved": unresolved.unionByName(open_models.select(F.concat_ws("#", "table_id", "upstream").alias("key"), "table_id")), "warnings": found["warnings"]}
+    for found_links in (calculated, between, named):
+        edges = edges.unionByName(edge(found_links, "source_id", "target_id", "references", F.lit("formula")))
+    unresolved = linked.where(F.col("method").isin("unresolved", "pending", "review")).select("key", "table_id")
+    fuzzy = linked.where("method = 'fuzzy'").select(F.col("table_id").alias("file"), F.concat(F.lit("linked by similar name: "), "target").alias("message"), F.lit("fuzzy_auto").alias("category"))
+    warnings = found["warnings"].unionByName(fuzzy)
+    if links and links.decisions is not None:
+        warnings = warnings.unionByName(linking.decision_warnings(linked.select("key", "signature"), links.decisions))
+    return {"nodes": nodes.select(*_NODE), "edges": edges.distinct(), "links": linked.select("key", "target", "method"), "unresolved": unresolved.unionByName(open_models.select(F.concat_ws("#", "table_id", "upstream").alias("key"), "table_id")), "warnings": warnings}
+
+
+def link(sources: DataFrame, tables: DataFrame, sql_nodes: DataFrame, links: Links) -> DataFrame:
+    """(key, table_id, schema_name, name, signature, target, method): each source of a model table on the ladder's rungs.
+
+    A table's only source goes by the table's id, several by id and name; the signature is that of the source's definitions.
+    """
+    named = sources.select("table_id", "schema_name", "name", F.concat_ws(".", F.nullif("schema_name", F.lit("")), "name").alias("qualified"), F.concat_ws("|", "raw_kind", "expression_hash").alias("definition"))
+    signed = linking.source_signatures(named)
+    many = named.select("table_id", "qualified").distinct().groupBy("table_id").agg(F.count("*").alias("n"))
+    items = named.drop("definition").distinct().join(signed, ["table_id", "qualified"]).join(many, "table_id").join(tables.select("table_id", "model").distinct(), "table_id", "left")
+    items = cut(items.withColumn("key", F.when(F.col("n") == 1, F.col("table_id")).otherwise(F.concat_ws("#", "table_id", "qualified"))))
+    spark = items.sparkSession
+    exact = cut(linking.exact_match(items, sql_nodes))
+    rule = linking.config_rule_match(items.select("key", "model", "name"), sql_nodes, links.mappings) if links.mappings is not None else exact.where("false")
+    rule = cut(rule)
+    decided = links.decisions if links.decisions is not None else spark.createDataFrame([], "key string, target string, signature string")
+    fuzzy = None
+    if links.similar:
+        left = items.join(exact, "key", "left_anti").join(rule, "key", "left_anti").join(decided.select("key"), "key", "left_anti")
+        known = sql_nodes.where(F.col("node_type").isin(linking.PRECEDENCE)).select(F.col("id").alias("target"), F.regexp_replace("id", "^[^:]*:", "").alias("qualified"))
+        fuzzy = linking.best_and_runner_up(linking.best_candidates(left.select("key", F.col("qualified").alias("needle")), known, 2))
+    return items.join(linking.ladder(items.select("key", "signature"), decided, exact, rule, fuzzy), "key").select("key", "table_id", "schema_name", "name", "signature", "target", "method")
 
 
 def report_graph(shown: DataFrame, filters: DataFrame, declared: DataFrame, tables: DataFrame, measures: DataFrame) -> dict[str, DataFrame]:
@@ -89,12 +126,12 @@ def report_graph(shown: DataFrame, filters: DataFrame, declared: DataFrame, tabl
     return {"nodes": nodes, "edges": edges.unionByName(feeds), "field_refs": fields, "unresolved_bindings": open_, "warnings": warnings}
 
 
-def build(scripts: DataFrame, tables: DataFrame, parts: DataFrame, measures: DataFrame, shown: DataFrame, filters: DataFrame, declared: DataFrame, columns: DataFrame | None = None) -> dict[str, DataFrame]:
+def build(scripts: DataFrame, tables: DataFrame, parts: DataFrame, measures: DataFrame, shown: DataFrame, filters: DataFrame, declared: DataFrame, columns: DataFrame | None = None, links: Links | None = None) -> dict[str, DataFrame]:
     """The whole graph of all sources, in one plan. Where several rows share an id, the least (name, file) stays."""
     sql = sql_graph(scripts)
-    model = model_graph(tables, parts, measures, sql["nodes"], columns)
+    model = model_graph(tables, parts, measures, sql["nodes"], columns, links)
     report = report_graph(shown, filters, declared, tables, measures)
     union = lambda key: sql[key].unionByName(model[key]).unionByName(report[key])
     nodes = union("nodes").groupBy("id").agg(F.min(F.struct("name", "source_file", "node_type", "schema_name")).alias("n")).select("id", *[f"n.{c}" for c in _NODE[1:]])
     edges = graph.edge_dedup(union("edges").withColumn("ord", F.col("evidence")))
-    return {"nodes": nodes, "edges": edges, "warnings": quality.diagnostics_rows(union("warnings")), "field_refs": report["field_refs"], "unresolved": model["unresolved"], "unresolved_bindings": report["unresolved_bindings"]}
+    return {"nodes": nodes, "edges": edges, "warnings": quality.diagnostics_rows(union("warnings")), "field_refs": report["field_refs"], "links": model["links"], "unresolved": model["unresolved"], "unresolved_bindings": report["unresolved_bindings"]}

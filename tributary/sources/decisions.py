@@ -62,18 +62,35 @@ def write_decisions(decisions: DataFrame, path: str) -> bool:
 
 
 def put_text(spark: SparkSession, text: str, path: str) -> bool:
-    """Writes a text through the file system of its path: beside the old file first, then in its place."""
+    """Writes a text through the file system of its path: beside the old file first; then the old file is put aside and the
+    new one in its place, so that at each moment one of them is whole. ``settle`` mends what a crash in between leaves."""
     jvm = spark._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    target, beside, aside = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
     try:
         fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        settle(spark, path)
         out = fs.create(beside, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        return bool(fs.rename(beside, target))
+        if fs.exists(target) and not fs.rename(target, aside):
+            return False
+        if not fs.rename(beside, target):
+            fs.rename(aside, target)
+            return False
+        fs.delete(aside, False)
+        return True
     except Exception:  # locked, read-only: the caller keeps the answers and may try again
         return False
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Puts a file that a crash left aside back in its place, or removes it where the new one has taken the place."""
+    target, aside = (spark._jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, False)
+        else:
+            fs.rename(aside, target)

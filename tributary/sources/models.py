@@ -109,6 +109,8 @@ def tmdl_objects(text: str) -> list[tuple]:
             kind, name, value = head[2], unquoted(head[3]), head[4]
             table = name if kind == "table" else table if kind in ("column", "measure", "partition") else ""
             current, depth = [kind, table, name, [value] if value else [], {"description": " ".join(doc)} if doc else {}], indent
+            if kind == "partition" and value:
+                current[4]["type"] = value.strip()
             out.append(current)
             block, doc = value is not None, []
             if value and value.strip() == FENCE:
@@ -183,6 +185,27 @@ def report_bindings(files: DataFrame) -> DataFrame:
     return _rows(files, "entity string, property string, kind string, role string", lambda r: bindings_of(json.loads(r["text"], strict=False)), ["text"])
 
 
+def legacy_fields(tree: dict) -> list[tuple[str, str, str | None, str | None, str | None, str | None]]:
+    """(page, visual, entity, property, kind, role) of a report of the older kind: of each section's visuals, known by their
+    place if they have no name, and, without a visual, of a section's and the report's filters. A visual without fields
+    gives one row without them."""
+    out: list[tuple] = [("", "", *b) for b in bindings_of(tree.get("filters"), "filter")]
+    for n, section in enumerate(tree.get("sections") or []):
+        page = section.get("displayName") or section.get("name") or str(n)
+        out += [(page, "", *b) for b in bindings_of(section.get("filters"), "filter")]
+        for k, visual in enumerate(section.get("visualContainers") or []):
+            config = visual.get("config")
+            config = json.loads(config, strict=False) if isinstance(config, str) else config
+            name = (config.get("name") if isinstance(config, dict) else None) or str(k)
+            out += [(page, name, *b) for b in bindings_of(visual)] or [(page, name, None, None, None, None)]
+    return out
+
+
+def legacy_reports(files: DataFrame) -> DataFrame:
+    """(…, page, visual, entity, property, kind, role) of report.json files of the older kind."""
+    return _rows(files, "page string, visual string, entity string, property string, kind string, role string", lambda r: legacy_fields(json.loads(r["text"], strict=False)), ["text"])
+
+
 def _member(archive: zipfile.ZipFile, name: str) -> bytes:
     info = archive.getinfo(name)
     if info.file_size > MOST_MEMBER:

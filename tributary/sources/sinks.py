@@ -76,9 +76,10 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
 def read_canonical(spark, path: str, node_schema: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph file or folder as ``write_lines`` of ``canonical_json`` leaves it, line by line."""
     lines = spark.read.text(path)
-    node = lines.where(F.col("value").rlike(r'^,?"(?:[^"\\]|\\.){0,4000}":\{'))
+    key = r'^,?"(?:[^"\\]++|\\.)*+":(?=\{)'  # possessive: keys of any length match without recursion
+    node = lines.where(F.col("value").rlike(key))
     edge = lines.where(F.col("value").rlike(r"^,?\{") & ~F.col("value").startswith('{"nodes":{'))
-    nodes = node.select(F.from_json(F.regexp_replace("value", r'^,?"(?:[^"\\]|\\.){0,4000}":(?=\{)', ""), node_schema).alias("n")).select("n.*")
+    nodes = node.select(F.from_json(F.regexp_replace("value", key, ""), node_schema).alias("n")).select("n.*")
     edges = edge.select(F.from_json(F.regexp_replace("value", "^,", ""), edge_schema).alias("e")).select("e.*")
     return nodes, edges
 

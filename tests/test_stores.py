@@ -171,3 +171,25 @@ def test_the_index_compares_few_pairs_and_loses_none(spark):
     assert linking.compared_pairs(i, c, 1).count() < 0.1 * len(every)
     for least in (0.6, 0.7, 0.92):
         assert {(r.key, r.target): r.score for r in linking.fuzzy_scores(i, c, least).collect()} == {p: s for p, s in every.items() if s >= least}
+
+
+def test_ids_of_any_length_are_read_back(spark, tmp_path):
+    ids = ["a" * 2500, "b" * 4500, 'q"\\' * 300_000, "c" * 1_000_000]
+    n = spark.createDataFrame([(i, "view") for i in ids], "id string, node_type string")
+    e = spark.createDataFrame([(ids[0], ids[3], "reads", "")], "source_id string, target_id string, edge_type string, evidence string")
+    sinks.write_lines(sinks.canonical_json(n.withColumn("source_code", F.lit("")), e), str(tmp_path / "g"), ["part", "ord"])
+    nodes, edges = sinks.read_canonical(spark, str(tmp_path / "g"), "id string, node_type string", "source_id string, target_id string, edge_type string, evidence string")
+    assert {r.id for r in nodes.collect()} == set(ids) and [(r.source_id, r.target_id) for r in edges.collect()] == [(ids[0], ids[3])]
+
+
+def test_a_store_survives_a_crash_at_each_step(spark, tmp_path):
+    path = tmp_path / "d.json"
+    assert decisions.put_text(spark, "one", str(path)) and path.read_text() == "one"
+    path.rename(tmp_path / "d.json.old")  # a crash after the old file was put aside
+    decisions.settle(spark, str(path))
+    assert path.read_text() == "one"
+    (tmp_path / "d.json.old").write_text("one")  # a crash before the old file was removed
+    path.write_text("two")
+    assert decisions.put_text(spark, "three", str(path)) and path.read_text() == "three" and not (tmp_path / "d.json.old").exists()
+    (tmp_path / "sub").mkdir()
+    assert not decisions.put_text(spark, "x", str(tmp_path / "d.json" / "under")) and path.read_text() == "three"

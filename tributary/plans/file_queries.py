@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import file_kind
-from ..operators import roots
-from . import from_files
+from ..operators import reports, roots
+from . import build, from_files
 from .queries import query
 from .session import table
 
@@ -68,7 +68,10 @@ def estate_edges_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_P} SELECT id AS key, v AS target, CASE WHEN k % 10 = 0 THEN 'fuzzy' ELSE 'exact' END AS method FROM p", False)
 def estate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rung of the ladder on which each table's source was found."""
-    return from_files.estate(_files(spark, sf_dir))["links"].select("key", "target", "method")
+    files = _files(spark, sf_dir)
+    m, sql = from_files.model_inputs(files), build.sql_graph(files.where("kind = 'sql_file'"))
+    links = build.Links(similar=True)
+    return build.model_graph(m["tables"], m["partitions"], m["measures"], sql["nodes"], m["columns"], links)["links"].select("key", "target", "method")
 
 
 @query(
@@ -79,9 +82,7 @@ UNION SELECT 'report_page:' || r || '.page ' || CAST(n AS VARCHAR), 'report:' ||
 )
 def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visuals, pages and reports as their files lie."""
-    from ..operators import reports
-
-    return reports.chain(from_files.inputs(_files(spark, sf_dir))["visuals"])[1].select("source_id", "target_id")
+    return reports.chain(from_files.report_inputs(_files(spark, sf_dir))["visuals"])[1].select("source_id", "target_id")
 
 
 @query(

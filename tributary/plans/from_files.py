@@ -33,7 +33,7 @@ def _table_id(model: Column, name: Column) -> Column:
     return make_id(F.lit("pbi_table"), model, name)
 
 
-def _models(files: DataFrame) -> dict[str, DataFrame]:
+def model_inputs(files: DataFrame) -> dict[str, DataFrame]:
     """tables, partitions, measures and columns of TMDL and BIM files; TMDL files go to the nearest root above them."""
     kind = lambda k: files.where(F.col("kind") == k)
     rows = cut(models.tmdl(roots.nearest(kind("tmdl"), roots.model_roots(files)).select("repo_key", "path", "text")))
@@ -59,7 +59,7 @@ def _models(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _reports(files: DataFrame) -> dict[str, DataFrame]:
+def report_inputs(files: DataFrame) -> dict[str, DataFrame]:
     """visuals (report, page, visual, file), shown, filters and declared models of report files, by their nearest root."""
     owned = cut(roots.nearest(files.where(F.col("kind").startswith("pbir") | (F.col("kind") == "report_json_legacy")), roots.report_roots(files)).withColumnRenamed("owner", "report"))
     kind = lambda *k: owned.where(F.col("kind").isin(*k))
@@ -99,7 +99,7 @@ def _reports(files: DataFrame) -> dict[str, DataFrame]:
 
 def inputs(files: DataFrame) -> dict[str, DataFrame]:
     """The tables that ``build.build`` takes, of files (repo_key, path, kind, text), with visuals and warnings."""
-    m, r = _models(files), _reports(files)
+    m, r = model_inputs(files), report_inputs(files)
     scripts = files.where("kind = 'sql_file'").select("repo_key", "path", "text")
     return {"scripts": scripts, **{k: m[k] for k in ("tables", "partitions", "measures", "columns")}, **{k: r[k] for k in ("visuals", "shown", "filters", "declared")}, "warnings": m["warnings"].unionByName(r["warnings"])}
 

@@ -513,4 +513,4 @@ def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.match_nodes(estate.nodes(spark, sf_dir), q)
 
 
-from . import build_queries, file_queries, page_queries, report_queries  # noqa: E402,F401  these register their queries
+from . import build_queries, file_queries, page_queries, report_queries, usage_queries  # noqa: E402,F401  these register their queries

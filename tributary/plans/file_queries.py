@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.names import file_kind
 from ..operators import reports, roots
+from ..sources import functions
+from ..streaming import state
 from . import build, from_files
 from .queries import query
-from .session import table
+from .session import checkpoint_folder, table
 
 # Parts are views, and tables of models by size, every odd model nested in the folder of the one before; orders are visuals on
 # ten pages of 50 reports. Every tenth table names its view with a letter too many.
@@ -93,3 +95,42 @@ def nearest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that each model file belongs to, of models that nest."""
     files = _files(spark, sf_dir)
     return roots.nearest(files.where("kind = 'tmdl'"), roots.model_roots(files)).select(roots.last_part(F.col("path")).alias("file"), "root", "owner")
+
+
+@query(
+    """SELECT 't' || CAST(p_partkey AS VARCHAR) || '.tmdl' AS file, kind, name FROM part, (SELECT unnest(['table', 'measure', 'column', 'partition']) AS kind),
+LATERAL (SELECT CASE kind WHEN 'table' THEN 'T' || CAST(p_partkey AS VARCHAR) WHEN 'measure' THEN 'M' || CAST(p_partkey AS VARCHAR) WHEN 'column' THEN 'a' ELSE 'p' || CAST(p_partkey AS VARCHAR) END AS name)""",
+    False,
+)
+def extracted_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model files read by the table function of SQL."""
+    functions.register(spark)
+    _files(spark, sf_dir).where("kind = 'tmdl'").createOrReplaceTempView("model_files")
+    return spark.sql("SELECT regexp_extract(path, '[^/]+$', 0) AS file, kind, name FROM extract(TABLE(SELECT * FROM model_files), 'tmdl') WHERE problem = ''")
+
+
+# Orders are files whose events come as a stream: each is written, every second one then edited, urgent ones removed at last.
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS path, value FROM (SELECT o_orderkey, o_orderpriority, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['c' || CAST(o_custkey AS VARCHAR), 'new'] ELSE ['c' || CAST(o_custkey AS VARCHAR), 's' || o_orderstatus] END) AS value FROM orders) WHERE o_orderpriority NOT LIKE '1-%'",
+    False,
+)
+def file_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of edits and removals leaves of all files' contributions."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/orders.parquet")
+    reader = spark.readStream.schema(schema)
+    # a stream reads folders: the table's, or the one that holds it as a file
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        o = reader.option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    else:
+        o = reader.parquet(f"{sf_dir}/orders.parquet")
+    even = F.col("o_orderkey") % 2 == 0
+    first = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(",s"), "o_orderstatus")
+    event = lambda text, seq: F.struct(text.cast("string").alias("text"), F.lit(seq).alias("seq"))
+    edit = F.when(even, event(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(",new")), 2))
+    gone = F.when(F.col("o_orderpriority").startswith("1-"), event(F.lit(None), 3))
+    events = o.select(F.lit("r").alias("repo_key"), F.col("o_orderkey").cast("string").alias("path"), F.explode(F.array_compact(F.array(event(first, 1), edit, gone))).alias("e")).select("repo_key", "path", "e.text", "e.seq")
+    at = checkpoint_folder(spark)
+    writer = state.changes(events, lambda path, text: text.split(",")).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    writer.start(f"{at}/changes").awaitTermination()
+    return state.present(spark.read.schema(state.CHANGES).parquet(f"{at}/changes")).select("path", "value")

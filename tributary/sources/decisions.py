@@ -18,6 +18,7 @@ _WARNING = "file string, message string, category string"
 def read_decisions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(decisions, warnings): rows (key, target, method, signature); a missing file has none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    settle(spark, path)
     none = spark.createDataFrame([], _ROWS)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return none, spark.createDataFrame([], _WARNING)

@@ -1,4 +1,4 @@
-"""Input files as DataFrames: the tree walk lists paths, the executors read and decode them."""
+"""Input files as DataFrames: the tasks list folders level by level, and read and decode files."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import file_kind, glob_filter, glob_regex
+from ..plans.session import cut
 
 # Size limits in bytes of a file and of a member of an archive.
 MOST_BYTES, MOST_MEMBER = 10 * 1024 * 1024, 200 * 1024 * 1024
-LISTED = "repo_key string, path string, abs_path string, size bigint, problem string"
 
 
 def folder_excluded(folder: str, exclude: list[str]) -> bool:
@@ -25,35 +25,85 @@ def folder_excluded(folder: str, exclude: list[str]) -> bool:
     return bool(exclude) and out(f"{folder}/\0") and out(f"{folder}/\0/\0")
 
 
-def walk(repos: dict[str, str], exclude: list[str] = ()) -> Iterator[tuple[str, str, str, int, str]]:
-    """(repo, relative path, absolute path, size, problem) of every file outside hidden and excluded folders, in order."""
-    skipped = lambda folder: folder_excluded(folder, list(exclude))
-    for key in sorted(repos):
-        root = os.path.realpath(repos[key])
-        for at, folders, files in os.walk(root):
-            here = os.path.relpath(at, root).replace(os.sep, "/")
-            folders[:] = sorted(f for f in folders if not f.startswith(".") and not skipped(f if here == "." else f"{here}/{f}"))
-            for name in sorted(f for f in files if not f.startswith(".")):
-                full = os.path.join(at, name)
-                rel = os.path.relpath(full, root).replace(os.sep, "/")
-                try:
-                    inside = os.path.realpath(full).startswith(root + os.sep)
-                    size = os.stat(full).st_size
-                except OSError:
-                    yield key, rel, full, 0, "file_unreadable"
-                    continue
-                big = size > MOST_BYTES and not name.lower().endswith(".pbix")
-                yield key, rel, full, size, "symlink_escape" if not inside else "file_too_large" if big else ""
-
-
-def crawl(spark: SparkSession, repos: dict[str, str], include: list[str] = (), exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(files, warnings) of local repositories: files of a known kind that the globs let through, and what was left out."""
-    listed = spark.createDataFrame(list(walk(repos, exclude)), LISTED)
-    listed = listed.withColumn("kind", file_kind(F.col("path"))).where(F.col("kind").isNotNull())
-    wanted = glob_filter(F.col("path"), list(include), list(exclude)) | ((F.col("kind") == "pbir_definition") & ~glob_filter(F.col("path"), list(exclude), []) if exclude else F.col("kind") == "pbir_definition")
-    listed = listed.where(wanted)
-    files = listed.where("problem = ''").select("repo_key", "path", "abs_path", "kind", "size")
-    bad = listed.where("problem <> ''").select(F.col("path").alias("file"), F.concat(F.lit("left out: "), "problem").alias("message"), F.col("problem").alias("category"))
+def entries(root: str, rel: str) -> Iterator[tuple[str, str, bool, int, str]]:
+    """(relative path, absolute path, is a folder, size, problem) of what lies in a folder, hidden names left out.
+
+    A plain path is one of a machine that all tasks share; its links are kept inside the root. A URI goes through the file
+    system that it names. A folder that cannot be listed gives one row for itself.
+    """
+    within = lambda name: f"{rel}/{name}" if rel else name
+    try:
+        if "://" in root:
+            from pyarrow import fs
+
+            where, at = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{rel}" if rel else root)
+            for info in where.get_file_info(fs.FileSelector(at)):
+                if not info.base_name.startswith("."):
+                    yield within(info.base_name), f"{root.rstrip('/')}/{within(info.base_name)}", info.type == fs.FileType.Directory, info.size or 0, ""
+            return
+        with os.scandir(os.path.join(root, rel)) as found:
+            for e in [e for e in found if not e.name.startswith(".")]:
+                full = os.path.join(root, within(e.name))
+                if e.is_dir(follow_symlinks=False):
+                    yield within(e.name), full, True, 0, ""
+                elif not e.is_dir():
+                    try:
+                        inside = os.path.realpath(full).startswith(root.rstrip(os.sep) + os.sep)
+                        yield within(e.name), full, False, os.stat(full).st_size, "" if inside else "symlink_escape"
+                    except OSError:
+                        yield within(e.name), full, False, 0, "file_unreadable"
+    except (OSError, ValueError):  # ValueError: an unknown kind of file system
+        yield rel, os.path.join(root, rel), False, 0, "folder_unreadable"
+
+
+def listed(spark: SparkSession, repos: dict[str, str], exclude: list[str] = ()) -> DataFrame:
+    """(repo_key, path, abs_path, size, problem) of every file outside hidden and excluded folders.
+
+    Level by level: the folders of a level are rows, the tasks list them, and what is found there is written before the next
+    level begins. Only whether a level holds folders comes to the driver.
+    """
+    globs, lanes = list(exclude), spark.sparkContext.defaultParallelism
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, root, rel in b.itertuples(index=False, name=None):
+                for path, full, is_folder, size, problem in entries(root, rel):
+                    big = not is_folder and size > MOST_BYTES and not path.lower().endswith(".pbix")
+                    if not (is_folder and folder_excluded(path, globs)):
+                        out.append((key, root, path, full, is_folder, size, problem or ("file_too_large" if big else "")))
+            yield pd.DataFrame(out, columns=["repo_key", "root", "path", "abs_path", "is_folder", "size", "problem"])
+
+    plain = {key: at.removeprefix("file://") for key, at in repos.items()}
+    roots = [(key, at if "://" in at else os.path.realpath(at), "") for key, at in sorted(plain.items())]
+    level, found = spark.createDataFrame(roots, "repo_key string, root string, rel string"), []
+    while not level.isEmpty():
+        here = cut(level.repartition(lanes, "root", "rel").mapInPandas(listing, "repo_key string, root string, path string, abs_path string, is_folder boolean, size bigint, problem string"))
+        found.append(here.where("not is_folder").select("repo_key", "path", "abs_path", "size", "problem"))
+        level = here.where("is_folder").select("repo_key", "root", F.col("path").alias("rel"))
+    out = found[0] if found else spark.createDataFrame([], "repo_key string, path string, abs_path string, size bigint, problem string")
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def crawl(spark: SparkSession, repos: dict[str, str], include: list[str] = (), exclude: list[str] = (), folders: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, warnings) of repositories (paths or URIs): files of a known kind that the globs let through, and what was left
+    out. ``folders`` keeps, of a repository, only what lies under some of its folders; a report's definition.pbir stays in
+    either way unless it is excluded, since it tells which model a report draws from."""
+    every = listed(spark, repos, exclude)
+    kinds = every.withColumn("kind", file_kind(F.col("path"))).where("kind is not null or problem = 'folder_unreadable'")
+    allowed = F.lit(True)
+    for key, names in (folders or {}).items():
+        under = F.lit(False)
+        for name in names:
+            under |= F.col("path").startswith(name.strip("/") + "/")
+        allowed &= (F.col("repo_key") != key) | under
+    definition = F.col("kind").eqNullSafe("pbir_definition")
+    not_excluded = ~glob_filter(F.col("path"), list(exclude), []) if exclude else F.lit(True)
+    kinds = kinds.where((allowed & glob_filter(F.col("path"), list(include), list(exclude))) | (definition & not_excluded) | (F.col("problem") == "folder_unreadable"))
+    files = kinds.where("problem = ''").select("repo_key", "path", "abs_path", "kind", "size")
+    bad = kinds.where("problem <> ''").select(F.col("path").alias("file"), F.concat(F.lit("left out: "), "problem").alias("message"), F.col("problem").alias("category"))
     return files, bad
 
 

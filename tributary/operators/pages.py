@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
 from .closure import closure
 
 
@@ -53,6 +54,36 @@ def ancestry(flow: DataFrame, roots: DataFrame, depth: int = 60) -> DataFrame:
     return hung.groupBy("root", "up", "depth").agg(F.min("down").alias("parent")).select("root", F.col("up").alias("node"), "depth", "parent")
 
 
+def ancestry_listing(flow: DataFrame, roots: DataFrame, depth: int = 60) -> DataFrame:
+    """(root, line, indent, node, note): the numbered lines of each root's ancestry, as its page lists them.
+
+    Under each object stand its direct sources by id, each with its own below. An object is expanded where it first stands
+    and is "shown above" at later places; ``depth`` levels down what has sources is cut off. Flows without cycles are
+    listed as a walk would list them: an object first stands at the least of its paths, compared id by id. Paths grow a level
+    at a time, the least path to each object is kept, and a level only goes on from objects whose least path changed.
+    """
+    steps = cut(flow.select("up", "down").where("up <> down").distinct())
+    begin = roots.select("root").distinct().select("root", F.col("root").alias("node"), F.array().cast("array<string>").alias("path"))
+    best, front, level = cut(begin), begin, 0
+    while level < depth:
+        level += 1
+        new = front.join(steps.withColumnRenamed("down", "node"), "node").where(~F.array_contains("path", F.col("up")) & (F.col("up") != F.col("root")))
+        new = new.groupBy("root", F.col("up").alias("node")).agg(F.min(F.array_append("path", F.col("up"))).alias("path"))
+        better = new.join(best.withColumnRenamed("path", "old"), ["root", "node"], "left").where("old is null or path < old").select("root", "node", "path")
+        front = cut(better)
+        if front.isEmpty():
+            break
+        best = cut(front.unionByName(best.join(front.select("root", "node"), ["root", "node"], "left_anti")))
+    # a line for each direct source of each expanded object, at the object's least path
+    lines = best.where(F.size("path") < depth).join(steps.withColumnRenamed("down", "node"), "node").select("root", F.array_append("path", F.col("up")).alias("at"), F.col("up").alias("node"))
+    lines = lines.where(F.col("node") != F.col("root")).join(best, ["root", "node"], "left")
+    has = steps.select(F.col("down").alias("node")).distinct().withColumn("has", F.lit(True))
+    lines = lines.join(has, "node", "left")
+    note = F.when(F.col("has").isNull(), "").when(F.col("at") != F.col("path"), "shown above").when(F.size("at") >= depth, "cut off").otherwise("")
+    order = F.row_number().over(Window.partitionBy("root").orderBy("at"))
+    return lines.select("root", order.alias("line"), (F.size("at") - 1).alias("indent"), "node", note.alias("note"))
+
+
 def feeds_a_model(flow: DataFrame, nodes: DataFrame, kinds: list[str], targets: list[str]) -> DataFrame:
     """(id) of nodes of ``kinds`` with a node of ``targets`` anywhere downstream, found from the targets upwards."""
     ends = nodes.where(F.col("node_type").isin(targets)).select(F.col("id").alias("root"))

@@ -127,3 +127,50 @@ def test_gates(spark):
 def test_globs(spark, glob, path, fits):
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(F.col("p").rlike(names.glob_regex(glob)).alias("x")).collect()[0].x is fits
+
+
+def test_ancestries_are_listed_as_a_walk_lists_them(spark):
+    import random
+
+    from tributary.operators import pages
+
+    rng = random.Random(9)
+    up = {k: sorted({f"n{rng.randrange(k):02d}" for _ in range(rng.randint(0, 3))}) for k in range(1, 26)}
+    flow = [(u, f"n{k:02d}") for k, us in up.items() for u in us]
+    of = {f"n{k:02d}": us for k, us in up.items()}
+    want = []
+    for root in of:
+        lines, expanded = [], set()
+
+        def walk(node, depth):
+            above = of.get(node, [])
+            if above and node in expanded:
+                lines.append((depth, node, "shown above"))
+                return
+            lines.append((depth, node, ""))
+            expanded.add(node)
+            for u in above:
+                walk(u, depth + 1)
+
+        for u in of[root]:
+            walk(u, 0)
+        want += [(root, n + 1, *line) for n, line in enumerate(lines)]
+    df = spark.createDataFrame(flow, "up string, down string")
+    roots = spark.createDataFrame([(r,) for r in of], "root string")
+    got = sorted((r.root, r.line, r.indent, r.node, r.note) for r in pages.ancestry_listing(df, roots, 60).collect())
+    assert got == sorted(want)
+    shallow = {(r.root, r.line): (r.indent, r.node) for r in pages.ancestry_listing(df, roots, 2).collect()}
+    assert max(i for i, _ in shallow.values()) == 1
+
+
+def test_columns_are_traced_through_writers_and_near_names(spark):
+    from tributary.operators import trace
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in schema.split()))
+    nodes = frame([("v", "v", "rep.v"), ("t", "Tab", "dbo.Tab"), ("p", "p", "etl.p"), ("s1", "src", "a.src"), ("s2", "src", "b.src"), ("far", "far", "z.far")], "id name qualified")
+    flow = frame([("t", "v"), ("p", "t"), ("s1", "p"), ("s2", "p"), ("far", "s1"), ("v", "t")], "up down")
+    own = frame([("v", "c", "dbo.tab.x"), ("v", "c", "gone.q"), ("v", "loop", "tab.loop")], "node_id col source")
+    loaded = frame([("t", "x", "src.k"), ("t", "x", "b.src.k"), ("t", "x", "z.far.k"), ("t", "loop", "v.loop"), ("v", "c", "never.used")], "node_id col source")
+    roots = frame([("v", "C"), ("v", "loop"), ("v", "plain")], "root col")
+    got = {(r.col, r.source) for r in trace.column_sources(roots, own, loaded, flow, nodes).collect()}
+    assert got == {("C", "a.src.k"), ("C", "b.src.k"), ("C", "z.far.k (unresolved node)"), ("C", "gone.q (unresolved node)"), ("plain", "rep.v.plain")}

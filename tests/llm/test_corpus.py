@@ -394,3 +394,25 @@ def test_other_thresholds(spark, threshold):
             rows.append((len(rows), " ".join(w)))
     got = sorted(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold).collect())
     assert got == brute_classes(rows, threshold)
+
+
+def test_pairs_beside_a_bucket_of_over_two_thousand_near_copies_are_kept(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+        return words
+
+    rows = [(i, edited(base, rng.randint(1, 4))) for i in range(jaccard_join.SMALL + 150)]
+    for p in range(30):
+        x = edited(base, 5)
+        rows += [(10**6 + 2 * p, x), (10**6 + 2 * p + 1, edited(x, 6))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(8)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(df).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    for i in [i for i in sets if i >= 10**6]:
+        links = [k for k, s in sets.items() if k != i and len(s & sets[i]) >= 0.8 * len(s | sets[i])]
+        assert got[i].n_links == len(links) and all(got[k].class_id == got[i].class_id for k in links)

@@ -97,3 +97,25 @@ def test_partition_types_are_kept(spark):
     text = "table T\n\tpartition p = calculated\n\t\tsource = SUMMARIZE(F)\n"
     rows = models.tmdl(spark.createDataFrame([("r", "t.tmdl", text)], "repo_key string, path string, text string")).where("kind = 'partition'").collect()
     assert [(r.value, json.loads(r.properties)["type"]) for r in rows] == [("SUMMARIZE(F)", "calculated")]
+
+
+def test_removed_files_leave_the_memo(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tributary.streaming import incremental
+
+    def extract(f):
+        return f.select("cache_key", "path", F.explode(F.split("text", " ")).alias("value"))
+
+    frame = lambda rows: spark.createDataFrame([("r", p, t) for p, t in rows], "repo_key string, path string, text string")
+    store = str(tmp_path / "memo")
+    before, after = frame([("a", "x y"), ("b", "z"), ("c", "w")]), frame([("a", "x y"), ("c", "v")])
+    rows = lambda df: {(r.path, r.value) for r in df.collect()}
+    assert rows(incremental.extract_new(before, "s", extract, store)) == {("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")}
+    assert rows(incremental.extract_new(after, "s", extract, store)) == {("a", "x"), ("a", "y"), ("c", "v")}
+    incremental.forget_removed(after, "s", store)
+    assert rows(spark.read.parquet(store)) == {("a", "x"), ("a", "y"), ("c", "v")} and spark.read.parquet(store + "_keys").count() == 2
+    counts = incremental.memo_counts(before, "s", store).collect()[0]
+    assert (counts.hits, counts.misses) == (1, 2)
+    assert rows(incremental.extract_new(before, "s", extract, store)) == {("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")}
+    incremental.forget_removed(before, "t", str(tmp_path / "none"))

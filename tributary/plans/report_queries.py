@@ -174,10 +174,10 @@ def sql_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estate.nodes(spark, sf_dir).where("node_type in ('bronze_table', 'silver_table', 'gold_table', 'view', 'stored_proc')").select("schema_name").distinct()
 
 
-@query("SELECT u.model, o.schema_name, count(DISTINCT u.name) AS votes FROM (SELECT DISTINCT p_brand AS model, lower(p_name) AS name FROM part WHERE p_size > 25) u JOIN (SELECT DISTINCT p_type AS schema_name, lower(p_name) AS name FROM part WHERE p_size < 10) o ON o.name = u.name GROUP BY 1, 2", False)
+@query("SELECT u.model, o.schema_name, count(DISTINCT u.name) AS votes FROM (SELECT DISTINCT p_brand AS model, lower(p_name) AS name FROM part WHERE p_size > 17) u JOIN (SELECT DISTINCT p_type AS schema_name, lower(p_name) AS name FROM part WHERE p_size <= 17) o ON o.name = u.name GROUP BY 1, 2", False)
 def schema_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return quality.schema_votes(p.where("p_size > 25").selectExpr("p_brand as model", "p_name as name"), p.where("p_size < 10").selectExpr("p_type as schema_name", "p_name as name"))
+    return quality.schema_votes(p.where("p_size > 17").selectExpr("p_brand as model", "p_name as name"), p.where("p_size <= 17").selectExpr("p_type as schema_name", "p_name as name"))
 
 
 @query("SELECT node_type, count(*) AS n FROM n GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import cache_key
+from ..sources.sinks import publish
 
 VERSION = "1"
 
@@ -40,6 +41,20 @@ def extract_new(files: DataFrame, step: str, extract: Callable[[DataFrame], Data
     return spark.read.parquet(store).join(now.select("cache_key").distinct(), "cache_key", "left_semi").distinct()
 
 
+def forget_removed(files: DataFrame, step: str, store: str) -> None:
+    """Rewrites the store without the contributions of files that are gone or changed.
+
+    The keys are rewritten first: a run that fails in between knows fewer keys than contributions and extracts again. Each
+    folder is written beside the old one and then takes its place.
+    """
+    spark = files.sparkSession
+    present = keyed(files, step).select("cache_key").distinct()
+    for path in (store.rstrip("/") + "_keys", store.rstrip("/")):
+        held = _remembered(spark, path)
+        if held is not None:
+            publish(lambda beside, kept=held.join(present, "cache_key", "left_semi"): kept.write.mode("overwrite").parquet(beside), path, spark, False)
+
+
 def memo_counts(files: DataFrame, step: str, store: str) -> DataFrame:
     """(hits, misses): how many of the files the store knows under their key, and how many it would extract."""
     now = keyed(files, step).select("cache_key")

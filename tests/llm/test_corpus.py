@@ -327,6 +327,26 @@ def test_large_buckets_are_split_and_small_ones_are_not(spark, monkeypatch):
     assert {r.rep for r in lost.collect()} <= set(range(40)) and all(r.loss > 0 for r in lost.collect())
 
 
+def test_what_is_near_to_a_class_that_ends_at_the_first_is_joined_to_it(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rng, n, near = np.random.default_rng(4), jaccard_join.COORDINATES, jaccard_join.near_for(0.8)
+    first = rng.integers(0, 256, n, dtype=np.uint8)
+    ends, beside, other = first.copy(), first.copy(), first.copy()
+    ends[:24] ^= 1
+    beside[:70] ^= 1  # near to the one that ends, far from the first
+    other[:] = ~first
+    agree = lambda a, b: (a == b).mean()
+    assert agree(ends, first) >= jaccard_join.same_for(near) and agree(beside, ends) >= near > agree(beside, first)
+    rows = [(i, [7] * n, bytes(x)) for i, x in enumerate([first] * 5 + [ends, beside, other])]
+    classes = spark.createDataFrame(rows, "rep bigint, sampled array<int>, sketch binary")
+    _, edges, _ = jaccard_join.split_runs(classes.select("rep", "sampled"), classes.select("rep", "sketch"), range(0, 1), near, 0.8)
+    found = {(r.a, r.b) for e in edges for r in e.collect()}
+    assert {(0, 5), (0, 6)} <= found and all(7 not in e for e in found)
+    for threshold in (0.2, 0.4, 0.6, 0.8, 0.95, 1.0):
+        low = jaccard_join.near_for(threshold)
+        assert jaccard_join.same_for(low) >= low >= jaccard_join.beside_for(low) >= low / 2 - 1e-9
+
+
 def test_bucket_forest():
     rng, n = np.random.default_rng(5), jaccard_join.COORDINATES
     base = rng.integers(0, 256, (6, n), dtype=np.uint8)

@@ -6,9 +6,9 @@ share each sampled token with probability s.
 
 A run splits the classes recursively: at a node all members are parted by one of their sampled tokens, which the run and
 the depth choose. A bucket of at most ``SMALL`` classes is not split again but compared by brute force. In a larger one
-every class is compared with the first; one so close to it that whatever is at the threshold with it must be near to the
-first too ends there, and the others are split on the next token, ``DEPTH`` times at most, or, at the last depth, compared
-in blocks. A pair at the threshold t meets in a run in which a class ended at depth d with probability t**d, so what each
+every class is compared with the first. One that is very close to it ends there. Whatever is near to that one differs from the
+first by no more than both differences together, and all classes within this bound are joined to the first, so nothing is lost
+by it. The others are split on the next token, ``DEPTH`` times at most, or, at the last depth, compared in blocks. A pair at the threshold t meets in a run in which a class ended at depth d with probability t**d, so what each
 class has missed so far is known from the depths it reached; runs are repeated for the classes that have not reached
 ``recall`` until none is left.
 
@@ -59,8 +59,14 @@ def near_for(threshold: float) -> float:
 
 
 def same_for(near: float) -> float:
-    """How near to a bucket's first class stands for it: whatever is at the threshold with it is near to the first too."""
-    return (1 + near) / 2
+    """How near to a bucket's first class ends a class there; at low thresholds the more, so that ``beside_for`` stays over 0."""
+    return max((1 + near) / 2, 1 - near / 2)
+
+
+def beside_for(near: float) -> float:
+    """How near to a bucket's first class whatever is near to a class that ends there must be: sketches that differ in two
+    steps differ by no more than both steps together."""
+    return max(0.0, same_for(near) + near - 1)
 
 
 def runs_for(threshold: float, recall: float, depth: int) -> int:
@@ -331,7 +337,7 @@ def split_runs(classes: DataFrame, sketch: DataFrame, runs: range, near: float,
         if state.isEmpty():
             break
         compared = cut(compared_with_first(state.join(sketch.select("rep", "sketch"), "rep")))
-        edges.append(compared.where(F.col("close") >= near).select("a", F.col("rep").alias("b")))
+        edges.append(compared.where(F.col("close") >= beside_for(near)).select("a", F.col("rep").alias("b")))
         if depth == DEPTH:
             edges.append(rest_edges(compared, near))
             break

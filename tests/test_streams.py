@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tributary.sources import files, functions, models
+from tributary.sources import files, functions, models, stored
 from tributary.streaming import state
 
 TMDL = "table T\n\tmeasure M = SUM(T[a])\n\tcolumn a\n"
@@ -41,7 +41,9 @@ def test_edits_and_removals_leave_what_a_fresh_run_gives(spark, tmp_path):
     assert len([c for c in calls.iterdir() if c.name.startswith("c-")]) == 1
 
 
+BIM = {"model": {"tables": [{"name": "T", "columns": [{"name": "a", "dataType": "int64"}], "measures": [{"name": "M", "expression": ["SUM(", "T[a])"]}], "partitions": [{"name": "p", "mode": "import", "source": {"type": "m", "expression": "let x in x"}}]}], "relationships": [{"name": "r", "fromTable": "T", "fromColumn": "a", "toTable": "U", "toColumn": "b"}]}}
 FILES = {
+    "bim": [("m.bim", json.dumps(BIM)), ("bad.bim", "[]")],
     "tmdl": [("a.tmdl", TMDL), ("empty.tmdl", "")],
     "pbir_visual": [("v.json", json.dumps({"visual": FIELD})), ("bad.json", "{")],
     "pbir_page": [("p.json", json.dumps({"filterConfig": {"f": FIELD}}))],
@@ -62,6 +64,71 @@ def test_table_functions_give_the_rows_of_the_frames(spark, kind):
     assert len([p for p, _ in FILES[kind] if p.startswith(("bad", "n", "x"))]) == sum("Error" in r or "BadZipFile" in r for r in got)
 
 
+def test_model_files_in_json_give_the_rows_of_the_other_form(spark):
+    assert [r[:4] for r in models.bim_objects(json.dumps(BIM))] == [("table", "T", "T", ""), ("column", "T", "a", ""), ("measure", "T", "M", "SUM(\nT[a])"), ("partition", "T", "p", "let x in x"), ("relationship", "", "r", "")]
+    assert json.loads(models.bim_objects(json.dumps(BIM))[-1][4]) == {"fromColumn": "T.a", "toColumn": "U.b"}
+    # the frames of the fixed schema see the same objects
+    tom = models.tom(spark.createDataFrame([("r", "m.bim", json.dumps(BIM))], "repo_key string, path string, text string"))
+    assert {(k, r.table, r.name) for k in ("column", "measure", "partition") for r in tom[f"{k}s"].collect()} == {r[:3] for r in models.bim_objects(json.dumps(BIM)) if r[0] in ("column", "measure", "partition")}
+
+
+def test_a_source_reads_the_same_rows_in_batches_and_as_a_stream(spark, tmp_path):
+    root, out = tmp_path / "repo", tmp_path / "out"
+    for path, text in {"m/a.tmdl": TMDL, "m/b.tmdl": TMDL.replace("T", "U"), "skip/c.tmdl": TMDL, "m/no.sql": "SELECT 1", ".h/d.tmdl": TMDL}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    (root / "m" / "gone.tmdl").symlink_to(root / "nothing")
+    stored.register(spark)
+    options = {"extract": "tmdl", "repo_key": "r", "include": "**/*.tmdl", "exclude": "skip/**", "bin_files": "1", "log": str(tmp_path / "log")}
+    batch = lambda at=str(root): spark.read.format("estate").options(**options).load(at)
+
+    def streamed(**more):
+        writer = spark.readStream.format("estate").options(**options, **more).load(str(root)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        writer.start(str(out)).awaitTermination()
+        return sorted(map(tuple, spark.read.schema(batch().schema).parquet(str(out)).collect()), key=str)
+
+    rows = sorted(map(tuple, batch().collect()), key=str)
+    assert batch().rdd.getNumPartitions() == 3 and {(r[1], r[2]) for r in rows} == {("m/a.tmdl", ""), ("m/b.tmdl", ""), ("m/gone.tmdl", "file_unreadable")}
+    frame = spark.createDataFrame([("r", "m/a.tmdl", TMDL), ("r", "m/b.tmdl", TMDL.replace("T", "U"))], "repo_key string, path string, text string")
+    assert {r for r in rows if not r[2]} == set(map(tuple, functions.extracted(frame, "tmdl").collect()))
+    assert sorted(map(tuple, batch(f"file://{root}").collect()), key=str)[:3] == rows[:3]
+    assert [(r.file, r.category) for r in stored.problems(batch(), "tmdl_parse").collect()] == [("m/gone.tmdl", "tmdl_parse")]
+    assert streamed() == rows and streamed() == rows  # nothing changed, so nothing comes again
+    (root / "m" / "e.tmdl").write_text("table E\n")
+    (root / "m" / "b.tmdl").unlink()
+    assert [r for r in streamed() if r not in rows] == [("r", "m/e.tmdl", "", "table", "E", "E", "", "{}")]
+    assert len(list((tmp_path / "log").glob("*.json"))) == 2
+    with pytest.raises(Exception, match="extract is one of"):
+        spark.read.format("estate").option("extract", "nothing").load(str(root)).collect()
+    assert spark.read.format("estate").options(extract="tmdl", include="*.none").load(str(root)).count() == 0
+
+
+def test_edits_and_removals_of_a_folder_reach_the_state(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    stored.register(spark)
+
+    def run():
+        events = spark.readStream.format("estate").option("log", str(tmp_path / "log")).load(str(root)).where("problem = ''")
+        writer = state.changes(events, lambda path, text: text.split()).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        writer.start(str(tmp_path / "out")).awaitTermination()
+        return {(r.path, r.value) for r in state.present(spark.read.schema(state.CHANGES).parquet(str(tmp_path / "out"))).collect()}
+
+    (root / "a").write_text("x y")
+    (root / "b").write_text("z")
+    assert run() == {("a", "x"), ("a", "y"), ("b", "z")}
+    (root / "a").write_text("x other")
+    (root / "b").unlink()
+    (root / "c").write_text("w")
+    assert run() == {("a", "x"), ("a", "other"), ("c", "w")}
+
+
+def test_bins_keep_their_bounds():
+    held = [stored.File(str(k), "", size, 0, "") for k, size in enumerate([5, 5, 20, 1, 1, 1])]
+    assert [[f.size for f in b.held] for b in stored.bins(held, 10, 2)] == [[5, 5], [20], [1, 1], [1]]
+    assert stored.bins([], 10, 2) == []
+
+
 def test_table_functions_refuse_unknown_kinds(spark):
     functions.register(spark)
     with pytest.raises(Exception, match="second argument"):
@@ -79,7 +146,9 @@ def test_folders_are_listed_level_by_level(spark, tmp_path):
     both = files.crawl(spark, {"r": str(tmp_path)}, exclude=["skip/**"])
     assert paths(both) == {"a/b/c/d/e.sql", "a/x.sql", "top.sql", "rep/R.Report/definition.pbir", "rep/R.Report/q.sql"}
     assert {(r.file, r.category) for r in both[1].collect()} == {("a/out.sql", "symlink_escape"), ("a/lost.sql", "file_unreadable")}
-    assert paths(files.crawl(spark, {"r": str(tmp_path)}, folders={"r": ["a/b"]})) == {"a/b/c/d/e.sql", "rep/R.Report/definition.pbir"}
+    assert paths(files.crawl(spark, {"r": str(tmp_path)}, folders={"r": ["a/b"]})) == {"a/b/c/d/e.sql"}
+    assert paths(files.crawl(spark, {"r": str(tmp_path)}, include=["*.none"], folders={"r": ["rep"]})) == {"rep/R.Report/definition.pbir"}
+    assert paths(files.crawl(spark, {"r": str(tmp_path)}, include=["top.*"])) == {"top.sql", "rep/R.Report/definition.pbir"}
     by_uri = files.crawl(spark, {"r": f"file://{tmp_path}"}, include=["**/*.sql"], exclude=["skip/**"])
     assert {"a/b/c/d/e.sql", "top.sql"} <= paths(by_uri)
     assert {r.text for r in files.read_files(by_uri[0].where("path = 'top.sql'")).collect()} == {"x"}

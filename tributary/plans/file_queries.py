@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import file_kind
 from ..operators import reports, roots
-from ..sources import functions
+from ..sources import functions, stored
 from ..streaming import state
 from . import build, from_files
 from .queries import query
@@ -109,6 +109,37 @@ def extracted_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT regexp_extract(path, '[^/]+$', 0) AS file, kind, name FROM extract(TABLE(SELECT * FROM model_files), 'tmdl') WHERE problem = ''")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of model files that Spark writes: one folder for each size of parts, its tables in one file or several."""
+    at = checkpoint_folder(spark)
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s")
+    text = F.format_string("table T%d\n\tmeasure M%d = SUM(T%d[A])\n\tcolumn a\n\t\tdataType: int64\n", *["k"] * 3)
+    p.select("s", text.alias("text")).repartition("s").write.partitionBy("s").option("maxRecordsPerFile", 10_000).text(at)
+    stored.register(spark)
+    return at
+
+
+_STORED = """SELECT 's=' || CAST(p_size AS VARCHAR) AS folder, kind, name FROM part, (SELECT unnest(['table', 'measure', 'column']) AS kind),
+LATERAL (SELECT CASE kind WHEN 'table' THEN 'T' || CAST(p_partkey AS VARCHAR) WHEN 'measure' THEN 'M' || CAST(p_partkey AS VARCHAR) ELSE 'a' END AS name)"""
+_OBJECTS = ["regexp_extract(path, '^[^/]+', 0) as folder", "kind", "name"]
+
+
+@query(_STORED, False)
+def stored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of stored model files, read by the data source."""
+    rows = spark.read.format("estate").options(extract="tmdl", include="**/*.txt").load(_stored(spark, sf_dir))
+    return rows.where("problem = ''").selectExpr(*_OBJECTS)
+
+
+@query(_STORED, False)
+def stored_models_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the stream of the data source."""
+    at = checkpoint_folder(spark)
+    rows = spark.readStream.format("estate").options(extract="tmdl", include="**/*.txt", log=f"{at}/log").load(_stored(spark, sf_dir))
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows").where("problem = ''").selectExpr(*_OBJECTS)
+
+
 # Orders are files whose events come as a stream: each is written, every second one then edited, urgent ones removed at last.
 @query(
     "SELECT CAST(o_orderkey AS VARCHAR) AS path, value FROM (SELECT o_orderkey, o_orderpriority, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['c' || CAST(o_custkey AS VARCHAR), 'new'] ELSE ['c' || CAST(o_custkey AS VARCHAR), 's' || o_orderstatus] END) AS value FROM orders) WHERE o_orderpriority NOT LIKE '1-%'",

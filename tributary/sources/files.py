@@ -25,8 +25,15 @@ def folder_excluded(folder: str, exclude: list[str]) -> bool:
     return bool(exclude) and out(f"{folder}/\0") and out(f"{folder}/\0/\0")
 
 
-def entries(root: str, rel: str) -> Iterator[tuple[str, str, bool, int, str]]:
-    """(relative path, absolute path, is a folder, size, problem) of what lies in a folder, hidden names left out.
+def root_path(at: str) -> str:
+    """A URI as it is, a path (``file:`` before it or not) without links."""
+    at = re.sub("^file:(?://)?(?=/)", "", at)
+    return at if "://" in at else os.path.realpath(at)
+
+
+def entries(root: str, rel: str) -> Iterator[tuple[str, str, bool, int, str, int]]:
+    """(relative path, absolute path, is a folder, size, problem, time of change) of what lies in a folder, hidden names
+    left out.
 
     A plain path is one of a machine that all tasks share; its links are kept inside the root. A URI goes through the file
     system that it names. A folder that cannot be listed gives one row for itself.
@@ -39,21 +46,22 @@ def entries(root: str, rel: str) -> Iterator[tuple[str, str, bool, int, str]]:
             where, at = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{rel}" if rel else root)
             for info in where.get_file_info(fs.FileSelector(at)):
                 if not info.base_name.startswith("."):
-                    yield within(info.base_name), f"{root.rstrip('/')}/{within(info.base_name)}", info.type == fs.FileType.Directory, info.size or 0, ""
+                    yield within(info.base_name), f"{root.rstrip('/')}/{within(info.base_name)}", info.type == fs.FileType.Directory, info.size or 0, "", info.mtime_ns or 0
             return
         with os.scandir(os.path.join(root, rel)) as found:
             for e in [e for e in found if not e.name.startswith(".")]:
                 full = os.path.join(root, within(e.name))
                 if e.is_dir(follow_symlinks=False):
-                    yield within(e.name), full, True, 0, ""
+                    yield within(e.name), full, True, 0, "", 0
                 elif not e.is_dir():
                     try:
                         inside = os.path.realpath(full).startswith(root.rstrip(os.sep) + os.sep)
-                        yield within(e.name), full, False, os.stat(full).st_size, "" if inside else "symlink_escape"
+                        about = os.stat(full)
+                        yield within(e.name), full, False, about.st_size, "" if inside else "symlink_escape", about.st_mtime_ns
                     except OSError:
-                        yield within(e.name), full, False, 0, "file_unreadable"
+                        yield within(e.name), full, False, 0, "file_unreadable", 0
     except (OSError, ValueError):  # ValueError: an unknown kind of file system
-        yield rel, os.path.join(root, rel), False, 0, "folder_unreadable"
+        yield rel, os.path.join(root, rel), False, 0, "folder_unreadable", 0
 
 
 def listed(spark: SparkSession, repos: dict[str, str], exclude: list[str] = ()) -> DataFrame:
@@ -68,14 +76,13 @@ def listed(spark: SparkSession, repos: dict[str, str], exclude: list[str] = ())
         for b in batches:
             out = []
             for key, root, rel in b.itertuples(index=False, name=None):
-                for path, full, is_folder, size, problem in entries(root, rel):
+                for path, full, is_folder, size, problem, _ in entries(root, rel):
                     big = not is_folder and size > MOST_BYTES and not path.lower().endswith(".pbix")
                     if not (is_folder and folder_excluded(path, globs)):
                         out.append((key, root, path, full, is_folder, size, problem or ("file_too_large" if big else "")))
             yield pd.DataFrame(out, columns=["repo_key", "root", "path", "abs_path", "is_folder", "size", "problem"])
 
-    plain = {key: at.removeprefix("file://") for key, at in repos.items()}
-    roots = [(key, at if "://" in at else os.path.realpath(at), "") for key, at in sorted(plain.items())]
+    roots = [(key, root_path(at), "") for key, at in sorted(repos.items())]
     level, found = spark.createDataFrame(roots, "repo_key string, root string, rel string"), []
     while not level.isEmpty():
         here = cut(level.repartition(lanes, "root", "rel").mapInPandas(listing, "repo_key string, root string, path string, abs_path string, is_folder boolean, size bigint, problem string"))
@@ -89,8 +96,8 @@ def listed(spark: SparkSession, repos: dict[str, str], exclude: list[str] = ())
 
 def crawl(spark: SparkSession, repos: dict[str, str], include: list[str] = (), exclude: list[str] = (), folders: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, warnings) of repositories (paths or URIs): files of a known kind that the globs let through, and what was left
-    out. ``folders`` keeps, of a repository, only what lies under some of its folders; a report's definition.pbir stays in
-    either way unless it is excluded, since it tells which model a report draws from."""
+    out. ``folders`` keeps, of a repository, only what lies under some of its folders. A report's definition.pbir there stays
+    in whatever ``include`` says, unless it is excluded, since it tells which model a report draws from."""
     every = listed(spark, repos, exclude)
     kinds = every.withColumn("kind", file_kind(F.col("path"))).where("kind is not null or problem = 'folder_unreadable'")
     allowed = F.lit(True)
@@ -101,7 +108,7 @@ def crawl(spark: SparkSession, repos: dict[str, str], include: list[str] = (), e
         allowed &= (F.col("repo_key") != key) | under
     definition = F.col("kind").eqNullSafe("pbir_definition")
     not_excluded = ~glob_filter(F.col("path"), list(exclude), []) if exclude else F.lit(True)
-    kinds = kinds.where((allowed & glob_filter(F.col("path"), list(include), list(exclude))) | (definition & not_excluded) | (F.col("problem") == "folder_unreadable"))
+    kinds = kinds.where((allowed & (glob_filter(F.col("path"), list(include), list(exclude)) | (definition & not_excluded))) | (F.col("problem") == "folder_unreadable"))
     files = kinds.where("problem = ''").select("repo_key", "path", "abs_path", "kind", "size")
     bad = kinds.where("problem <> ''").select(F.col("path").alias("file"), F.concat(F.lit("left out: "), "problem").alias("message"), F.col("problem").alias("category"))
     return files, bad

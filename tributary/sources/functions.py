@@ -21,6 +21,7 @@ _FIELDS = "entity string, property string, kind string, role string"
 _fields = lambda row: models.bindings_of(json.loads(row["text"], strict=False))
 EXTRACTORS: dict[str, Extractor] = {
     "tmdl": ("kind string, table_name string, name string, value string, properties string", lambda row: models.tmdl_objects(row["text"])),
+    "bim": ("kind string, table_name string, name string, value string, properties string", lambda row: models.bim_objects(row["text"])),
     "pbir_visual": (_FIELDS, _fields),
     "pbir_page": (_FIELDS, _fields),
     "pbir_report": (_FIELDS, _fields),

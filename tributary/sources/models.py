@@ -143,6 +143,30 @@ def tmdl(files: DataFrame) -> DataFrame:
     return _rows(files, "kind string, table_name string, name string, value string, properties string", lambda r: tmdl_objects(r["text"]), ["text"])
 
 
+def bim_objects(text: str) -> list[tuple]:
+    """(kind, table, name, value, properties as JSON) of one model file in JSON, as ``tmdl_objects`` gives them."""
+    model = json.loads(text, strict=False)["model"]
+    lines = lambda x: "\n".join(x) if isinstance(x, list) else x or ""
+    out: list[tuple] = []
+
+    def add(kind: str, table: str, x: dict, value, taken: tuple[str, ...], **more) -> None:
+        props = {k: v for k, v in x.items() if k not in ("name", *taken) and isinstance(v, str | int | float | bool)}
+        out.append((kind, table, x.get("name") or "", lines(value), json.dumps({**props, **more}, sort_keys=True)))
+
+    for t in model.get("tables") or []:
+        add("table", t["name"], t, "", ())
+        for kind in ("column", "measure"):
+            for x in t.get(f"{kind}s") or []:
+                add(kind, t["name"], x, x.get("expression"), ("expression",))
+        for x in t.get("partitions") or []:
+            source = x.get("source") or {}
+            add("partition", t["name"], x, source.get("expression") or source.get("query"), (), type=source.get("type") or "")
+    for x in model.get("relationships") or []:
+        ends = {end: f"{x.get(f'{end[:-6]}Table')}.{x.get(end)}" for end in ("fromColumn", "toColumn")}
+        add("relationship", "", x, "", ("fromTable", "toTable", "fromColumn", "toColumn"), **ends)
+    return out
+
+
 # The keys under which a report names what a field reference is.
 _KINDS = {"Measure": "measure", "Column": "column", "HierarchyLevel": "column", "Aggregation": "column"}
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..plans.session import cut
 
 
-def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: int | None = None) -> DataFrame:
-    """(root, node, depth): what each root reaches, with the least number of steps; the root itself is left out.
+def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: int | None = None, parents: bool = False) -> DataFrame:
+    """(root, node, depth): what each root reaches, with the least number of steps; the root itself is left out. With
+    ``parents`` also the least node one step nearer to the root from which each node was met (parent).
 
     ``flow`` has the columns up and down, ``roots`` the column root. Cycles end, since a round keeps only nodes that its
     root has not met; each round is one join, one distinct and one anti join, and is cut to files.
@@ -22,18 +23,20 @@ def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: i
     while depth is None or level < depth:
         level += 1
         at = front.select("root", F.col("node").alias("here"))
-        new = at.join(steps, "here").select("root", "node").distinct()
+        met = at.join(steps, "here")
+        # the front is all that lies one step nearer, so what led here is there already
+        new = met.groupBy("root", "node").agg(F.min("here").alias("parent")) if parents else met.select("root", "node").distinct()
         front = cut(new.join(seen, ["root", "node"], "left_anti"))
         if front.isEmpty():
             break
         found.append(front.withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front.select("root", "node"))
     if not found:
-        return front.withColumn("depth", F.lit(0)).limit(0)
+        found = [front.withColumn("depth", F.lit(0)).limit(0)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.select("root", "node", "depth", *(["parent"] if parents else []))
 
 
 def multi_source(flow: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut, dealt
+
 # The warning categories by severity (unknown ones are warnings), and the sets that gates look at.
 ERRORS = [
     "identity_collision", "crawl_incomplete", "tmdl_parse", "bim_parse", "pbir_parse", "report_json_parse", "pbix_unreadable", "pbix_layout_parse",
@@ -190,6 +192,10 @@ def loaded_by(sources: DataFrame, links: DataFrame, names: DataFrame) -> DataFra
     return hits.join(links.select("table_id").distinct().withColumn("linked", F.lit(True)), "table_id", "left").select("query", "table_id", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
+#: Hash values of pieces that queries mark.
+HASHES = 65_536
+
+
 def _grams(c: Column, size: Column) -> Column:
     """The distinct pieces of a text of a size, or none."""
     return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(c, i, size)))).otherwise(F.array())
@@ -199,12 +205,17 @@ def _holding(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id) of nodes (id, full) whose id or full name holds the query's text k, by an index of three characters.
 
     A query is looked up under the rarest of its pieces, so only nodes that hold this one are compared. Shorter queries are
-    pieces themselves.
+    pieces themselves. Pieces of nodes are moved only if some query has one of the same hash value, of ``HASHES`` values.
     """
-    sizes = [F.lit(1), F.lit(2), F.lit(3)]
-    index = nodes.select("id", "full", F.explode(F.array_distinct(F.concat(*[_grams(c, s) for s in sizes for c in (F.lower("id"), F.col("full"))]))).alias("gram"))
     size = F.least(F.length("k"), F.lit(3))
-    looked = queries.where("k <> ''").select("query", "k", F.explode(_grams(F.col("k"), size)).alias("gram"))
+    looked = cut(queries.where("k <> ''").select("query", "k", F.explode(_grams(F.col("k"), size)).alias("gram")))
+    sizes = [r[0] for r in looked.select(F.length("gram")).distinct().collect()]  # some of 1, 2, 3
+    if not sizes:
+        return looked.select("query", F.lit("").alias("id")).where("false")
+    index = dealt(nodes.select("id", "full"), "id").select("id", "full", F.explode(F.array_distinct(F.concat(*[_grams(c, F.lit(s)) for s in sizes for c in (F.lower("id"), F.col("full"))]))).alias("gram"))
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(HASHES))
+    marked = F.broadcast(looked.select(bucket.alias("b")).distinct())  # at most HASHES rows, however many queries there are
+    index = cut(index.withColumn("b", bucket).join(marked, "b", "left_semi").drop("b"))
     often = index.join(looked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = looked.join(often, "gram", "left").groupBy("query", "k").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     hits = rarest.join(index, "gram").where(F.contains(F.lower("id"), F.col("k")) | F.contains("full", F.col("k")))

@@ -27,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder (one under the warehouse where none is set, as in tests)."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores in small parts by a key: what is made of a few short columns in a task can be much longer
+    than they are, and a table of one file would be one task's."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)

@@ -1,6 +1,7 @@
 """Work that must not grow faster than the input: how many rows the steps of operators make."""
 
-from tributary.operators import closure, pages, reports
+from tributary.llm import chat
+from tributary.operators import closure, pages, quality, reports
 
 
 def rows(df):
@@ -28,3 +29,25 @@ def test_ancestry_walks_no_node_s_other_children(spark, monkeypatch):
     got = rows(pages.ancestry(flow, roots))
     assert got == sorted([(f"r{i}", "hub", 1, f"r{i}") for i in range(40)] + [(f"r{i}", "top", 2, "hub") for i in range(40)])
     assert walked == [{"parents": True}]  # parents come with the walk, not from a join with all children of each node
+
+
+def test_pieces_that_no_query_has_are_not_moved(spark, monkeypatch):
+    nodes = spark.range(300).selectExpr("concat('n:', cast(id as string)) as id", "concat('Name ', cast(id * 7 as string)) as name", "'Some.Schema' as schema_name")
+    queries = spark.createDataFrame([("AME 21",), ("n:5",), ("zzzz",), ("",), ("9",)], "query string")
+    kept, cut = [], quality.cut
+    monkeypatch.setattr(quality, "cut", lambda df: kept.append(cut(df)) or kept[-1], raising=False)
+    got = rows(quality.match_nodes(nodes, queries))
+    full = {f"n:{i}": (f"name {i * 7}", f"some.schema.name {i * 7}") for i in range(300)}
+    want = [("n:5", "n:5")] + [(q, i) for q in ("AME 21", "9") for i, names in full.items() if any(q.lower() in t for t in (i, *names))]
+    assert got == sorted(want)
+    pieces = max((df.count() for df in kept if "gram" in df.columns and "full" in df.columns), default=10**9)
+    assert pieces < 300 * 12  # of about 300 * 40
+
+
+def test_long_conversations_are_checked_whole(monkeypatch):
+    """A template that marks the first turn of long conversations only rewrites history, however long the texts are."""
+    monkeypatch.setattr(chat, "HELD", 10)
+    late = lambda turns: ("LONG " if len(turns) > 18 else "") + chat.template(turns)
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(20)]
+    r = chat.Rendered(turns, late)
+    assert r.rewrites == 1 and r.text == late(turns)

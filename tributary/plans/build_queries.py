@@ -10,7 +10,7 @@ from ..operators import bindings, closure, diff, graph, layering, linking, parti
 from ..sources import catalog, estate, models, sinks
 from . import build
 from .queries import _NEW_N, _OLD_N, _versions, query
-from .session import table
+from .session import dealt, table
 
 # Orders are scripts, each with a view, a procedure and a call that is built at run time; parts are tables of models, every
 # second one with a measure; lines are visuals, the seventh ones filters of the report.
@@ -26,12 +26,12 @@ EXEC sp_executesql N'DELETE FROM z'"""
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.format_string(_SCRIPT, k, k % 50, F.col("o_custkey"), k, k % 50, F.col("o_orderstatus"), k)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     return orders.select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
 
 
 def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "concat('m', cast(p_size as string)) as model", "concat('t', cast(p_partkey as string)) as table_name", "concat('pbi_table:m', cast(p_size as string), '.t', cast(p_partkey as string)) as table_id")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr("p_partkey as k", "concat('m', cast(p_size as string)) as model", "concat('t', cast(p_partkey as string)) as table_name", "concat('pbi_table:m', cast(p_size as string), '.t', cast(p_partkey as string)) as table_id")
     kind = F.when(F.col("k") % 5 == 2, "calculated").when(F.col("k") % 5 == 4, "query").otherwise("m")
     nav = F.format_string('let Itm = "Ord%d", S = Sql.Database("a", "b"), T = S{[Schema="mart", Item=Itm]}[Data] in T', F.col("k") % 50)
     native = F.format_string('Value.NativeQuery(Sql.Database("a", "b"), "SELECT * FROM raw.cust%d c JOIN ""rep"".v%d v ON 1 = 1")', F.col("k"), F.col("k"))
@@ -181,7 +181,7 @@ _DDL = "CREATE TABLE [S%d].[T %d] (id INT IDENTITY(1, 1), [a,%s] DECIMAL(%d, 2)
 def _ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.format_string(_DDL, F.col("p_size"), k, F.col("p_brand"), F.col("p_size") + 2, k, F.col("p_size"), k)
-    return table(spark, sf_dir, "part").select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey").select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
 
 
 @query(
@@ -470,7 +470,7 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.concat(first, F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.array(step(i), dead(i)))))
     steps = F.when(k % 3 == 0, F.reverse(steps)).otherwise(steps)
     text = F.concat(F.lit("let "), F.array_join(steps, ", "), F.format_string(' in #"s %d"', n + 1 - F.when(n > 2, 1).otherwise(0)))
-    return table(spark, sf_dir, "part").select(k.cast("string").alias("id"), text.alias("expression"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.cast("string").alias("id"), text.alias("expression"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'live' AS schema_name, 't' || CAST(p_partkey AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS name FROM part, range(1, 22) r(i) WHERE i <= p_partkey % 20 + 1 - CASE WHEN p_partkey % 20 > 2 THEN 1 ELSE 0 END", False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bindings, graph, quality, statements
 from ..sources import estate, models
 from .queries import query
-from .session import table
+from .session import dealt, table
 
 # Orders are reports (their id modulo 500), lines are visuals, and a part's name is the entity they show; a table is a
 # part of that name, its model the size group.
@@ -274,7 +274,7 @@ EXEC @rc = dbo.usp_%s"""
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.format_string(_SCRIPT, k % 50, F.col("o_custkey"), F.col("o_orderstatus"), k % 7, k % 50, F.lower("o_orderstatus"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     return orders.select(F.lit("r").alias("repo_key"), k.cast("string").alias("path"), text.alias("text"))
 
 
@@ -312,7 +312,7 @@ _DAX = """CALCULATE([Total %s], 'My Sales'[Cust %d] = "[no]", Dim[x]) // [never]
     False,
 )
 def dax_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.format_string(_DAX, "c_mktsegment", F.col("c_custkey") % 9).alias("expression"))
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", F.format_string(_DAX, "c_mktsegment", F.col("c_custkey") % 9).alias("expression"))
     return models.dax_refs(c).select("c_custkey", "table_name", "name")
 
 
@@ -327,7 +327,7 @@ _M = """let Source = Sql.Database("srv", "db"), // {[Schema="no",Item="no"]}
     False,
 )
 def m_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string(_M, "s_nationkey", "s_suppkey", F.col("s_suppkey") % 10).alias("expression"))
+    s = dealt(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").select("s_suppkey", F.format_string(_M, "s_nationkey", "s_suppkey", F.col("s_suppkey") % 10).alias("expression"))
     return models.m_sources(s).select("s_suppkey", "schema_name", "name", "raw_kind")
 
 

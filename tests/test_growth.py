@@ -1,7 +1,7 @@
 """Work that must not grow faster than the input: how many rows the steps of operators make."""
 
 from tributary.llm import chat
-from tributary.operators import closure, pages, quality, reports
+from tributary.operators import closure, pages, quality, reports, roots
 
 
 def rows(df):
@@ -51,3 +51,12 @@ def test_long_conversations_are_checked_whole(monkeypatch):
     turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(20)]
     r = chat.Rendered(turns, late)
     assert r.rewrites == 1 and r.text == late(turns)
+
+
+def test_files_are_not_broadcast_to_their_roots(spark):
+    """The planner takes exploded paths for small; neither they nor their folders may go through the driver."""
+    files = spark.range(50).selectExpr("'r' as repo_key", "concat('a/m', cast(id % 5 as string), '.x/d/', cast(id as string), '.tmdl') as path", "repeat('t', 100) as text")
+    top = spark.range(5).selectExpr("'r' as repo_key", "concat('a/m', cast(id as string), '.x') as root", "cast(id as string) as owner")
+    got = roots.nearest(files, top)
+    assert {(r.path, r.root) for r in got.collect()} == {(f"a/m{i % 5}.x/d/{i}.tmdl", f"a/m{i % 5}.x") for i in range(50)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

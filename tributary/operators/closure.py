@@ -17,7 +17,7 @@ def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: i
     """
     here, there = ("up", "down") if direction == "down" else ("down", "up")
     # dealt by where a step begins, once for all rounds
-    steps = cut(flow.select(F.col(here).alias("here"), F.col(there).alias("node")).distinct().repartition("here"))
+    steps = cut(flow.select(F.col(here).alias("here"), F.col(there).alias("node")).repartition("here").distinct())
     front = cut(roots.select("root").distinct().select("root", F.col("root").alias("node")))
     seen, found, level = front, [], 0
     while depth is None or level < depth:

@@ -1,7 +1,9 @@
 """Work that must not grow faster than the input: how many rows the steps of operators make."""
 
+from pyspark.sql import functions as F
+
 from tributary.llm import chat
-from tributary.operators import closure, pages, quality, reports, roots
+from tributary.operators import closure, pages, quality, reports, roots, trace
 
 
 def rows(df):
@@ -60,3 +62,20 @@ def test_files_are_not_broadcast_to_their_roots(spark):
     got = roots.nearest(files, top)
     assert {(r.path, r.root) for r in got.collect()} == {(f"a/m{i % 5}.x/d/{i}.tmdl", f"a/m{i % 5}.x") for i in range(50)}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_column_trace_reads_its_flow_once(spark):
+    """However many rounds a trace takes, and hops in each."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    flow = spark.range(5).selectExpr("concat('n', cast(id + 1 as string)) as up", "concat('n', cast(id as string)) as down").repartition(1).withColumn("up", counted("up"))
+    nodes = spark.range(6).selectExpr("concat('n', cast(id as string)) as id").selectExpr("id", "id as name", "id as qualified")
+    own = spark.range(5).selectExpr("concat('n', cast(id as string)) as node_id", "'c' as col", "concat('n', cast(id + 1 as string), '.c') as source")
+    got = trace.column_sources(spark.createDataFrame([("n0", "c")], "root string, col string"), own, own.where("false"), flow, nodes)
+    assert rows(got) == [("n0", "c", "n5.c")]
+    assert read.value <= 5

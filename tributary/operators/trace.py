@@ -11,9 +11,8 @@ from ..plans.session import cut
 HOPS = 2
 
 
-def _within(flow: DataFrame, at: DataFrame) -> DataFrame:
-    """(node, up): what lies up to HOPS steps upstream of each node, itself left out."""
-    steps = flow.select(F.col("down").alias("here"), "up").distinct()
+def _within(steps: DataFrame, at: DataFrame) -> DataFrame:
+    """(node, up): what lies up to HOPS steps (here, up) upstream of each node, itself left out."""
     front = at.select("node", F.col("node").alias("here"))
     out = None
     for _ in range(HOPS):
@@ -35,6 +34,8 @@ def column_sources(roots: DataFrame, own: DataFrame, loaded: DataFrame, flow: Da
     first = maps.groupBy("node", "col").agg(F.min("rule").alias("rule"))
     maps = cut(maps.join(first, ["node", "col", "rule"]).select("node", "col", "source"))
     called = nodes.select(F.col("id").alias("up"), F.explode(F.array_distinct(F.array(F.lower("qualified"), F.lower("name")))).alias("object")).distinct()
+    # dealt by where a step begins, once for all rounds
+    flow_steps = cut(flow.select(F.col("down").alias("here"), "up").repartition("here").distinct())
     shown = nodes.select(F.col("id").alias("node"), "qualified")
     front = cut(roots.select("root", F.col("col").alias("of"), F.col("root").alias("node"), F.lower("col").alias("col")).distinct())
     seen, ends = front, []
@@ -43,7 +44,7 @@ def column_sources(roots: DataFrame, own: DataFrame, loaded: DataFrame, flow: Da
         last = steps.where("source is null").join(shown, "node").select("root", "of", F.concat_ws(".", "qualified", "col").alias("source"))
         parted = steps.where("source like '%.%'").withColumns({"object": F.expr("substr(source, 1, length(source) - instr(reverse(source), '.'))"), "to": F.substring_index("source", ".", -1)})
         asked = parted.select("node", "object").distinct()
-        hit = asked.join(_within(flow, asked.select("node").distinct()), "node").join(called, ["up", "object"]).groupBy("node", "object").agg(F.min("up").alias("up"))
+        hit = asked.join(_within(flow_steps, asked.select("node").distinct()), "node").join(called, ["up", "object"]).groupBy("node", "object").agg(F.min("up").alias("up"))
         led = cut(parted.join(hit, ["node", "object"], "left"))
         open_ = led.where("up is null").select("root", "of", F.concat(F.col("object"), F.lit("."), F.col("to"), F.lit(" (unresolved node)")).alias("source"))
         ends.append(cut(last.unionByName(open_).distinct()))

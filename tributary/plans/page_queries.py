@@ -38,7 +38,7 @@ SELECT DISTINCT source_id, target_id FROM (
 )
 def measure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    refs = li.selectExpr("l_orderkey as source_id", "l_returnflag as model", "case when l_linenumber % 2 = 0 then '' else concat('t', cast(l_suppkey % 5 as string)) end as table_name", "concat('m', cast(l_partkey as string)) as name").distinct()
+    refs = li.selectExpr("l_orderkey as source_id", "l_returnflag as model", "case when l_linenumber % 2 = 0 then '' else concat('t', cast(l_suppkey % 5 as string)) end as table_name", "concat('m', cast(l_partkey as string)) as name")
     every = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("model"))
     measures = every.selectExpr("p_partkey as id", "model", "concat('t', cast(p_partkey % 5 as string)) as table_name", "concat('m', cast(p_partkey as string)) as name")
     return pages.measure_links(refs, measures, measures.where("id % 4 = 0"))

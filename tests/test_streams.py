@@ -1,6 +1,7 @@
 """Keyed state of files, table functions of SQL, and the listing of folders."""
 
 import json
+import time
 
 import pytest
 
@@ -41,6 +42,28 @@ def test_edits_and_removals_leave_what_a_fresh_run_gives(spark, tmp_path):
     assert len([c for c in calls.iterdir() if c.name.startswith("c-")]) == 1
 
 
+
+def test_files_share_keys_of_the_state_and_are_forgotten_one_by_one(spark, tmp_path):
+    (tmp_path / "events").mkdir()
+
+    def run(n, rows):
+        (tmp_path / "events" / f"{n}.json").write_text("\n".join(json.dumps({"repo_key": "r", "path": p, "text": t, "seq": 1}) for p, t in rows))
+        stream = spark.readStream.schema("repo_key string, path string, text string, seq long").json(str(tmp_path / "events"))
+        writer = state.changes(stream, lambda path, text: text.split(), "6 seconds", buckets=2).writeStream.format("parquet")
+        query = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        got = {(r.path, r.value) for r in state.present(spark.read.schema(state.CHANGES).parquet(str(tmp_path / "out"))).collect()}
+        return got, [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1]
+
+    every = [(f"f{n}", f"x{n} y") for n in range(40)]
+    first, keys = run(0, every)
+    assert first == {(p, v) for p, t in every for v in t.split()} and keys <= 2
+    time.sleep(7)
+    second, _ = run(1, every[:30])
+    # both keys had events, and the files without one are gone
+    assert second == {(p, v) for p, t in every[:30] for v in t.split()}
+
+
 BIM = {"model": {"tables": [{"name": "T", "columns": [{"name": "a", "dataType": "int64"}], "measures": [{"name": "M", "expression": ["SUM(", "T[a])"]}], "partitions": [{"name": "p", "mode": "import", "source": {"type": "m", "expression": "let x in x"}}]}], "relationships": [{"name": "r", "fromTable": "T", "fromColumn": "a", "toTable": "U", "toColumn": "b"}]}}
 FILES = {
     "bim": [("m.bim", json.dumps(BIM)), ("bad.bim", "[]")],

@@ -163,6 +163,26 @@ def test_ancestries_are_listed_as_a_walk_lists_them(spark):
     assert max(i for i, _ in shallow.values()) == 1
 
 
+def test_a_listing_writes_each_object_of_an_ancestry_once(spark, monkeypatch):
+    from tributary.operators import pages
+    from tributary.plans.session import cut
+
+    rows = []
+
+    def counted(df):
+        rows.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(pages, "cut", counted)
+    # a chain with a loop at its end, whose last objects come from each other
+    flow = [(f"n{k + 1:02d}", f"n{k:02d}") for k in range(9)] + [("n08", "n09")]
+    df = spark.createDataFrame(flow, "up string, down string")
+    got = [r.node for r in pages.ancestry_listing(df, df.where("down = 'n00'").selectExpr("down as root")).orderBy("line").collect()]
+    assert got == [f"n{k:02d}" for k in range(1, 10)] + ["n08"]
+    # the steps, and the root and nine objects above it
+    assert sum(rows) == len(flow) + 10
+
+
 def test_columns_are_traced_through_writers_and_near_names(spark):
     from tributary.operators import trace
 

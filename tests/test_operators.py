@@ -183,6 +183,24 @@ def test_a_listing_writes_each_object_of_an_ancestry_once(spark, monkeypatch):
     assert sum(rows) == len(flow) + 10
 
 
+def test_nodes_without_a_file_are_nobodys_seeds(spark):
+    from tributary.operators import diff
+
+    nodes = lambda rows: spark.createDataFrame(rows, "id string, source_file string")
+    old, new = nodes([("a", "f"), ("b", "f"), ("c", ""), ("e", "h")]), nodes([("a", "g"), ("c", ""), ("d", "f"), ("e", "h")])
+    files = spark.createDataFrame([("f",), ("",), ("f",)], "path string")
+    assert sorted(map(tuple, diff.file_seeds(files, old, new).collect())) == [("a", "current"), ("b", "baseline"), ("d", "current")]
+
+
+def test_columns_of_one_place_merge_alike_in_any_order(spark):
+    rows = [("t", "a", "int", 1), ("t", "A", "text", 1), ("t", "b", "int", 1), ("t", "B", "date", 1), ("t", "c", "int", 0)]
+    got = set()
+    for order in (rows, rows[::-1]):
+        merged = graph.column_merge(spark.createDataFrame(order, "node_id string, name string, data_type string, ord long").coalesce(1))
+        got.add(str([(c["name"], c["data_type"]) for c in merged.collect()[0]["columns"]]))
+    assert got == {str([("c", "int"), ("A", "text"), ("B", "date")])}
+
+
 def test_columns_are_traced_through_writers_and_near_names(spark):
     from tributary.operators import trace
 

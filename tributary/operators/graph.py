@@ -41,9 +41,10 @@ def node_merge(contributions: DataFrame, scalars: list[str]) -> DataFrame:
 
 
 def column_merge(columns: DataFrame) -> DataFrame:
-    """Columns of each node united by their lower-cased name: the first spelling and type win, first-seen order stays."""
-    first = columns.groupBy("node_id", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "data_type"), "ord").alias("c"), F.min("ord").alias("ord"))
-    return first.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("ord", "c.name", "c.data_type"))).alias("columns"))
+    """Columns of each node united by their lower-cased name: the first spelling and type win, first-seen order stays. Of
+    columns with the same ``ord`` the lesser (name, type) comes first."""
+    first = columns.groupBy("node_id", F.lower("name").alias("key")).agg(F.min(F.struct("ord", "name", "data_type")).alias("c"))
+    return first.groupBy("node_id").agg(F.array_sort(F.collect_list("c")).alias("columns"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], values: list[str], order: str = "ord") -> DataFrame:

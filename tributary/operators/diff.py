@@ -31,11 +31,15 @@ def impact_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def file_seeds(files: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """(seed, side) of changed files (path): the current nodes of these files, and the baseline's that are gone."""
-    of = lambda nodes: nodes.join(files.select(F.col("path").alias("source_file")), "source_file", "left_semi").select(F.col("id").alias("seed"))
-    gone = of(old).join(new.select(F.col("id").alias("seed")), "seed", "left_anti")
-    lived = of(old).join(new.select(F.col("id").alias("seed")), "seed", "left_semi")
-    return of(new).unionByName(lived).distinct().withColumn("side", F.lit("current")).unionByName(gone.distinct().withColumn("side", F.lit("baseline")))
+    """(seed, side) of changed files (path): the current nodes of these files, and the baseline's that are gone.
+
+    Nodes without a file (an empty name) are nobody's, and would all meet in one task.
+    """
+    paths = files.select(F.col("path").alias("source_file")).where("source_file <> ''")
+    of = lambda nodes: nodes.where("source_file <> ''").select(F.col("id").alias("seed"), "source_file").join(paths, "source_file", "left_semi").select("seed")
+    known = new.select(F.col("id").alias("seed"), F.lit("current").alias("side"))
+    was = of(old).join(known, "seed", "left").select("seed", F.coalesce("side", F.lit("baseline")).alias("side"))
+    return of(new).withColumn("side", F.lit("current")).unionByName(was).distinct()
 
 
 def impact_map(seeds: DataFrame, old_flow: DataFrame, new_flow: DataFrame) -> DataFrame:

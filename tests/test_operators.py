@@ -192,6 +192,13 @@ def test_nodes_without_a_file_are_nobodys_seeds(spark):
     assert sorted(map(tuple, diff.file_seeds(files, old, new).collect())) == [("a", "current"), ("b", "baseline"), ("d", "current")]
 
 
+def test_edges_of_both_graphs_are_no_difference(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "source_id string, target_id string, edge_type string")
+    old = edges([("a", "b", "reads"), ("a", "b", "reads"), (None, "b", "reads"), ("a", "c", "reads")])
+    new = edges([("a", "b", "reads"), (None, "b", "reads"), ("a", "b", "feeds"), ("a", "b", "feeds")])
+    assert sorted(map(tuple, diff.edge_diff(old, new).collect())) == [("a", "b", "feeds", "added"), ("a", "c", "reads", "removed")]
+
+
 def test_columns_of_one_place_merge_alike_in_any_order(spark):
     rows = [("t", "a", "int", 1), ("t", "A", "text", 1), ("t", "b", "int", 1), ("t", "B", "date", 1), ("t", "c", "int", 0)]
     got = set()

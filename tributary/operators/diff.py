@@ -18,9 +18,10 @@ def node_diff(old: DataFrame, new: DataFrame, compared: list[str]) -> DataFrame:
 
 
 def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Added and removed edges by key."""
-    a, b = old.select(*KEY).distinct(), new.select(*KEY).distinct()
-    return b.join(a, KEY, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, KEY, "left_anti").withColumn("change", F.lit("removed")))
+    """Added and removed edges by key; both graphs are grouped at once, and keys with nulls are equal."""
+    both = old.select(*KEY, F.lit(False).alias("__new")).unionByName(new.select(*KEY, F.lit(True).alias("__new")))
+    sides = both.groupBy(*KEY).agg(F.min("__new").alias("all_new"), F.max("__new").alias("any_new")).where("all_new = any_new")
+    return sides.select(*KEY, F.when(F.col("any_new"), "added").otherwise("removed").alias("change"))
 
 
 def impact_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:

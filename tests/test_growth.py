@@ -1,9 +1,11 @@
 """Work that must not grow faster than the input: how many rows the steps of operators make."""
 
+import difflib
+
 from pyspark.sql import functions as F
 
 from tributary.llm import chat
-from tributary.operators import closure, pages, quality, reports, roots, trace
+from tributary.operators import closure, linking, pages, quality, reports, roots, trace
 
 
 def rows(df):
@@ -79,3 +81,18 @@ def test_a_column_trace_reads_its_flow_once(spark):
     got = trace.column_sources(spark.createDataFrame([("n0", "c")], "root string, col string"), own, own.where("false"), flow, nodes)
     assert rows(got) == [("n0", "c", "n5.c")]
     assert read.value <= 5
+
+
+def test_names_of_few_other_characters_are_not_looked_up(spark, monkeypatch):
+    """Numbered names share nearly all characters and pairs; their index is for what is further away only."""
+    names = [f"rep.v{n}" for n in range(300)] + ["rep.v", "other.name", ""]
+    needles = [f"rep.v{n}x" for n in range(100, 120)] + ["othr.nome", "rep.v120", "a" * 40, ""]
+    i = spark.createDataFrame([(f"k{n}", t) for n, t in enumerate(needles)], "key string, needle string")
+    c = spark.createDataFrame([(f"t{n:03d}", t) for n, t in enumerate(names)], "target string, qualified string")
+    looked_up, meeting = [], linking._meeting
+    monkeypatch.setattr(linking, "_meeting", lambda wanted, *a: looked_up.extend(r.key for r in wanted.collect()) or meeting(wanted, *a))
+    got = sorted((r.key, r["rank"], r.target, r.score) for r in linking.best_candidates(i, c, 2).collect())
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    best = lambda t: sorted((-ratio(t, q), f"t{n:03d}") for n, q in enumerate(names))[:2]
+    assert got == sorted((f"k{n}", r + 1, t, -s) for n, needle in enumerate(needles) for r, (s, t) in enumerate(best(needle)))
+    assert {"k20", "k22"} <= set(looked_up) <= {"k20", "k22", "k23"}

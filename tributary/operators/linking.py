@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import cut
+from ..plans.session import cut, dealt
 
 # Type precedence among equal names, and the thresholds of the similarity rung.
 PRECEDENCE = ["view", "gold_table", "silver_table", "bronze_table"]
 AUTO, PENDING = 0.92, 0.60
 #: Rarest tokens of an item by which its first candidates are found.
 SEEDS = 8
+#: Items of at most so many characters are first tried with what is two characters away.
+SHORT = 20
 
 
 def _precedence():
@@ -115,9 +117,55 @@ def fuzzy_scores(items: DataFrame, candidates: DataFrame, least: float) -> DataF
     return pairs.select("key", "target", similarity("i.text", "c.text").alias("score")).where(F.col("score") >= least).unionByName(empty)
 
 
+def _less_two(rows: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """(…, less, gone): each text of at most ``SHORT`` + 2 characters without none, one or two of them, and how many went."""
+    t, n = F.col(text), F.length(text)
+    without = lambda x, p: F.concat(F.substr(x, F.lit(1), p - 1), F.substr(x, p + 1, F.length(x)))
+    less = lambda p, gone: F.struct(p.alias("less"), F.lit(gone).alias("gone"))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places, lambda p: without(t, p))
+    # the second one that goes stands before the first
+    two = F.flatten(F.transform(places, lambda p: F.transform(F.slice(places, F.lit(1), p - 1), lambda q: without(without(t, p), q))))
+    every = F.concat(F.array(less(t, 0)), F.transform(F.array_distinct(one), lambda x: less(x, 1)), F.transform(F.array_distinct(two), lambda x: less(x, 2)))
+    return rows.where(n <= SHORT + 2).select(*kept, F.explode(every).alias("v")).select(*kept, "v.less", "v.gone")
+
+
+def _two_away(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(key, target, needle, qualified) of short items (key, needle) and all candidates (target, qualified) that become one
+    text when two characters go, of either or of both; texts that several items or candidates share meet once."""
+    short = items.where(F.length("needle") <= SHORT)
+    a, b = (_less_two(df.select(c).distinct(), [c], c) for df, c in ((short, "needle"), (candidates, "qualified")))
+    met = dealt(a, "less").join(dealt(b.withColumnRenamed("gone", "gone_too"), "less"), "less").where("gone + gone_too <= 2").select("needle", "qualified").distinct()
+    return met.join(short.select("key", "needle"), "needle").join(candidates.select("target", "qualified"), "qualified").select("key", "target", "needle", "qualified")
+
+
+def _kth_ratio(pairs: DataFrame, k: int) -> DataFrame:
+    """(key, floor): the k-th best ratio of each key's pairs, 0 of fewer."""
+    scored = pairs.select("key", similarity("needle", "qualified").alias("s"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s")))
+    return scored.withColumn("r", place).groupBy("key").agg(F.coalesce(F.max(F.when(F.col("r") == k, F.col("s"))), F.lit(0.0)).alias("floor"))
+
+
 def compared_pairs(items: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """(key, target, needle, qualified): the pairs that the matcher has to see to know the k best candidates of each item.
 
+    Short items meet what is two characters away first (``_two_away``). Of a pair that is three or more away, at most the
+    item's n characters match, of 2 n + 3: an item whose k-th ratio is over 2 n / (2 n + 3) by then is done. All others are
+    looked up in the index (``_indexed_pairs``).
+    """
+    needles = cut(items.where("needle is not null").select("key", "needle"))
+    names = cut(candidates.where("qualified is not null").select("target", "qualified"))
+    near = cut(_two_away(needles, names))
+    n = F.length("needle")
+    done = cut(needles.join(_kth_ratio(near, k), "key").where(F.col("floor") > 2 * n / (2 * n + 3) + 1e-9).select("key"))
+    rest = cut(needles.join(done, "key", "left_anti"))
+    near = near.join(done, "key", "left_semi")
+    return near if rest.isEmpty() else near.unionByName(_indexed_pairs(rest, names, k))
+
+
+def _indexed_pairs(items: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """The same pairs by an index of characters and pairs.
+
     The candidates with most rare tokens in common come first; their k-th ratio is a floor, and ``_meeting`` finds what may
     reach it. An item without k candidates of some ratio gets those of the least ids, whose ratio is 0.
     """
@@ -131,9 +179,7 @@ def compared_pairs(items: DataFrame, candidates: DataFrame, k: int = 10) -> Data
     order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("n") / (F.col("len") + F.col("lc"))), "target"))
     near = shared.join(texts, "target").withColumn("r", order).where(F.col("r") <= k).select("key", "target", "needle", "qualified")
     seeds = cut(near.unionByName(ranked.select("key", F.col("text").alias("needle")).join(F.broadcast(least.drop("lc")), F.lit(True)).select("key", "target", "needle", "qualified")).distinct())
-    scored = seeds.select("key", similarity("needle", "qualified").alias("s"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s")))
-    floor = scored.withColumn("r", place).groupBy("key").agg(F.coalesce(F.max(F.when(F.col("r") == k, F.col("s"))), F.lit(0.0)).alias("floor"))
+    floor = _kth_ratio(seeds, k)
     # a floor of 0 leaves what shares a character; of texts without characters only equal ones have a ratio
     wanted = ranked.join(floor, "key").withColumn("floor", F.greatest("floor", F.lit(1e-6)))
     met = _meeting(wanted, c, index).select("key", "target", F.col("i.text").alias("needle"), F.col("c.text").alias("qualified"))

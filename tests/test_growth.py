@@ -5,7 +5,8 @@ import difflib
 from pyspark.sql import functions as F
 
 from tributary.llm import chat
-from tributary.operators import closure, linking, pages, quality, reports, roots, trace
+from tributary.operators import closure, linking, pages, partitions, quality, reports, roots, statements, trace
+from tributary.plans import build_queries
 
 
 def rows(df):
@@ -96,3 +97,21 @@ def test_names_of_few_other_characters_are_not_looked_up(spark, monkeypatch):
     best = lambda t: sorted((-ratio(t, q), f"t{n:03d}") for n, q in enumerate(names))[:2]
     assert got == sorted((f"k{n}", r + 1, t, -s) for n, needle in enumerate(needles) for r, (s, t) in enumerate(best(needle)))
     assert {"k20", "k22"} <= set(looked_up) <= {"k20", "k22", "k23"}
+
+
+def test_nodes_and_warnings_need_no_links(spark, monkeypatch):
+    """What a query of the graph does not return is not made for it."""
+
+    def not_needed(*a, **k):
+        raise AssertionError("not needed")
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(reports, "shown_fields", not_needed)
+    monkeypatch.setattr(partitions, "attach", not_needed)
+    monkeypatch.setattr(linking, "ladder", not_needed)
+    assert build_queries.build_nodes(spark, sf).where("node_type = 'view'").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    monkeypatch.undo()
+    monkeypatch.setattr(statements, "statement_lineage", not_needed)
+    monkeypatch.setattr(statements, "owners", not_needed)
+    monkeypatch.setattr(linking, "ladder", not_needed)
+    assert build_queries.build_warnings(spark, sf).where("category = 'dynamic_sql'").count() == spark.read.parquet(f"{sf}/orders.parquet").count()

@@ -115,3 +115,17 @@ def test_nodes_and_warnings_need_no_links(spark, monkeypatch):
     monkeypatch.setattr(statements, "owners", not_needed)
     monkeypatch.setattr(linking, "ladder", not_needed)
     assert build_queries.build_warnings(spark, sf).where("category = 'dynamic_sql'").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_entities_of_one_table_need_no_pairs(spark, monkeypatch):
+    """Only bindings whose entity several tables have are paired with models; what the others settle still counts for them."""
+    tables = spark.createDataFrame([("Sales", "a.Sales", "a"), ("Date", "a.Date", "a"), ("Date", "b.Date", "b"), ("Own", "x.own", "X"), ("own", "x.own", "x")], "entity string, table_id string, model string")
+    shown = spark.createDataFrame([(f"v{n}", r, e, "p", k, "shown") for n, (r, e, k) in enumerate([("r1", "Sales", "measure"), ("r1", "Date", "column"), ("r2", "Date", "column"), ("r3", "Date", "column"), ("r4", "Own", "column"), ("r4", "Gone", "column")])], "source_id string, report string, entity string, property string, kind string, role string")
+    measures = spark.createDataFrame([("a", "P", "m:a.p")], "model string, name string, measure_id string")
+    paired, resolve = [], reports.resolve_bindings
+    monkeypatch.setattr(reports, "resolve_bindings", lambda b, *a: paired.extend(r.entity for r in b.collect()) or resolve(b, *a))
+    refs, left, drawn = reports.shown_fields(shown, tables, measures, spark.createDataFrame([("r2", "b")], "report string, model string"))
+    assert set(paired) == {"Date"}
+    assert rows(refs.select("source_id", "target", "kind")) == [("v0", "a.Sales", "measure"), ("v0", "m:a.p", "measure"), ("v1", "a.Date", "column"), ("v2", "b.Date", "column"), ("v4", "x.own", "column")]
+    assert rows(left.select("source_id", "entity")) == [("v3", "Date"), ("v5", "Gone")]
+    assert rows(drawn) == [("r1", "a"), ("r2", "b"), ("r4", "X"), ("r4", "x")]

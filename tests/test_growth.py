@@ -2,8 +2,11 @@
 
 import difflib
 
+import pandas as pd
+
 from pyspark.sql import functions as F
 
+from tributary.functions import masks
 from tributary.llm import chat
 from tributary.operators import closure, linking, pages, partitions, quality, reports, roots, statements, trace
 from tributary.plans import build_queries
@@ -129,3 +132,12 @@ def test_entities_of_one_table_need_no_pairs(spark, monkeypatch):
     assert rows(refs.select("source_id", "target", "kind")) == [("v0", "a.Sales", "measure"), ("v0", "m:a.p", "measure"), ("v1", "a.Date", "column"), ("v2", "b.Date", "column"), ("v4", "x.own", "column")]
     assert rows(left.select("source_id", "entity")) == [("v3", "Date"), ("v5", "Gone")]
     assert rows(drawn) == [("r1", "a"), ("r2", "b"), ("r4", "X"), ("r4", "x")]
+
+
+def test_equal_statements_are_folded_once(monkeypatch):
+    """Scripts repeat what they set, run and print; a batch folds each such statement once."""
+    folded, fold = [], masks._folded
+    monkeypatch.setattr(masks, "_folded", lambda m: folded.append(m) or fold(m))
+    given = ["set nocount on", None, "select a from t"] * 50
+    got = masks.sql_folded.func(pd.Series(given)).tolist()
+    assert got == [fold(m) for m in given] and len(folded) == 3

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import flow
+from ..plans.session import spread
 
 KEY = ["source_id", "target_id", "edge_type"]
 
@@ -78,7 +79,10 @@ def retype(nodes: DataFrame, new_ids: DataFrame, scalars: list[str]) -> DataFram
 def subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes with these ids and the edges with both ends among them."""
     keep = ids.select(F.col("id")).distinct()
-    inside = edges.join(keep.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(keep.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    inside = edges
+    for end in ("source_id", "target_id"):
+        # no semi join, which would move below the parts that the edges are spread to
+        inside = spread(inside, end).join(keep.withColumnRenamed("id", end).hint("merge"), end)
     return nodes.join(keep, "id", "left_semi"), inside.select(*edges.columns)
 
 

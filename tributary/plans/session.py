@@ -40,3 +40,9 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt to all cores in small parts by a key: what is made of a few short columns in a task can be much longer
     than they are, and a table of one file would be one task's."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys in many parts that are not put together again, so that what a task sorts or holds stays small."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism), *keys)

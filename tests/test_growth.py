@@ -61,6 +61,22 @@ def test_long_conversations_are_checked_whole(monkeypatch):
     assert r.rewrites == 1 and r.text == late(turns)
 
 
+def test_digests_are_checked_whole(monkeypatch):
+    """The same for digests: whole prefixes are rendered, those of turns in the file too, and a rewritten history is told."""
+    monkeypatch.setattr(chat, "HELD", 50)
+    seen = []
+
+    def late(turns):
+        seen.append(len(turns))
+        return (["LONG "] if len(turns) > 18 else []) + list(chat.pieces(turns))
+
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k} \ud800<|") for k in range(20)]
+    got, plain = chat.digest_row(iter(turns), late), chat.digest_row(iter(turns))
+    assert {1, 2, 4, 8, 16, 20} <= set(seen)
+    assert got[-1] == 1 and got[4] == len("".join(late(turns))) == plain[4] + 5
+    assert got[:4] == plain[:4] and plain[-1] == 0
+
+
 def test_files_are_not_broadcast_to_their_roots(spark):
     """The planner takes exploded paths for small; neither they nor their folders may go through the driver."""
     files = spark.range(50).selectExpr("'r' as repo_key", "concat('a/m', cast(id % 5 as string), '.x/d/', cast(id as string), '.tmdl') as path", "repeat('t', 100) as text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import masks
 from tributary.llm import chat
-from tributary.operators import closure, graph, linking, pages, partitions, quality, reports, roots, statements, trace
+from tributary.operators import closure, diff, graph, linking, pages, partitions, quality, reports, roots, statements, trace
 from tributary.plans import build_queries
 
 
@@ -172,3 +172,32 @@ def test_references_and_edges_meet_in_small_parts(spark):
     for made in (links, inside):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_a_walk_moves_neither_its_steps_nor_what_it_met(spark, monkeypatch):
+    """Steps that two graphs share are there once, and joins take them and all that was met as they lie, round after round."""
+    old = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "y"), ("c", "e")]
+    new = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("a", "x"), ("d", "f")]
+    seeds = [("a", "baseline"), ("a", "current"), ("c", "current"), ("x", "baseline"), ("gone", "current")]
+    flow = lambda edges: spark.createDataFrame(edges, "up string, down string")
+    steps, laid, met = [], closure.laid, []
+    monkeypatch.setattr(closure, "laid", lambda *a, **k: steps.append(laid(*a, **k)) or steps[-1])
+
+    class Kept(closure.Laid):
+        def add(self, df):
+            met.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().add(df)
+
+    monkeypatch.setattr(closure, "Laid", Kept)
+    got = rows(diff.impact_map(spark.createDataFrame(seeds, "seed string, side string"), flow(old), flow(new)))
+    want = set()
+    for seed, side in seeds:
+        edges, front, seen = old if side == "baseline" else new, {seed}, {seed}
+        while front:
+            front = {b for a, b in edges if a in front} - seen
+            seen |= front
+        want |= {(seed, node) for node in seen - {seed}}
+    assert got == sorted(want)
+    assert [s.count() for s in steps] == [8]
+    # the front by where it is, and what it meets by root and node, in these tests' few parts once more
+    assert len(met) > 3 and all(plan.count("Exchange") <= 3 for plan in met[1:])

@@ -5,38 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import Laid, laid
 
 
-def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: int | None = None, parents: bool = False) -> DataFrame:
+def closure(flow: DataFrame, roots: DataFrame, direction: str = "down", depth: int | None = None, parents: bool = False, sides: bool = False) -> DataFrame:
     """(root, node, depth): what each root reaches, with the least number of steps; the root itself is left out. With
     ``parents`` also the least node one step nearer to the root from which each node was met (parent).
 
     ``flow`` has the columns up and down, ``roots`` the column root. Cycles end, since a round keeps only nodes that its
-    root has not met; each round is one join, one distinct and one anti join, and is cut to files.
+    root has not met. With ``sides`` both also have a whole number ``sides``, whose bits are graphs: a root walks all its graphs
+    at once, and a node that it meets in several at different depths has a row, with the new bits, for each.
+
+    Steps are laid by where they begin and what was met by root and node, so a round moves its front and what that meets
+    once each, however much was met before, and writes what is new.
     """
     here, there = ("up", "down") if direction == "down" else ("down", "up")
-    # dealt by where a step begins, once for all rounds
-    steps = cut(flow.select(F.col(here).alias("here"), F.col(there).alias("node")).repartition("here").distinct())
-    front = cut(roots.select("root").distinct().select("root", F.col("root").alias("node")))
-    seen, found, level = front, [], 0
-    while depth is None or level < depth:
+    bits = ["sides"] if sides else []
+    either = lambda df: df.groupBy("here", "node").agg(F.bit_or("sides").alias("sides"))
+    steps = laid(flow.select(F.col(here).alias("here"), F.col(there).alias("node"), *bits), "here", **({"once": either} if sides else {}))
+    met = Laid(flow.sparkSession, "root", "node")
+    first = roots.groupBy("root").agg(F.bit_or("sides").alias("sides")) if sides else roots.select("root").distinct()
+    kind = steps.schema["node"].dataType
+    begin = first.select("root", F.col("root").cast(kind).alias("node"), F.lit(0).alias("depth"), *([F.lit(None).cast(kind).alias("parent")] if parents else []), *bits)
+    met.add(met.deal(begin))
+    level = 0
+    while (depth is None or level < depth) and not met.rows().where(F.col("depth") == level).isEmpty():
+        at = met.rows().where(F.col("depth") == level).select("root", F.col("node").alias("here"), *([F.col("sides").alias("of")] if sides else []))
+        new = at.join(steps.hint("merge"), "here")
+        known = met.rows().select("root", "node", *bits)
         level += 1
-        at = front.select("root", F.col("node").alias("here"))
-        met = at.join(steps, "here")
         # the front is all that lies one step nearer, so what led here is there already
-        new = met.groupBy("root", "node").agg(F.min("here").alias("parent")) if parents else met.select("root", "node").distinct()
-        front = cut(new.join(seen, ["root", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        found.append(front.withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(front.select("root", "node"))
-    if not found:
-        found = [front.withColumn("depth", F.lit(0)).limit(0)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("root", "node", "depth", *(["parent"] if parents else []))
+        if parents:
+            new = new.groupBy("root", "node").agg(F.min("here").alias("parent"))
+        elif sides:
+            new = new.where("sides & of <> 0").groupBy("root", "node").agg(F.bit_or(F.expr("sides & of")).alias("sides"))
+            known = known.groupBy("root", "node").agg(F.bit_or("sides").alias("of"))
+        else:
+            new = new.select("root", "node").distinct()
+        if sides:
+            new = new.join(known.hint("merge"), ["root", "node"], "left").withColumn("sides", F.expr("sides & ~coalesce(of, 0)")).where("sides <> 0")
+        else:
+            new = new.join(known.hint("merge"), ["root", "node"], "left_anti")
+        met.add(new.select("root", "node", F.lit(level).alias("depth"), *(["parent"] if parents else []), *bits))
+    return met.done().where("depth > 0")
 
 
 def multi_source(flow: DataFrame, seeds: DataFrame) -> DataFrame:

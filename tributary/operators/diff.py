@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .closure import multi_source
+from .closure import closure
 from .graph import KEY, edge_flow
 
 
@@ -46,13 +46,13 @@ def file_seeds(files: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 def impact_map(seeds: DataFrame, old_flow: DataFrame, new_flow: DataFrame) -> DataFrame:
     """(seed, node): what each seed reaches downstream in its own graph; a seed of both gets the union.
 
-    Both graphs are walked in one loop, their nodes told apart by a letter in front.
+    Both graphs are walked in one loop, their edges told apart by bits, so what they share is there once.
     """
-    mark = lambda side, c: F.concat(F.lit(side), c)
-    flow = old_flow.select(mark("b", "up").alias("up"), mark("b", "down").alias("down")).unionByName(new_flow.select(mark("c", "up").alias("up"), mark("c", "down").alias("down")))
-    roots = seeds.select(F.concat(F.left("side", F.lit(1)), "seed").alias("seed"))
-    met = multi_source(flow, roots)
-    return met.select(F.substr("seed", F.lit(2)).alias("seed"), F.substr("node", F.lit(2)).alias("node")).distinct()
+    bit = lambda df, n, *c: df.select(*c, F.lit(n).alias("sides"))
+    flow = bit(old_flow, 1, "up", "down").unionByName(bit(new_flow, 2, "up", "down"))
+    roots = seeds.select(F.col("seed").alias("root"), F.when(F.col("side") == "baseline", 1).otherwise(2).alias("sides"))
+    met = closure(flow, roots, sides=True)
+    return met.select(F.col("root").alias("seed"), "node").where("seed <> node").distinct()
 
 
 def stale_files(committed: DataFrame, fresh: DataFrame) -> DataFrame:

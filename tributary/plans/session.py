@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,5 +45,42 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` by keys in many parts that are not put together again, so that what a task sorts or holds stays small."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(_many(df.sparkSession), *keys)
+
+
+def _many(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+
+
+class Laid:
+    """Rows in files of the checkpoint folder, dealt by keys to many parts that joins by all of these keys take as they lie,
+    however often; a checkpoint forgets its parts where plans adapt, so every join would move it again. Rows may be added."""
+
+    def __init__(self, spark: SparkSession, *keys: str):
+        # fewer than a shuffle's parts would be moved
+        self.n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        self.spark, self.keys = spark, keys
+        self.name, self.at = f"laid_{uuid.uuid4().hex}", checkpoint_folder(spark)
+
+    def add(self, df: DataFrame) -> Laid:
+        """Writes rows that are dealt by the keys already, as what such a join gives, or few."""
+        df.write.bucketBy(self.n, *self.keys).option("path", self.at).mode("append").saveAsTable(self.name)
+        return self
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.n, *self.keys)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.table(self.name)
+
+    def done(self) -> DataFrame:
+        """The rows; the table's name is given up, its files stay."""
+        out = self.rows()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return out
+
+
+def laid(df: DataFrame, *keys: str, once: Callable[[DataFrame], DataFrame] = DataFrame.distinct) -> DataFrame:
+    """The distinct rows of ``df`` (or what ``once`` makes of those that share the keys), laid by keys."""
+    to = Laid(df.sparkSession, *keys)
+    return to.add(once(to.deal(df))).done()

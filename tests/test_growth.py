@@ -201,3 +201,27 @@ def test_a_walk_moves_neither_its_steps_nor_what_it_met(spark, monkeypatch):
     assert [s.count() for s in steps] == [8]
     # the front by where it is, and what it meets by root and node, in these tests' few parts once more
     assert len(met) > 3 and all(plan.count("Exchange") <= 3 for plan in met[1:])
+
+
+def test_a_trace_finds_names_once_and_walks_to_no_end(spark, monkeypatch):
+    """Whatever its rounds, a trace moves its flow once, and columns in which it ends are never in its front."""
+    nodes = [("v", "V", "rep.V"), ("a1", "T", "s.T"), ("a0", "T", "x.T"), ("b", "B", "s.B"), ("c", "C", "s.C")]
+    flow = [("a1", "v"), ("p", "v"), ("a0", "p"), ("b", "a1"), ("b", "a0"), ("c", "b"), ("a1", "b")]
+    own = [("v", "k", "t.k"), ("v", "k", "s.t.k"), ("v", "k", "plain"), ("a0", "k", "s.b.k"), ("b", "k", "c.z"), ("b", "k", "s.t.k"), ("b", "k", "no.where.k"), ("c", "y", None)]
+    loaded = [("v", "k", "s.c.k"), ("a1", "k", "b.k"), ("a1", "k", "b.y")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    near, made, met = trace._near, [], []
+    monkeypatch.setattr(trace, "_near", lambda *a: made.append(near(*a)) or made[-1])
+
+    class Kept(trace.Laid):
+        def add(self, df):
+            met.append({(r.node, r.col) for r in df.select("node", "col").collect()})
+            return super().add(df)
+
+    monkeypatch.setattr(trace, "Laid", Kept)
+    maps = "node_id string, col string, source string"
+    roots = [("v", "K"), ("c", "y"), ("c", "none"), ("zz", "k")]
+    got = rows(trace.column_sources(frame(roots, "root string, col string"), frame(own, maps), frame(loaded, maps), frame(flow, "up string, down string"), frame(nodes, "id string, name string, qualified string")))
+    # t is a0 (of a0 and a1, two and one steps away), s.t is a1; both lead to b, which goes on to c.z, an end, and back to a1
+    assert got == [("c", "none", "s.C.none"), ("c", "y", "s.C.y"), ("v", "K", "no.where.k (unresolved node)"), ("v", "K", "s.B.y"), ("v", "K", "s.C.z")]
+    assert len(made) == 1 and met == [{("v", "k"), ("c", "y"), ("c", "none"), ("zz", "k")}, {("a0", "k"), ("a1", "k")}, {("b", "k")}, set()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tributary.functions import masks
 from tributary.llm import chat
 from tributary.operators import closure, diff, graph, linking, pages, partitions, quality, reports, roots, statements, trace
-from tributary.plans import build_queries
+from tributary.plans import build, build_queries
 
 
 def rows(df):
@@ -225,3 +225,17 @@ def test_a_trace_finds_names_once_and_walks_to_no_end(spark, monkeypatch):
     # t is a0 (of a0 and a1, two and one steps away), s.t is a1; both lead to b, which goes on to c.z, an end, and back to a1
     assert got == [("c", "none", "s.C.none"), ("c", "y", "s.C.y"), ("v", "K", "no.where.k (unresolved node)"), ("v", "K", "s.B.y"), ("v", "K", "s.C.z")]
     assert len(made) == 1 and met == [{("v", "k"), ("c", "y"), ("c", "none"), ("zz", "k")}, {("a0", "k"), ("a1", "k")}, {("b", "k")}, set()]
+
+
+def test_links_and_nodes_are_not_broadcast(spark, monkeypatch):
+    """Sides that look small when packed are many in one plan of the graph of files; none may go through the driver."""
+    plans, real = [], {m: m.cut for m in (build, linking)}
+    for m in real:
+        monkeypatch.setattr(m, "cut", lambda df, m=m: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real[m](df))
+    sql = spark.range(30).selectExpr("concat('view:rep.v', id) as id", "'view' as node_type", "concat('v', id) as name", "'rep' as schema_name", "'f' as source_file")
+    sources = spark.range(40).selectExpr("concat('t', id) as table_id", "'rep' as schema_name", "case when id < 20 then concat('v', id) else concat('v', id - 20, 'x') end as name", "'m' as raw_kind", "'h' as expression_hash")
+    tables = spark.range(40).selectExpr("concat('t', id) as table_id", "'m' as model")
+    links = build.link(sources, tables, sql, build.Links(similar=True))
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert {(r.key, r.target, r.method) for r in links.where("method = 'exact'").collect()} == {(f"t{i}", f"view:rep.v{i}", "exact") for i in range(20)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans if "least" not in p and "LocalLimit" not in p and "TakeOrdered" not in p)

@@ -239,3 +239,22 @@ def test_links_and_nodes_are_not_broadcast(spark, monkeypatch):
     plans.append(links._jdf.queryExecution().executedPlan().toString())
     assert {(r.key, r.target, r.method) for r in links.where("method = 'exact'").collect()} == {(f"t{i}", f"view:rep.v{i}", "exact") for i in range(20)}
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans if "least" not in p and "LocalLimit" not in p and "TakeOrdered" not in p)
+
+
+def test_a_listing_moves_its_paths_once_a_level(spark, monkeypatch):
+    """What was met lies where it was met, and the lines move once, to their root."""
+    plans = []
+
+    class Kept(pages.Laid):
+        def add(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().add(df)
+
+    monkeypatch.setattr(pages, "Laid", Kept)
+    flow = spark.createDataFrame([("a", "r"), ("b", "r"), ("c", "a"), ("b", "a"), ("d", "b"), ("c", "d")], "up string, down string")
+    got = pages.ancestry_listing(flow, flow.where("down = 'r'").select(flow["down"].alias("root")))
+    lines = [("r", 1, 0, "a", ""), ("r", 2, 1, "b", ""), ("r", 3, 2, "d", ""), ("r", 4, 3, "c", ""), ("r", 5, 1, "c", "shown above"), ("r", 6, 0, "b", "shown above")]
+    assert [r[:3] for r in rows(got)] == [r[:3] for r in lines]
+    assert {(r.node, r.indent, r.note) for r in got.collect()} == {("a", 0, ""), ("b", 1, ""), ("d", 2, ""), ("c", 3, ""), ("c", 1, ""), ("b", 0, "shown above")}
+    assert len(plans) == 6 and all(plan.count("Exchange") <= 3 for plan in plans[1:])
+    assert got.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
